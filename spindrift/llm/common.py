@@ -92,3 +92,48 @@ def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (b for b in it if b.num_rows)
+
+
+#: Multiplier of the byte hash, odd, so that it can be undone modulo 2^64.
+STEP = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP ** i and its inverse for i < n, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        ones = np.ones(size, np.uint64)
+        up, down = ones.copy(), ones
+        up[1:], down[1:] = np.uint64(STEP), np.uint64(pow(STEP, -1, 1 << 64))
+        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: each bit of the result depends on all of h."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, runs of other bytes than ASCII white space, A-Z lower-cased: each one's hash,
+    its text and its first byte."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
+    gap = (low == 32) | ((low >= 9) & (low <= 13))
+    cut = np.zeros(n + 1, bool)
+    cut[starts] = True  # texts stand end to end
+    before, after = np.empty(n, bool), np.empty(n, bool)
+    before[0], before[1:] = True, gap[:-1]
+    after[-1], after[:-1] = True, gap[1:]
+    first = np.flatnonzero(~gap & (before | cut[:-1]))
+    end = np.flatnonzero(~gap & (after | cut[1:])) + 1
+    up, down = _power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    hashes = mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+    return hashes, np.searchsorted(starts, first, "right") - 1, first

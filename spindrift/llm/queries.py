@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing
-from .common import table
+from . import bpe, exact_dedup, langid, license_scan, line_dedup, mixing, ngram_join, quality_mil, secret_scan
+from .common import crc_fold, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,16 +30,71 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' classes by word triples and a similarity of 0.9."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer() -> tuple[bytes, str]:
+    """The public byte-level vocabulary: its ranks and its pattern."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, as digests, and what they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier one has."""
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.col("text_sha256").alias("kept_sha256"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' languages, learned from the folds that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.fit_on(docs.filter(crc_fold("doc_id") != 0))
+    found = langid.identify(docs, net)
+    return found.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' secrets."""
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"), secret_scan.fit(*secret_scan.default_samples()))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(said(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' quality, learned from the labels of the folds that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_mil.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality_mil.ACCEPT).cast("int").alias("predicted"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_mil.Mil:
+    """A model of labels.quality, from the documents whose fold isn't held out."""
+    marks = labels.filter((crc_fold("doc_id") != 0) & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("quality").alias("label"))
+    return quality_mil.fit_on(docs.join(marks, F.col("doc_id") == F.col("_d")))
+
+
 OP6_SQL = """
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(coalesce(d.text, '')) AS text_sha256
 FROM documents d
@@ -51,8 +106,14 @@ JOIN (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op3_ngram_join": op3_ngram_join,
         "op4_source_mix": op4_source_mix,
+        "op5_bpe": op5_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_language_id": op8_language_id,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_quality_mil": op10_quality_mil,
     }
 
 
