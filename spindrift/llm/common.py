@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Arrow batches handed to Python hold at most this many rows and bytes, so that a worker's memory
 #: depends on neither the table's size nor its longest runs of long texts.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
@@ -21,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the Python operators that run in this session."""
+    """Bound the Arrow batches of the Python operators that run in this session, and send their code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -178,12 +178,13 @@ def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
             size, place = size.astype(np.int64), place.astype(np.int64)
             many = np.zeros(len(gram), bool)
             same = gram[1:] == gram[:-1]
-            many[1:], many[:-1] = same, many[:-1] | same
+            many[1:] |= same
+            many[:-1] |= same
             if not many.any():
                 continue
             gram, size, ids, place = gram[many], size[many], ids[many], place[many]
             at = np.arange(len(gram))
-            start = np.searchsorted(gram, gram) if (gram[1:] >= gram[:-1]).all() else np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), at, 0))
+            start = np.searchsorted(gram, gram)
             # as the smaller one an entry needs room for a partner of its own size at least
             roomy = size - place >= _need(size, size, num, den)
             before = np.concatenate([[-1], np.maximum.accumulate(np.where(roomy, at, -1))[:-1]])
@@ -195,9 +196,9 @@ def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
                     break
                 j = np.flatnonzero(open_)
                 i = look[j]
-                room = np.minimum(size[i] - place[i], size[j] - place[j]) >= _need(size[i], size[j], num, den)
-                found[j[room & (ids[i] != ids[j])]] = i[room & (ids[i] != ids[j])]
-                open_[j[room & (ids[i] != ids[j])]] = False
+                good = (np.minimum(size[i] - place[i], size[j] - place[j]) >= _need(size[i], size[j], num, den)) & (ids[i] != ids[j])
+                found[j[good]] = i[good]
+                open_[j[good]] = False
                 look[j] = before[i]
             live = np.isin(start, start[found >= 0])
             if live.any():
