@@ -16,6 +16,7 @@ from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -163,9 +164,9 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' ids: id_col, ids (array of int), n_tokens, ids_sha256 (of the decimal ids joined by a
-    space), decoded_sha256 (of the bytes that the ids decode to).
+def encode(docs: DataFrame, ranks: bytes, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """docs' ids: the columns to keep, ids (array of int), n_tokens, ids_sha256 (of the decimal ids joined
+    by a space), decoded_sha256 (of the bytes that the ids decode to).
 
     Each match of `pattern` is encoded by itself; there are no special tokens. A null or empty text has
     no ids. Rows are independent, so ties and repeated rows need no rule; other columns are ignored.
@@ -174,33 +175,32 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id
     spark = docs.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(ranks)
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType(
-        [T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    )
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    made = [("ids", T.ArrayType(T.IntegerType(), False))] * with_ids + [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in made)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped.value, pattern)
         decimal = {i: str(i) for i in codec.bytes_of}.__getitem__
         for batch in it:
             lists, counts, sums, decoded = [], [], [], []
-            for text in texts_of(batch):
+            for text in texts_of(batch, "__text"):
                 ids = codec.encode(text)
-                lists.append(ids)
+                if with_ids:
+                    lists.append(pa.array(ids, pa.int32()))
                 counts.append(len(ids))
                 sums.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            whole = []
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                whole = [pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(lists) if lists else pa.array([], pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lists, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(sums), pa.array(decoded)],
+                [*(batch.column(k) for k in range(len(keep))), *whole, pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())],
                 names=[f.name for f in schema],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
-
-
-def digests(docs: DataFrame, ranks: bytes, pattern: str, **columns) -> DataFrame:
-    """encode() without the ids, which then needn't leave the workers as a column of their own."""
-    return encode(docs, ranks, pattern, **columns).drop("ids")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

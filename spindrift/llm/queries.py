@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, license_scan, line_dedup, mixing, ngram_join, quality_mil, secret_scan
+from . import bpe, embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing, ngram_join, quality_mil, secret_scan
 from .common import crc_fold, table
 
 
@@ -30,6 +30,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors' links of cosine 0.9 or more, and their components."""
+    return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' classes by word triples and a similarity of 0.9."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
@@ -49,7 +54,7 @@ def tokenizer() -> tuple[bytes, str]:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, as digests, and what they decode to."""
-    return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer())
+    return bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), with_ids=False)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +111,7 @@ JOIN (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_embed_dedup": op2_embed_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_source_mix": op4_source_mix,
         "op5_bpe": op5_bpe,
