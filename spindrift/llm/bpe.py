@@ -26,60 +26,8 @@ from pyspark.sql import types as T
 from .common import small_batches, texts_of
 
 #: Pre-tokens up to this many bytes are remembered, so many of them at most in a worker.
-REMEMBER_BYTES, REMEMBER = 48, 200_000
-WORD = 64
-
-
-class RankQueue:
-    """Positions in buckets by rank, the lowest rank and in it the leftmost position first."""
-
-    def __init__(self, ranks: int):
-        self.levels = []
-        while True:
-            ranks = -(-ranks // WORD)
-            self.levels.append([0] * ranks)
-            if ranks == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            at = rank
-            for level in self.levels:
-                word, bit = divmod(at, WORD)
-                was = level[word]
-                level[word] = was | 1 << bit
-                if was:
-                    break
-                at = word
-        else:
-            heappush(bucket, position)
-
-    def first(self) -> int:
-        """The lowest rank that has a bucket, or -1."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return -1
-            at = at * WORD + (word & -word).bit_length() - 1
-        return at
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word, bit = divmod(at, WORD)
-                level[word] &= ~(1 << bit)
-                if level[word]:
-                    break
-                at = word
-        return position
+REMEMBER_BYTES, REMEMBER = 48, 400_000
+BIT = [1 << k for k in range(64)]
 
 
 class Codec:
@@ -89,54 +37,90 @@ class Codec:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.longest = max(map(len, ranks))
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.low = [0] * ((max(ranks.values()) >> 6) + 1)  # a bit for each rank
+        self.mid = [0] * ((len(self.low) >> 6) + 1)  # a bit for each word of them; the top level is one number
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
-        ranks, longest = self.ranks, self.longest
-        if piece in ranks:
-            return [ranks[piece]]
+        get, longest = self.ranks.get, self.longest
+        if (whole := get(piece)) is not None:
+            return (whole,)
         n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is [i, after[i])
+        low, mid, top, bit = self.low, self.mid, 0, BIT  # all zero between calls: every entry is taken out
+        bucket: dict[int, list[int]] = {}
+        after, before = list(range(1, n + 1)), list(range(-1, n))  # a part is [i, after[i])
         pair = [-1] * n  # the rank of the part that begins at i with the next one
-        queue = self.queue
-        push, first, pop, get = queue.push, queue.first, queue.pop, ranks.get
         for i in range(n - 1):
-            if (r := get(piece[i : i + 2], -1)) >= 0:
+            if (r := get(piece[i : i + 2])) is not None:
                 pair[i] = r
-                push(r, i)
-        while (rank := first()) >= 0:
-            i = pop(rank)
+                if r in bucket:
+                    bucket[r].append(i)  # ascending, so a heap
+                else:
+                    bucket[r] = [i]
+                    w = r >> 6
+                    low[w] |= bit[r & 63]
+                    mid[w >> 6] |= bit[w & 63]
+                    top |= 1 << (w >> 6)
+        while top:
+            # find-first-set on each level leads to the lowest rank that has a bucket
+            x = (top & -top).bit_length() - 1
+            m = mid[x]
+            w = x << 6 | (m & -m).bit_length() - 1
+            word = low[w]
+            rank = w << 6 | (word & -word).bit_length() - 1
+            at = bucket[rank]
+            if len(at) > 1:
+                i = heappop(at)
+            else:
+                i = at[0]
+                del bucket[rank]
+                word &= word - 1
+                low[w] = word
+                if not word:
+                    m &= m - 1
+                    mid[x] = m
+                    if not m:
+                        top &= top - 1
             if pair[i] != rank:
-                continue
+                continue  # stale
             gone = after[i]
             end = after[gone]
-            after[i], pair[gone] = end, -1
+            after[i] = end
+            pair[gone] = pair[i] = -1
+            fresh = []
             if end < n:
                 before[end] = i
-                r = get(piece[i : after[end]], -1) if after[end] - i <= longest else -1
-                if r >= 0:
-                    push(r, i)
-            else:
-                r = -1
-            pair[i] = r
-            if (left := before[i]) >= 0:
-                r = get(piece[left:end], -1) if end - left <= longest else -1
-                if r != pair[left]:
+                if after[end] - i <= longest and (r := get(piece[i : after[end]])) is not None:
+                    pair[i] = r
+                    fresh.append((r, i))
+            left = before[i]
+            if left >= 0:
+                r = get(piece[left:end]) if end - left <= longest else None
+                if r is None:
+                    pair[left] = -1
+                elif r != pair[left]:
                     pair[left] = r
-                    if r >= 0:
-                        push(r, left)
-        out, i = [], 0
+                    fresh.append((r, left))
+            for r, at_ in fresh:
+                if r in bucket:
+                    heappush(bucket[r], at_)
+                else:
+                    bucket[r] = [at_]
+                    w = r >> 6
+                    low[w] |= bit[r & 63]
+                    mid[w >> 6] |= bit[w & 63]
+                    top |= 1 << (w >> 6)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
             out.append(ranks[piece[i : after[i]]])
             i = after[i]
-        return out
+        return tuple(out)
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
-        ids = tuple(self.merge(raw))
+        ids = self.merge(raw)
         if len(raw) <= REMEMBER_BYTES:
             if len(self.known) >= REMEMBER:
                 self.known.clear()

@@ -157,10 +157,13 @@ def fit_on(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def _smallest(rows: DataFrame, most: int) -> DataFrame:
     """The `most` rows of each language with the smallest hash. The hash cuts all but about twice as many
-    away before any row is ranked, so no language's rows meet in one task."""
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), 2.0 * most / F.col("n") + 64.0 / F.col("n"))
-    near = rows.join(counts.select(F.col("lang").alias("l"), share.alias("share")), F.col("lang") == F.col("l")).filter((F.col("h") / float(1 << 63) + 1) / 2 <= F.col("share"))
+    away before any row is moved, so no language's rows meet in one task. There is a count for each
+    language, that is, for each class of the network."""
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return rows.select("lang", F.struct("h", "text").alias("x"))
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (2.0 * most + 64.0) / n))])
+    near = rows.filter((F.col("h") / float(1 << 63) + 1) / 2 <= F.element_at(share, F.col("lang")))
     few = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, most).alias("xs"))
     return few.select("lang", F.explode("xs").alias("x"))
 

@@ -170,8 +170,8 @@ def _lists(it: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray
 
 
 def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (gram, size, id, place, a): live entries, and in a the nearest entry before it in its list
-    that is a candidate, if there is one. Entries of lists without candidates are left out."""
+    """Rows (gram, size, id, place, a, paired): entries of lists of more than one, whether the list has any
+    candidates (live), and in a the nearest entry before each one that is a candidate, if there is one."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, size, ids, place in _lists(it, 4):
@@ -201,14 +201,13 @@ def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
                 open_[j[good]] = False
                 look[j] = before[i]
             live = np.isin(start, start[found >= 0])
-            if live.any():
-                a = np.where(found >= 0, ids[found], -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[live]), pa.array(size[live].astype(np.int32)), pa.array(ids[live]), pa.array(place[live].astype(np.int32)), pa.array(a[live]), pa.array((found >= 0)[live])],
-                    names=["gram", "size", "id", "place", "a", "paired"],
-                )
+            a = np.where(found >= 0, ids[found], -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram), pa.array(size.astype(np.int32)), pa.array(ids), pa.array(place.astype(np.int32)), pa.array(a), pa.array(found >= 0), pa.array(live)],
+                names=["gram", "size", "id", "place", "a", "paired", "live"],
+            )
 
-    return postings.mapInArrow(run, "gram long, size int, id long, place int, a long, paired boolean")
+    return postings.mapInArrow(run, "gram long, size int, id long, place int, a long, paired boolean, live boolean")
 
 
 def _across(labelled: DataFrame, num: int, den: int) -> DataFrame:
@@ -258,6 +257,22 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return two.mapInArrow(run, "a long, b long, n long, m long, o long, linked boolean")
 
 
+def _plausible(pairs: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates whose posted n-grams have enough in common.
+
+    Of the n-grams that two linked sets share, the k-th in order has at least need - k at or after it in
+    both, so it stands before place size - need + k. Sets post the first size - least + 1 of theirs,
+    where least is the overlap with the smallest partner; so the larger one's number decides k.
+    """
+    posted = entries.groupBy("id").agg(F.first("size").alias("size"), F.collect_list("gram").alias("grams"))
+    one = pairs.join(posted.select(F.col("id").alias("x"), F.col("size").alias("n"), F.col("grams").alias("ga")), F.col("a") == F.col("x")).drop("x")
+    two = one.join(posted.select(F.col("id").alias("x"), F.col("size").alias("m"), F.col("grams").alias("gb")), F.col("b") == F.col("x"))
+    exact = lambda x: F.expr(f"cast(-floor(-({x})) as long)")
+    need = exact(f"{num} * (n + m) / cast({num + den} as decimal(9,0))")
+    least = exact(f"{num} * greatest(n, m) / cast({den} as decimal(9,0))")
+    return two.filter(F.size(F.array_intersect("ga", "gb")) >= need + 1 - least).select("a", "b")
+
+
 def _derive(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
     """Candidates (a, b) with linked true or false where the answer of a set highly similar to b gives
     theirs, else null.
@@ -304,20 +319,22 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id
     first = live.filter("paired").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
     small_batches(spark)
-    wanted = live.select("id").distinct().withColumnRenamed("id", "w")
-    sets = stored(_sets(known_ids.join(wanted, F.col("id") == F.col("w"), "left_semi").dropDuplicates(["id"]), n))
-    known = durable(_overlaps(durable(first), sets, num, den))
+    first = durable(_plausible(first, live, num, den))
+    sets = _sets_of(first, known_ids, n)
+    known = durable(_overlaps(first, sets, num, den))
     linked = known.filter("linked").select("a", "b")
     classes = durable(components(linked)).select(F.col("id").alias("i"), "component")
 
-    entries = live.join(classes, F.col("id") == F.col("i"), "left").select("gram", "size", "id", "place", F.coalesce("component", "id").alias("class"))
+    entries = live.filter("live").join(classes, F.col("id") == F.col("i"), "left").select("gram", "size", "id", "place", F.coalesce("component", "id").alias("class"))
     mixed_lists = entries.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select(F.col("gram").alias("g"))
     entries = entries.join(mixed_lists, F.col("gram") == F.col("g"), "left_semi")
     small_batches(spark, 1 << 16)
-    more = durable(_across(_in_lists(entries), num, den).distinct()).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    more = _across(_in_lists(entries), num, den).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    more = durable(_plausible(durable(more), live, num, den))
     derived = durable(_derive(more, known, num, den))
     small_batches(spark)
-    late = _overlaps(derived.filter("linked is null").select("a", "b"), sets, num, den).filter("linked").select("a", "b")
+    open_ = durable(derived.filter("linked is null").select("a", "b"))
+    late = _overlaps(open_, _sets_of(open_, known_ids, n), num, den).filter("linked").select("a", "b")
 
     # equal sets: a star for each, made of (digest, size) groups; a hot group's rows join by salted digest
     reps = per_doc.filter("size > 0 and id is not null").groupBy("h1", "h2", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
@@ -333,6 +350,13 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id
     )
 
 
+def _sets_of(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The sets of all documents that a pair names. As a written table the ids have a known size, so Spark
+    sends them to the documents where they are few, and shuffles both sides where they aren't."""
+    ids = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    return stored(_sets(docs.join(stored(ids), F.col("id") == F.col("w"), "left_semi"), n).dropDuplicates(["id"]))
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
