@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, byte_runs, durable, mixed, small_batches, slices, stored, word_hashes
+from .common import STEP, batches, byte_runs, durable, mixed, small_batches, slices, stored, word_hashes
 from .graph import components
 
 #: How many common n-grams the order knows of (a bound of what is broadcast; it changes the work, not the
@@ -36,7 +36,8 @@ def ngram_sets(raw: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray,
     A text of fewer words is one n-gram, its whole sequence; one without words has none."""
     h, owner, _ = word_hashes(raw, starts)
     docs = len(starts) - 1
-    weights = [np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & 2**64 - 1) for k in range(n)]
+    # independent of each other, or words in another order could have the same sum
+    weights = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP)) | np.uint64(1)
     grams = h[: max(0, len(h) - n + 1)] * weights[0]
     for k in range(1, n):
         grams = grams + h[k : len(h) - n + 1 + k] * weights[k]
