@@ -1,15 +1,19 @@
 """Exact n-gram Jaccard join by set-relation skipping.
 
-Sets of word n-grams are ordered by one order of all n-grams, common ones last, and the first few of
-each are posted. Two sets that are similar enough share a posted n-gram at places that leave room for
-the overlap they need. Within an n-gram's list, sorted by size, entries whose place leaves too little
-room for any partner are skipped as a block, and sizes out of reach are skipped by search.
+Sets of word n-grams are ordered by one order of all n-grams, common ones last, and keys made of the
+first few of each are posted: runs of SPAN n-grams that stand next to each other in the set's order. Two
+sets that are similar enough share so many n-grams, and the others are so few, that somewhere among the
+first places no other stands between two shared ones; that run is a key of both (_last). Unlike single
+n-grams, such keys are hardly ever shared by texts that have no more than a passage in common. Within a
+key's list, sorted by size, entries whose place is too late for any partner are skipped as a block, and
+sizes out of reach are skipped by search.
 
 What is asked for is the classes of linked sets, so answers are derived from those of similar sets:
-first each set is compared with the nearest candidate before it in each list only. Candidates that this
-has already brought into one class are skipped, whole lists at once. For the others the overlap with a
-set that is highly similar to the candidate, already computed, bounds the overlap from both sides; only
-pairs that these bounds leave open are compared. No candidate is dropped undecided.
+first each set is compared with one candidate only, the one that is nearest before it in most lists, and
+again with one of another class, a few times. Candidates that this has already brought into one class
+are skipped, whole lists at once. For the others
+the overlap with a set that is highly similar to the candidate, already computed, bounds the overlap
+from both sides; only pairs that these bounds leave open are compared. No candidate is dropped undecided.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from .graph import components
 COMMON, PART = 1 << 16, 0.002
 #: N-grams that a task counts at once.
 COUNT_AT_ONCE = 1 << 21
+#: So often at most each set is compared with one candidate of another class, before all candidates that
+#: are left are; each time that it finds links at least halves the classes that have some (this changes
+#: the work, not the result).
+ROUNDS = 4
 
 
 def ngram_sets(raw: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +81,28 @@ def _need(n, m, num: int, den: int):
     return -(-num * (n + m) // (num + den))
 
 
+def _span(num: int, den: int) -> int:
+    """N-grams in a key. Runs of two are shared by all linked sets if the similarity is 3/4 or more:
+    from 7 n-grams in both together on, there are more shared ones than gaps that others can break, and
+    smaller sets link only if they are equal."""
+    return 2 if 4 * num >= 3 * den else 1
+
+
+def _last(n, m, need, span: int):
+    """The last place in a set of size n where the first key shared with one of size m can stand.
+
+    Of all n-grams of both in order, n - need and m - need at most aren't shared. A run of two shared
+    ones is broken only by one of those, so after as many shared n-grams the next two form a run.
+    """
+    return n - need + (span - 1) * (n + m - 2 * need)
+
+
+def _fits(n, p, m, q, num: int, den: int, span: int):
+    """Whether a key at place p of a set of size n and q of one of size m can be their first shared one."""
+    need = _need(n, m, num, den)
+    return (p <= _last(n, m, need, span)) & (q <= _last(m, n, need, span)) & (p - q <= n - need) & (q - p <= m - need)
+
+
 def _survey(docs: DataFrame, n: int) -> DataFrame:
     """One pass over all texts: rows (doc, id, size, h1, h2) and, doc being false, rows of n-grams that
     are common in a part of the table (id: the n-gram, size: in how many documents)."""
@@ -108,9 +138,10 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (gram, size, id, place) of the n-grams that each set posts. Of equal sets in a task one is
-    posted."""
-    spark = docs.sparkSession
+    """Rows (gram, size, id, place) of the keys that each set posts: those that stand early enough to be
+    the first shared with its smallest partner, where the bound of _last is widest. Of equal sets in a
+    task one is posted."""
+    spark, span = docs.sparkSession, _span(num, den)
     shipped = spark.sparkContext.broadcast(common)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +166,12 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndar
             first = np.searchsorted(of, of)
             place = np.arange(len(of)) - first
             m = size[of]
-            use = place <= m - (-(-num * m // den))
+            use = place <= np.minimum(span * (den - num) * m // den, m - span)
+            keyed = grams
+            if span > 1 and len(grams):
+                keyed = mixed(grams * np.uint64(STEP) + np.append(grams[1:], grams[:1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[use].view(np.int64)), pa.array(m[use].astype(np.int32)), pa.array(ids[of[use]].astype(np.int64)), pa.array(place[use].astype(np.int32))],
+                [pa.array(keyed[use].view(np.int64)), pa.array(m[use].astype(np.int32)), pa.array(ids[of[use]].astype(np.int64)), pa.array(place[use].astype(np.int32))],
                 names=["gram", "size", "id", "place"],
             )
 
@@ -171,11 +205,13 @@ def _lists(it: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray
 
 
 def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (gram, size, id, place, a, paired): entries of lists of more than one, whether the list has any
-    candidates (live), and in a the nearest entry before each one that is a candidate, if there is one."""
+    """Rows (gram, size, id, place, a, paired, live) from rows (gram, size, id, place, class) in lists:
+    entries of lists of more than one, whether the list has any candidates (live), and in a the nearest
+    entry before each one that is a candidate of another class, if there is one."""
+    span = _span(num, den)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, size, ids, place in _lists(it, 4):
+        for gram, size, ids, place, group in _lists(it, 5):
             size, place = size.astype(np.int64), place.astype(np.int64)
             many = np.zeros(len(gram), bool)
             same = gram[1:] == gram[:-1]
@@ -183,24 +219,27 @@ def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
             many[:-1] |= same
             if not many.any():
                 continue
-            gram, size, ids, place = gram[many], size[many], ids[many], place[many]
-            at = np.arange(len(gram))
+            gram, size, ids, place, group = gram[many], size[many], ids[many], place[many], group[many]
             start = np.searchsorted(gram, gram)
-            # as the smaller one an entry needs room for a partner of its own size at least
-            roomy = size - place >= _need(size, size, num, den)
-            before = np.concatenate([[-1], np.maximum.accumulate(np.where(roomy, at, -1))[:-1]])
-            found, look, open_ = np.full(len(gram), -1), before.copy(), np.ones(len(gram), bool)
-            while True:
-                open_ &= look >= start
-                open_[open_] = size[look[open_]] * den >= num * size[open_]
-                if not open_.any():
-                    break
-                j = np.flatnonzero(open_)
-                i = look[j]
-                good = (np.minimum(size[i] - place[i], size[j] - place[j]) >= _need(size[i], size[j], num, den)) & (ids[i] != ids[j])
+            # as the smaller one, an entry reaches furthest with a partner of its own size
+            roomy = np.flatnonzero(place * (den + num) <= (2 * span - 1) * (den - num) * size)
+            # for each roomy one, the roomy one before its run of one class
+            run_starts = np.ones(len(roomy), bool)
+            run_starts[1:] = group[roomy[1:]] != group[roomy[:-1]]
+            over = np.maximum.accumulate(np.where(run_starts, np.arange(len(roomy)), 0)) - 1
+            found, look = np.full(len(gram), -1), np.searchsorted(roomy, np.arange(len(gram))) - 1
+            j = np.flatnonzero(look >= 0)
+            k = look[j]
+            while len(j):
+                k = np.where(group[roomy[k]] == group[j], over[k], k)
+                i = roomy[k]
+                within = (k >= 0) & (i >= start[j])
+                within &= size[i] * den >= num * size[j]
+                i, j, k = i[within], j[within], k[within]
+                good = _fits(size[i], place[i], size[j], place[j], num, den, span)
                 found[j[good]] = i[good]
-                open_[j[good]] = False
-                look[j] = before[i]
+                j, k = j[~good], k[~good] - 1
+                j, k = j[k >= 0], k[k >= 0]
             live = np.isin(start, start[found >= 0])
             a = np.where(found >= 0, ids[found], -1)
             yield pa.RecordBatch.from_arrays(
@@ -211,9 +250,26 @@ def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
     return postings.mapInArrow(run, "gram long, size int, id long, place int, a long, paired boolean, live boolean")
 
 
+def _elected(nearest: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Pairs (a, b), not known yet: each set with the candidate that is the nearest one in most lists."""
+    votes = nearest.filter("paired").groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "id").agg(F.count(F.lit(1)).alias("n"))
+    if known is not None:
+        votes = votes.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    best = votes.groupBy("id").agg(F.max(F.struct("n", "a", "b")).alias("x"))
+    return best.select("x.a", "x.b").distinct()
+
+
+def _mixed_lists(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (gram, size, id, place, class) of the lists that hold more than one class."""
+    entries = live.filter("live").join(classes, F.col("id") == F.col("i"), "left").select("gram", "size", "id", "place", F.coalesce("component", "id").alias("class"))
+    lists = entries.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select(F.col("gram").alias("g"))
+    return entries.join(lists, F.col("gram") == F.col("g"), "left_semi")
+
+
 def _across(labelled: DataFrame, num: int, den: int) -> DataFrame:
     """Candidates (a, b) of different classes, from rows (gram, size, id, place, class) in lists. A class
     is only held against smaller ones of its list, so the largest one's own pairs are never formed."""
+    span = _span(num, den)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, size, ids, place, group in _lists(it, 5):
@@ -230,8 +286,7 @@ def _across(labelled: DataFrame, num: int, den: int) -> DataFrame:
                     lo, hi = np.searchsorted(n * den, num * n[k]), np.searchsorted(n * num, n[k] * den, "right")
                     others = np.arange(lo, hi)
                     others = others[rank[lo:hi] < rank[k]]
-                    room = np.minimum(n[k] - p[k], n[others] - p[others]) >= _need(n[k], n[others], num, den)
-                    others = others[room]
+                    others = others[_fits(n[k], p[k], n[others], p[others], num, den, span)]
                     if len(others):
                         a, b = np.minimum(i[k], i[others]), np.maximum(i[k], i[others])
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -258,22 +313,6 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return two.mapInArrow(run, "a long, b long, n long, m long, o long, linked boolean")
 
 
-def _plausible(pairs: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates whose posted n-grams have enough in common.
-
-    Of the n-grams that two linked sets share, the k-th in order has at least need - k at or after it in
-    both, so it stands before place size - need + k. Sets post the first size - least + 1 of theirs,
-    where least is the overlap with the smallest partner; so the larger one's number decides k.
-    """
-    posted = entries.groupBy("id").agg(F.first("size").alias("size"), F.collect_list("gram").alias("grams"))
-    one = pairs.join(posted.select(F.col("id").alias("x"), F.col("size").alias("n"), F.col("grams").alias("ga")), F.col("a") == F.col("x")).drop("x")
-    two = one.join(posted.select(F.col("id").alias("x"), F.col("size").alias("m"), F.col("grams").alias("gb")), F.col("b") == F.col("x"))
-    exact = lambda x: F.expr(f"cast(-floor(-({x})) as long)")
-    need = exact(f"{num} * (n + m) / cast({num + den} as decimal(9,0))")
-    least = exact(f"{num} * greatest(n, m) / cast({den} as decimal(9,0))")
-    return two.filter(F.size(F.array_intersect("ga", "gb")) >= need + 1 - least).select("a", "b")
-
-
 def _derive(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
     """Candidates (a, b) with linked true or false where the answer of a set highly similar to b gives
     theirs, else null.
@@ -316,22 +355,22 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id
     small_batches(spark)
     posted = _postings(known_ids, n, num, den, (keys[order], freq[order]))
     small_batches(spark, 1 << 16)
-    live = stored(_nearest(_in_lists(posted), num, den))
-    first = live.filter("paired").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-
-    small_batches(spark)
-    first = durable(_plausible(first, live, num, den))
-    sets = _sets_of(first, known_ids, n)
-    known = durable(_overlaps(first, sets, num, den))
-    linked = known.filter("linked").select("a", "b")
-    classes = durable(components(linked)).select(F.col("id").alias("i"), "component")
-
-    entries = live.filter("live").join(classes, F.col("id") == F.col("i"), "left").select("gram", "size", "id", "place", F.coalesce("component", "id").alias("class"))
-    mixed_lists = entries.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select(F.col("gram").alias("g"))
-    entries = entries.join(mixed_lists, F.col("gram") == F.col("g"), "left_semi")
-    small_batches(spark, 1 << 16)
+    live = stored(_nearest(_in_lists(posted.withColumn("class", F.col("id"))), num, den))
+    nearest, known, classes = live, None, None
+    for _ in range(ROUNDS):
+        small_batches(spark)
+        pairs = durable(_elected(nearest, known))
+        found = durable(_overlaps(pairs, _sets_of(pairs, known_ids, n), num, den))
+        known = found if known is None else known.unionByName(found)
+        linked = known.filter("linked").select("a", "b")
+        classes = durable(components(linked)).select(F.col("id").alias("i"), "component")
+        small_batches(spark, 1 << 16)
+        entries = stored(_mixed_lists(live, classes))
+        if found.filter("linked").isEmpty():
+            break
+        nearest = _nearest(_in_lists(entries), num, den)
     more = _across(_in_lists(entries), num, den).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = durable(_plausible(durable(more), live, num, den))
+    more = durable(more)
     derived = durable(_derive(more, known, num, den))
     small_batches(spark)
     open_ = durable(derived.filter("linked is null").select("a", "b"))
