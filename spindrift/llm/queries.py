@@ -107,6 +107,18 @@ JOIN (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_
   ON coalesce(d.text, '') = g.t
 """
 
+OP7_SQL = """
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+lines AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS line FROM parts)
+),
+repeated AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM (SELECT l.doc_id, l.i, l.line, coalesce(l.doc_id > r.first, false) AS lost FROM lines l LEFT JOIN repeated r ON l.key = r.key)
+GROUP BY doc_id
+"""
+
 
 def queries() -> dict:
     return {
@@ -124,4 +136,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
