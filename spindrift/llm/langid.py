@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, small_batches, texts_of
+from .common import batches, byte_runs, small_batches, texts_of
 
 #: Length of a window in bytes, dimensions of a byte's embedding, filter widths and filters of each.
 WINDOW, DIMS, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 #: The network is fitted on at most so many texts of a language, those with the smallest hash of their
-#: id, and at most so many windows of a text. This bound is for training alone.
-FIT_TEXTS, FIT_WINDOWS = 400, 4
+#: id, and on no further one once they have the language's part of so many windows. A text that is taken
+#: is taken whole. These bounds are for training alone.
+FIT_TEXTS, FIT_WINDOWS = 400, 40_000
 #: Windows that are evaluated together.
 TOGETHER = 256
 UNKNOWN = "und"
@@ -89,16 +90,21 @@ def windows(raw: np.ndarray, starts: np.ndarray, length: int = WINDOW) -> tuple[
     return x.astype(np.int16), owner, used
 
 
-def fit(texts: list[str], langs: list[str], *, seed: int = 7, steps: int = 350, rate: float = 0.02, batch: int = 96) -> Net:
-    """A network trained on labelled texts by Adam with cross-entropy."""
-    rng = np.random.default_rng(seed)
-    names = sorted(set(langs))
+def fit(texts: list[str], langs: list[str], **options) -> Net:
+    """train() on all windows of labelled texts."""
     data = [t.encode() for t in texts]
     raw = np.frombuffer(b"".join(data), np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
     x, owner, used = windows(raw, starts)
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    x, y = x[(place < FIT_WINDOWS) & (used >= 16)], np.array([names.index(k) for k in langs], int)[owner[(place < FIT_WINDOWS) & (used >= 16)]]
+    names = sorted(set(langs))
+    return train(x, used, np.array([names.index(k) for k in langs], int)[owner], names, **options)
+
+
+def train(x: np.ndarray, used: np.ndarray, y: np.ndarray, names: list[str], *, seed: int = 7, steps: int = 350, rate: float = 0.02, batch: int = 96) -> Net:
+    """A network trained on windows x of `used` bytes and languages names[y], by Adam with cross-entropy.
+    A window weighs by its bytes, as it does in a prediction. Languages are drawn alike, each one's windows
+    in turn in random orders; there are `steps` steps, and more if it takes more to use every window."""
+    rng = np.random.default_rng(seed)
     net = Net(
         names,
         rng.normal(0, 0.5, (257, DIMS)).astype(np.float32),
@@ -113,14 +119,17 @@ def fit(texts: list[str], langs: list[str], *, seed: int = 7, steps: int = 350,
     slow, fast = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     by_lang = [np.flatnonzero(y == k) for k in range(len(names))]
     by_lang = [rows for rows in by_lang if len(rows)]
+    each = batch // len(by_lang) + 1
+    steps = max(steps, *(-(-len(rows) // each) for rows in by_lang))
+    turns = [np.concatenate([rng.permutation(rows) for _ in range(-(-steps * each // len(rows)))]) for rows in by_lang]
     for step in range(1, steps + 1):
-        rows = np.concatenate([rng.choice(rows, batch // len(by_lang) + 1) for rows in by_lang])
+        rows = np.concatenate([turn[(step - 1) * each : step * each] for turn in turns])
         xb, yb = x[rows], y[rows]
         pooled, (e, best) = net.pooled(xb)
         p = softmax(pooled @ net.dense + net.offset)
         d = p
         d[np.arange(len(yb)), yb] -= 1
-        d /= len(yb)
+        d *= (used[rows] / used[rows].sum())[:, None]
         grads = {id(net.dense): pooled.T @ d, id(net.offset): d.sum(0)}
         back = (d @ net.dense.T) * (pooled > 0)
         g_embed = np.zeros_like(net.embed)
@@ -144,28 +153,59 @@ def fit(texts: list[str], langs: list[str], *, seed: int = 7, steps: int = 350,
     return net
 
 
-def fit_on(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = FIT_TEXTS) -> Net:
-    """fit() on the rows that have a language: at most `most` of each, those with the smallest hash of
-    their id, whose texts come to the driver cut to the windows that are trained on."""
+def fit_on(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = FIT_TEXTS, most_windows: int = FIT_WINDOWS) -> Net:
+    """train() on the rows that have a language: at most `most` of each, those with the smallest hash of
+    their id, and none after those that have the language's part of `most_windows`. All windows of a
+    chosen row count; they are cut in tasks and come here as they are trained on."""
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, WINDOW * FIT_WINDOWS).alias("text"), F.xxhash64(id_col, F.lit("fit")).alias("h")
+        F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit("fit")).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")
     )
-    sample = _smallest(rows, most).select("lang", "x.text", "x.h").collect()
-    sample.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
-
-
-def _smallest(rows: DataFrame, most: int) -> DataFrame:
-    """The `most` rows of each language with the smallest hash. The hash cuts all but about twice as many
-    away before any row is moved, so no language's rows meet in one task. There is a count for each
-    language, that is, for each class of the network."""
+    lists = _smallest(rows, most)
+    taken = []
+    for lang, xs in sorted(lists.items()):
+        total = 0
+        for r in xs:
+            if total >= most_windows / len(lists):
+                break
+            taken.append((lang, r["h"], r["t"]))
+            total += -(-r["bytes"] // WINDOW)
+    names = sorted({lang for lang, _, _ in taken})
+    if not taken:
+        return train(np.zeros((0, WINDOW), np.int16), np.zeros(0, np.int64), np.zeros(0, int), names)
+    chosen = rows.filter(F.col("h").isin({h for _, h, _ in taken}) & F.col("t").isin({t for _, _, t in taken})).dropDuplicates(["lang", "h", "t"])
+    found: dict[tuple, list] = {}
+    for r in chosen.mapInArrow(_cut, "lang string, h long, t long, place long, used long, bytes binary").collect():
+        found.setdefault((r["lang"], r["h"], r["t"]), []).append((r["place"], r["used"], r["bytes"]))
+    of = [(names.index(key[0]), used, data) for key in taken for _, used, data in sorted(found[key])]
+    used = np.array([u for _, u, _ in of])
+    x = np.frombuffer(b"".join(data for _, _, data in of), np.uint8).reshape(-1, WINDOW).astype(np.int16)
+    x[np.arange(WINDOW) >= used[:, None]] = 256
+    return train(x, used, np.array([k for k, _, _ in of]), names)
+
+
+def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of each text, in a row each."""
+    for batch in batches(it):
+        x, owner, used = windows(*byte_runs(batch))
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        data = pa.array([w.tobytes() for w in x.astype(np.uint8)], pa.binary())
+        keys = [batch.column(k).take(pa.array(owner)) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(place, pa.int64()), pa.array(used, pa.int64()), data], names=["lang", "h", "t", "place", "used", "bytes"])
+
+
+def _smallest(rows: DataFrame, most: int) -> dict[str, list]:
+    """Hashes and bytes of the `most` rows of each language with the smallest hash, in order. The hash cuts
+    all but about twice as many away before any row is moved, so no language's rows meet in one task. There
+    is a count for each language, that is, for each class of the network."""
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return rows.select("lang", F.struct("h", "text").alias("x"))
+        return {}
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (2.0 * most + 64.0) / n))])
     near = rows.filter((F.col("h") / float(1 << 63) + 1) / 2 <= F.element_at(share, F.col("lang")))
-    few = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, most).alias("xs"))
-    return few.select("lang", F.explode("xs").alias("x"))
+    item = F.struct("h", "t", F.octet_length("text").alias("bytes"))
+    few = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(item)), 1, most).alias("xs"))
+    return {r["lang"]: r["xs"] for r in few.collect()}
 
 
 def identify(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

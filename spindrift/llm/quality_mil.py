@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, small_batches
+from .common import batches, byte_runs, small_batches
 
 #: Bytes of a passage; dimensions of its code and of the attention.
 PASSAGE, CODE, ATTENTION = 512, 16, 8
 #: The model is fitted on at most so many documents of each label, those with the smallest hash of their
-#: id, and so many passages of a document. This bound is for training alone.
-FIT_DOCS, FIT_PASSAGES = 600, 12
+#: id, and on no further one once they have so many passages. A document that is taken is taken whole.
+#: These bounds are for training alone.
+FIT_DOCS, FIT_PASSAGES = 600, 20_000
 #: A document is kept from this score on.
 ACCEPT = 0.3
 
@@ -139,31 +140,51 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, *, seed: int = 5, epoch
     return m
 
 
-def fit_on(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = FIT_DOCS) -> Mil:
+def fit_on(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = FIT_DOCS, most_passages: int = FIT_PASSAGES) -> Mil:
     """fit() on rows with a label of 0 or 1: at most `most` of each, those with the smallest hash of their
-    id. The offset is moved by the labels' true frequency."""
-    spark = labelled.sparkSession
-    small_batches(spark)
+    id, and none after those that have `most_passages` together. All passages of a chosen row count; they
+    are encoded in tasks, and only their features come here. The offset is moved by the labels' true
+    frequency."""
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col, F.lit("fit")).alias("h"),
-        F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, PASSAGE * FIT_PASSAGES).alias("text"),
+        F.col(label_col).cast("int").alias("label"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit("fit")).alias("h"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # a cut of the hash leaves somewhat more than is wanted, of however many rows
-    cut = {k: min(1.0, (1.5 * most + 64) / v) for k, v in n.items()}
-    near = rows.filter(F.lit(False) if not cut else F.greatest(*[F.lit(False)] * 2, *[(F.col("label") == k) & ((F.col("h") / float(1 << 63) + 1) / 2 <= c) for k, c in cut.items()]))
-    found = sorted(((r["label"], r["h"], r["text"]) for r in near.collect()))
-    taken = [r for k in (0, 1) for r in [x for x in found if x[0] == k][:most]]
-    data = [t.encode() for _, _, t in taken]
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
-    x, begin = passages(np.frombuffer(b"".join(data), np.uint8), starts)
-    y = np.array([k for k, _, _ in taken], np.int64)
-    model = fit(x if len(y) else x[:0], begin, y)
+    x, sizes, y = [np.zeros((0, FEATURES), np.float32)], [], []
+    for k in sorted(n):
+        # ids first: a text is only moved if its row can be among the chosen ones
+        of = rows.filter(F.col("label") == k)
+        ids = {r["id"] for r in of.select("h", "id").orderBy("h").limit(most).collect()}
+        of = of.filter(F.col("id").isin(ids - {None}) | (F.col("id").isNull() if None in ids else F.lit(False)))
+        of = of.select("h", F.xxhash64("text").alias("t"), F.octet_length("text").alias("bytes"), "text")
+        taken, total = [], 0
+        for r in of.select("h", "t", "bytes").orderBy("h", "t").limit(most).collect():
+            if total >= most_passages:
+                break
+            taken.append((r["h"], r["t"]))
+            total += max(-(-r["bytes"] // PASSAGE), 1)
+        chosen = of.filter(F.col("h").isin({h for h, _ in taken}) & F.col("t").isin({t for _, t in taken})).dropDuplicates(["h", "t"])
+        found = {(r["h"], r["t"]): np.frombuffer(r["features"], np.float16).reshape(-1, FEATURES) for r in chosen.select("h", "t", "text").mapInArrow(_encode, "h long, t long, features binary").collect()}
+        for key in taken:
+            x.append(found[key].astype(np.float32))
+            sizes.append(len(found[key]))
+            y.append(k)
+    model = fit(np.concatenate(x), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array(y, np.int64))
     if len(n) == 2:
         model.bias += np.float32(np.log(n[1] / n[0]))
     return model
 
 
+def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of all passages of each text, as half floats in one run."""
+    for batch in batches(it):
+        x, begin = passages(*byte_runs(batch))
+        x = x.astype(np.float16)
+        features = [x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary())], names=["h", "t", "features"])
+
+
 def score(docs: DataFrame, model: Mil, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's quality: id_col and score, the chance of label 1.
 

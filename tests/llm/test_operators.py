@@ -270,3 +270,45 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (200, 150), (300, 300), (200, 100)]
     assert by_id(graph.components(spark.createDataFrame(edges, "a long, b long")), "component") == {i: (0,) for i in range(61)} | {i: (100,) for i in (100, 150, 200)} | {300: (300,)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.fixture
+def seen(monkeypatch):
+    """What the models' training is given."""
+    kept = {}
+    mil, net = quality_mil.fit, langid.train
+    monkeypatch.setattr(quality_mil, "fit", lambda x, begin, y, **k: (kept.update(x=x, begin=begin, y=y), mil(x, begin, y, **k))[1])
+    monkeypatch.setattr(langid, "train", lambda x, used, y, names, **k: (kept.update(x=x, used=used, y=y, names=names), net(x, used, y, names, **k))[1])
+    return kept
+
+
+def test_quality_is_learned_from_whole_documents(spark, seen):
+    head = "A plain line of prose that says nothing about what follows. " * 150
+    rows = [(i, head + ("$$ BUY!! NOW!! $$ " if i % 2 else "and so it goes on, calmly. ") * 400, i % 2) for i in range(60)] + [(None, "", 0), (60, None, 1), (3, "other", 1)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    model = quality_mil.fit_on(labelled)
+    size = {0: 0, 1: 0}
+    for _, t, k in rows:
+        size[k] += max(-(-len((t or "").encode()) // quality_mil.PASSAGE), 1)
+    bags = np.diff(seen["begin"])
+    assert {k: bags[seen["y"] == k].sum() for k in (0, 1)} == size and len(bags) == len(rows)
+    found = by_id(quality_mil.score(labelled.filter("doc_id < 60 and text <> 'other'"), model), "score")
+    assert min(s for i, (s,) in found.items() if i % 2) > max(s for i, (s,) in found.items() if not i % 2)
+    quality_mil.fit_on(labelled, most=5, most_passages=40)
+    bags = np.diff(seen["begin"])  # whole documents still, and none after those that have 40 passages
+    assert all(0 < (seen["y"] == k).sum() <= 5 for k in (0, 1)) and max(bags) > 20
+    quality_mil.fit_on(labelled.limit(0))
+
+
+def test_language_is_learned_from_whole_texts(spark, seen):
+    head = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. " * 40
+    own = {"de": "über schöne Straßen und größere Häuser ", "pl": "żółć gęślą jaźń książkę ściął "}
+    rows = [(i, head + own[k] * 90, k) for i, k in enumerate(["de", "pl"] * 20)] + [(0, head + own["de"] * 90, "de"), (None, "kurz", "de")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    net = langid.fit_on(labelled)
+    assert seen["names"] == ["de", "pl"] and {k: seen["used"][seen["y"] == k].sum() for k in (0, 1)} == {k: sum(len(t.encode()) for _, t, x in rows if x == ["de", "pl"][k]) for k in (0, 1)}
+    found = by_id(langid.identify(spark.createDataFrame([(k, t * 20) for k, t in own.items()], "doc_id string, text string"), net), "lang_pred")
+    assert found == {"de": ("de",), "pl": ("pl",)}
+    langid.fit_on(labelled, most=6, most_windows=40)
+    assert all(0 < (seen["y"] == k).sum() <= 20 + 26 for k in (0, 1))
+    assert langid.fit_on(labelled.limit(0)).langs == []
