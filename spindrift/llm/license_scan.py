@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over the words of a text.
 
 A text is reduced to its words, lower-cased and joined by single spaces. A rule is a pattern over those
-words with a keyword that must occur for the pattern to be tried, a label and a priority. Detections
+words with keywords of which one must occur for the pattern to be tried, a label and a priority. Detections
 are intervals of words. One that lies within another of at least its priority is suppressed, whatever
 rule found it. DataFrame functions only: everything happens within a row, without a shuffle.
 """
@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 
 class Rule(NamedTuple):
-    """regex: over words separated by single spaces, from a word's start to a word's end."""
+    """regex: over words separated by single spaces, from a word's start to a word's end. Each of its
+    alternatives holds a keyword at a word's start; several keywords are a tuple."""
 
     label: str
-    keyword: str
+    keyword: str | tuple[str, ...]
     regex: str
     priority: int
     base: bool = False
@@ -35,7 +36,7 @@ V = r"(?: version| v)?"
 #: Families: SPDX label, keyword, pattern of the name. Each gives a rule for the name, one for a phrase
 #: that puts something under it, and one for its SPDX tag.
 FAMILIES = (
-    ("0BSD", "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: license)?"),
+    ("0BSD", ("bsd", "0bsd"), r"(?:zero clause bsd|bsd zero clause|0bsd)(?: license)?"),
     ("AFL-3.0", "academic", rf"academic free license{V}(?: 3(?: 0)?)?"),
     ("AGPL-3.0", "agpl", rf"agpl(?: ?v?3(?: 0)?|{V} 3(?: 0)?)?"),
     ("AGPL-3.0", "affero", rf"(?:gnu )?affero general public license{V}(?: 3(?: 0)?)?"),
@@ -47,7 +48,7 @@ FAMILIES = (
     ("Artistic-2.0", "artistic", rf"artistic license{V} 2(?: 0)?"),
     ("BlueOak-1.0.0", "blue", rf"blue oak model license{V}(?: 1 0 0)?"),
     ("BSD-1-Clause", "bsd", r"(?:1|one) clause bsd(?: license)?|bsd (?:1|one) clause(?: license)?"),
-    ("BSD-2-Clause", "bsd", r"(?:2|two) clause bsd(?: license)?|bsd (?:2|two) clause(?: license)?|simplified bsd license|freebsd license"),
+    ("BSD-2-Clause", ("bsd", "freebsd"), r"(?:2|two) clause bsd(?: license)?|bsd (?:2|two) clause(?: license)?|simplified bsd license|freebsd license"),
     ("BSD-3-Clause", "bsd", r"(?:3|three) clause bsd(?: license)?|bsd (?:3|three) clause(?: license)?|(?:new|modified|revised) bsd license"),
     ("BSD-4-Clause", "bsd", r"(?:4|four) clause bsd(?: license)?|bsd (?:4|four) clause(?: license)?|original bsd license"),
     ("BSL-1.0", "boost", rf"boost software license{V}(?: 1(?: 0)?)?"),
@@ -128,7 +129,7 @@ FAMILIES = (
     ("UPL-1.0", "universal", rf"universal permissive license{V}(?: 1(?: 0)?)?"),
     ("Vim", "vim", r"vim license"),
     ("W3C", "w3c", r"w3c software(?: notice and)? license"),
-    ("WTFPL", "wtfpl", r"wtfpl|do what the fuck you want to public license"),
+    ("WTFPL", ("wtfpl", "fuck"), r"wtfpl|do what the fuck you want to public license"),
     ("X11", "x11", r"x11 license"),
     ("Zlib", "zlib", r"zlib(?: libpng)? license"),
     ("ZPL-2.1", "zope", rf"zope public license{V}(?: 2(?: 1)?)?"),
@@ -195,9 +196,10 @@ def words_of(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), " {2,}", " ")
 
 
-def _needle(rule: Rule) -> str:
-    """The keyword as it stands among the words: at a word's start, short ones as a whole word."""
-    return f" {rule.keyword} " if rule.base or len(rule.keyword) < 3 else f" {rule.keyword}"
+def _needles(rule: Rule) -> list[str]:
+    """The keywords as they stand among the words: at a word's start, short ones as a whole word."""
+    keywords = (rule.keyword,) if isinstance(rule.keyword, str) else rule.keyword
+    return [f" {k} " if rule.base or len(k) < 3 else f" {k}" for k in keywords]
 
 
 def _rule_array(rules) -> Column:
@@ -205,7 +207,7 @@ def _rule_array(rules) -> Column:
         *[
             F.struct(
                 F.lit(r.label).alias("label"),
-                F.lit(_needle(r)).alias("keyword"),
+                F.array(*map(F.lit, _needles(r))).alias("keywords"),
                 F.lit(turn).alias("turn"),
                 F.lit(rf"(?<= )(?:{r.regex})(?= )").alias("regex"),
                 F.lit(r.priority).alias("priority"),
@@ -273,14 +275,14 @@ def license_scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None, *, id_c
     priority is dropped if its rule comes later; a base phrase's place is never dropped.
     """
     rules = default_rules() if rules is None else rules
-    keywords = sorted({_needle(r) for r in rules})
+    keywords = sorted({k for r in rules for k in _needles(r)})
     most = max(r.priority for r in rules)
     base = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("words"))
     base = base.withColumn("n_words", F.regexp_count("words", F.lit("[^ ]+")).cast("long"))
     present = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("words"), k))
     # two steps: which keywords a text has, then the rules of those keywords
     base = base.withColumn("present", F.when(F.col("words").rlike(_gate(rules)), present).otherwise(F.array().cast("array<string>")))
-    tried = F.filter(_rule_array(rules), lambda r: F.array_contains(F.col("present"), r["keyword"]) & F.rlike(F.col("words"), r["regex"]))
+    tried = F.filter(_rule_array(rules), lambda r: F.arrays_overlap(F.col("present"), r["keywords"]) & F.rlike(F.col("words"), r["regex"]))
     none = F.array().cast("array<struct<start:int,minus_end:int,minus_priority:int,turn:int,label:string,base:boolean>>")
     found = F.when(F.size("present") > 0, F.flatten(F.transform(tried, lambda r: _places(F.col("words"), r)))).otherwise(none)
     base = base.withColumn("found", found).select(id_col, "n_words", "found")
@@ -300,5 +302,6 @@ def _gate(rules) -> str:
     """One pattern for the texts that hold a keyword at all, its branches told apart by their first letter."""
     by_first: dict[str, set[str]] = {}
     for r in rules:
-        by_first.setdefault(_needle(r)[1], set()).add(_needle(r)[2:])
+        for k in _needles(r):
+            by_first.setdefault(k[1], set()).add(k[2:])
     return " (?:" + "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(by_first.items())) + ")"

@@ -312,3 +312,36 @@ def test_language_is_learned_from_whole_texts(spark, seen):
     langid.fit_on(labelled, most=6, most_windows=40)
     assert all(0 < (seen["y"] == k).sum() <= 20 + 26 for k in (0, 1))
     assert langid.fit_on(labelled.limit(0)).langs == []
+
+
+def spelled(tree):
+    """A text for each way through a pattern: every alternative, with and without what is optional."""
+    outs = [""]
+    for op, arg in tree:
+        if str(op) == "LITERAL":
+            found = [chr(arg)]
+        elif str(op) == "SUBPATTERN":
+            found = spelled(arg[3])
+        elif str(op) == "BRANCH":
+            found = [x for branch in arg[1] for x in spelled(branch)]
+        elif str(op) == "MAX_REPEAT":
+            low, high, sub = arg
+            found = [x * k for k in sorted({low, min(max(low, 1), high)}) for x in spelled(sub)]
+        elif str(op) == "IN":
+            found = [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg] if str(arg[0][0]) != "NEGATE" else ["z"]
+        else:
+            assert str(op) in ("NOT_LITERAL", "MIN_REPEAT")
+            found = ["z"] if str(op) == "NOT_LITERAL" else [x * arg[0] for x in spelled(arg[2])]
+        outs = [o + x for o in outs for x in dict.fromkeys(found)]
+    return outs
+
+
+def test_license_keywords_hold_for_every_alternative(spark):
+    gate = re.compile(license_scan._gate(license_scan.default_rules()))
+    for rule in license_scan.default_rules():
+        for t in spelled(re._parser.parse(rule.regex)):
+            assert gate.search(f" {t} ") and any(k in f" {t} " for k in license_scan._needles(rule)), (rule.label, t)
+    said = {"DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE": ("WTFPL", 0.6), "It is licensed under 0BSD.": ("0BSD", 0.8), "FreeBSD License": ("BSD-2-Clause", 0.6), "freebsd license, bsd 2-clause, 0bsd and wtfpl": ("BSD-2-Clause", 0.6)}
+    found = by_id(license_scan.license_scan(spark.createDataFrame([(t, t) for t in said], "doc_id string, text string")), "detections", "score")
+    assert {t: (d[0]["label"], s) for t, (d, s) in found.items()} == said
+    assert len(found["freebsd license, bsd 2-clause, 0bsd and wtfpl"][0]) == 4
