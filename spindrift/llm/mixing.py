@@ -151,7 +151,7 @@ def pivotal(chances: DataFrame, *, seed: int = 0, bucket: int = BUCKET, fan_in:
 
 
 def mix_sizes(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
-    """From rows (id, source, size): id, source, size, source_size, target, copies."""
+    """From rows (id, source, size), of which no id is null: all their columns, source_size, target, copies."""
     targets = durable(source_targets(sizes, weights=weights, share=share, most=most))
     rows = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -160,23 +160,35 @@ def mix_sizes(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most:
     chances = rows.filter("size > 0").select(F.xxhash64("source").alias("stratum"), "n_docs", "size", "id", "p")
     sure = pivotal(chances, seed=seed).groupBy("id").agg(F.count(F.lit(1)).alias("more")).withColumnRenamed("id", "_i")
     return rows.join(sure, F.col("id") == F.col("_i"), "left").select(
-        "id", "source", "size", "source_size", "target", (F.col("whole") + F.least(F.coalesce("more", F.lit(0)), F.lit(1))).cast("int").alias("copies")
+        *sizes.columns, "source_size", "target", (F.col("whole") + F.least(F.coalesce("more", F.lit(0)), F.lit(1))).cast("int").alias("copies")
     )
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix of docs: id_col, size, source_size, target, copies, taken (copies * size).
+def _key(id_col: str, text_col: str, source_col: str) -> Column:
+    """What a document is rounded and joined by, never null: its id, or else a hash of its source and text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(source_col).cast("string"), F.col(text_col)))
 
-    A null or empty text has size 0 and is never taken; a null source is a source, the last one. Ids
-    are taken as unique; rows that share one share its rounding. A null id gets the whole part of its
-    copies only. Documents of a source are all wanted equally. An empty table gives no rows.
-    """
+
+def _mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """mix_sizes() of docs: id is the key, doc the id."""
     sizes = durable(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+        docs.select(
+            _key(id_col, text_col, source_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
+        )
     )
-    out = mix_sizes(sizes, weights=weights, share=share, most=most, seed=seed)
-    return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    return mix_sizes(sizes, weights=weights, share=share, most=most, seed=seed)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix of docs: id_col, size, source_size, target, copies, taken (copies * size).
+
+    Options: weights, share, most, seed, id_col, text_col, source_col. A null or empty text has size 0
+    and is never taken; a null source is a source, the last one. Ids are taken as unique; rows that share
+    one share its rounding. Rows without an id are told apart by source and text. Documents of a source
+    are all wanted equally. An empty table gives no rows.
+    """
+    return _mix(docs, **options).select(
+        F.col("doc").alias(options.get("id_col", "doc_id")), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
@@ -185,7 +197,7 @@ def take(docs: DataFrame, **options) -> DataFrame:
 
     Options are those of mix(). A document of size 0 holds no words and isn't taken.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(plan.dropDuplicates(["__id"]), docs[id_col] == F.col("__id"))
+    key = _key(*(options.get(k, k.replace("id_col", "doc_id").replace("_col", "")) for k in ("id_col", "text_col", "source_col")))
+    plan = _mix(docs, **options).filter("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies"))
+    joined = docs.withColumn("__key", key).join(plan.dropDuplicates(["__id"]), F.col("__key") == F.col("__id"))
     return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])

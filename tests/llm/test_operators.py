@@ -345,3 +345,16 @@ def test_license_keywords_hold_for_every_alternative(spark):
     found = by_id(license_scan.license_scan(spark.createDataFrame([(t, t) for t in said], "doc_id string, text string")), "detections", "score")
     assert {t: (d[0]["label"], s) for t, (d, s) in found.items()} == said
     assert len(found["freebsd license, bsd 2-clause, 0bsd and wtfpl"][0]) == 4
+
+
+def test_mixing_keeps_documents_without_id(spark):
+    rows = [(None if i % 3 else i, f"w{i} " + "word " * (i % 17 + 3), "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix(docs, share=1.2).collect()
+    kept = Counter(r["text"] for r in mixing.take(docs, share=1.2).collect())
+    assert len(plan) == len(rows) and sum(r["copies"] for r in plan) == sum(kept.values())
+    assert sum(r["copies"] for r in plan if r["doc_id"] is None) == sum(kept[t] for i, t, _ in rows if i is None) > 0
+    targets = {r["source_size"]: r["target"] for r in plan}
+    for s in "ab":
+        size = sum(len(t.split()) for _, t, x in rows if x == s)
+        assert abs(sum(len(t.split()) * kept[t] for _, t, x in rows if x == s) - targets[size]) <= 11
