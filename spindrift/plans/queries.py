@@ -153,6 +153,15 @@ def cross_boundary_seed(spark, sf_dir):
     return hit.join(candidates.strong_keys(own), "key", "left_semi").select("cluster_id", "key")
 
 
+@query(f"WITH {CLUSTERS}, keys AS (SELECT DISTINCT e FROM (SELECT unnest(entities) AS e FROM clusters WHERE scope_kind = 'private') WHERE e LIKE 'cve:%' OR e LIKE 'url:%') SELECT DISTINCT cluster_id, e AS key FROM (SELECT cluster_id, unnest(entities) AS e FROM clusters WHERE scope_kind = 'public') WHERE e IN (SELECT e FROM keys)")
+def cross_boundary_seed_all(spark, sf_dir):
+    """cross_boundary_seed from the private clusters of all owners."""
+    c = _clusters(spark, sf_dir)
+    own = c.filter("scope_kind = 'private'")
+    hit = candidates.cross_boundary(c, own).select("cluster_id", F.explode("entities").alias("key"))
+    return hit.join(candidates.strong_keys(own), "key", "left_semi").select("cluster_id", "key")
+
+
 @query("""SELECT page_id, 'url:' || regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]+)([^#]*)', 1)) || '://' || lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]+)([^#]*)', 2)) || regexp_extract(url, '^([A-Za-z]+)://([^/?#]+)([^#]*)', 3), '/+$', '') AS url,
   'domain:' || regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]+)', 2)), '^www\\.', '') AS domain FROM pages""")
 def entity_derive_url(spark, sf_dir):

@@ -12,6 +12,7 @@ from spindrift.schema import Scoring
 from spindrift.scope import Context, finalize_scope, scoped
 from spindrift.sources import feeds, github, guard
 from spindrift.streaming import incremental
+from spindrift.plans.queries import QUERIES
 
 T0 = datetime(2024, 1, 10)
 
@@ -274,3 +275,13 @@ def test_digest_is_frozen_once(spark):
     assert candidates.strong_keys(spark.createDataFrame([(["cve:x", "repo:y"],)], "entities array<string>")).count() == 1
     assert evaluate.faithfulness(spark.createDataFrame([("passed",), ("too_long",), (None,)], "verdict string")).first()["rate"] == 0.5
     assert status.due_maintenance(spark.createDataFrame([(1,), (2,)], "subscriber long"), spark.createDataFrame([(1, T0)], "subscriber long, ran_at timestamp_ntz"), at).count() == 1
+
+
+def test_cross_boundary_seed_of_all_owners(spark, tmp_path):
+    """Owner 4 alone shares a strong key with user 1's public cluster; 4 isn't a multiple of 8."""
+    rows = [(1, "error", 4), (2, "error", 1), (3, "click", 1)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").selectExpr(
+        "event_id", "timestamp_ntz'2024-01-02' AS ts", "user_id", "event_type", "100D AS value", """'{"k": 3}' AS props"""
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["cross_boundary_seed_all"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("public||error|u1", "cve:CVE-2024-1003")]
