@@ -239,6 +239,14 @@ def _as_story(c: DataFrame) -> DataFrame:
     return c.select(F.lit(SUBSCRIBER).alias("subscriber"), F.col("cluster_id").alias("story_id"), "last_event_time", "event_count", F.lit(1).alias("source_diversity"), "depth_rank", "max_severity", (F.col("scope_kind") == "private").alias("has_private"), "entities", "source", "group_key", "connection_id")
 
 
+def _linked(spark, sf_dir) -> DataFrame:
+    """The subscriber's linked stories; the connection of a story is its latest cluster's."""
+    mine, _, comp = _stories(spark, sf_dir)
+    members = comp.withColumnRenamed("component", "story_id")
+    last = mine.join(members, "cluster_id").groupBy("story_id").agg(F.max_by("connection_id", F.struct("last_event_time", "cluster_id")).alias("connection_id"))
+    return link.story_rollup(mine, members).join(last, "story_id").withColumn("subscriber", F.lit(SUBSCRIBER))
+
+
 AGE = "greatest(trunc((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_event_time)) / 1e6::DOUBLE), 0.0::DOUBLE) / 86400.0::DOUBLE"
 SCORED = f"""{CANDIDATES}, scored AS (
   SELECT *, CASE WHEN event_count > 1 THEN 'multi-event' WHEN depth_rank = 2 THEN 'longform' WHEN depth_rank = 1 THEN 'announcement' ELSE 'message' END AS richness,
@@ -260,10 +268,10 @@ def digest_recent(spark, sf_dir):
     return d.select(F.col("position").cast("long").alias("position"), "source", "group_key", "format", "richness", F.round("priority", 6).alias("priority"), _us("last_event_time").alias("last_us"))
 
 
-def _full(spark, sf_dir, cfg=CFG, floor=None):
-    """Full selection over single-cluster stories; a story's connection stands for its thread, and those
+def _full(spark, sf_dir, cfg=CFG, floor=None, linked=False):
+    """Full selection over single-cluster or linked stories; a story's connection stands for its thread, and those
     last changed before the 25th were shown before."""
-    c = _as_story(_mine(spark, sf_dir)).withColumn("thread_id", F.concat(F.lit("t"), F.col("connection_id").cast("string")))
+    c = (_linked(spark, sf_dir) if linked else _as_story(_mine(spark, sf_dir))).withColumn("thread_id", F.concat(F.lit("t"), F.col("connection_id").cast("string")))
     shown = F.col("last_event_time") < _ts("2024-01-25 00:00:00")
     c = c.withColumns({"shown_time": F.when(shown, F.col("last_event_time")), "shown_format": F.when(shown, "story")})
     return select.select_full(select.score(c, cfg, now(), floor if floor is not None else scoring.display_floor(F.lit(None).cast("timestamp_ntz"), now(), F.lit("weekly"))), cfg)
@@ -271,7 +279,7 @@ def _full(spark, sf_dir, cfg=CFG, floor=None):
 
 @query()
 def select_full(spark, sf_dir):
-    d = _full(spark, sf_dir)
+    d = _full(spark, sf_dir, linked=True)
     return d.select("story_id", "verdict", "position", "rank", "drop_cause", "format", "richness", F.round("priority", 6).alias("priority"))
 
 
@@ -281,6 +289,12 @@ def verdict_counts(spark, sf_dir):
     return select.verdict_counts(d, ()) 
 
 
+@query()
+def story_verdict_counts(spark, sf_dir):
+    """The verdicts of select_full, each counted as it is given."""
+    return select.verdict_counts(_full(spark, sf_dir, linked=True), ())
+
+
 @query(f"WITH {SCORED} SELECT cluster_id AS story_id, CASE WHEN last_event_time < TIMESTAMP '2024-01-25 00:00:00' THEN 'note' ELSE format END AS format, round(priority * CASE WHEN last_event_time < TIMESTAMP '2024-01-25 00:00:00' THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END, 6) AS priority FROM formed")
 def resurface_damping(spark, sf_dir):
     return _full(spark, sf_dir, floor=_all_open()).select("story_id", "format", F.round("priority", 6).alias("priority"))
@@ -458,7 +472,7 @@ def eval_metrics(spark, sf_dir):
 @query()
 def replay_ab(spark, sf_dir):
     """Verdicts under the default configuration and under one with a tenth of the story cap's reach."""
-    c = _as_story(_mine(spark, sf_dir)).withColumn("digest_id", F.col("subscriber"))
+    c = _linked(spark, sf_dir).withColumn("digest_id", F.col("subscriber"))
     a, b = (evaluate.replay(c, cfg, now()).select("story_id", F.col("verdict").alias(n)) for n, cfg in (("verdict_a", CFG), ("verdict_b", Scoring(story_cap=2, note_cap=5))))
     return a.join(b, "story_id")
 

@@ -285,3 +285,12 @@ def test_cross_boundary_seed_of_all_owners(spark, tmp_path):
     ).write.parquet(str(tmp_path / "events.parquet"))
     found = QUERIES["cross_boundary_seed_all"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in found] == [("public||error|u1", "cve:CVE-2024-1003")]
+
+
+def test_selection_takes_linked_stories(spark, sf_dir):
+    stories = {r["story_id"] for r in QUERIES["story_rollup"](spark, sf_dir).collect()}
+    found = QUERIES["select_full"](spark, sf_dir).collect()
+    assert {r["story_id"] for r in found} == stories and len(found) == len(stories)
+    assert any(r["richness"] == "multi-source" for r in found)
+    counts = {r["verdict"]: r["n"] for r in QUERIES["story_verdict_counts"](spark, sf_dir).collect()}
+    assert counts == {v: sum(r["verdict"] == v for r in found) for v in {r["verdict"] for r in found}} and "selected" in counts
