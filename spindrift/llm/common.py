@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the Python operators that run in this session, and send their code."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the Python operators that run in this session, and send their code.
+    Every operator sets the same bounds, as its result may be read after another one has been built."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def number_batches(spark: SparkSession) -> Iterator[None]:
+    """Larger batches for rows of a few numbers, while a table is written; afterwards the former bound."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 16))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode,
     where there is one machine, a temporary one."""
@@ -99,18 +114,22 @@ def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Multiplier of the byte hash, odd, so that it can be undone modulo 2^64.
 STEP = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once (a longer word is hashed whole).
+HASH_AT_ONCE = 1 << 19
 _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP ** i and its inverse for i < n, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        ones = np.ones(size, np.uint64)
-        up, down = ones.copy(), ones
-        up[1:], down[1:] = np.uint64(STEP), np.uint64(pow(STEP, -1, 1 << 64))
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0][:n], _powers[1][:n]
+    """STEP ** i and its inverse for i < n, modulo 2^64. Tables of the usual size are kept."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0][:n], _powers[1][:n]
+    size = max(n, HASH_AT_ONCE + 1)
+    up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
+    up[1:], down[1:] = np.uint64(STEP), np.uint64(pow(STEP, -1, 1 << 64))
+    found = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if size == HASH_AT_ONCE + 1:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -122,14 +141,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts, runs of other bytes than ASCII white space, A-Z lower-cased: each one's hash,
-    its text and its first byte."""
+    its text and its first byte. Long texts are hashed in pieces cut at white space."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
-    gap = (low == 32) | ((low >= 9) & (low <= 13))
+    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
     cut = np.zeros(n + 1, bool)
     cut[starts] = True  # texts stand end to end
+    free = gap | cut[:-1]  # a piece may begin here
+    found, at = [], 0
+    while at < n:
+        end = min(n, at + HASH_AT_ONCE)
+        if end < n:
+            back = np.flatnonzero(free[at + 1 : end + 1])
+            if len(back):
+                end = at + 1 + int(back[-1])
+            else:
+                ahead = int(np.argmax(free[end:]))
+                end = end + ahead if free[end + ahead] else n
+        found.append(_hashed(raw[at:end], gap[at:end], cut[at : end + 1], at))
+        at = end
+    hashes, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, np.searchsorted(starts, first, "right") - 1, first
+
+
+def _hashed(raw: np.ndarray, gap: np.ndarray, cut: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a piece that begins at byte `at`: hashes and first bytes."""
+    n = len(raw)
+    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, gap[:-1]
     after[-1], after[:-1] = True, gap[1:]
@@ -138,5 +177,4 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    hashes = mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
-    return hashes, np.searchsorted(starts, first, "right") - 1, first
+    return mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64)), first + at

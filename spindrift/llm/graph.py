@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, number_batches
 
 #: Edges that a task unites at once before it sends on what is left of them.
 UNITE = 1 << 18
@@ -83,15 +83,16 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes, which takes a number of rounds that
     grows with the logarithm of the size; the state of each round is kept in the shared folder.
     """
-    small_batches(edges.sparkSession, 1 << 16)
+    spark = edges.sparkSession
     ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
-    now = durable(_contract(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        now = durable(_contract(_step(now)).distinct())
-        was, mark = mark, _mark(now)
-        if mark == was:
-            break
+    with number_batches(spark):
+        now = durable(_contract(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")).distinct())
+        mark = _mark(now)
+        while mark[0]:
+            now = durable(_contract(_step(now)).distinct())
+            was, mark = mark, _mark(now)
+            if mark == was:
+                break
     alone = ids.distinct().join(now.withColumnRenamed("a", "child").withColumnRenamed("b", "root"), F.col("id") == F.col("child"), "left")
     return alone.select("id", F.coalesce("root", "id").alias("component"))
 

@@ -4,16 +4,21 @@ Sets of word n-grams are ordered by one order of all n-grams, common ones last,
 first few of each are posted: runs of SPAN n-grams that stand next to each other in the set's order. Two
 sets that are similar enough share so many n-grams, and the others are so few, that somewhere among the
 first places no other stands between two shared ones; that run is a key of both (_last). Unlike single
-n-grams, such keys are hardly ever shared by texts that have no more than a passage in common. Within a
-key's list, sorted by size, entries whose place is too late for any partner are skipped as a block, and
-sizes out of reach are skipped by search.
-
-What is asked for is the classes of linked sets, so answers are derived from those of similar sets:
-first each set is compared with one candidate only, the one that is nearest before it in most lists, and
-again with one of another class, a few times. Candidates that this has already brought into one class
-are skipped, whole lists at once. For the others
-the overlap with a set that is highly similar to the candidate, already computed, bounds the overlap
-from both sides; only pairs that these bounds leave open are compared. No candidate is dropped undecided.
+n-grams, such keys are hardly ever shared by texts that have no more than a passage in common.
+
+Most candidates are answered by derivation. Each set elects a pivot, the set that leads most of its
+keys' lists, a list's leader being the entry that stands in most lists of all. A family is a pivot and
+those that elect it; each member's overlap with the pivot is computed once, with their symmetric
+difference. From these the overlap of any two members follows exactly: it is what the pivot leaves after
+both differences, and what the differences share comes on top. So two members of which one doesn't link
+with the pivot can only link if their differences have at least so much in common, and differences are
+joined by prefixes in turn, rare n-grams first. Members that link with the pivot are in its class already.
+
+What is left are list entries of different families. Those that known links have brought into one class
+are skipped, whole lists at once, as are entries whose places or sizes are out of each other's reach; the
+others are compared. No candidate is dropped undecided.
+
+Equal sets are one set, named by a 64-bit digest, from the posting on.
 """
 
 from __future__ import annotations
@@ -25,18 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, batches, byte_runs, durable, mixed, small_batches, slices, stored, word_hashes
+from .common import STEP, batches, byte_runs, durable, mixed, number_batches, slices, small_batches, stored, word_hashes
 from .graph import components
 
 #: How many common n-grams the order knows of (a bound of what is broadcast; it changes the work, not the
 #: result), and from which part of a task's documents on one counts as common.
 COMMON, PART = 1 << 16, 0.002
-#: N-grams that a task counts at once.
-COUNT_AT_ONCE = 1 << 21
-#: So often at most each set is compared with one candidate of another class, before all candidates that
-#: are left are; each time that it finds links at least halves the classes that have some (this changes
-#: the work, not the result).
-ROUNDS = 4
+#: N-grams that a task counts at once, and digests that a task remembers as posted.
+COUNT_AT_ONCE, POSTED = 1 << 20, 1 << 15
+#: A member of a family has at least this similarity to its pivot, in percent; others are on their own.
+KIN = 33
+#: So many ids at most are sent to all tasks that look documents up; with more, both sides are shuffled.
+SENT_IDS = 1 << 18
+#: Parts that a hot class's documents are dealt to.
+SALTS = 16
 
 
 def ngram_sets(raw: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,34 +53,32 @@ def ngram_sets(raw: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray,
     docs = len(starts) - 1
     # independent of each other, or words in another order could have the same sum
     weights = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP)) | np.uint64(1)
-    grams = h[: max(0, len(h) - n + 1)] * weights[0]
-    for k in range(1, n):
-        grams = grams + h[k : len(h) - n + 1 + k] * weights[k]
-    whole = owner[: len(grams)] == owner[n - 1 :] if len(grams) else np.zeros(0, bool)
-    grams, of = mixed(grams[whole] + np.uint64(n)), owner[: len(grams)][whole] if len(grams) else owner[:0]
     words = np.bincount(owner, minlength=docs)
-    if (short := np.flatnonzero((words > 0) & (words < n))).size:
-        first = np.searchsorted(owner, short)
-        more = [sum((int(h[f + k]) * int(weights[k]) for k in range(words[d])), int(words[d])) & (2**64 - 1) for d, f in zip(short, first, strict=True)]
-        grams, of = np.concatenate([grams, mixed(np.array(more, np.uint64))]), np.concatenate([of, short])
-    order = np.lexsort((grams, of))
-    grams, of = grams[order], of[order]
-    if len(grams):
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-        grams, of = grams[new], of[new]
-    return grams, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=docs))]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(words)])
+    sums = h[: max(0, len(h) - n + 1)] * weights[0]
+    for k in range(1, n):
+        sums += h[k : len(h) - n + 1 + k] * weights[k]
+    sums = mixed(sums + np.uint64(n))
+    found = []
+    for d in range(docs):
+        w, f = int(words[d]), int(first[d])
+        if w >= n:
+            grams = np.sort(sums[f : f + w - n + 1])
+            new = np.ones(len(grams), bool)
+            np.not_equal(grams[1:], grams[:-1], out=new[1:])
+            found.append(grams[new])
+        elif w:
+            whole = sum(int(h[f + k]) * int(weights[k]) for k in range(w)) + w
+            found.append(mixed(np.array([whole & (2**64 - 1)], np.uint64)))
+        else:
+            found.append(h[:0])
+    return np.concatenate(found) if found else h[:0], np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
 
 def _digests(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A number for each set that doesn't depend on order (0 for empty sets)."""
     total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(grams ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
-    return mixed(total[begin[1:]] - total[begin[:-1]]) * (np.diff(begin) > 0)
-
-
-def _second(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(grams * np.uint64(0xE7037ED1A0B428DB)), dtype=np.uint64)])
-    return mixed(total[begin[1:]] - total[begin[:-1]])
+    return mixed(total[begin[1:]] - total[begin[:-1]] + np.diff(begin).astype(np.uint64)) * (np.diff(begin) > 0)
 
 
 def _need(n, m, num: int, den: int):
@@ -88,24 +93,9 @@ def _span(num: int, den: int) -> int:
     return 2 if 4 * num >= 3 * den else 1
 
 
-def _last(n, m, need, span: int):
-    """The last place in a set of size n where the first key shared with one of size m can stand.
-
-    Of all n-grams of both in order, n - need and m - need at most aren't shared. A run of two shared
-    ones is broken only by one of those, so after as many shared n-grams the next two form a run.
-    """
-    return n - need + (span - 1) * (n + m - 2 * need)
-
-
-def _fits(n, p, m, q, num: int, den: int, span: int):
-    """Whether a key at place p of a set of size n and q of one of size m can be their first shared one."""
-    need = _need(n, m, num, den)
-    return (p <= _last(n, m, need, span)) & (q <= _last(m, n, need, span)) & (p - q <= n - need) & (q - p <= m - need)
-
-
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over all texts: rows (doc, id, size, h1, h2) and, doc being false, rows of n-grams that
-    are common in a part of the table (id: the n-gram, size: in how many documents)."""
+    """One pass over all texts: rows (doc, id, size, mark) and, doc being false, rows of n-grams that are
+    common in a part of the table (id: the n-gram, size: in how many documents)."""
 
     def common(parts: list[np.ndarray], seen: int, out: dict[int, int]) -> None:
         if parts:
@@ -118,7 +108,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
         parts, held, seen, often = [], 0, 0, {}
         for batch in batches(it):
             grams, begin = ngram_sets(*byte_runs(batch), n)
-            yield _rows(np.ones(batch.num_rows, bool), batch.column(0), np.diff(begin), _digests(grams, begin), _second(grams, begin))
+            yield _rows(np.ones(batch.num_rows, bool), batch.column(0), np.diff(begin), _digests(grams, begin))
             parts.append(grams)
             held, seen = held + len(grams), seen + batch.num_rows
             if held >= COUNT_AT_ONCE:
@@ -126,210 +116,174 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
                 parts, held, seen = [], 0, 0
         common(parts, seen, often)
         keys = np.fromiter(often, np.uint64, len(often))
-        zero = np.zeros(len(often), np.uint64)
-        yield _rows(np.zeros(len(often), bool), pa.array(keys.view(np.int64)), np.fromiter(often.values(), np.int64, len(often)), zero, zero)
+        yield _rows(np.zeros(len(often), bool), pa.array(keys.view(np.int64)), np.fromiter(often.values(), np.int64, len(often)), np.zeros(len(often), np.uint64))
 
-    def _rows(doc, ids, size, h1, h2) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc), ids, pa.array(size.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc", "id", "size", "h1", "h2"]
-        )
+    def _rows(doc, ids, size, mark) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), ids, pa.array(size.astype(np.int64)), pa.array(mark.view(np.int64))], names=["doc", "id", "size", "mark"])
 
-    return docs.mapInArrow(run, "doc boolean, id long, size long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc boolean, id long, size long, mark long")
 
 
 def _postings(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (gram, size, id, place) of the keys that each set posts: those that stand early enough to be
-    the first shared with its smallest partner, where the bound of _last is widest. Of equal sets in a
-    task one is posted."""
+    """Rows (gram, size, mark, place) of the keys that each set posts: those that stand early enough to be
+    the first shared with its smallest partner.
+
+    Of all n-grams of two linked sets in order, n - need and m - need at most aren't shared. A run of two
+    shared ones is broken only by one of those, so after as many shared n-grams the next two form a run:
+    the last place of their first one in the set of size n is n - need + (span - 1)(n + m - 2 need).
+    """
     spark, span = docs.sparkSession, _span(num, den)
     shipped = spark.sparkContext.broadcast(common)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, freq = shipped.value
-        posted: set[tuple[int, int]] = set()
+        posted: set[int] = set()  # to save work: equal sets that are posted again are merged in the lists
         for batch in batches(it):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             grams, begin = ngram_sets(*byte_runs(batch), n)
-            size = np.diff(begin)
-            fresh = np.zeros(len(ids), bool)
-            for d, mark in enumerate(zip(_digests(grams, begin).tolist(), _second(grams, begin).tolist(), strict=True)):
+            size, marks = np.diff(begin), _digests(grams, begin)
+            fresh = np.zeros(len(size), bool)
+            for d, mark in enumerate(marks.tolist()):
                 if size[d] and mark not in posted:
                     posted.add(mark)
                     fresh[d] = True
-            of = np.repeat(np.arange(len(ids)), size)
+            if len(posted) > POSTED:
+                posted.clear()
+            of = np.repeat(np.arange(len(size)), size)
             keep = fresh[of]
             grams, of = grams[keep], of[keep]
-            at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
-            often = np.where(keys[at] == grams, freq[at], 0) if len(keys) else np.zeros(len(grams), np.int64)
-            order = np.lexsort((grams, often, of))
-            grams, of = grams[order], of[order]
-            first = np.searchsorted(of, of)
-            place = np.arange(len(of)) - first
+            if not len(grams):
+                continue
+            often = np.zeros(len(grams), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                often = np.where(keys[at] == grams, freq[at], 0)
+            order = np.argsort(of * (int(often.max()) + 1) + often, kind="stable")  # equally common ones by hash
+            grams = grams[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
             m = size[of]
             use = place <= np.minimum(span * (den - num) * m // den, m - span)
-            keyed = grams
-            if span > 1 and len(grams):
-                keyed = mixed(grams * np.uint64(STEP) + np.append(grams[1:], grams[:1]))
+            keyed = mixed(grams * np.uint64(STEP) + np.append(grams[1:], grams[:1])) if span > 1 else grams
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keyed[use].view(np.int64)), pa.array(m[use].astype(np.int32)), pa.array(ids[of[use]].astype(np.int64)), pa.array(place[use].astype(np.int32))],
-                names=["gram", "size", "id", "place"],
+                [pa.array(keyed[use].view(np.int64)), pa.array(m[use].astype(np.int32)), pa.array(marks[of[use]].view(np.int64)), pa.array(place[use].astype(np.int32))],
+                names=["gram", "size", "mark", "place"],
             )
 
-    return docs.mapInArrow(run, "gram long, size int, id long, place int")
-
-
-def _in_lists(postings: DataFrame) -> DataFrame:
-    """Postings with each n-gram's list together, sorted by size."""
-    return postings.repartition(slices(postings.sparkSession), "gram").sortWithinPartitions("gram", "size", "id")
-
-
-def _lists(it: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
-    """Columns of whole lists: batches cut where the n-gram changes."""
-    rest: list[list[np.ndarray]] = []
-    for batch in batches(it):
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
-        gram = columns[0]
-        cuts = np.flatnonzero(gram[1:] != gram[:-1]) + 1
-        if rest and rest[-1][0][-1] != gram[0]:
-            yield [np.concatenate(x) for x in zip(*rest, strict=True)]
-            rest = []
-        if not len(cuts):
-            rest.append(columns)
-            continue
-        last = cuts[-1]
-        rest.append([c[:last] for c in columns])
-        yield [np.concatenate(x) for x in zip(*rest, strict=True)]
-        rest = [[c[last:] for c in columns]]
-    if rest:
-        yield [np.concatenate(x) for x in zip(*rest, strict=True)]
-
-
-def _nearest(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (gram, size, id, place, a, paired, live) from rows (gram, size, id, place, class) in lists:
-    entries of lists of more than one, whether the list has any candidates (live), and in a the nearest
-    entry before each one that is a candidate of another class, if there is one."""
-    span = _span(num, den)
+    return docs.mapInArrow(run, "gram long, size int, mark long, place int")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of keys that different sets share, each set's once. Lists are streamed in order, so
+    that none need be held."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, size, ids, place, group in _lists(it, 5):
-            size, place = size.astype(np.int64), place.astype(np.int64)
-            many = np.zeros(len(gram), bool)
-            same = gram[1:] == gram[:-1]
+        held, listed = None, False  # the last row so far, and whether another stands before it in its list
+        for batch in batches(it):
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            gram, _, mark, _ = columns
+            fresh = np.ones(len(gram), bool)
+            fresh[1:] = (gram[1:] != gram[:-1]) | (mark[1:] != mark[:-1])
+            columns = [c[fresh] for c in columns]
+            same = columns[0][1:] == columns[0][:-1]
+            many = np.zeros(len(columns[0]), bool)
             many[1:] |= same
             many[:-1] |= same
-            if not many.any():
-                continue
-            gram, size, ids, place, group = gram[many], size[many], ids[many], place[many], group[many]
-            start = np.searchsorted(gram, gram)
-            # as the smaller one, an entry reaches furthest with a partner of its own size
-            roomy = np.flatnonzero(place * (den + num) <= (2 * span - 1) * (den - num) * size)
-            # for each roomy one, the roomy one before its run of one class
-            run_starts = np.ones(len(roomy), bool)
-            run_starts[1:] = group[roomy[1:]] != group[roomy[:-1]]
-            over = np.maximum.accumulate(np.where(run_starts, np.arange(len(roomy)), 0)) - 1
-            found, look = np.full(len(gram), -1), np.searchsorted(roomy, np.arange(len(gram))) - 1
-            j = np.flatnonzero(look >= 0)
-            k = look[j]
-            while len(j):
-                k = np.where(group[roomy[k]] == group[j], over[k], k)
-                i = roomy[k]
-                within = (k >= 0) & (i >= start[j])
-                within &= size[i] * den >= num * size[j]
-                i, j, k = i[within], j[within], k[within]
-                good = _fits(size[i], place[i], size[j], place[j], num, den, span)
-                found[j[good]] = i[good]
-                j, k = j[~good], k[~good] - 1
-                j, k = j[k >= 0], k[k >= 0]
-            live = np.isin(start, start[found >= 0])
-            a = np.where(found >= 0, ids[found], -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array(size.astype(np.int32)), pa.array(ids), pa.array(place.astype(np.int32)), pa.array(a), pa.array(found >= 0), pa.array(live)],
-                names=["gram", "size", "id", "place", "a", "paired", "live"],
-            )
+            many[0] |= listed
+            held, listed = [c[-1:] for c in columns], bool(many[-1])
+            many[-1] = False
+            yield _rows([c[many] for c in columns])
+        if held is not None and listed:
+            yield _rows(held)
 
-    return postings.mapInArrow(run, "gram long, size int, id long, place int, a long, paired boolean, live boolean")
+    def _rows(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "size", "mark", "place"])
 
+    lists = postings.repartition(slices(postings.sparkSession), "gram").sortWithinPartitions("gram", "mark")
+    return lists.mapInArrow(run, "gram long, size int, mark long, place int")
 
-def _elected(nearest: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Pairs (a, b), not known yet: each set with the candidate that is the nearest one in most lists."""
-    votes = nearest.filter("paired").groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "id").agg(F.count(F.lit(1)).alias("n"))
-    if known is not None:
-        votes = votes.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    best = votes.groupBy("id").agg(F.max(F.struct("n", "a", "b")).alias("x"))
-    return best.select("x.a", "x.b").distinct()
 
+def _pivots(entries: DataFrame) -> DataFrame:
+    """Rows (mark, pivot): for each set the leader of most of its lists; a list's leader is the entry that
+    stands in most lists."""
+    degree = entries.groupBy(F.col("mark").alias("m")).agg(F.count(F.lit(1)).alias("degree"))
+    leaders = entries.join(degree, F.col("mark") == F.col("m")).groupBy(F.col("gram").alias("g")).agg(F.max(F.struct("degree", "mark")).alias("x"))
+    votes = entries.join(leaders.select("g", F.col("x.mark").alias("leader")), F.col("gram") == F.col("g")).groupBy("mark", "leader").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("mark").agg(F.max(F.struct("n", "leader")).alias("x")).select("mark", F.col("x.leader").alias("pivot"))
 
-def _mixed_lists(live: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (gram, size, id, place, class) of the lists that hold more than one class."""
-    entries = live.filter("live").join(classes, F.col("id") == F.col("i"), "left").select("gram", "size", "id", "place", F.coalesce("component", "id").alias("class"))
-    lists = entries.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select(F.col("gram").alias("g"))
-    return entries.join(lists, F.col("gram") == F.col("g"), "left_semi")
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sets ga, gb, sizes n, m and overlap o."""
+    one = pairs.join(sets.select(F.col("mark").alias("x"), F.col("grams").alias("ga")), F.col("a") == F.col("x")).drop("x")
+    two = one.join(sets.select(F.col("mark").alias("y"), F.col("grams").alias("gb")), F.col("b") == F.col("y")).drop("y")
+    return two.select("*", F.size("ga").cast("long").alias("n"), F.size("gb").cast("long").alias("m"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
 
-def _across(labelled: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates (a, b) of different classes, from rows (gram, size, id, place, class) in lists. A class
-    is only held against smaller ones of its list, so the largest one's own pairs are never formed."""
-    span = _span(num, den)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, size, ids, place, group in _lists(it, 5):
-            size, place = size.astype(np.int64), place.astype(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                g = group[s:e]
-                if e - s < 2 or (g == g[0]).all():
-                    continue
-                values, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
-                rank = np.argsort(np.argsort(-counts, kind="stable"), kind="stable")[inverse]
-                n, p, i = size[s:e], place[s:e], ids[s:e]
-                for k in np.flatnonzero(rank > 0):  # all entries but those of the largest class
-                    lo, hi = np.searchsorted(n * den, num * n[k]), np.searchsorted(n * num, n[k] * den, "right")
-                    others = np.arange(lo, hi)
-                    others = others[rank[lo:hi] < rank[k]]
-                    others = others[_fits(n[k], p[k], n[others], p[others], num, den, span)]
-                    if len(others):
-                        a, b = np.minimum(i[k], i[others]), np.maximum(i[k], i[others])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return labelled.mapInArrow(run, "a long, b long")
-
-
-def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with their sizes n, m, their overlap and whether they link."""
-    one = pairs.join(sets.select(F.col("id").alias("x"), F.col("grams").alias("ga")), F.col("a") == F.col("x")).drop("x")
-    two = one.join(sets.select(F.col("id").alias("x"), F.col("grams").alias("gb")), F.col("b") == F.col("x")).select("a", "b", "ga", "gb")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it):
-            ga, gb = batch.column(2), batch.column(3)
-            va, vb = (g.flatten().to_numpy(zero_copy_only=False) for g in (ga, gb))
-            oa, ob = (np.concatenate([[0], np.cumsum(g.value_lengths().to_numpy(zero_copy_only=False))]) for g in (ga, gb))
-            common = [len(np.intersect1d(va[oa[k] : oa[k + 1]], vb[ob[k] : ob[k + 1]], assume_unique=True)) for k in range(batch.num_rows)]
-            n, m, o = np.diff(oa).astype(np.int64), np.diff(ob).astype(np.int64), np.array(common, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n), pa.array(m), pa.array(o), pa.array(o >= _need(n, m, num, den))], names=["a", "b", "n", "m", "o", "linked"]
-            )
-
-    return two.mapInArrow(run, "a long, b long, n long, m long, o long, linked boolean")
+def _linked(num: int, den: int) -> F.Column:
+    return (num + den) * F.col("o") >= num * (F.col("n") + F.col("m"))
 
 
-def _derive(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates (a, b) with linked true or false where the answer of a set highly similar to b gives
-    theirs, else null.
+def _derived(kin: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of one family of which not both link with the pivot, from rows
+    (mark, pivot, p, n, o, linked, differs): sizes of pivot and member, their overlap, whether that links
+    them, and the symmetric difference.
 
-    c is the set whose known overlap with b is largest. Of a's overlap with c, at most what c lacks of b
-    can come on top, and at most what b lacks of c can be missing.
+    Let a member lack d of the pivot's n-grams and have e others. The overlap of two members is
+    p - d - d' + what their differences share, and it links them if (num + den) * shared is at least
+    w + w' - (den - num) * p with w = den * d + num * e; alike, a member links with the pivot if
+    w <= (den - num) * p. So, one of the two not being linked with it, they share 1 at least.
     """
-    sides = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "o", "linked"))
-    sides = sides.select("a", "b", "n", "m", "o")
-    near = sides.groupBy("b").agg(F.max(F.struct(F.col("o") * 1.0 / (F.col("n") + F.col("m") - F.col("o")), F.col("a"), F.col("n"), F.col("m"), F.col("o"))).alias("x"))
-    near = near.select(F.col("b").alias("y"), F.col("x.a").alias("c"), F.col("x.n").alias("nc"), F.col("x.m").alias("ny"), F.col("x.o").alias("oy"))
-    reach = pairs.join(near, F.col("b") == F.col("y"), "left")
-    with_c = sides.select(F.col("a").alias("r"), F.col("b").alias("rc"), F.col("n").alias("nr"), F.col("o").alias("orc"))
-    both = reach.join(with_c, (F.col("a") == F.col("r")) & (F.col("c") == F.col("rc")), "left")
-    need = F.ceil(num * (F.col("nr") + F.col("ny")) / (num + den))
-    most, least = F.col("orc") + F.col("ny") - F.col("oy"), F.col("orc") + F.col("oy") - F.col("nc")
-    return both.select("a", "b", F.when(most < need, F.lit(False)).when(least >= need, F.lit(True)).alias("linked"))
+    both, gap = num + den, (den - num) * F.col("p")
+    kin = kin.withColumn("d", F.col("p") - F.col("o")).withColumn("e", F.col("n") - F.col("o")).withColumn("w", den * F.col("d") + num * F.col("e"))
+    families = kin.groupBy(F.col("pivot").alias("f")).agg(F.min("w").alias("w_all"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("w_out")).filter("w_out is not null")
+    members = kin.join(families, F.col("pivot") == F.col("f")).drop("f")
+    scalars = ("mark", "pivot", "p", "d", "e", "w", "linked", "w_all", "w_out")
+    each = members.select(*scalars, F.explode("differs").alias("gram"))
+    often = each.groupBy(F.col("pivot").alias("f"), F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # those that no other member has come first and need no posting; the others follow, rare ones first
+    ordered = each.join(often, (F.col("pivot") == F.col("f")) & (F.col("gram") == F.col("g"))).groupBy(*scalars).agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("shared"))
+    posts = ordered.select(*scalars, (F.col("d") + F.col("e")).alias("x"), F.size("shared").alias("k"), F.posexplode("shared").alias("place", "y"))
+    posts = posts.withColumn("place", F.col("x") - F.col("k") + F.col("place"))
+    least = lambda other: F.ceil((F.col("w") + other - gap) / both)
+    posts = posts.filter(F.col("place") <= F.col("x") - least(F.when(F.col("linked"), F.col("w_out")).otherwise(F.col("w_all"))))
+    posts = posts.select("pivot", F.col("y.gram").alias("gram"), "mark", "p", "d", "e", "w", "x", "place", "linked", (F.col("place") <= F.col("x") - least(F.col("w_out"))).alias("early"))
+    posts = stored(posts)
+
+    one = posts.filter("not linked").alias("i")
+    two = posts.alias("j")
+    least_shared = F.col("i.w") + F.col("j.w") - (den - num) * F.col("i.p")
+    met = (
+        (F.col("i.pivot") == F.col("j.pivot")) & (F.col("i.gram") == F.col("j.gram"))
+        & (F.col("j.linked") | ((F.col("i.mark") < F.col("j.mark")) & F.col("i.early") & F.col("j.early")))
+        & (both * (F.col("i.x") - F.col("i.place")) >= least_shared) & (both * (F.col("j.x") - F.col("j.place")) >= least_shared)
+        & (both * (F.least("i.d", "j.d") + F.least("i.e", "j.e")) >= least_shared)
+    )
+    pairs = one.join(two, met).select(F.col("i.mark").alias("a"), F.col("j.mark").alias("b")).distinct()
+    side = lambda c: kin.select(F.col("mark").alias(f"m{c}"), F.col("w").alias(f"w{c}"), F.col("differs").alias(f"x{c}"), *([F.col("p")] if c == "a" else []))
+    tried = stored(pairs).join(side("a"), F.col("a") == F.col("ma")).join(side("b"), F.col("b") == F.col("mb"))
+    return tried.filter(both * F.size(F.array_intersect("xa", "xb")) >= F.col("wa") + F.col("wb") - gap).select("a", "b")
+
+
+def _across(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (a, b) of different families and classes, from rows (gram, size, mark, place, family,
+    class). A list's entries of its largest family are never held against each other."""
+    span = _span(num, den)
+    lists = entries.groupBy(F.col("gram").alias("g")).agg(F.min("family").alias("fl"), F.max("family").alias("fh"), F.min("class").alias("cl"), F.max("class").alias("ch"))
+    open_ = stored(entries.join(lists.filter("fl < fh and cl < ch").select("g"), F.col("gram") == F.col("g"), "left_semi"))
+    most = open_.groupBy("gram", "family").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("gram").alias("g")).agg(F.max(F.struct("c", "family")).alias("x"))
+    told = open_.join(most.select("g", F.col("x.family").alias("top")), F.col("gram") == F.col("g")).drop("g").withColumn("main", F.col("family") == F.col("top"))
+    told = stored(told)
+    i, j = told.filter("not main").alias("i"), told.alias("j")
+    need = F.ceil(num * (F.col("i.size") + F.col("j.size")) / (num + den))
+    spare_i, spare_j = F.col("i.size") - need, F.col("j.size") - need
+    fits = (
+        (F.col("i.gram") == F.col("j.gram")) & (F.col("i.family") != F.col("j.family")) & (F.col("i.class") != F.col("j.class"))
+        & (F.col("j.main") | (F.col("i.mark") < F.col("j.mark")))
+        & (F.col("i.size") * den >= num * F.col("j.size")) & (F.col("j.size") * den >= num * F.col("i.size"))
+        & (F.col("i.place") <= spare_i + (span - 1) * (spare_i + spare_j)) & (F.col("j.place") <= spare_j + (span - 1) * (spare_i + spare_j))
+        & (F.col("i.place") - F.col("j.place") <= spare_i) & (F.col("j.place") - F.col("i.place") <= spare_j)
+    )
+    return i.join(j, fits).select(F.least("i.mark", "j.mark").alias("a"), F.greatest("i.mark", "j.mark").alias("b")).distinct()
 
 
 def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,62 +293,61 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id
     Words are runs of other characters than ASCII white space, A-Z lower-cased. A text of fewer than n
     words is one n-gram; a null text, or one without words, has an empty set and links with nothing. Ids
     are integers, taken as unique; rows that share one are linked as one document, and each is returned;
-    a null id is returned as its own class. Equal sets always link. n-grams are compared by 64-bit hashes.
-    Other columns are ignored.
+    a null id is returned as its own class. Equal sets always link. n-grams are compared by 64-bit hashes,
+    equal sets are told by a 64-bit digest. Other columns are ignored; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known_ids = base.filter("id is not null")
     survey = stored(_survey(base, n))
-    per_doc = survey.filter("doc").select("id", "size", "h1", "h2")
+    per_doc = survey.filter("doc").select("id", "size", "mark")
+    full = per_doc.filter("size > 0 and id is not null")
+    named = full.groupBy("mark").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     top = survey.filter("not doc").groupBy("id").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON).collect()
     keys, freq = np.array([r["id"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
     order = np.argsort(keys)
 
-    small_batches(spark)
-    posted = _postings(known_ids, n, num, den, (keys[order], freq[order]))
-    small_batches(spark, 1 << 16)
-    live = stored(_nearest(_in_lists(posted.withColumn("class", F.col("id"))), num, den))
-    nearest, known, classes = live, None, None
-    for _ in range(ROUNDS):
-        small_batches(spark)
-        pairs = durable(_elected(nearest, known))
-        found = durable(_overlaps(pairs, _sets_of(pairs, known_ids, n), num, den))
-        known = found if known is None else known.unionByName(found)
-        linked = known.filter("linked").select("a", "b")
-        classes = durable(components(linked)).select(F.col("id").alias("i"), "component")
-        small_batches(spark, 1 << 16)
-        entries = stored(_mixed_lists(live, classes))
-        if found.filter("linked").isEmpty():
-            break
-        nearest = _nearest(_in_lists(entries), num, den)
-    more = _across(_in_lists(entries), num, den).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = durable(more)
-    derived = durable(_derive(more, known, num, den))
-    small_batches(spark)
-    open_ = durable(derived.filter("linked is null").select("a", "b"))
-    late = _overlaps(open_, _sets_of(open_, known_ids, n), num, den).filter("linked").select("a", "b")
-
-    # equal sets: a star for each, made of (digest, size) groups; a hot group's rows join by salted digest
-    reps = per_doc.filter("size > 0 and id is not null").groupBy("h1", "h2", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    reps = durable(reps).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    copies = per_doc.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(
-        reps.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("size").alias("rs"), "salt", "rep"),
-        (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("size") == F.col("rs")) & (F.col("s") == F.col("salt")),
-    )
-    edges = linked.unionByName(derived.filter("linked").select("a", "b")).unionByName(late).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    final = components(durable(edges)).select(F.col("id").alias("i"), "component")
-    return per_doc.join(final, F.col("id") == F.col("i"), "left").select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+    shared = _shared(_postings(known_ids, n, num, den, (keys[order], freq[order])))
+    entries = stored(shared)
+    elected = stored(_pivots(entries))
+    direct = elected.filter("mark <> pivot").select(F.col("mark").alias("a"), F.col("pivot").alias("b"))
+    differs = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
+    told = stored(_with_sets(direct, _sets_of(direct, known_ids, named, n)).withColumn("near", 100 * F.col("o") >= KIN * (F.col("n") + F.col("m") - F.col("o"))).select(
+        "a", "b", "n", "m", "o", _linked(num, den).alias("linked"), "near", F.when(F.col("near"), differs).alias("differs")))
+    kin = told.filter("near").select(F.col("a").alias("mark"), F.col("b").alias("pivot"), F.col("m").alias("p"), "n", "o", "linked", "differs")
+    links = durable(told.filter("linked").select("a", "b").unionByName(_derived(kin, num, den)))
+
+    classes = durable(components(links).select(F.col("id").alias("i"), "component"))
+    family = kin.select(F.col("mark").alias("k"), "pivot")
+    placed = entries.join(family, F.col("mark") == F.col("k"), "left").join(classes, F.col("mark") == F.col("i"), "left")
+    placed = placed.select("gram", "size", "mark", "place", F.coalesce("pivot", "mark").alias("family"), F.coalesce("component", "mark").alias("class"))
+    known = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stored(_across(placed, num, den).join(known, ["a", "b"], "left_anti"))
+    late = _with_sets(more, _sets_of(more, known_ids, named, n)).filter(_linked(num, den)).select("a", "b")
+
+    # rows of one id are one document
+    twice = full.groupBy(F.col("id").alias("t")).agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi")
+    same_id = full.join(twice, F.col("id") == F.col("t")).filter("mark <> lo").select(F.col("mark").alias("a"), F.col("lo").alias("b"))
+    final = durable(components(durable(links.unionByName(late).unionByName(same_id))))
+    named = named.join(final, F.col("mark") == F.col("id"), "left").drop("id").filter("component is not null or copies > 1").withColumn("component", F.coalesce("component", "mark"))
+    named = stored(named)
+    least = named.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("first"))
+    found = named.join(least, F.col("component") == F.col("c")).select(F.col("mark").alias("m"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = per_doc.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(found, (F.col("mark") == F.col("m")) & (F.col("s") == F.col("salt")) & (F.col("size") > 0) & F.col("id").isNotNull(), "left").select(
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("first", "id").alias("component_id")
     )
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """The sets of all documents that a pair names. As a written table the ids have a known size, so Spark
-    sends them to the documents where they are few, and shuffles both sides where they aren't."""
-    ids = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    return stored(_sets(docs.join(stored(ids), F.col("id") == F.col("w"), "left_semi"), n).dropDuplicates(["id"]))
+def _sets_of(pairs: DataFrame, docs: DataFrame, named: DataFrame, n: int) -> DataFrame:
+    """The sets (mark, grams) that a pair names, from one document of each. Their ids are sent to the
+    documents where they are few; otherwise both sides are shuffled."""
+    marks = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    ids = stored(named.join(marks, F.col("mark") == F.col("w"), "left_semi").select(F.col("rep").alias("w")).distinct())
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    return stored(_sets(docs.join(ids, F.col("id") == F.col("w"), "left_semi").select("text"), n).dropDuplicates(["mark"]))
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -402,9 +355,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches(it):
             grams, begin = ngram_sets(*byte_runs(batch), n)
             lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(grams, begin).view(np.int64)), lists], names=["mark", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams array<long>")
+    return docs.mapInArrow(run, "mark long, grams array<long>")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

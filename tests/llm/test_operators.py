@@ -78,6 +78,36 @@ def test_ngram_join(docs, real, none, n, num):
     assert by_id(ngram_join.ngram_join(both, n=n, num=num), "n_shingles", "component_id") == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80), (2, 60)])
+def test_ngram_join_of_families(spark, n, num):
+    """Variants of a few originals, some linked with them, some just not, some only with each other."""
+    rng = np.random.default_rng(n)
+    texts = []
+    for _ in range(4):
+        original = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        texts.append(original)
+        for _ in range(45):
+            words = list(texts[-1] if rng.random() < 0.2 else original)
+            for at in rng.integers(0, len(words), rng.integers(0, 14)):
+                words[at : at + 1] = [[], ["v"], [f"v{rng.integers(0, 9)}"], ["v", "u"]][rng.integers(0, 4)]
+            texts.append(words[: len(words) - int(rng.integers(0, 30)) * (rng.random() < 0.2)])
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    rows += [(1000 + i, t) for i, t in rows[::9]]
+    sets = {i: {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)} for i, t in rows}
+    links = [(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    want = classes(sets, links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert by_id(ngram_join.ngram_join(docs, n=n, num=num), "component_id") == {i: (want[i],) for i in sets}
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """Rows of one id are one document; a null id is a class of its own."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (3, "u v w x y z"), (None, "u v w x y z"), (4, None)]
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=90).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+
+
+
 def test_exact_dedup(docs, real, none):
     assert exact_dedup.exact_dedup(none).count() == 0
     twice = docs.select("doc_id", "text", "kept").unionByName(docs.filter("doc_id = 10").select("doc_id", "text", "kept"))
