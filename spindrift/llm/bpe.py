@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Within a pre-token, adjacent parts that form a token wait in the bucket of that token's rank, by the
-position of their left part in a linked list. A bitmap of three levels shows which buckets hold
-anything; find-first-set leads to the lowest rank. A merge changes two neighbouring pairs; entries that
-no longer hold are skipped when they come up. The cost of a pre-token is near-linear in its length,
-however long it is.
+Adjacent parts that form a token wait in the bucket of that token's rank, by the position of their left
+part in a linked list. A bitmap of three levels shows which buckets hold anything; find-first-set leads to
+the lowest rank. A merge changes two neighbouring pairs; entries that no longer hold are skipped when they
+come up. The cost of a pre-token is near-linear in its length, however long it is.
+
+Pre-tokens don't touch each other, so those that a batch of texts has for the first time stand in one list,
+end to end, and share the queue: each is merged in the order that it would be merged in alone.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 
 from .common import small_batches, texts_of
 
-#: Pre-tokens up to this many bytes are remembered, so many of them at most in a worker.
-REMEMBER_BYTES, REMEMBER = 48, 400_000
+#: Pre-tokens up to this many bytes are remembered, twice so many of them at most in a worker.
+REMEMBER_BYTES, REMEMBER = 48, 300_000
+#: Bytes of pre-tokens that are merged together (a longer one is merged alone).
+MERGE_AT_ONCE = 1 << 15
 BIT = [1 << k for k in range(64)]
 
 
@@ -36,33 +39,41 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.longest = max(map(len, ranks))
         self.low = [0] * ((max(ranks.values()) >> 6) + 1)  # a bit for each rank
         self.mid = [0] * ((len(self.low) >> 6) + 1)  # a bit for each word of them; the top level is one number
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token."""
-        get, longest = self.ranks.get, self.longest
-        if (whole := get(piece)) is not None:
-            return (whole,)
-        n = len(piece)
+        self.single = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+        self.double = np.full(1 << 16, -1, np.int64)  # ranks of two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.double[token[0] << 8 | token[1]] = rank
+        self.known: dict[str, tuple] = {}  # pre-token: (ids as text, ids, the bytes that they decode to)
+        self.older: dict[str, tuple] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token, none of which is empty."""
+        get, text = self.ranks.get, b"".join(pieces)
+        n, ends = len(text), np.cumsum([len(p) for p in pieces])
+        raw = np.frombuffer(text, np.uint8).astype(np.int64)
         low, mid, top, bit = self.low, self.mid, 0, BIT  # all zero between calls: every entry is taken out
+        after, before = list(range(1, n + 1)), np.arange(-1, n - 1)  # a part is [i, after[i])
+        before[ends[:-1]] = -1
+        before = before.tolist()
+        stop = np.repeat(ends, np.diff(ends, prepend=0)).tolist()  # where the pre-token of each byte ends
+        first = np.append(self.double[raw[:-1] << 8 | raw[1:]], -1)
+        first[ends - 1] = -1
+        token, pair = self.single[raw].tolist(), first.tolist()  # of the part at i; of it and the next one
         bucket: dict[int, list[int]] = {}
-        after, before = list(range(1, n + 1)), list(range(-1, n))  # a part is [i, after[i])
-        pair = [-1] * n  # the rank of the part that begins at i with the next one
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                pair[i] = r
-                if r in bucket:
-                    bucket[r].append(i)  # ascending, so a heap
-                else:
-                    bucket[r] = [i]
-                    w = r >> 6
-                    low[w] |= bit[r & 63]
-                    mid[w >> 6] |= bit[w & 63]
-                    top |= 1 << (w >> 6)
+        at = np.flatnonzero(first >= 0)[::-1]
+        at = at[np.argsort(first[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[at], prepend=-2))
+        for places in np.split(at, cuts[1:]) if len(at) else ():
+            r = int(first[places[0]])
+            bucket[r] = places.tolist()
+            w = r >> 6
+            low[w] |= bit[r & 63]
+            mid[w >> 6] |= bit[w & 63]
+            top |= 1 << (w >> 6)
         while top:
             # find-first-set on each level leads to the lowest rank that has a bucket
             x = (top & -top).bit_length() - 1
@@ -70,66 +81,104 @@ class Codec:
             w = x << 6 | (m & -m).bit_length() - 1
             word = low[w]
             rank = w << 6 | (word & -word).bit_length() - 1
-            at = bucket[rank]
-            if len(at) > 1:
-                i = heappop(at)
-            else:
-                i = at[0]
+            waiting = bucket[rank]
+            waiting.sort(reverse=True)  # the leftmost place is taken first
+            while waiting:
+                i = waiting.pop()
+                if pair[i] != rank:
+                    continue  # stale
+                gone = after[i]
+                end = after[gone]
+                after[i] = end
+                token[i], token[gone] = rank, -1
+                pair[i] = pair[gone] = -1
+                lower = False
+                if end < stop[i]:
+                    before[end] = i
+                    if (r := get(text[i : after[end]])) is not None:
+                        pair[i] = r
+                        if r in bucket:
+                            bucket[r].append(i)
+                        else:
+                            bucket[r] = [i]
+                            v = r >> 6
+                            low[v] |= bit[r & 63]
+                            mid[v >> 6] |= bit[v & 63]
+                            top |= 1 << (v >> 6)
+                        lower = r < rank
+                left = before[i]
+                if left >= 0:
+                    if (r := get(text[left:end])) is None:
+                        pair[left] = -1
+                    elif r != pair[left]:
+                        pair[left] = r
+                        if r in bucket:
+                            bucket[r].append(left)
+                        else:
+                            bucket[r] = [left]
+                            v = r >> 6
+                            low[v] |= bit[r & 63]
+                            mid[v >> 6] |= bit[v & 63]
+                            top |= 1 << (v >> 6)
+                        lower = lower or r < rank
+                if lower:
+                    break  # a lower rank has come up
+            if not waiting:
                 del bucket[rank]
-                word &= word - 1
-                low[w] = word
-                if not word:
-                    m &= m - 1
-                    mid[x] = m
-                    if not m:
-                        top &= top - 1
-            if pair[i] != rank:
-                continue  # stale
-            gone = after[i]
-            end = after[gone]
-            after[i] = end
-            pair[gone] = pair[i] = -1
-            fresh = []
-            if end < n:
-                before[end] = i
-                if after[end] - i <= longest and (r := get(piece[i : after[end]])) is not None:
-                    pair[i] = r
-                    fresh.append((r, i))
-            left = before[i]
-            if left >= 0:
-                r = get(piece[left:end]) if end - left <= longest else None
-                if r is None:
-                    pair[left] = -1
-                elif r != pair[left]:
-                    pair[left] = r
-                    fresh.append((r, left))
-            for r, at_ in fresh:
-                if r in bucket:
-                    heappush(bucket[r], at_)
-                else:
-                    bucket[r] = [at_]
-                    w = r >> 6
-                    low[w] |= bit[r & 63]
-                    mid[w >> 6] |= bit[w & 63]
-                    top |= 1 << (w >> 6)
-        out, i, ranks = [], 0, self.ranks
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return tuple(out)
-
-    def ids_of(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = self.merge(raw)
-        if len(raw) <= REMEMBER_BYTES:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        known, ids_of = self.known.get, self.ids_of
-        return list(chain.from_iterable([known(p) or ids_of(p) for p in self.split(text)]))
+                low[w] &= ~bit[rank & 63]
+                if not low[w]:
+                    mid[x] &= ~bit[w & 63]
+                    if not mid[x]:
+                        top &= ~(1 << x)
+        tokens = np.array(token, np.int64)
+        parts = np.flatnonzero(tokens >= 0)
+        counts = np.searchsorted(parts, ends)
+        ids = tokens[parts].tolist()
+        return [ids[a:b] for a, b in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Make pre-tokens known."""
+        raw = [p.encode() for p in pieces]
+        todo, found = [], {}
+        for k, piece in enumerate(raw):
+            if (whole := self.ranks.get(piece)) is not None:
+                found[k] = [whole]
+            else:
+                todo.append(k)
+        group, held = [], 0
+        for k in [*todo, None]:
+            if group and (k is None or held + len(raw[k]) > MERGE_AT_ONCE):
+                found |= zip(group, self.merge([raw[g] for g in group]), strict=True)
+                group, held = [], 0
+            if k is not None:
+                group.append(k)
+                held += len(raw[k])
+        for k, piece in enumerate(pieces):
+            ids = found[k]
+            self.known[piece] = (" ".join(map(str, ids)), ids, self.decode(ids))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[str, tuple[list[int], ...], bytes]]:
+        """For each text its ids, joined by a space and by pre-token, and the bytes that they decode to."""
+        parts = [self.split(t) for t in texts]
+        if len(self.known) > REMEMBER:
+            self.known, self.older = {}, self.known
+        new = []
+        for piece in set(chain.from_iterable(parts)).difference(self.known):
+            if (found := self.older.get(piece)) is None:
+                new.append(piece)
+            else:
+                self.known[piece] = found
+        self.learn(new)
+        known = self.known.__getitem__
+        for pieces in parts:
+            if pieces:
+                said, ids, raw = zip(*map(known, pieces), strict=True)
+                yield " ".join(said), ids, b"".join(raw)
+            else:
+                yield "", (), b""
+        for piece in new:
+            if len(piece) > REMEMBER_BYTES:
+                del self.known[piece]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -165,16 +214,14 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, keep: tuple[str, ...]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped.value, pattern)
-        decimal = {i: str(i) for i in codec.bytes_of}.__getitem__
         for batch in it:
             lists, counts, sums, decoded = [], [], [], []
-            for text in texts_of(batch, "__text"):
-                ids = codec.encode(text)
+            for said, ids, raw in codec.encode_all(texts_of(batch, "__text")):
                 if with_ids:
-                    lists.append(pa.array(ids, pa.int32()))
-                counts.append(len(ids))
-                sums.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    lists.append(pa.array(list(chain.from_iterable(ids)), pa.int32()))
+                counts.append(sum(map(len, ids)))
+                sums.append(hashlib.sha256(said.encode()).hexdigest())
+                decoded.append(hashlib.sha256(raw).hexdigest())
             whole = []
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
