@@ -12,6 +12,7 @@ end to end, and share the queue: each is merged in the order that it would be me
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,10 +28,12 @@ from pyspark.sql import types as T
 from .common import small_batches, texts_of
 
 #: Pre-tokens up to this many bytes are remembered, twice so many of them at most in a worker.
-REMEMBER_BYTES, REMEMBER = 48, 300_000
+REMEMBER_BYTES, REMEMBER = 48, 500_000
 #: Bytes of pre-tokens that are merged together (a longer one is merged alone).
-MERGE_AT_ONCE = 1 << 15
+MERGE_AT_ONCE = 1 << 13
 BIT = [1 << k for k in range(64)]
+#: Stands for the rank of two parts that aren't a token.
+NONE = 1 << 40
 
 
 class Codec:
@@ -43,16 +46,21 @@ class Codec:
         self.mid = [0] * ((len(self.low) >> 6) + 1)  # a bit for each word of them; the top level is one number
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
-        self.double = np.full(1 << 16, -1, np.int64)  # ranks of two bytes
+        self.double = np.full(1 << 16, NONE, np.int64)  # ranks of two bytes
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.double[token[0] << 8 | token[1]] = rank
-        self.known: dict[str, tuple] = {}  # pre-token: (ids as text, ids, the bytes that they decode to)
-        self.older: dict[str, tuple] = {}
+        # of known pre-tokens: their ids as text, the bytes that they decode to, and the ids; with the generation before
+        self.known: tuple[dict[str, str], dict[str, bytes], dict[str, tuple[int, ...]]] = ({}, {}, {})
+        self.older = ({}, {}, {})
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token, none of which is empty."""
-        get, text = self.ranks.get, b"".join(pieces)
+        """The ids of each pre-token, none of which is empty.
+
+        Only pairs whose rank is below that of their neighbours (or equal to the right one's) wait in the
+        queue: no other can be next. A merge may make its own new pairs such, or those beyond them.
+        """
+        get, text, none = self.ranks.get, b"".join(pieces), NONE
         n, ends = len(text), np.cumsum([len(p) for p in pieces])
         raw = np.frombuffer(text, np.uint8).astype(np.int64)
         low, mid, top, bit = self.low, self.mid, 0, BIT  # all zero between calls: every entry is taken out
@@ -60,20 +68,21 @@ class Codec:
         before[ends[:-1]] = -1
         before = before.tolist()
         stop = np.repeat(ends, np.diff(ends, prepend=0)).tolist()  # where the pre-token of each byte ends
-        first = np.append(self.double[raw[:-1] << 8 | raw[1:]], -1)
-        first[ends - 1] = -1
+        first = np.append(self.double[raw[:-1] << 8 | raw[1:]], none)
+        first[ends - 1] = none
         token, pair = self.single[raw].tolist(), first.tolist()  # of the part at i; of it and the next one
         bucket: dict[int, list[int]] = {}
-        at = np.flatnonzero(first >= 0)[::-1]
-        at = at[np.argsort(first[at], kind="stable")]
-        cuts = np.flatnonzero(np.diff(first[at], prepend=-2))
-        for places in np.split(at, cuts[1:]) if len(at) else ():
-            r = int(first[places[0]])
-            bucket[r] = places.tolist()
-            w = r >> 6
-            low[w] |= bit[r & 63]
-            mid[w >> 6] |= bit[w & 63]
-            top |= 1 << (w >> 6)
+        mixed: set[int] = set()  # ranks whose bucket has lost its order, last places first
+        at = np.flatnonzero((first < np.append(none, first[:-1])) & (first <= np.append(first[1:], none)) & (first < none))
+        for r, i in zip(first[at[::-1]].tolist(), at[::-1].tolist(), strict=True):
+            if r in bucket:
+                bucket[r].append(i)
+            else:
+                bucket[r] = [i]
+                w = r >> 6
+                low[w] |= bit[r & 63]
+                mid[w >> 6] |= bit[w & 63]
+                top |= 1 << (w >> 6)
         while top:
             # find-first-set on each level leads to the lowest rank that has a bucket
             x = (top & -top).bit_length() - 1
@@ -82,7 +91,9 @@ class Codec:
             word = low[w]
             rank = w << 6 | (word & -word).bit_length() - 1
             waiting = bucket[rank]
-            waiting.sort(reverse=True)  # the leftmost place is taken first
+            if rank in mixed:  # the leftmost place is taken first
+                waiting.sort(reverse=True)
+                mixed.remove(rank)
             while waiting:
                 i = waiting.pop()
                 if pair[i] != rank:
@@ -91,40 +102,46 @@ class Codec:
                 end = after[gone]
                 after[i] = end
                 token[i], token[gone] = rank, -1
-                pair[i] = pair[gone] = -1
-                lower = False
+                was, pair[gone] = pair[gone], none
+                fresh = []
+                right = ahead = none
                 if end < stop[i]:
                     before[end] = i
-                    if (r := get(text[i : after[end]])) is not None:
-                        pair[i] = r
-                        if r in bucket:
-                            bucket[r].append(i)
-                        else:
-                            bucket[r] = [i]
-                            v = r >> 6
-                            low[v] |= bit[r & 63]
-                            mid[v >> 6] |= bit[v & 63]
-                            top |= 1 << (v >> 6)
-                        lower = r < rank
+                    ahead = pair[end]
+                    right = get(text[i : after[end]], none)
+                    if was <= ahead and ahead < right and ahead <= (pair[after[end]] if after[end] < n else none):
+                        fresh.append((ahead, end))
+                pair[i] = right
                 left = before[i]
                 if left >= 0:
-                    if (r := get(text[left:end])) is None:
-                        pair[left] = -1
-                    elif r != pair[left]:
-                        pair[left] = r
-                        if r in bucket:
-                            bucket[r].append(left)
-                        else:
-                            bucket[r] = [left]
-                            v = r >> 6
-                            low[v] |= bit[r & 63]
-                            mid[v >> 6] |= bit[v & 63]
-                            top |= 1 << (v >> 6)
-                        lower = lower or r < rank
+                    was, pair[left] = pair[left], (here := get(text[left:end], none))
+                    far = before[left]
+                    behind = pair[far] if far >= 0 else none
+                    if here < behind and here <= right:
+                        fresh.append((here, left))
+                    if right < here and right <= ahead:
+                        fresh.append((right, i))
+                    if was < behind and behind <= here and behind < none and behind < (pair[before[far]] if before[far] >= 0 else none):
+                        fresh.append((behind, far))
+                elif right < none and right <= ahead:
+                    fresh.append((right, i))
+                lower = False
+                for r, place in fresh:
+                    lower |= r < rank
+                    if r in bucket:
+                        bucket[r].append(place)
+                        mixed.add(r)
+                    else:
+                        bucket[r] = [place]
+                        v = r >> 6
+                        low[v] |= bit[r & 63]
+                        mid[v >> 6] |= bit[v & 63]
+                        top |= 1 << (v >> 6)
                 if lower:
                     break  # a lower rank has come up
             if not waiting:
                 del bucket[rank]
+                mixed.discard(rank)
                 low[w] &= ~bit[rank & 63]
                 if not low[w]:
                     mid[x] &= ~bit[w & 63]
@@ -153,32 +170,34 @@ class Codec:
             if k is not None:
                 group.append(k)
                 held += len(raw[k])
+        said, decoded, ids_of = self.known
         for k, piece in enumerate(pieces):
-            ids = found[k]
-            self.known[piece] = (" ".join(map(str, ids)), ids, self.decode(ids))
+            ids_of[piece] = ids = tuple(found[k])
+            said[piece] = " ".join(map(str, ids))
+            decoded[piece] = self.decode(ids)
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[str, tuple[list[int], ...], bytes]]:
-        """For each text its ids, joined by a space and by pre-token, and the bytes that they decode to."""
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[str, bytes, list[str]]]:
+        """For each text its ids joined by a space, the bytes that they decode to, and its pre-tokens."""
         parts = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known, self.older = {}, self.known
-        new = []
-        for piece in set(chain.from_iterable(parts)).difference(self.known):
-            if (found := self.older.get(piece)) is None:
-                new.append(piece)
-            else:
-                self.known[piece] = found
-        self.learn(new)
-        known = self.known.__getitem__
+        if len(self.known[0]) > REMEMBER:
+            self.known, self.older = ({}, {}, {}), self.known
+        new = set().union(*parts).difference(self.known[0])
+        for piece in new.intersection(self.older[0]):
+            for now, before in zip(self.known, self.older, strict=True):
+                now[piece] = before[piece]
+        new.difference_update(self.known[0])
+        self.learn(list(new))
+        said, decoded = self.known[0].__getitem__, self.known[1].__getitem__
         for pieces in parts:
-            if pieces:
-                said, ids, raw = zip(*map(known, pieces), strict=True)
-                yield " ".join(said), ids, b"".join(raw)
-            else:
-                yield "", (), b""
+            yield " ".join(map(said, pieces)), b"".join(map(decoded, pieces)), pieces
         for piece in new:
             if len(piece) > REMEMBER_BYTES:
-                del self.known[piece]
+                for table in self.known:
+                    del table[piece]
+
+    def ids(self, pieces: list[str]) -> list[int]:
+        """The ids of pre-tokens of the texts that are being encoded."""
+        return list(chain.from_iterable(map(self.known[2].__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -216,12 +235,14 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, keep: tuple[str, ...]
         codec = _codec(shipped.value, pattern)
         for batch in it:
             lists, counts, sums, decoded = [], [], [], []
-            for said, ids, raw in codec.encode_all(texts_of(batch, "__text")):
+            gc.disable()  # what is kept holds no cycles, and looking for some takes a fifth of the time
+            for said, raw, pieces in codec.encode_all(texts_of(batch, "__text")):
                 if with_ids:
-                    lists.append(pa.array(list(chain.from_iterable(ids)), pa.int32()))
-                counts.append(sum(map(len, ids)))
+                    lists.append(pa.array(codec.ids(pieces), pa.int32()))
+                counts.append(said.count(" ") + 1 if said else 0)
                 sums.append(hashlib.sha256(said.encode()).hexdigest())
                 decoded.append(hashlib.sha256(raw).hexdigest())
+            gc.enable()
             whole = []
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
