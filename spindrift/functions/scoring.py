@@ -133,3 +133,19 @@ def next_run(ref: Column, tz: Column, minute_of_day: Column, freq: Column, weekd
 
 def poll_backoff_secs(interval_secs: Column, failures: Column, most: int) -> Column:
     return F.least(interval_secs * F.pow(F.lit(2.0), failures), F.lit(float(most))).cast("long")
+
+
+#: Importance of words for impact and of kinds of code-forge activity; anything else is routine. Fixed values.
+IMPACT = {"routine": 0, "notable": 1, "significant": 2, "major": 3}
+FORGE_IMPACT = {"ReleaseEvent": "significant", "IssuesEvent": "notable", "PullRequestEvent": "notable"}
+
+
+def impact_score(impact: Column) -> Column:
+    """A model's word for impact as a number; what isn't such a word counts as routine."""
+    known = F.create_map(*[F.lit(x) for pair in IMPACT.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(impact))), F.lit(0))
+
+
+def forge_importance(kind: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for k, v in FORGE_IMPACT.items() for x in (k, IMPACT[v])])
+    return F.coalesce(F.try_element_at(known, kind), F.lit(0))

@@ -95,10 +95,12 @@ BANNED = ("massive", "huge", "game-changing", "game changing", "exciting", "revo
 def banned_word(text: Column) -> Column:
     """The first banned word that stands in the text as a whole word, '!' if there is none but that, or null."""
     low = F.lower(text)
-    out = F.when(F.contains(text, F.lit("!")), F.lit("!"))
+    whole = lambda words: rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
+    first = F.lit(None).cast("string")
     for word in reversed(BANNED):
-        out = F.when(low.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){word}(?:$|[^\p{{L}}\p{{N}}])"), F.lit(word)).otherwise(out)
-    return out
+        first = F.when(low.rlike(whole(word)), F.lit(word)).otherwise(first)
+    # one search tells most texts, which hold none, from those where the order matters
+    return F.when(low.rlike(whole("|".join(BANNED))), first).when(F.contains(text, F.lit("!")), F.lit("!"))
 
 
 LINKABLE = r"(?i)^(?:.*://.*|www\..*|mailto:.*|(?:[^/?#]*@)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?::[^/?#]*)?(?:[/?#].*)?)$"
@@ -225,11 +227,6 @@ def best_text(full_text: Column, body: Column) -> Column:
     return F.when(F.trim(full_text) != "", full_text).otherwise(body)
 
 
-def as_sentence(text: Column) -> Column:
-    kept = F.rtrim(text)
-    return F.when(kept.rlike(r"[.!?…]$"), kept).otherwise(F.concat(kept, F.lit(".")))
-
-
 def faithful(headline: Column, tldr: Column, refs: Column, entities: Column, ground: Column) -> Column:
     """Why a summary may not be shown, the first reason in order, or null."""
     output = F.concat_ws(" ", headline, tldr)
@@ -242,11 +239,3 @@ def faithful(headline: Column, tldr: Column, refs: Column, entities: Column, gro
         .when(word.isNotNull(), F.concat(F.lit("banned_word:"), word))
         .when(link.isNotNull(), F.concat(F.lit("url_in_prose:"), link))
     )
-
-
-def greeting(name: Column, hour: Column, seed: Column) -> Column:
-    """A salutation by the time of day, one of a few that a digest always gets."""
-    part = F.when(hour < 5, "night").when(hour < 12, "morning").when(hour < 18, "afternoon").otherwise("evening")
-    variants = F.array(F.concat(F.lit("Good "), part), F.lit("Hello"), F.lit("Welcome back"))
-    said = F.element_at(variants, (F.pmod(F.xxhash64(seed), F.lit(3)) + 1).cast("int"))
-    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", said).otherwise(F.concat(said, F.lit(", "), F.trim(name)))

@@ -29,6 +29,11 @@ def strong_keys(clusters: DataFrame) -> DataFrame:
     return clusters.select(F.explode("entities").alias("key")).filter(F.col("key").rlike("^(cve|url):")).distinct()
 
 
+def strong_keys_of(clusters: DataFrame, owner: str) -> DataFrame:
+    """Distinct (owner, key) rows of the clusters' cve: and url: tokens."""
+    return clusters.select(owner, F.explode("entities").alias("key")).filter(F.col("key").rlike("^(cve|url):")).distinct()
+
+
 def cross_boundary(clusters: DataFrame, own: DataFrame) -> DataFrame:
     """Public clusters that share a strong key with own private ones: an equi-join of exploded keys, as an
     overlap of arrays would be a nested loop."""

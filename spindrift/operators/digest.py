@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import as_sentence, sorted_set
+from ..functions.text import best_text, sorted_set
 from .rollup import KEY
 
 
@@ -69,12 +69,6 @@ def lead_tiers(selected: DataFrame, by: tuple[str, ...] = ("subscriber",)) -> Da
     return lists.select(*by, F.slice(titles, 1, 3).alias("dominant"), F.slice(titles, 4, 3).alias("also"))
 
 
-def compose_lead(first: Column, more: Column) -> Column:
-    said = as_sentence(first)
-    rest = F.when(more == 1, F.lit(" 1 other update followed.")).when(more > 1, F.concat(F.lit(" "), more.cast("string"), F.lit(" other updates followed.")))
-    return F.when(first.isNotNull(), F.concat(said, F.coalesce(rest, F.lit(""))))
-
-
 def source_corpus(events: DataFrame, most: int, by: list[str], order: list[str], text: str) -> DataFrame:
     """(by, corpus): texts newest first, joined by newlines, as many characters as fit the budget. Texts
     that begin beyond the budget are cut off before they are gathered."""
@@ -86,11 +80,13 @@ def source_corpus(events: DataFrame, most: int, by: list[str], order: list[str],
 
 
 def summary_hash(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """(by, summary_hash): SHA-256 over title, text, links and entities of a group's events in order, with a
-    separator after each field and each item of a list."""
+    """(by, summary_hash): SHA-256 over title, best text (the full text if it was fetched, else the body),
+    links and entities of a group's events in order, with a separator after each field and each item of a
+    list."""
+    said = best_text(F.col("full_text"), F.col("body")) if "full_text" in events.columns else F.col("body")
     field, item = "\x00", "\x1f"
     many = lambda c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(x, F.lit(item))), "")
-    framed = F.concat(F.coalesce("title", F.lit("")), F.lit(field), F.coalesce("body", F.lit("")), F.lit(field), many(F.col("links")), F.lit(field), many(F.col("entities")), F.lit(field))
+    framed = F.concat(F.coalesce("title", F.lit("")), F.lit(field), F.coalesce(said, F.lit("")), F.lit(field), many(F.col("links")), F.lit(field), many(F.col("entities")), F.lit(field))
     lists = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, framed.alias("f")))).alias("x"))
     return lists.select(*by, F.sha2(F.array_join(F.transform("x", lambda s: s["f"]), ""), 256).alias("summary_hash"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import idf, link_strength, namespace_prior, temporal_closeness
 from ..schema import SATURATED, SATURATED_MIN_WEIGHT, W_JACCARD, W_TEMPORAL, WEAK_MIN_JACCARD, WEAK_THRESHOLD
 from ..session import ship
+from .rollup import distinct_tokens
 
 
 def entity_weights(clusters: DataFrame, overrides: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -19,7 +20,7 @@ def entity_weights(clusters: DataFrame, overrides: DataFrame | None = None, by:
     if by:
         df = df.join(clusters.groupBy(*by).agg(F.count_distinct("cluster_id").alias("n")), list(by))
     else:
-        df = df.withColumn("n", F.lit(clusters.select("cluster_id").distinct().count()))
+        df = df.withColumn("n", clusters.agg(F.count_distinct("cluster_id")).scalar())
     weight = namespace_prior(F.col("entity")) * idf(F.col("df"), F.col("n"))
     df = df.withColumn("weight", weight)
     if overrides is not None:
@@ -32,28 +33,34 @@ def score_edges(clusters: DataFrame, overrides: DataFrame | None = None, by: tup
     distinctive entities at about the same time.
 
     Candidates come from an inverted index: an equi-join on the entity. A token of n clusters makes
-    n(n-1)/2 pairs, as sums over shared tokens need them all; AQE splits a frequent one's join.
+    n(n-1)/2 pairs, as sums over shared tokens need them all; AQE splits a frequent one's join. Clusters are
+    numbered meanwhile, so that pairs are of numbers; the numbered table and its tokens are kept, as they are
+    read several times.
     """
+    checkpointed(clusters.sparkSession)
     w = entity_weights(clusters, overrides, by)
     total = w.groupBy(*by, "cluster_id").agg(F.sum("weight").alias("total"))
-    own = clusters.select(*by, "cluster_id", "last_event_time").join(total, [*by, "cluster_id"])
-    left = w.select(*by, F.col("cluster_id").alias("a"), "entity", "strong", "weight")
-    right = w.select(*by, F.col("cluster_id").alias("b"), "entity")
-    pairs = left.join(right, [*by, "entity"]).filter("a < b")
-    acc = pairs.groupBy(*by, "a", "b").agg(
+    nodes = clusters.select(*by, "cluster_id", "last_event_time").join(total, [*by, "cluster_id"]).withColumn("n", F.monotonically_increasing_id()).checkpoint()
+    posts = w.join(nodes.select(*by, "cluster_id", "n"), [*by, "cluster_id"]).select(*by, "n", "entity", "strong", "weight").checkpoint()
+    left = posts.select(*by, F.col("n").alias("i"), "entity", "strong", "weight")
+    right = posts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias("j"), F.col("entity").alias("_entity"))
+    same = [F.col(c) == F.col(f"_{c}") for c in (*by, "entity")]
+    pairs = left.join(right, [*same, F.col("i") < F.col("j")])
+    acc = pairs.groupBy("i", "j").agg(
         F.sum("weight").alias("shared"),
         F.min(F.when(F.col("strong"), F.col("entity"))).alias("strong_key"),
         F.min(F.when(~F.col("strong"), F.struct((-F.col("weight")).alias("w"), F.col("entity").alias("e")))).alias("weak"),
     )
-    side = lambda n: own.select(*by, F.col("cluster_id").alias(n), F.col("last_event_time").alias(f"t_{n}"), F.col("total").alias(f"w_{n}"))
-    both = acc.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"])
+    side = lambda n, c, own: nodes.select(F.col("n").alias(n), *own, F.col("cluster_id").alias(f"c_{c}"), F.col("last_event_time").alias(f"t_{c}"), F.col("total").alias(f"w_{c}"))
+    both = acc.join(side("i", "a", by), "i").join(side("j", "b", ()), "j")
     union = F.col("w_a") + F.col("w_b") - F.col("shared")
     wj = F.when(union > 0, F.col("shared") / union).otherwise(0.0)
-    both = both.withColumn("wj", wj).withColumn("weak_score", W_JACCARD * F.col("wj") + W_TEMPORAL * temporal_closeness(F.col("t_a"), F.col("t_b")))
+    both = both.withColumn("wj", wj).filter(F.col("strong_key").isNotNull() | (F.col("wj") >= WEAK_MIN_JACCARD))
+    both = both.withColumn("weak_score", W_JACCARD * F.col("wj") + W_TEMPORAL * temporal_closeness(F.col("t_a"), F.col("t_b")))
     strong = F.col("strong_key").isNotNull()
     holds = (F.col("weak_score") >= WEAK_THRESHOLD) & (F.col("wj") >= WEAK_MIN_JACCARD) & ~((F.col("wj") >= SATURATED) & (F.col("shared") < SATURATED_MIN_WEIGHT)) & F.col("weak").isNotNull()
     return both.filter(strong | holds).select(
-        *by, "a", "b", strong.alias("strong"), F.when(strong, 1.0).otherwise(F.col("weak_score")).alias("score"),
+        *by, F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"), strong.alias("strong"), F.when(strong, 1.0).otherwise(F.col("weak_score")).alias("score"),
         F.concat(F.lit("shared "), F.when(strong, F.col("strong_key")).otherwise(F.col("weak.e"))).alias("reason"),
     )
 
@@ -163,23 +170,26 @@ def member_reasons(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def forward_ids(components: DataFrame, prior: DataFrame, subscriber: str = "") -> tuple[DataFrame, DataFrame]:
-    """Story ids of components, and merges (loser, survivor). A component keeps the smallest prior id that
-    no earlier component (by smallest cluster) has taken; else it gets an id made of its smallest cluster.
+    """Story ids of components, and merges (loser, survivor). A component keeps the oldest prior id (by
+    minted_at if prior has it, then the smallest) that no earlier component (by smallest cluster) has taken;
+    else it gets an id made of its smallest cluster.
 
     Claims only meet where components share a prior id, so they are settled within groups of components
     that do; a group is walked in order by one task.
     """
     ship(components.sparkSession)
     firsts = components.groupBy("component").agg(F.min("cluster_id").alias("first"))
-    has = components.join(prior.select("cluster_id", "story_id"), "cluster_id").select("component", "story_id").distinct()
-    tied = min_label_components(has.select(F.col("component").alias("id")).distinct(), has.join(has.select("story_id", F.col("component").alias("b")), "story_id").filter("component < b").select(F.col("component").alias("a"), "b"))
+    age = F.col("minted_at") if "minted_at" in prior.columns else F.lit(None).cast("timestamp_ntz")
+    known = prior.select("cluster_id", "story_id", age.cast("timestamp_ntz").alias("minted_at"))
+    has = components.join(known, "cluster_id").groupBy("component", "story_id").agg(F.unix_micros(F.min("minted_at").cast("timestamp")).alias("age"))
+    tied = min_label_components(has.select(F.col("component").alias("id")).distinct(), _ties(has))
     claims = has.join(firsts, "component").join(tied.select(F.col("id").alias("component"), F.col("component").alias("tie")), "component")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
         out, carried = [], []
         for (_, comp), group in rows.groupby(["first", "component"], sort=True):
-            ids = sorted(group["story_id"])
+            ids = group.sort_values(["age", "story_id"], na_position="first")["story_id"].tolist()
             kept = next((i for i in ids if i not in taken), None)
             if kept is not None:
                 taken.add(kept)
@@ -196,20 +206,30 @@ def forward_ids(components: DataFrame, prior: DataFrame, subscriber: str = "") -
     return ids, merges
 
 
+def _ties(has: DataFrame) -> DataFrame:
+    """Edges between components that share a prior id: each with the first that has it."""
+    first = has.groupBy("story_id").agg(F.min("component").alias("b"))
+    return has.join(first, "story_id").filter("component <> b").select(F.col("component").alias("a"), "b").distinct()
+
+
 def story_rollup(clusters: DataFrame, members: DataFrame) -> DataFrame:
     """Stories from (cluster_id, story_id): counts, sources, depth, severity, span, entities, own-private."""
-    return (
-        clusters.join(members, "cluster_id")
-        .groupBy("story_id")
-        .agg(
-            F.count(F.lit(1)).alias("clusters"),
-            F.sum("event_count").alias("event_count"),
-            F.count_distinct("source").alias("source_diversity"),
-            F.max("depth_rank").alias("depth_rank"),
-            F.max("max_severity").alias("max_severity"),
-            F.bool_or(F.col("scope_kind") == "private").alias("has_private"),
-            F.min("first_event_time").alias("first_event_time"),
-            F.max("last_event_time").alias("last_event_time"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities"),
-        )
+    return rollup_stories(clusters.join(members, "cluster_id"))
+
+
+def rollup_stories(mine: DataFrame) -> DataFrame:
+    """Stories of clusters that have a story_id; with a subscriber, which a story has one of, that too."""
+    who = [F.first("subscriber").alias("subscriber")] if "subscriber" in mine.columns else []
+    facts = mine.groupBy("story_id").agg(
+        *who,
+        F.count(F.lit(1)).alias("clusters"),
+        F.sum("event_count").alias("event_count"),
+        F.count_distinct("source").alias("source_diversity"),
+        F.max("depth_rank").alias("depth_rank"),
+        F.max("max_severity").alias("max_severity"),
+        F.bool_or(F.col("scope_kind") == "private").alias("has_private"),
+        F.min("first_event_time").alias("first_event_time"),
+        F.max("last_event_time").alias("last_event_time"),
     )
+    tokens = distinct_tokens(mine, ["story_id"])
+    return facts.join(tokens, "story_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))

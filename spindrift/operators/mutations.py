@@ -1,8 +1,8 @@
-"""Upserts and deletions as new snapshots of a table, and a store that publishes them."""
+"""Upserts and deletions as new snapshots of a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,36 +37,3 @@ def subscribe(subscriptions: DataFrame, wanted: DataFrame) -> DataFrame:
 def delete_with(children: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
     """Each table without the rows of what is gone."""
     return {name: df.join(gone.select(key), key, "left_anti") for name, df in children.items()}
-
-
-class SnapshotStore:
-    """Tables as numbered Parquet snapshots. A reader gets the newest complete one and keeps it, as a writer
-    never changes what is published; a snapshot counts once its _SUCCESS marker is there."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def version(self, name: str) -> int:
-        fs, path = self._fs()
-        at = path(f"{self.root}/{name}")
-        if not fs.exists(at):
-            return -1
-        found = [int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if fs.exists(path(s.getPath(), "_SUCCESS"))]
-        return max(found, default=-1)
-
-    def read(self, name: str, empty: DataFrame | None = None) -> DataFrame:
-        v = self.version(name)
-        if v < 0:
-            if empty is None:
-                raise FileNotFoundError(name)
-            return empty
-        return self.spark.read.parquet(f"{self.root}/{name}/v{v}")
-
-    def write(self, name: str, df: DataFrame) -> int:
-        v = self.version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        return v

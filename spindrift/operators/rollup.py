@@ -13,6 +13,13 @@ def cluster_id(*, kind: str = "scope_kind", owner: str = "owner", source: str =
     return F.concat_ws("|", F.col(kind), F.coalesce(F.col(owner).cast("string"), F.lit("")), F.col(source), F.col(group))
 
 
+def distinct_tokens(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, entities): the sorted distinct tokens of each group. Tokens are made distinct one row each, which
+    combines before it shuffles, so that no array grows with a group's rows."""
+    each = rows.select(*by, F.explode("entities").alias("_token")).distinct()
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list("_token")).alias("entities"))
+
+
 def rollup(events: DataFrame) -> DataFrame:
     """One row for each group: the latest event's title, link and connection, the span, the entities of
     all, how many, the greatest depth and severity. Scope is part of the key; a null owner equals itself.
@@ -21,6 +28,7 @@ def rollup(events: DataFrame) -> DataFrame:
     meet, so a group of any number of events holds no more than its tokens.
     """
     latest = F.struct("event_time", "event_id")
+    tokens = distinct_tokens(events, KEY).select(*[F.col(c).alias(f"_{c}") for c in KEY], "entities")
     facts = events.groupBy(*KEY).agg(
         F.max_by(F.struct("title", F.get("links", F.lit(0)).alias("link"), "connection_id"), latest).alias("latest"),
         F.min("event_time").alias("first_event_time"),
@@ -29,8 +37,8 @@ def rollup(events: DataFrame) -> DataFrame:
         F.max("depth_rank").alias("depth_rank"),
         F.max("severity").alias("max_severity"),
         F.max("ingest_time").alias("updated_at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities"),
     )
+    facts = facts.join(tokens, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
     return facts.select(
         cluster_id().alias("cluster_id"), *KEY, F.col("latest.title").alias("title"), F.col("latest.link").alias("link"), "first_event_time", "last_event_time",
         "entities", "event_count", "depth_rank", "max_severity", F.col("latest.connection_id").alias("connection_id"), "updated_at",

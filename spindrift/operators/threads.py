@@ -97,49 +97,48 @@ def match_threads(candidates: DataFrame, existing: DataFrame, threshold: float =
     return candidates.join(found, "label", "left").withColumn("action", F.coalesce("action", F.lit("new")))
 
 
-def project_weights(threads: DataFrame) -> DataFrame:
+def project_weights(threads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(entity, weight): what entities of threads (state, affinity, entities) are worth; a dormant thread
     counts a quarter, an archived one nothing."""
     factor = F.when(F.col("state") == "active", 1.0).when(F.col("state") == "dormant", 0.25)
     live = threads.filter(factor.isNotNull() & (F.size("entities") > 0))
-    each = live.select(F.explode("entities").alias("entity"), (F.col("affinity") * factor / F.size("entities")).alias("w"))
-    return each.groupBy("entity").agg(F.sum("w").alias("weight"))
+    each = live.select(*by, F.explode("entities").alias("entity"), (F.col("affinity") * factor / F.size("entities")).alias("w"))
+    return each.groupBy(*by, "entity").agg(F.sum("w").alias("weight"))
 
 
-def thread_terms(stories: DataFrame, weights: DataFrame) -> DataFrame:
+def thread_terms(stories: DataFrame, weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """stories (story_id, entities) with thread_term, the sum of their entities' weights."""
-    each = stories.select("story_id", F.explode("entities").alias("entity")).join(weights, "entity")
-    return stories.join(each.groupBy("story_id").agg(F.sum("weight").alias("thread_term")), "story_id", "left")
+    each = stories.select(*by, "story_id", F.explode("entities").alias("entity")).join(weights, [*by, "entity"])
+    return stories.join(each.groupBy(*by, "story_id").agg(F.sum("weight").alias("thread_term")), [*by, "story_id"], "left")
 
 
-def assign_threads(stories: DataFrame, threads: DataFrame, min_overlap: int = 1) -> DataFrame:
+def assign_threads(stories: DataFrame, threads: DataFrame, min_overlap: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """(story_id, thread_id, overlap): each story's best thread by shared entities times affinity, then by
     affinity, then the smallest id."""
-    s = stories.select("story_id", F.explode("entities").alias("e"))
-    t = threads.select("thread_id", "affinity", F.explode("entities").alias("e"))
-    hits = s.join(t, "e").groupBy("story_id", "thread_id", "affinity").agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= min_overlap)
-    best = W.partitionBy("story_id").orderBy(F.desc(F.col("overlap") * F.col("affinity")), F.desc("affinity"), "thread_id")
-    return hits.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("story_id", "thread_id", "overlap")
+    s = stories.select(*by, "story_id", F.explode("entities").alias("e"))
+    t = threads.select(*by, "thread_id", "affinity", F.explode("entities").alias("e"))
+    hits = s.join(t, [*by, "e"]).groupBy(*by, "story_id", "thread_id", "affinity").agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= min_overlap)
+    best = W.partitionBy(*by, "story_id").orderBy(F.desc(F.col("overlap") * F.col("affinity")), F.desc("affinity"), "thread_id")
+    return hits.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(*by, "story_id", "thread_id", "overlap")
 
 
-def thread_metrics(threads: DataFrame, stories: DataFrame, since: Column, now: Column, care: DataFrame | None = None, engagement: float = 1.0) -> DataFrame:
+def thread_metrics(threads: DataFrame, stories: DataFrame, since: Column, now: Column, care: DataFrame | None = None, engagement: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Threads (thread_id, entities, affinity, pinned, first_seen, last_story_time) measured against stories
     (story_id, entities, sources, last_event_time): counts, sources, state, affinity, label."""
-    t = threads.select("thread_id", F.explode("entities").alias("e"))
-    s = stories.select("story_id", "last_event_time", "sources", F.explode("entities").alias("e"))
-    touched = t.join(s, "e").select("thread_id", "story_id", "last_event_time", "sources").dropDuplicates(["thread_id", "story_id"])
-    m = touched.groupBy("thread_id").agg(
-        F.count(F.lit(1)).alias("story_count"), F.count_if(F.col("last_event_time") > since).alias("new_stories"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("source_diversity"), F.min("last_event_time").alias("lo"), F.max("last_event_time").alias("hi"),
-    )
-    out = threads.join(m, "thread_id", "left")
+    key = [*by, "thread_id"]
+    t = threads.select(*key, F.explode("entities").alias("e"))
+    s = stories.select(*by, "story_id", "last_event_time", F.explode("entities").alias("e"))
+    hit = t.join(s, [*by, "e"]).select(*key, "story_id", "last_event_time").distinct()
+    m = hit.groupBy(*key).agg(F.count(F.lit(1)).alias("story_count"), F.count_if(F.col("last_event_time") > since).alias("new_stories"), F.min("last_event_time").alias("lo"), F.max("last_event_time").alias("hi"))
+    seen = hit.join(stories.select(*by, "story_id", F.explode("sources").alias("source")), [*by, "story_id"]).groupBy(*key).agg(F.count_distinct("source").alias("source_diversity"))
+    out = threads.join(m, key, "left").join(seen, key, "left")
     if care is not None:
-        out = out.join(care, "thread_id", "left")
+        out = out.join(care, key, "left")
     delta = (F.coalesce("care", F.lit(0.0)) if care is not None else F.lit(0.0)) + engagement * F.coalesce("new_stories", F.lit(0))
     last = F.greatest("last_story_time", "hi")
     return out.select(
-        "thread_id", F.coalesce("story_count", F.lit(0)).alias("story_count"), F.coalesce("new_stories", F.lit(0)).alias("new_stories"),
-        F.coalesce("source_diversity", F.lit(0)).alias("source_diversity"), F.coalesce(F.least("first_seen", "lo"), now).alias("first_seen"), last.alias("last_story_time"),
+        *key, F.coalesce("story_count", F.lit(0)).alias("story_count"), F.coalesce("new_stories", F.lit(0)).alias("new_stories"),
+        F.coalesce("source_diversity", F.lit(0)).alias("source_diversity"), F.least("first_seen", "lo").alias("first_seen"), last.alias("last_story_time"),
         thread_state(last, now, F.col("pinned"), DORMANT_DAYS, ARCHIVE_DAYS).alias("state"),
         decay_affinity(F.col("affinity"), seconds_between(now, since), AFFINITY_HALF_LIFE_DAYS, delta, AFFINITY_MAX).alias("affinity"), auto_label(F.col("entities")).alias("label"),
     )

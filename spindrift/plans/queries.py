@@ -45,7 +45,9 @@ def _clusters(spark, sf_dir):
 
 
 def _mine(spark, sf_dir):
-    return candidates.candidate_clusters(_clusters(spark, sf_dir), subscriptions(spark, sf_dir), SUBSCRIBER, _floor())
+    link.checkpointed(spark)
+    # the cluster table is read by several branches, so the log is rolled up once
+    return candidates.candidate_clusters(_clusters(spark, sf_dir).checkpoint(), subscriptions(spark, sf_dir), SUBSCRIBER, _floor())
 
 
 LOG = f"log AS ({EVENT_LOG_SQL})"
@@ -184,7 +186,7 @@ def link_df_weights(spark, sf_dir):
 
 @query(f"WITH {EDGES} SELECT a, b, strong, round(score, 6) AS score, reason FROM edges")
 def link_edges(spark, sf_dir):
-    return link.score_edges(_mine(spark, sf_dir)).select("a", "b", "strong", F.round("score", 6).alias("score"), "reason")
+    return link.score_edges(_mine(spark, sf_dir).checkpoint()).select("a", "b", "strong", F.round("score", 6).alias("score"), "reason")
 
 
 def _no_prior(spark):
@@ -218,13 +220,16 @@ def story_rollup(spark, sf_dir):
     return s.select("story_id", "clusters", "event_count", "source_diversity", "depth_rank", "max_severity", "has_private", _us("first_event_time").alias("first_us"), _us("last_event_time").alias("last_us"), _joined("entities").alias("entities"))
 
 
-@query()
+@query(f"""WITH {COMPONENTS}, ends AS (SELECT a AS cluster_id, * FROM edges UNION ALL SELECT b, * FROM edges)
+  SELECT cluster_id, component, first(reason ORDER BY strong DESC, score DESC, a, b) AS link_reason FROM comp LEFT JOIN ends USING (cluster_id) GROUP BY 1, 2""")
 def member_reasons(spark, sf_dir):
     mine, edges, comp = _stories(spark, sf_dir)
     return link.member_reasons(comp, edges)
 
 
-@query()
+@query(f"""WITH {COMPONENTS}, early AS (SELECT DISTINCT scope_kind || '|' || coalesce(CAST(owner AS VARCHAR), '') || '|' || source || '|' || group_key AS cluster_id FROM log WHERE event_id % 2 = 0),
+  had AS (SELECT DISTINCT component FROM early JOIN comp USING (cluster_id))
+  SELECT component, cluster_id, CASE WHEN component IN (SELECT component FROM had) THEN 'old-' || left(sha256(component), 12) ELSE 'story-' || left(sha256('|' || component), 32) END AS story_id FROM comp""")
 def forward_ids(spark, sf_dir):
     """Story ids when the even events' stories were there before."""
     mine, edges, comp = _stories(spark, sf_dir)
@@ -247,6 +252,28 @@ def _linked(spark, sf_dir) -> DataFrame:
     return link.story_rollup(mine, members).join(last, "story_id").withColumn("subscriber", F.lit(SUBSCRIBER))
 
 
+def _full_sql(story_cap: int, note_cap: int, floor: str, fresh: bool = False) -> str:
+    """The verdicts on the subscriber's linked stories: `decided`; fresh: none was shown, none has a thread."""
+    age = "greatest(trunc((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_event_time)) / 1e6::DOUBLE), 0.0::DOUBLE) / 86400.0::DOUBLE"
+    return f"""{COMPONENTS}, rolled AS (SELECT component AS story_id, sum(event_count) AS event_count, count(DISTINCT source) AS source_diversity, max(depth_rank) AS depth_rank, max(max_severity) AS max_severity,
+      bool_or(scope_kind = 'private') AS has_private, max(last_event_time) AS last_event_time, {"NULL::VARCHAR" if fresh else "'t' || first(connection_id ORDER BY last_event_time DESC, cluster_id DESC)"} AS thread_id FROM comp JOIN cand USING (cluster_id) GROUP BY 1),
+  worded AS (SELECT *, {'false' if fresh else "last_event_time < TIMESTAMP '2024-01-25 00:00:00'"} AS shown, CASE WHEN source_diversity > 1 THEN 'multi-source' WHEN event_count > 1 THEN 'multi-event' WHEN depth_rank = 2 THEN 'longform' WHEN depth_rank = 1 THEN 'announcement' ELSE 'message' END AS nat FROM rolled),
+  scored AS (SELECT *, last_event_time < {floor} AS stale, shown AND NOT last_event_time < {floor} AS again,
+      (CASE WHEN has_private THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) * pow(0.5::DOUBLE, {age} / 3.0::DOUBLE) + 0.1::DOUBLE * coalesce(max_severity, 0) * pow(0.5::DOUBLE, {age} / 7.0::DOUBLE) AS p FROM worded),
+  formed AS (SELECT story_id, last_event_time, thread_id, stale, again, CASE WHEN again OR nat IN ('announcement', 'message') THEN 'note' ELSE 'story' END AS format, CASE WHEN again THEN 'still developing' ELSE nat END AS richness,
+      CASE WHEN stale THEN 0.0::DOUBLE WHEN again THEN p * 0.25::DOUBLE ELSE p END AS priority FROM scored),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY priority DESC, last_event_time DESC, story_id) - 1 AS rank FROM formed WHERE NOT stale),
+  fold(rank, stories, notes, agains, position, threads, ok) AS (
+    SELECT -1::BIGINT, 0, 0, 0, 0, []::VARCHAR[], false
+    UNION ALL SELECT rank, stories + CAST(ok AND format = 'story' AS INTEGER), notes + CAST(ok AND format = 'note' AS INTEGER), agains + CAST(ok AND again AS INTEGER), position + CAST(ok AS INTEGER),
+      CASE WHEN ok AND thread_id IS NOT NULL THEN list_append(threads, thread_id) ELSE threads END, ok
+    FROM (SELECT r.rank, f.stories, f.notes, f.agains, f.position, f.threads, r.format, r.again, r.thread_id, (CASE WHEN r.format = 'story' THEN f.stories < {story_cap} ELSE f.notes < {note_cap} END) AND (NOT r.again OR f.agains < 5)
+        AND f.position < 25 AND (r.thread_id IS NULL OR len(list_filter(f.threads, lambda t: t = r.thread_id)) < 2) AS ok FROM fold f JOIN ranked r ON r.rank = f.rank + 1)),
+  decided AS (SELECT f.story_id, CASE WHEN f.stale THEN 'dropped' WHEN d.ok THEN 'selected' ELSE 'over_cap' END AS verdict, CASE WHEN d.ok THEN d.position - 1 END AS position, r.rank,
+      CASE WHEN f.stale THEN 'stale_for_cadence' END AS drop_cause, f.format, f.richness, round(f.priority, 6) AS priority FROM formed f LEFT JOIN ranked r USING (story_id) LEFT JOIN fold d ON d.rank = r.rank)"""
+
+
+WEEKLY = "TIMESTAMP '2024-01-23 00:00:00'"
 AGE = "greatest(trunc((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_event_time)) / 1e6::DOUBLE), 0.0::DOUBLE) / 86400.0::DOUBLE"
 SCORED = f"""{CANDIDATES}, scored AS (
   SELECT *, CASE WHEN event_count > 1 THEN 'multi-event' WHEN depth_rank = 2 THEN 'longform' WHEN depth_rank = 1 THEN 'announcement' ELSE 'message' END AS richness,
@@ -277,7 +304,7 @@ def _full(spark, sf_dir, cfg=CFG, floor=None, linked=False):
     return select.select_full(select.score(c, cfg, now(), floor if floor is not None else scoring.display_floor(F.lit(None).cast("timestamp_ntz"), now(), F.lit("weekly"))), cfg)
 
 
-@query()
+@query(f"WITH {_full_sql(5, 20, WEEKLY)} SELECT story_id, verdict, position, CAST(rank AS INTEGER) AS rank, drop_cause, format, richness, priority FROM decided")
 def select_full(spark, sf_dir):
     d = _full(spark, sf_dir, linked=True)
     return d.select("story_id", "verdict", "position", "rank", "drop_cause", "format", "richness", F.round("priority", 6).alias("priority"))
@@ -289,7 +316,7 @@ def verdict_counts(spark, sf_dir):
     return select.verdict_counts(d, ()) 
 
 
-@query()
+@query(f"WITH {_full_sql(5, 20, WEEKLY)} SELECT verdict, count(*) AS n FROM decided GROUP BY 1")
 def story_verdict_counts(spark, sf_dir):
     """The verdicts of select_full, each counted as it is given."""
     return select.verdict_counts(_full(spark, sf_dir, linked=True), ())
@@ -417,7 +444,33 @@ def lexical_jaccard(spark, sf_dir):
     return e.select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+#: Names that link: parts of one name differ in their number alone.
+KEYED = NAMES.replace("SELECT DISTINCT 'part:' || p_name AS id, p_name AS v FROM part", "SELECT 'part:' || p_name || ' ' || p_partkey AS id, p_name || ' ' || p_partkey AS v FROM part")
+
+
+def _keyed_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("id"))
+
+
+@query(f"WITH {KEYED} SELECT a, b, round(least(c, 0.95), 6) AS confidence FROM ps WHERE c >= 0.5")
+def lexical_links(spark, sf_dir):
+    e = threads.lexical_edges(_keyed_names(spark, sf_dir), threshold=0.5)
+    return e.select("a", "b", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH RECURSIVE {KEYED}, nb AS (SELECT a AS x, b AS y FROM ps WHERE c >= 0.5 UNION SELECT b, a FROM ps WHERE c >= 0.5),
+  reach(x, y) AS (SELECT id, id FROM n UNION SELECT reach.x, nb.y FROM reach JOIN nb ON reach.y = nb.x)
+  SELECT x AS id, min(y) AS representative, CASE WHEN count(*) = 1 THEN 'confirmed' ELSE 'uncertain' END AS band FROM reach GROUP BY x""")
+def identity_links(spark, sf_dir):
+    """Names resolved by links of half their words: no class of several holds together by better ones."""
+    link.checkpointed(spark)
+    nodes = _keyed_names(spark, sf_dir)
+    return threads.resolve(nodes, threads.lexical_edges(nodes, threshold=0.5).checkpoint(), theta=0.5)
+
+
+@query(f"""WITH RECURSIVE {NAMES}, nb AS (SELECT a AS x, b AS y FROM ps WHERE c >= 0.6 UNION SELECT b, a FROM ps WHERE c >= 0.6),
+  reach(x, y) AS (SELECT id, id FROM n UNION SELECT reach.x, nb.y FROM reach JOIN nb ON reach.y = nb.x)
+  SELECT x AS id, min(y) AS representative, CASE WHEN count(*) = 1 THEN 'confirmed' ELSE 'uncertain' END AS band FROM reach GROUP BY x""")
 def identity_components(spark, sf_dir):
     link.checkpointed(spark)
     nodes = _names(spark, sf_dir)
@@ -469,7 +522,10 @@ def eval_metrics(spark, sf_dir):
     return m.select("digests", "candidates", "selected", "over_cap", "selected_stories", "selected_notes", "care_more", "care_less", F.round("ndcg", 6).alias("ndcg"), F.round("precision", 6).alias("precision"))
 
 
-@query()
+EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
+
+
+@query(f"SELECT story_id, a.verdict AS verdict_a, b.verdict AS verdict_b FROM (WITH {_full_sql(5, 20, EPOCH, True)} SELECT * FROM decided) a JOIN (WITH {_full_sql(2, 5, EPOCH, True)} SELECT * FROM decided) b USING (story_id)")
 def replay_ab(spark, sf_dir):
     """Verdicts under the default configuration and under one with a tenth of the story cap's reach."""
     c = _linked(spark, sf_dir).withColumn("digest_id", F.col("subscriber"))

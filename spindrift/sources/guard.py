@@ -31,5 +31,6 @@ def allowed_url(url: Column) -> Column:
 
 
 def permanent_failure(status: Column, error: Column) -> Column:
-    """Failures that a later try won't mend."""
-    return error.isin("blocked_address", "not_html", "too_large", "too_many_redirects", "bad_url") | (status.between(400, 499) & ~status.isin(408, 425, 429))
+    """Failures that a later try won't mend; null counts as none."""
+    lasting = error.isin("blocked_address", "not_html", "too_large", "empty", "too_many_redirects", "bad_url")
+    return F.coalesce(lasting, F.lit(False)) | F.coalesce(status.between(400, 499) & ~status.isin(408, 429), F.lit(False))

@@ -1,40 +1,91 @@
-"""Incremental clusters: a stream of events folded into snapshots, batch by batch."""
+"""Incremental clusters: a stream of events folded into Parquet tables, batch by batch.
+
+Every table is appended to, a partition for each micro-batch, which is written over if the batch comes
+again; so a batch counts once, and nothing that was written before is written anew. Within a batch rows are
+dealt into buckets, by what they are looked up by, and only the buckets that a batch touches are read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.mutations import SnapshotStore
-from ..operators.rollup import append_new, in_groups, rollup
+from ..operators.rollup import KEY, append_new, in_groups, rollup
 
 DEDUP = ["source", "stable_id", "scope_kind", "owner"]
+#: Buckets of a table; so many partitions at most does a batch write.
+BUCKETS = 64
+
+
+def _bucket(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def _write(df: DataFrame, root: str, table: str, batch: int, columns: list[str]) -> None:
+    df.withColumn("bucket", _bucket(columns)).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{table}/batch={batch}")
+
+
+def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    """A table's rows with their batch and bucket."""
+    return spark.read.schema(f"{schema}, batch long, bucket int").option("basePath", f"{root}/{table}").parquet(f"{root}/{table}/batch=*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
 
+def _touched(df: DataFrame, columns: list[str]) -> list[int]:
+    """The buckets that rows fall into: BUCKETS numbers at most."""
+    return [r[0] for r in df.select(_bucket(columns)).distinct().collect()]
 
-def fold_batch(store: SnapshotStore, batch: DataFrame) -> None:
-    """Append a batch's new events to the log, fold the groups they touch anew from all their events, and
-    publish the clusters. Late events are never dropped, and a batch that comes again changes nothing."""
+
+def fold_batch(root: str, batch: DataFrame, number: int) -> None:
+    """Append a batch's new events, and the clusters of the groups that they touch, folded anew from all
+    their events. Late events are never dropped, and a batch that comes again changes nothing."""
     spark = batch.sparkSession
-    empty = spark.createDataFrame([], batch.schema)
-    log = store.read("event", empty)
-    fresh = append_new(log, batch, DEDUP)
-    store.write("event", log.unionByName(fresh))
-    now = store.read("event")
-    touched = batch.select("scope_kind", "owner", "source", "group_key").distinct()
-    folded = rollup(in_groups(now, touched))
-    old = store.read("cluster", spark.createDataFrame([], folded.schema))
-    store.write("cluster", old.join(folded.select("cluster_id"), "cluster_id", "left_anti").unionByName(folded))
-
-
-def run_available(spark: SparkSession, events: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
+    batch = batch.persist()
+    schema, keys = _ddl(batch), _ddl(batch.select(*DEDUP))
+    if number > 0:
+        known = _read(spark, root, "key", keys).filter((F.col("batch") < number) & F.col("bucket").isin(_touched(batch, DEDUP))).select(*DEDUP)
+    else:
+        known = spark.createDataFrame([], batch.select(*DEDUP).schema)
+    _write(append_new(known, batch, DEDUP), root, "event", number, KEY)
+    fresh = _read(spark, root, "event", schema).filter(F.col("batch") == number)
+    _write(fresh.select(*DEDUP), root, "key", number, DEDUP)
+    groups = fresh.select(*KEY).distinct()
+    mine = _read(spark, root, "event", schema).filter((F.col("batch") <= number) & F.col("bucket").isin(_touched(groups, KEY))).drop("batch", "bucket")
+    _write(rollup(in_groups(mine, groups)), root, "cluster", number, ["cluster_id"])
+    batch.unpersist()
+
+
+def events(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The events so far."""
+    return _read(spark, root, "event", schema).drop("batch", "bucket")
+
+
+def clusters(spark: SparkSession, root: str) -> DataFrame:
+    """The clusters so far: of each, what the last batch that touched it made of it."""
+    found = spark.read.option("basePath", f"{root}/cluster").parquet(f"{root}/cluster/batch=*")
+    columns = [c for c in found.columns if c not in ("batch", "bucket")]
+    last = found.groupBy("cluster_id").agg(F.max_by(F.struct(*columns), "batch").alias("x"))
+    return last.select("x.*")
+
+
+def run_available(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Fold what a stream of events has, then stop. The checkpoint stands for the cursor."""
-    query = events.writeStream.foreachBatch(lambda batch, _: fold_batch(store, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = events.writeStream.foreachBatch(lambda batch, number: fold_batch(root, batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def bounds(through, now, grace_secs: int = 90):
+def poll_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Captured responses of a source, one JSON object a line, as a stream: each file is read once, and the
+    query's checkpoint is the cursor."""
+    return spark.readStream.schema(schema).json(path)
+
+
+def bounds(through: Column, now: Column, grace_secs: int = 90) -> tuple[Column, Column]:
     """(lo, hi] of the next build on ingest time: from the watermark to now less a grace."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return F.coalesce(through, epoch), now - F.expr(f"interval {grace_secs} seconds")

@@ -6,12 +6,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.functions import scoring, text
-from spindrift.operators import candidates, digest, evaluate, link, mutations, rollup, select, status, threads
+from spindrift.functions import prose, scoring, text
+from spindrift.operators import candidates, digest, evaluate, generate, link, maintain, mutations, rollup, select, status, summaries, threads
 from spindrift.schema import Scoring
 from spindrift.scope import Context, finalize_scope, scoped
 from spindrift.sources import feeds, github, guard
 from spindrift.streaming import incremental
+from spindrift.plans import jobs  # noqa: F401  (adds its queries)
 from spindrift.plans.queries import QUERIES
 
 T0 = datetime(2024, 1, 10)
@@ -197,15 +198,34 @@ def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
-def test_text(spark):
-    lit = F.lit
-    e = one(spark, text.derive_entities(lit("See (https://www.Example.com/Path/#x), xcve-2024-1234 cve-2024-12345"), lit(None).cast("string"), F.array(lit("HTTP://a.org"))))
+def test_entities_are_derived(spark):
+    """Only marks after an address are trimmed, so that one behind a bracket is none."""
+    said = F.lit("See https://www.Example.com/Path/#x), (https://b.org xcve-2024-1234 cve-2024-12345")
+    e = one(spark, text.derive_entities(said, F.lit(None).cast("string"), F.array(F.lit("HTTP://a.org"))))
     assert e == ["cve:CVE-2024-12345", "domain:a.org", "domain:example.com", "url:http://a.org", "url:https://www.example.com/Path"]
+
+
+def test_similarity_and_names(spark):
+    lit = F.lit
     assert one(spark, text.lexical_similarity(lit("night"), lit("nacht"))) == pytest.approx(0.25)
     assert one(spark, text.lexical_similarity(lit("a b"), lit("b-c"))) == pytest.approx(1 / 3)
     assert one(spark, text.canonicalize(lit(" Repo:Acme/X "))) == "repo:Acme/X"
-    assert one(spark, text.defang(lit("see  acme.com,\nnow"))) == "see  acme[.]com,\nnow"
     assert one(spark, text.auto_label(F.array(lit("user:d"), lit("repo:acme/auth"), lit("cve:CVE-1")))) == "acme/auth +2"
+
+
+def test_defang_and_markup(spark):
+    lit = F.lit
+    assert one(spark, text.defang(lit("see  acme.com,\nnow"))) == "see  acme[.]com,\nnow"
+    html = "<html><nav>x</nav><article><p>Hello &amp;  <b>world</b></p><script>no</script> # </article></html>"
+    assert one(spark, text.html_text(text.article_html(lit(html)))) == "Hello & world"
+    assert one(spark, text.truncate_words(lit("alpha beta gamma"), 12)) == "alpha beta"
+    assert one(spark, text.escape(text.clean(lit("a\x07<b> & 'c'")))) == "a&lt;b&gt; &amp; &#39;c&#39;"
+    assert [one(spark, text.safe_href(lit(u))) for u in ("HTTPS://e.org", "javascript:x")] == ["HTTPS://e.org", None]
+    assert one(spark, text.strip_reasoning(lit("<think>so</think> yes"))) == "yes"
+
+
+def test_summaries_are_gated(spark):
+    lit = F.lit
     gate = lambda h, t, refs=(): one(spark, text.faithful(lit(h), lit(t), F.array(*map(lit, refs)).cast("array<string>"), F.array(lit("repo:a")), lit("12% of 40")))
     assert gate("Outage", "12% failed") is None
     assert gate("x" * 91, "") == "too_long"
@@ -213,9 +233,31 @@ def test_text(spark):
     assert gate("Outage", "a huge day") == "banned_word:huge"
     assert gate("Outage", "at acme.com") == "url_in_prose:acme.com"
     assert gate("Outage", "so", ["user:e"]) == "ungrounded_entity:user:e"
-    html = "<html><nav>x</nav><article><p>Hello &amp;  <b>world</b></p><script>no</script> # </article></html>"
-    assert one(spark, text.html_text(text.article_html(lit(html)))) == "Hello & world"
-    assert one(spark, text.truncate_words(lit("alpha beta gamma"), 12)) == "alpha beta"
+
+
+def test_banned_words_come_in_order(spark):
+    cases = {"your exciting day": "exciting", "for you!": "you", "weird!": "!", "game changing": "game changing", "We.": "we", "yours": None, None: None, "_huge_": "huge"}
+    assert {k: one(spark, text.banned_word(F.lit(k))) for k in cases} == cases
+
+
+def test_prose(spark):
+    lit, arr = F.lit, lambda *x: F.array(*map(F.lit, x))
+    assert [one(spark, prose.time_of_day(lit(h))) for h in (4, 5, 8, 13, 17, 21, 22)] == ["Burning the midnight oil", "Bright and early", "Good morning", "Good midday", "Good afternoon", "Good evening", "Burning the midnight oil"]
+    assert one(spark, prose.greeting(lit(9), lit("weekly"), lit(22), lit(" Ann "))) == "Good morning, Ann, your weekly digest is ready."
+    assert one(spark, prose.compose_lead(arr("...", " Auth is back! ", "x"))) == "Leading this digest: Auth is back, with 2 more updates below."
+    assert one(spark, prose.compose_lead(arr("Auth is back!"))) == "Leading this digest: Auth is back!"
+    assert one(spark, prose.compose_lead(arr("a", "b"))) == "Leading this digest: a, with 1 more update below."
+    assert [one(spark, prose.compose_lead(x)) for x in (arr("???"), F.array().cast("array<string>"))] == ["", ""]
+    assert one(spark, prose.compose_tldr(arr("a", " ", "b!", "c", "d", "e"))) == "a. b! c. d."
+    assert one(spark, prose.reason_line(lit("story"), lit(""), lit(1.5))) == "Story · — · relevance 1.50"
+    assert [one(spark, prose.clean_label(lit(x))) for x in (" Auth ", "", "x" * 49, "your day", "at acme.com")] == ["Auth", None, None, None, None]
+    assert [one(spark, prose.clean_delta(lit(x))) for x in ("cutover landed.", "a b c d e f g", "!")] == ["cutover landed", None, None]
+    assert [one(spark, prose.clean_lead(lit(x), lit("3 items"))) for x in ("All 3 are up", "All 4 are up")] == ["All 3 are up", None]
+    assert one(spark, prose.join_runs(arr("data centres,", "Ann", "Paris", "; so (", "x", ")"))) == "data centres, Ann Paris; so (x)"
+    item = prose.plain_item(lit(1), lit("story"), lit("see acme.com"), lit(""), lit("javascript:x"), lit("rss"), lit("now"), lit("why not"), lit(None).cast("string"), lit(None).cast("string"))
+    assert one(spark, item) == "1. [STORY] see acme[.]com\n   rss · now\n   why: why not\n\n"
+    assert one(spark, prose.plain_body(lit("Hello."), lit(""), lit("today"), F.array(lit("x")))) == "Hello.\n\nYour digest for the window ending today\n\nx"
+    assert [one(spark, scoring.impact_score(lit(x))) for x in (" Major", "odd", None)] == [3, 0, 0]
 
 
 def test_feeds(spark):
@@ -225,6 +267,8 @@ def test_feeds(spark):
     got = [(r["feed"], r["id"], r["title"], r["body"], r["link"], r["published"]) for r in items.orderBy("feed", "id").collect()]
     at = datetime(2024, 1, 2, 3, 4, 5)
     assert got == [(1, "T2", "T2", None, None, None), (1, "g1", "T1", "Hi you", "https://e.org/1", at), (2, "a1", "A", "body", "https://e.org/a", at)]
+    odd = feeds.parse_feed(spark.createDataFrame([(1, "not xml"), (2, None), (3, "<other/>"), (4, "<rss><channel/></rss>")], "feed long, xml string"))
+    assert odd.count() == 0
     kinds = [r["content_kind"] for r in feeds.to_events(items, F.lit(at).cast("timestamp_ntz")).orderBy("stable_id").collect()]
     assert kinds == ["announcement", "longform", "longform"]
 
@@ -234,6 +278,7 @@ def test_github(spark):
     push = '{"id":"10","type":"PushEvent","actor":{"login":"bob"},"repo":{"name":"acme/x"},"public":false,"payload":{"ref":"refs/heads/main","head":"abc"}}'
     r = {x["stable_id"]: x for x in github.seal(github.map_events(spark.createDataFrame([(issue,), (push,)], "raw string"))).collect()}
     assert set(r) == {"issue:5:opened", "push:acme/x:abc"}
+    assert (r["push:acme/x:abc"]["title"], r["push:acme/x:abc"]["severity"], r["issue:5:opened"]["severity"]) == ("acme/x: push to refs/heads/main", 0, 1)
     assert r["issue:5:opened"]["group_key"] == "gh:acme/x#issue-7" and r["issue:5:opened"]["content_kind"] == "longform"
     assert "url:https://github.com/acme/x/issues/7" in r["issue:5:opened"]["entities"] and "repo:acme/x" in r["issue:5:opened"]["entities"]
     assert r["push:acme/x:abc"]["private"] and not r["issue:5:opened"]["private"]
@@ -242,6 +287,26 @@ def test_github(spark):
     assert [one(spark, guard.allowed_url(F.lit(u))) for u in ("https://e.org/x", "http://localhost/", "ftp://e.org", "https://u@e.org", "http://10.1.2.3/")] == [True, False, False, False, False]
 
 
+def test_webhooks_are_the_events_that_a_poll_finds(spark):
+    body = '{"action":"opened","issue":{"id":5,"number":7,"title":"A \\"bug\\"","updated_at":"2024-01-02T03:04:05Z"},"repository":{"full_name":"acme/x","private":true},"sender":{"login":"ann"},"installation":{"id":77}}'
+    sent = spark.createDataFrame([("issues", "d1", body), ("star", "d2", '{"installation":{"id":1}}')], "event string, delivery_id string, body string")
+    known = spark.createDataFrame([(3, 8, "github", "77")], "connection_id long, owner long, source string, provider_account_id string")
+    at = F.lit(datetime(2024, 5, 6)).cast("timestamp_ntz")
+    (got,) = github.map_events(github.from_webhooks(github.route(sent, known), at)).collect()
+    assert (got["stable_id"], got["group_key"], got["title"]) == ("issue:5:opened", "gh:acme/x#issue-7", 'acme/x issue opened: A "bug"')
+    assert (got["event_time"], got["login"], got["private"]) == (datetime(2024, 1, 2, 3, 4, 5), "ann", True)
+    late = github.map_events(github.from_webhooks(sent, at)).filter("login = ''").first()
+    assert (late["event_time"], late["private"]) == (datetime(2024, 5, 6), False)
+
+
+def test_polls_stop_at_what_was_seen(spark):
+    rows = [(1, "r", 0, "e5", True), (1, "r", 1, "e4", True), (1, "r", 2, "e3", True), (1, "s", 0, "f1", False), (2, "r", 0, "g1", False)]
+    polled = spark.createDataFrame(rows, "connection_id long, repo string, place int, id string, repo_private boolean")
+    fresh, moved = github.new_of_poll(polled, spark.createDataFrame([(1, "r", "e4"), (1, "s", "gone"), (9, "q", "h1")], "connection_id long, repo string, last_id string"))
+    assert sorted((r["id"], r["private"]) for r in fresh.collect()) == [("e5", True), ("f1", False), ("g1", False)]
+    assert sorted(tuple(r) for r in moved.collect()) == [(1, "r", "e5"), (1, "s", "f1"), (2, "r", "g1"), (9, "q", "h1")]
+
+
 def test_stream_in_any_split_is_one_rollup(spark, sf_dir, tmp_path):
     from spindrift.plans.adapters import event_log
 
@@ -249,12 +314,18 @@ def test_stream_in_any_split_is_one_rollup(spark, sf_dir, tmp_path):
     for part in range(3):
         log.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     log.limit(50).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # some come again
-    store = mutations.SnapshotStore(spark, str(tmp_path / "store"))
+    root = str(tmp_path / "tables")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    incremental.run_available(spark, stream, store, str(tmp_path / "ck"))
+    incremental.run_available(stream, root, str(tmp_path / "ck"))
     said = lambda df: sorted(map(str, df.drop("updated_at").collect()))
-    assert said(store.read("cluster")) == said(rollup.rollup(log))
-    assert store.read("event").count() == log.count()
+    assert said(incremental.clusters(spark, root)) == said(rollup.rollup(log).select(*incremental.clusters(spark, root).columns))
+    schema = incremental._ddl(log)
+    assert incremental.events(spark, root, schema).count() == log.count()
+    last = max(r["batch"] for r in spark.read.parquet(f"{root}/event").select("batch").distinct().collect())
+    incremental.fold_batch(root, incremental.events(spark, root, schema).limit(40), last)  # the last batch comes again, with what is known
+    assert incremental.events(spark, root, schema).count() <= log.count()
+    first = [r[0] for r in spark.range(1).select(*incremental.bounds(F.lit(None).cast("timestamp_ntz"), F.lit(T0).cast("timestamp_ntz"))).collect()[0:1]]
+    assert first == [datetime(1970, 1, 1)]
 
 
 def test_upserts(spark):
@@ -294,3 +365,95 @@ def test_selection_takes_linked_stories(spark, sf_dir):
     assert any(r["richness"] == "multi-source" for r in found)
     counts = {r["verdict"]: r["n"] for r in QUERIES["story_verdict_counts"](spark, sf_dir).collect()}
     assert counts == {v: sum(r["verdict"] == v for r in found) for v in {r["verdict"] for r in found}} and "selected" in counts
+
+
+def test_captured_responses_stream_into_feed_events(spark, tmp_path):
+    rss = "<rss><channel><item><guid>g{0}</guid><title>T{0}</title></item></channel></rss>"
+    spark.createDataFrame([(1, 200, rss.format(1)), (2, 304, None), (3, 500, "x")], "connection_id long, status int, xml string").coalesce(1).write.json(str(tmp_path / "in"))
+    schema = "connection_id long, status int, xml string"
+    stream = feeds.poll(incremental.poll_stream(spark, str(tmp_path / "in"), schema))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(r["connection_id"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "g1")]
+
+
+def test_second_window_sees_the_first(spark, sf_dir):
+    """Stories keep their ids, delivered ones come back only as notes or with news, and nobody gets too many."""
+    found = QUERIES["second_window"](spark, sf_dir).collect()
+    assert any(r["before"] for r in found) and any(not r["before"] for r in found)
+    assert any(r["resurfaced"] for r in found) and all(r["format"] == "note" for r in found if r["resurfaced"])
+    per: dict = {}
+    for r in found:
+        if r["verdict"] == "selected":
+            per.setdefault(r["subscriber"], []).append(r)
+    assert all(len(x) <= 10 and sum(r["format"] == "story" for r in x) <= 4 for x in per.values())
+    assert all(sorted(r["position"] for r in x) == list(range(len(x))) for x in per.values())
+
+
+def test_persisted_stories_are_stamped_only_if_changed(spark):
+    at = lambda d: F.lit(T0 + timedelta(days=d)).cast("timestamp_ntz")
+    story = "subscriber long, story_id string, clusters array<string>, first_event_time timestamp_ntz, last_event_time timestamp_ntz, event_count long, source_diversity long, depth_rank int, max_severity int, merged_into string"
+    row = lambda i, c: (1, i, c, T0, T0, 1, 1, 0, None, None)
+    before = spark.createDataFrame([row("a", ["x"]), row("b", ["y"]), row("c", ["z"])], story).select("*", F.lit(None).cast("timestamp_ntz").alias("last_delivered_at"), at(0).alias("minted_at"), at(0).alias("updated_at"))
+    stories = spark.createDataFrame([row("a", ["x"]), row("b", ["y", "z"])], story).drop("clusters", "merged_into")
+    members = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (1, "b", "z")], "subscriber long, story_id string, cluster_id string")
+    merges = spark.createDataFrame([("c", "b")], "loser string, survivor string")
+    out = {r["story_id"]: r for r in generate.persist(generate.Generated(None, None, members, stories, merges, None), before, at(5)).collect()}
+    assert (out["a"]["updated_at"], out["b"]["updated_at"], out["c"]["updated_at"]) == (T0, T0 + timedelta(days=5), T0 + timedelta(days=5))
+    assert (out["c"]["merged_into"], out["c"]["clusters"], out["b"]["clusters"]) == ("b", [], ["y", "z"])
+    again = generate.prior_members(generate.persist(generate.Generated(None, None, members, stories, merges, None), before, at(5)))
+    assert sorted((r["story_id"], r["cluster_id"]) for r in again.collect()) == [("a", "x"), ("b", "y"), ("b", "z")]
+
+
+def test_delivery_moves_everything_together(spark):
+    at = F.lit(T0).cast("timestamp_ntz")
+    none = F.lit(None).cast("timestamp_ntz")
+    stories = spark.createDataFrame([("s",), ("t",)], "story_id string").withColumn("last_delivered_at", none)
+    digests = spark.createDataFrame([(1, 7, T0)], "digest_id long, subscriber long, window_end timestamp_ntz").withColumn("delivered_at", none)
+    items = spark.createDataFrame([(1, "s")], "digest_id long, story_id string")
+    users = spark.createDataFrame([(7,), (8,)], "subscriber long").select("subscriber", none.alias("last_run"), none.alias("next_run_at"))
+    s, d, u = generate.deliver(stories, digests, items, users, at, at)
+    assert {r["story_id"]: r["last_delivered_at"] for r in s.collect()} == {"s": T0, "t": None}
+    assert d.first()["delivered_at"] == T0 and {r["subscriber"]: r["last_run"] for r in u.collect()} == {7: T0, 8: None}
+    later = F.lit(T0 + timedelta(days=1)).cast("timestamp_ntz")
+    again, _, _ = generate.deliver(s, d, items, u, later, later)
+    assert {r["story_id"]: r["last_delivered_at"] for r in again.collect()} == {"s": T0, "t": None}
+
+
+def test_older_ids_survive(spark):
+    comp = spark.createDataFrame([("x", "x"), ("y", "x"), ("z", "z")], "cluster_id string, component string")
+    prior = spark.createDataFrame([("x", "a-new", False, T0 + timedelta(days=1)), ("y", "z-old", False, T0)], "cluster_id string, story_id string, delivered boolean, minted_at timestamp_ntz")
+    ids, merges = link.forward_ids(comp, prior)
+    assert {r["component"]: r["story_id"] for r in ids.collect()}["x"] == "z-old"
+    assert [(r["loser"], r["survivor"]) for r in merges.collect()] == [("a-new", "z-old")]
+
+
+def test_maintained_threads(spark):
+    """A community keeps the thread that it matches and takes in another; an unmatched thread is carried on."""
+    t = lambda d: T0 + timedelta(days=d)
+    src = spark.createDataFrame([(1, f"s{i}", t(i), ["repo:a", "repo:b", "user:c"], ["rss", "forge"][: i % 2 + 1]) for i in range(4)] + [(2, "s9", t(0), ["repo:a"], ["rss"])], "subscriber long, story_id string, last_event_time timestamp_ntz, entities array<string>, sources array<string>")
+    prior = spark.createDataFrame(
+        [(1, "t1", ["repo:a", "repo:b"], 1.0, False, None, None), (1, "t2", ["repo:b", "user:c"], 1.0, False, None, None), (1, "t3", ["repo:z"], 2.0, False, None, t(-100)), (2, "t1", ["repo:a"], 3.0, True, None, None)],
+        "subscriber long, thread_id string, entities array<string>, affinity double, pinned boolean, first_seen timestamp_ntz, last_story_time timestamp_ntz",
+    )
+    care = spark.createDataFrame([(1, "t1", 1.0), (1, "t2", 2.0)], "subscriber long, thread_id string, care double")
+    now = F.lit(t(3)).cast("timestamp_ntz")
+    written, weights = maintain.maintain(src, prior, care, now, now)
+    got = {(r["subscriber"], r["thread_id"]): r for r in written.collect()}
+    assert set(got) == {(1, "t1"), (1, "t3"), (2, "t1")} and got[1, "t1"]["absorbed"] == ["t2"]
+    assert (got[1, "t1"]["story_count"], got[1, "t1"]["source_diversity"], got[1, "t1"]["affinity"], got[1, "t1"]["band"]) == (4, 2, 4.0, "confirmed")
+    assert (got[1, "t3"]["state"], got[1, "t3"]["story_count"], got[2, "t1"]["story_count"]) == ("archived", 0, 1)
+    assert {(r["subscriber"], r["entity"]) for r in weights.collect()} == {(1, "repo:a"), (1, "repo:b"), (1, "user:c"), (2, "repo:a")}
+    stored = prior.select("subscriber", "thread_id", "entities", "affinity", "pinned", F.lit("active").alias("state"), "first_seen", "last_story_time", F.lit(None).cast("string").alias("merged_into"))
+    saved = {(r["subscriber"], r["thread_id"]): r["merged_into"] for r in maintain.save_threads(stored, written).collect()}
+    assert saved == {(1, "t1"): None, (1, "t2"): "t1", (1, "t3"): None, (2, "t1"): None}
+
+
+def test_retries_and_relations(spark):
+    lit = F.lit
+    assert spark.range(1).select(*summaries.for_attempt(lit(5).cast("long"), lit(0.2), lit(2))).first()[:] == ((5 + 2 * 0x9E3779B9) % 2**32, 0.5)
+    assert spark.range(1).select(*summaries.for_attempt(lit(5).cast("long"), lit(0.8), lit(9))).first()[1] == 0.9
+    rel = spark.createDataFrame([(["a"], [("a ", "has", "b"), ("a", "has", "b"), ("x", "has", "b"), ("a", "", "b")])], "e array<string>, r array<struct<subject:string,predicate:string,object:string>>")
+    assert rel.select(summaries.apply_relations(F.col("e"), F.col("r"))).first()[0] == [("a", "has", "b")]
+    f = spark.createDataFrame([(None, "planned", False, "release", "none", True), ("change", None, True, "other", "resolved", False)], "event_type string, state string, tentative boolean, said_type string, said_state string, said_tentative boolean")
+    assert [r[:3] for r in summaries.apply_comprehension(f).collect()] == [("release", "planned", True), ("change", "resolved", False)]
