@@ -1,7 +1,10 @@
 """Exact deduplication by skew-safe combining.
 
 Equal texts are first combined within each partition, then within salted digest groups, then across
-salts. The full text is part of the grouping key at every stage, so that a digest alone never decides.
+salts. The full text is part of the grouping key at every stage, so that a digest alone never decides
+which texts are one group. Where every row is told its group, the rows of repeated texts find it by two
+SHA-256 digests of their text, as the text would have to be shuffled once more; drop_copies() has no such
+step.
 """
 
 from __future__ import annotations

@@ -212,7 +212,7 @@ def identify(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str
     """Each text's language: id_col, lang_pred, score (mean chance of that language, 0 to 1).
 
     All of a text is read, in windows of WINDOW bytes; a window counts by its bytes. A text that is null
-    or has no letter gets `und` and score 0. Of equal chances the first language in order wins. Rows
+    or has no letter gets `und` and score 0, and so does every text if no language was learned. Of equal chances the first language in order wins. Rows
     are independent; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -222,6 +222,9 @@ def identify(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Net = pickle.loads(shipped.value)
         for batch in it:
+            if not net.langs:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([UNKNOWN] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], names=[id_col, "lang_pred", "score"])
+                continue
             raw, starts = byte_runs(batch)
             x, owner, used = windows(raw, starts)
             sums = np.zeros((batch.num_rows, len(net.langs)))

@@ -308,8 +308,8 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id
     keys, freq = np.array([r["id"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
     order = np.argsort(keys)
 
-    shared = _shared(_postings(known_ids, n, num, den, (keys[order], freq[order])))
-    entries = stored(shared)
+    postings = _postings(known_ids, n, num, den, (keys[order], freq[order]))
+    entries = stored(_shared(postings))
     elected = stored(_pivots(entries))
     direct = elected.filter("mark <> pivot").select(F.col("mark").alias("a"), F.col("pivot").alias("b"))
     differs = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))

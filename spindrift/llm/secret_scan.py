@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 A token that no pattern names is a secret if its characters follow the model of random strings better
-than that of identifiers: the log-likelihood ratio per character is above a threshold.
+than that of identifiers: the log-likelihood ratio per character is above a threshold. Both are trained
+on labelled samples, and the model of identifiers also on how characters follow each other in all the
+documents' own words.
 """
 
 from __future__ import annotations
@@ -15,19 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import byte_runs, small_batches, texts_of
 
 #: Kinds in the order in which those that start together are listed.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the models judge: runs of these of at least 20 characters with a digit among them.
+#: What the models judge: runs of these, no shorter than the strings of the labelled sample.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: The ratio per character, in nats, above which a token counts as random.
 THRESHOLD = 0.5
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 INDEX = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0: the start, and any other character
+#: How much the documents' pairs of characters weigh beside those of the sample of identifiers.
+DOCUMENTS_WEIGH = 4.0
 
 #: Words of which identifiers are made for the ordinary sample.
 WORDS = (
@@ -59,17 +63,48 @@ class Model:
         return float(self.ratio[[0, *at[:-1]], at].mean()) if at else 0.0
 
 
-def fit(random: list[str], ordinary: list[str], *, smooth: float = 0.5) -> Model:
-    """The models' ratio, from labelled samples of both kinds."""
+def fit(random: list[str], ordinary: list[str], *, smooth: float = 0.5, documents: np.ndarray | None = None) -> Model:
+    """The models' ratio, from labelled samples of both kinds; documents: counts of character pairs, as
+    document_pairs() gives them, that the ordinary ones weigh with."""
 
-    def chain(tokens: list[str]) -> np.ndarray:
-        n = np.full((len(ALPHABET) + 1,) * 2, smooth)
+    def counts(tokens: list[str]) -> np.ndarray:
+        n = np.zeros((len(ALPHABET) + 1,) * 2)
         for token in tokens:
             at = [INDEX.get(c, 0) for c in token]
             np.add.at(n, ([0, *at[:-1]], at), 1)
-        return np.log(n / n.sum(1, keepdims=True))
+        return n
 
-    return Model(chain(random) - chain(ordinary))
+    plain = counts(ordinary)
+    if documents is not None and documents.sum():
+        plain += documents * (DOCUMENTS_WEIGH * plain.sum() / documents.sum())
+    chances = lambda n: np.log((n + smooth) / (n + smooth).sum(1, keepdims=True))
+    return Model(chances(counts(random)) - chances(plain))
+
+
+def document_pairs(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
+    """How often each character of ALPHABET follows each other, or the start of a run of them, in all texts:
+    counted in tasks and summed, so that what comes here is the square of the alphabet at most."""
+    small_batches(docs.sparkSession)
+    size = len(ALPHABET) + 1
+    codes = np.zeros(256, np.int64)
+    for c, i in INDEX.items():
+        codes[ord(c)] = i
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in it:
+            raw, starts = byte_runs(batch)
+            here = codes[raw]
+            before = np.concatenate([[0], here[:-1]])[: len(here)]
+            before[starts[:-1][starts[:-1] < len(here)]] = 0
+            total += np.bincount((before * size + here)[here > 0], minlength=size * size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    out = np.zeros(size * size)
+    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(size, size)
 
 
 def default_samples(n: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
@@ -116,8 +151,7 @@ def more_spans(text: str, base: list[tuple[int, int, int]], model: Model, thresh
             i += 1
         if reach > m.start():
             continue
-        token = m[0]
-        if any(map(str.isdigit, token)) and model.per_char(token) > threshold:
+        if model.per_char(m[0]) > threshold:
             out.append((m.start(), 3, m.end()))
     return out
 
