@@ -75,6 +75,12 @@ def slices(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def thin(df: DataFrame) -> DataFrame:
+    """df in an eighth of a shuffle's partitions: for rows of a few numbers, so that a table of them isn't
+    written as many files of next to nothing."""
+    return df.coalesce(max(1, slices(df.sparkSession) // 8))
+
+
 def crc_fold(doc_id) -> F.Column:
     """crc32 of the id's decimal text modulo 5; 0 marks the held-out fold."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(0)).cast("string").cast("binary")) % 5

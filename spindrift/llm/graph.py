@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, number_batches
+from .common import durable, number_batches, thin
 
 #: Edges that a task unites at once before it sends on what is left of them.
 UNITE = 1 << 18
@@ -80,16 +80,21 @@ def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) of integer ids: rows (id, component) for every id of an edge, component being the
     smallest id reachable. Loops and repeated edges do no harm; no edges give no rows.
 
-    Large-star and small-star steps alternate until nothing changes, which takes a number of rounds that
-    grows with the logarithm of the size; the state of each round is kept in the shared folder.
+    Tasks first replace their own edges by spanning forests. Large-star and small-star steps then alternate
+    until nothing changes, or until the edges left fit one part of the bounded size UNITE; this takes a number
+    of rounds that grows with the logarithm of the size. The state of each is kept in the shared folder.
     """
     spark = edges.sparkSession
     ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
     with number_batches(spark):
-        now = durable(_contract(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")).distinct())
+        now = durable(thin(_contract(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")).distinct()))
         mark = _mark(now)
         while mark[0]:
-            now = durable(_contract(_step(now)).distinct())
+            # what is left of the edges may be few enough for one part, which makes stars of all of them
+            if mark[0] <= UNITE // 2:
+                now = durable(_contract(now.coalesce(1)))
+                break
+            now = durable(thin(_contract(_step(now)).distinct()))
             was, mark = mark, _mark(now)
             if mark == was:
                 break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, batches, byte_runs, durable, mixed, number_batches, slices, small_batches, stored, word_hashes
+from .common import STEP, batches, byte_runs, durable, mixed, number_batches, slices, small_batches, stored, thin, word_hashes
 from .graph import components
 
 #: How many common n-grams the order knows of (a bound of what is broadcast; it changes the work, not the
@@ -260,7 +260,7 @@ def _derived(kin: DataFrame, num: int, den: int) -> DataFrame:
     )
     pairs = one.join(two, met).select(F.col("i.mark").alias("a"), F.col("j.mark").alias("b")).distinct()
     side = lambda c: kin.select(F.col("mark").alias(f"m{c}"), F.col("w").alias(f"w{c}"), F.col("differs").alias(f"x{c}"), *([F.col("p")] if c == "a" else []))
-    tried = stored(pairs).join(side("a"), F.col("a") == F.col("ma")).join(side("b"), F.col("b") == F.col("mb"))
+    tried = pairs.join(side("a"), F.col("a") == F.col("ma")).join(side("b"), F.col("b") == F.col("mb"))
     return tried.filter(both * F.size(F.array_intersect("xa", "xb")) >= F.col("wa") + F.col("wb") - gap).select("a", "b")
 
 
@@ -269,7 +269,7 @@ def _across(entries: DataFrame, num: int, den: int) -> DataFrame:
     class). A list's entries of its largest family are never held against each other."""
     span = _span(num, den)
     lists = entries.groupBy(F.col("gram").alias("g")).agg(F.min("family").alias("fl"), F.max("family").alias("fh"), F.min("class").alias("cl"), F.max("class").alias("ch"))
-    open_ = stored(entries.join(lists.filter("fl < fh and cl < ch").select("g"), F.col("gram") == F.col("g"), "left_semi"))
+    open_ = entries.join(lists.filter("fl < fh and cl < ch").select("g"), F.col("gram") == F.col("g"), "left_semi")
     most = open_.groupBy("gram", "family").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("gram").alias("g")).agg(F.max(F.struct("c", "family")).alias("x"))
     told = open_.join(most.select("g", F.col("x.family").alias("top")), F.col("gram") == F.col("g")).drop("g").withColumn("main", F.col("family") == F.col("top"))
     told = stored(told)
@@ -310,28 +310,28 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id
 
     postings = _postings(known_ids, n, num, den, (keys[order], freq[order]))
     entries = stored(_shared(postings))
-    elected = stored(_pivots(entries))
+    elected = stored(thin(_pivots(entries)))
     direct = elected.filter("mark <> pivot").select(F.col("mark").alias("a"), F.col("pivot").alias("b"))
     differs = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
     told = stored(_with_sets(direct, _sets_of(direct, known_ids, named, n)).withColumn("near", 100 * F.col("o") >= KIN * (F.col("n") + F.col("m") - F.col("o"))).select(
         "a", "b", "n", "m", "o", _linked(num, den).alias("linked"), "near", F.when(F.col("near"), differs).alias("differs")))
     kin = told.filter("near").select(F.col("a").alias("mark"), F.col("b").alias("pivot"), F.col("m").alias("p"), "n", "o", "linked", "differs")
-    links = durable(told.filter("linked").select("a", "b").unionByName(_derived(kin, num, den)))
+    links = durable(thin(told.filter("linked").select("a", "b").unionByName(_derived(kin, num, den))))
 
-    classes = durable(components(links).select(F.col("id").alias("i"), "component"))
+    classes = durable(thin(components(links).select(F.col("id").alias("i"), "component")))
     family = kin.select(F.col("mark").alias("k"), "pivot")
     placed = entries.join(family, F.col("mark") == F.col("k"), "left").join(classes, F.col("mark") == F.col("i"), "left")
     placed = placed.select("gram", "size", "mark", "place", F.coalesce("pivot", "mark").alias("family"), F.coalesce("component", "mark").alias("class"))
     known = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_across(placed, num, den).join(known, ["a", "b"], "left_anti"))
+    more = stored(thin(_across(placed, num, den).join(known, ["a", "b"], "left_anti")))
     late = _with_sets(more, _sets_of(more, known_ids, named, n)).filter(_linked(num, den)).select("a", "b")
 
     # rows of one id are one document
     twice = full.groupBy(F.col("id").alias("t")).agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi")
     same_id = full.join(twice, F.col("id") == F.col("t")).filter("mark <> lo").select(F.col("mark").alias("a"), F.col("lo").alias("b"))
-    final = durable(components(durable(links.unionByName(late).unionByName(same_id))))
+    final = durable(thin(components(durable(thin(links.unionByName(late).unionByName(same_id))))))
     named = named.join(final, F.col("mark") == F.col("id"), "left").drop("id").filter("component is not null or copies > 1").withColumn("component", F.coalesce("component", "mark"))
-    named = stored(named)
+    named = stored(thin(named))
     least = named.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("first"))
     found = named.join(least, F.col("component") == F.col("c")).select(F.col("mark").alias("m"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = per_doc.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -344,7 +344,7 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, named: DataFrame, n: int) -> Dat
     """The sets (mark, grams) that a pair names, from one document of each. Their ids are sent to the
     documents where they are few; otherwise both sides are shuffled."""
     marks = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    ids = stored(named.join(marks, F.col("mark") == F.col("w"), "left_semi").select(F.col("rep").alias("w")).distinct())
+    ids = stored(named.join(marks, F.col("mark") == F.col("w"), "left_semi").select(F.col("rep").alias("w")).distinct().transform(thin))
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     return stored(_sets(docs.join(ids, F.col("id") == F.col("w"), "left_semi").select("text"), n).dropDuplicates(["mark"]))

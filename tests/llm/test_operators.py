@@ -300,7 +300,10 @@ def test_graph_search_finds_the_nearest():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), true.tolist(), strict=True)]) > 0.9
 
 
-def test_components(spark):
+@pytest.mark.parametrize("unite", [1 << 18, 4])
+def test_components(spark, monkeypatch, unite):
+    """In one part, and in steps."""
+    monkeypatch.setattr(graph, "UNITE", unite)
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (200, 150), (300, 300), (200, 100)]
     assert by_id(graph.components(spark.createDataFrame(edges, "a long, b long")), "component") == {i: (0,) for i in range(61)} | {i: (100,) for i in (100, 150, 200)} | {300: (300,)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
