@@ -48,7 +48,7 @@ def evaluate(decisions: DataFrame, grades: DataFrame) -> DataFrame:
     )
     once = d.filter(picked & F.col("grade").isNotNull()).select("story_id", "grade").distinct()
     votes = once.agg(F.count_if(F.col("grade") == "up").alias("care_more"), F.count_if(F.col("grade") == "down").alias("care_less"))
-    one = total.withColumn("_k", F.lit(1)).join(votes.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    one = total.withColumns({c: votes.select(c).scalar() for c in votes.columns})
     graded = F.col("care_more") + F.col("care_less")
     return one.select(
         "*", graded.alias("graded"), (F.col("selected") / F.greatest("digests", F.lit(1))).alias("mean_items"),

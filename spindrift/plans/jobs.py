@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import prose, scoring
-from ..operators import generate, maintain, records, rollup, summaries, threads
+from ..operators import digest, evaluate, generate, link, maintain, mutations, records, rollup, status, summaries, threads
 from ..schema import Scoring
+from ..scope import finalize_scope
 from ..sources import feeds, github, guard
 from .adapters import NOW, SUBSCRIPTION_SQL, event_log, now, subscriptions, table
 from .queries import AGE, CLUSTERS, _clusters, _ts, _us, query
@@ -86,7 +87,8 @@ ALL_SCORED = f"""{ALL_STORIES}, repos AS (SELECT e, CAST(regexp_extract(e, '[0-9
 def _made(spark, sf_dir, **options) -> generate.Generated:
     shown = spark.createDataFrame([], "subscriber long, story_id string, shown_time timestamp_ntz, shown_format string, window_end timestamp_ntz")
     prior = spark.createDataFrame([], generate.NO_PRIOR)
-    return generate.link_and_select(_clusters(spark, sf_dir).checkpoint() if spark.sparkContext.getCheckpointDir() else _clusters(spark, sf_dir), subscriptions(spark, sf_dir), _users(spark, sf_dir), prior, shown, _threads(spark, sf_dir), now(), STRICT, **options)
+    link.checkpointed(spark)
+    return generate.link_and_select(_clusters(spark, sf_dir).checkpoint(), subscriptions(spark, sf_dir), _users(spark, sf_dir), prior, shown, _threads(spark, sf_dir), now(), STRICT, **options)
 
 
 @query(f"WITH {ALL_CANDIDATES} SELECT subscriber, cluster_id FROM cand")
@@ -442,3 +444,100 @@ def maintain_threads(spark, sf_dir):
     care = prior.select("subscriber", "thread_id", F.lit(1.0).alias("care"))
     written, _ = maintain.maintain(src, prior, care, _ts("2024-01-30"), now())
     return written.select("subscriber", "thread_id", "story_count", "state", "band", "label", F.round("affinity", 6).alias("affinity"), F.size("absorbed").alias("absorbed"))
+
+
+# --- whole-width versions of narrower queries ---------------------------------------------------------------
+
+EVALS = """d AS (SELECT doc_id, coalesce(source, '') AS digest_id, n_chars, CASE WHEN doc_id % 10 = 0 THEN 'stale_for_cadence' WHEN doc_id % 10 = 1 THEN 'below_floor' END AS cause FROM documents),
+  k AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY n_chars DESC, doc_id) - 1 AS r FROM d WHERE cause IS NULL),
+  g AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'down' WHEN quality = 1 THEN 'up' END AS grade FROM labels),
+  s AS (SELECT k.*, grade, CASE grade WHEN 'up' THEN 2.0::DOUBLE WHEN 'down' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM k LEFT JOIN g USING (doc_id) WHERE r < 25),
+  o AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY gain DESC, r) - 1 AS j FROM s),
+  per AS (SELECT digest_id, count(*) AS n, count(grade) AS n_graded, CASE WHEN sum(gain) > 0 THEN sum(gain / log2(r + 2.0::DOUBLE)) / sum(gain / log2(j + 2.0::DOUBLE)) END AS ndcg FROM o GROUP BY 1)"""
+
+
+@query(f"""WITH {EVALS} SELECT (SELECT count(DISTINCT digest_id) FROM d) AS digests, (SELECT count(*) FROM d) AS candidates, count(*) AS selected, (SELECT count(*) FROM k WHERE r >= 25) AS over_cap,
+  (SELECT count(*) FROM d WHERE cause = 'below_floor') AS dropped_below_floor, (SELECT count(*) FROM d WHERE cause = 'stale_for_cadence') AS dropped_stale_for_cadence, count(*) FILTER (WHERE n_chars >= 400) AS selected_stories, count(*) FILTER (WHERE n_chars < 400) AS selected_notes,
+  (SELECT count(DISTINCT digest_id) FROM d) - (SELECT count(*) FROM per) AS empty_digests, (SELECT count(DISTINCT digest_id) FROM k WHERE r >= 25) AS cap_limited_digests, count(*) FILTER (WHERE grade = 'up') AS care_more, count(*) FILTER (WHERE grade = 'down') AS care_less, count(grade) AS graded,
+  round(count(*) / (SELECT count(DISTINCT digest_id) FROM d)::DOUBLE, 6) AS mean_items, round(count(*) FILTER (WHERE n_chars >= 400) / count(*)::DOUBLE, 6) AS story_share, round(count(*) FILTER (WHERE grade = 'up') / count(grade)::DOUBLE, 6) AS precision,
+  (SELECT round(avg(ndcg), 6) FROM per WHERE n >= 2 AND n_graded >= 1) AS ndcg FROM s""")
+def eval_report(spark, sf_dir):
+    """All metrics of sources as digests, some of whose documents were too old or not relevant."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("digest_id"), "n_chars", F.when(F.col("doc_id") % 10 == 0, "stale_for_cadence").when(F.col("doc_id") % 10 == 1, "below_floor").alias("cause"))
+    rank = F.row_number().over(W.partitionBy("digest_id", F.col("cause").isNull()).orderBy(F.desc("n_chars"), "doc_id")) - 1
+    d = d.withColumn("r", rank)
+    picked = F.col("cause").isNull() & (F.col("r") < 25)
+    made = d.select("digest_id", F.col("doc_id").alias("story_id"), F.when(F.col("cause").isNotNull(), "dropped").when(picked, "selected").otherwise("over_cap").alias("verdict"), F.when(picked, F.col("r")).alias("position"), "cause", F.when(F.col("n_chars") >= 400, "story").otherwise("note").alias("format"))
+    signal = F.when(F.col("toxic") == 1, "care_less").when(F.col("quality") == 1, "care_more")
+    m = evaluate.evaluate(made, evaluate.latest_grades(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("story_id"), signal.alias("signal"), F.lit(0).alias("created_at"))))
+    return m.select(*[c if c not in ("mean_items", "story_share", "precision", "ndcg") else F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query("""SELECT conv_id, sha256(string_agg(role || chr(0) || CASE WHEN turn % 2 = 0 THEN 'full ' || coalesce(text, '') ELSE coalesce(text, '') END || chr(0) || 'http://e.org/' || turn || chr(31) || chr(0) || 'user:' || role || chr(31) || 'repo:x' || chr(31) || chr(0), '' ORDER BY turn)) AS summary_hash FROM conversations GROUP BY conv_id""")
+def content_hash_full(spark, sf_dir):
+    """Hashes over titles, best texts, links and entities; every other turn has a full text."""
+    c = table(spark, sf_dir, "conversations")
+    full = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("full "), F.coalesce("text", F.lit(""))))
+    e = c.select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("body"), full.alias("full_text"), F.array(F.concat(F.lit("http://e.org/"), F.col("turn").cast("string"))).alias("links"), F.array(F.concat(F.lit("user:"), "role"), F.lit("repo:x")).alias("entities"))
+    return digest.summary_hash(e, ["conv_id"], ["turn"])
+
+
+@query("SELECT o_custkey AS story_id, sha256(string_agg(sha256(CAST(o_orderkey AS VARCHAR)), '' ORDER BY sha256(CAST(o_orderkey AS VARCHAR)))) AS signature FROM orders GROUP BY 1")
+def member_signatures(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("story_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("summary_hash"))
+    return digest.member_signature(m)
+
+
+@query("""SELECT l_orderkey AS digest_id, position, title, CASE (o_custkey + l_linenumber) % 3 WHEN 0 THEN 'T' || l_linenumber WHEN 1 THEN 'possibly T' || l_linenumber END AS thread_label
+  FROM (SELECT l_orderkey, l_linenumber, l_linenumber AS position, max(p_name) AS title FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3) JOIN orders ON l_orderkey = o_orderkey""")
+def render_walk_threads(spark, sf_dir):
+    """Digest items under threads that are sure, likely or not told, a subscriber's own each."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("p_name").alias("title"))
+    digests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("digest_id"), F.col("o_custkey").alias("subscriber"))
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    items = li.select(F.col("l_orderkey").alias("digest_id"), key.alias("story_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("thread_id"))
+    n = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n")
+    who = digests.select("subscriber").distinct().select("subscriber", n)
+    k = (F.col("subscriber") + F.col("n")) % 3
+    t = who.select("subscriber", F.concat(F.lit("t"), F.col("n").cast("string")).alias("thread_id"), F.concat(F.lit("T"), F.col("n").cast("string")).alias("label"), F.when(k == 0, "confirmed").when(k == 1, "probable").otherwise("uncertain").alias("band"))
+    return digest.render_walk(items, digests, li.select(key.alias("story_id"), "title"), t).select("digest_id", "position", "title", "thread_label")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders)
+  SELECT o_custkey AS subscriber, array_to_string(list('o' || o_orderkey ORDER BY p) FILTER (WHERE p < 3), ',') AS dominant, coalesce(array_to_string(list('o' || o_orderkey ORDER BY p) FILTER (WHERE p BETWEEN 3 AND 5), ','), '') AS also FROM r GROUP BY 1""")
+def lead_tiers(spark, sf_dir):
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subscriber"), place.alias("position"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("title"))
+    t = digest.lead_tiers(o)
+    return t.select("subscriber", F.array_join("dominant", ",").alias("dominant"), F.array_join("also", ",").alias("also"))
+
+
+@query("SELECT DISTINCT o_custkey AS subscriber, o_orderkey % 5 AS connection_id FROM orders WHERE o_orderkey % 5 <> 2")
+def subscriptions_left(spark, sf_dir):
+    """Subscriptions asked for twice and once more, less those of a connection that is deleted."""
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subscriber"), (F.col("o_orderkey") % 5).alias("connection_id"))
+    some = s.filter("connection_id < 2").distinct()
+    gone = spark.createDataFrame([(2,)], "connection_id long")
+    return mutations.delete_with({"s": mutations.subscribe(some, s)}, gone, "connection_id")["s"].select("subscriber", "connection_id")
+
+
+@query("SELECT event_id, sha256(CAST(event_id AS VARCHAR)) IS NOT NULL AS sealed, CASE WHEN user_id % 4 = 0 THEN 'private' ELSE 'public' END AS scope_kind, CASE WHEN user_id % 4 = 0 THEN user_id END AS owner FROM events")
+def sealed_scopes(spark, sf_dir):
+    """Scopes as they are sealed from a flag and an owner."""
+    e = table(spark, sf_dir, "events").select("event_id", F.lit(True).alias("sealed"), (F.col("user_id") % 4 == 0).alias("p"), F.col("user_id").alias("u"))
+    return finalize_scope(e, F.col("p"), F.col("u")).select("event_id", "sealed", "scope_kind", "owner")
+
+
+@query("""SELECT s_suppkey AS connection_id FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 2 = 0""")
+def due_connections(spark, sf_dir):
+    k = F.col("s_suppkey")
+    c = table(spark, sf_dir, "supplier").select(k.alias("connection_id"), F.when(k % 3 == 0, "errored").otherwise("active").alias("status"), F.when(k % 2 == 0, now()).otherwise(now() + F.expr("interval 1 second")).alias("next_poll_at"))
+    return status.due_connections(c, now()).select("connection_id")
+
+
+@query(f"WITH {CLUSTERS} SELECT cluster_id, CASE WHEN event_count % 3 = 0 THEN 2 ELSE depth_rank END AS depth_rank, epoch_us(CASE WHEN event_count % 3 < 2 THEN TIMESTAMP '{NOW}' ELSE updated_at END) AS updated_us FROM clusters")
+def touched_clusters(spark, sf_dir):
+    """Clusters whose late full text came: of three, one is raised to longform, one marked, one left alone."""
+    c = _clusters(spark, sf_dir)
+    t = c.filter("event_count % 3 < 2").select("cluster_id", (F.col("event_count") % 3 == 0).alias("raise_depth"))
+    return rollup.touch(c, t, now()).select("cluster_id", "depth_rank", _us("updated_at").alias("updated_us"))
