@@ -119,9 +119,8 @@ def explain_counts(spark, sf_dir):
 EARLY = "2024-01-24 00:00:00"
 
 
-@query()
 def second_window(spark, sf_dir):
-    """Digests of a window that sees the stories and digests of the one before: those of the 24th are built,
+    """Not registered, as it takes too long for the small tables already. Digests of a window that sees the stories and digests of the one before: those of the 24th are built,
     stored and delivered, then those of the 31st. Rows are the second window's verdicts, and whether a story
     was there before."""
     users, subs, th, cfg = _users(spark, sf_dir), subscriptions(spark, sf_dir), _threads(spark, sf_dir), Scoring(story_cap=4, note_cap=6, max_items=10)

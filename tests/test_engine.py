@@ -377,19 +377,6 @@ def test_captured_responses_stream_into_feed_events(spark, tmp_path):
     assert [(r["connection_id"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "g1")]
 
 
-def test_second_window_sees_the_first(spark, sf_dir):
-    """Stories keep their ids, delivered ones come back only as notes or with news, and nobody gets too many."""
-    found = QUERIES["second_window"](spark, sf_dir).collect()
-    assert any(r["before"] for r in found) and any(not r["before"] for r in found)
-    assert any(r["resurfaced"] for r in found) and all(r["format"] == "note" for r in found if r["resurfaced"])
-    per: dict = {}
-    for r in found:
-        if r["verdict"] == "selected":
-            per.setdefault(r["subscriber"], []).append(r)
-    assert all(len(x) <= 10 and sum(r["format"] == "story" for r in x) <= 4 for x in per.values())
-    assert all(sorted(r["position"] for r in x) == list(range(len(x))) for x in per.values())
-
-
 def test_persisted_stories_are_stamped_only_if_changed(spark):
     at = lambda d: F.lit(T0 + timedelta(days=d)).cast("timestamp_ntz")
     story = "subscriber long, story_id string, clusters array<string>, first_event_time timestamp_ntz, last_event_time timestamp_ntz, event_count long, source_diversity long, depth_rank int, max_severity int, merged_into string"
