@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing, ngram_join, quality_mil, secret_scan
+from . import bpe, centroids, embed_dedup, exact_dedup, fill_in_middle, langid, license_scan, line_dedup, mixing, ngram_join, quality_mil, secret_scan, suffix_dedup
 from .common import crc_fold, table
 
 
@@ -101,6 +101,26 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality_mil.Mil:
     return quality_mil.fit_on(docs.join(marks, F.col("doc_id") == F.col("_d")))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that start earlier too."""
+    found = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors' clusters after five rounds from 40 centroids."""
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' training texts, and what is rebuilt from them, as digests."""
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
 OP6_SQL = """
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(coalesce(d.text, '')) AS text_sha256
 FROM documents d
@@ -121,6 +141,73 @@ GROUP BY doc_id
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, b[p:p + 99] AS w FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS p FROM d)),
+first AS (SELECT w, min(doc_id * 4294967296 + p) AS f FROM w GROUP BY w HAVING count(*) > 1),
+later AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS new FROM w JOIN first USING (w) WHERE doc_id * 4294967296 + p > f),
+runs AS (
+  SELECT doc_id, min(p) AS s, max(p) + 99 AS e
+  FROM (SELECT doc_id, p, sum(new::int) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM later) GROUP BY doc_id, k
+),
+gaps AS (SELECT r.doc_id, s, e, hex(b[coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY s), 0) + 1:s - 1]) AS g FROM runs r JOIN d USING (doc_id)),
+sums AS (SELECT doc_id, sum(e - s + 1)::bigint AS n_removed, count(*) AS n_spans, string_agg(g, '' ORDER BY s) AS g, max(e) AS e FROM gaps GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN e IS NULL THEN b ELSE unhex(g || hex(b[e + 1:])) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
+def _op12_sql(dim: int = 64, k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Each round compares all vectors with the few centroids of the round before."""
+    near = """
+a{r} AS MATERIALIZED (
+  SELECT id, v, min_by(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT id, v, c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v, m)])::bigint AS d FROM kept, c{r}) GROUP BY id, v
+)"""
+    step = """
+c{n} AS MATERIALIZED (
+  SELECT c, coalesce(s.m, o.m) AS m FROM c{r} o LEFT JOIN (
+    SELECT c, list(floor_mean ORDER BY i) AS m
+    FROM (SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::bigint // count(*) AS floor_mean FROM (SELECT c, unnest(v) AS x, unnest(range({dim})) AS i FROM a{r}) GROUP BY c, i)
+    GROUP BY c
+  ) s USING (c)
+)"""
+    first = f"""
+kept AS MATERIALIZED (
+  SELECT vec_id AS id, [floor(256 * x::double)::bigint for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {dim}
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || id)) - 1 AS c, v AS m FROM kept QUALIFY c < {k}
+)"""
+    parts = [first]
+    for r in range(rounds):
+        parts += [near.format(r=r), step.format(r=r, n=r + 1, dim=dim)]
+    parts.append(near.format(r=rounds))
+    return f"""WITH {",".join(parts)}
+SELECT id AS vec_id, c::int AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::bigint AS cluster_inertia, (sum(d) OVER ())::bigint AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+OP13_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS s FROM documents),
+g AS (
+  SELECT *, ('0x' || s[1:8])::bigint % (n + 1) AS x, ('0x' || s[9:16])::bigint % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || s[17:24])::bigint % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || s[25:32])::bigint % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+),
+p AS (SELECT *, substr(t, 1, least(x, y)) AS a, substr(t, least(x, y) + 1, abs(x - y)) AS m, substr(t, greatest(x, y) + 1) AS z FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(x - y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -133,8 +220,11 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality_mil": op10_quality_mil,
+        "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_centroids": op12_centroids,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_suffix_dedup": OP11_SQL, "op12_centroids": _op12_sql(), "op13_fill_in_middle": OP13_SQL}
