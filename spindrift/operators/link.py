@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from ..functions.scoring import idf, link_strength, namespace_prior, temporal_closeness
 from ..schema import SATURATED, SATURATED_MIN_WEIGHT, W_JACCARD, W_TEMPORAL, WEAK_MIN_JACCARD, WEAK_THRESHOLD
 from ..session import ship
+from ..storage import kept, shared_folder
+from .graph import min_label_components
 from .rollup import distinct_tokens
 
+#: Edges of a component that one task walks in order; larger components are merged in rounds.
+WALK = 1 << 17
+
 
 def entity_weights(clusters: DataFrame, overrides: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(cluster_id, entity, strong, weight): how much sharing an entity is worth, by its kind and by how rare
@@ -37,11 +42,10 @@ def score_edges(clusters: DataFrame, overrides: DataFrame | None = None, by: tup
     numbered meanwhile, so that pairs are of numbers; the numbered table and its tokens are kept, as they are
     read several times.
     """
-    checkpointed(clusters.sparkSession)
     w = entity_weights(clusters, overrides, by)
     total = w.groupBy(*by, "cluster_id").agg(F.sum("weight").alias("total"))
-    nodes = clusters.select(*by, "cluster_id", "last_event_time").join(total, [*by, "cluster_id"]).withColumn("n", F.monotonically_increasing_id()).checkpoint()
-    posts = w.join(nodes.select(*by, "cluster_id", "n"), [*by, "cluster_id"]).select(*by, "n", "entity", "strong", "weight").checkpoint()
+    nodes = kept(clusters.select(*by, "cluster_id", "last_event_time").join(total, [*by, "cluster_id"]).withColumn("n", F.monotonically_increasing_id()))
+    posts = kept(w.join(nodes.select(*by, "cluster_id", "n"), [*by, "cluster_id"]).select(*by, "n", "entity", "strong", "weight"))
     left = posts.select(*by, F.col("n").alias("i"), "entity", "strong", "weight")
     right = posts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias("j"), F.col("entity").alias("_entity"))
     same = [F.col(c) == F.col(f"_{c}") for c in (*by, "entity")]
@@ -82,80 +86,96 @@ def apply_constraints(edges: DataFrame, must: DataFrame | None = None, cannot: D
     return edges
 
 
-def min_label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) of nodes (id) by undirected edges (a, b); component is the smallest id reachable.
-
-    Each round takes the least label of the neighbours and then the label of that label; rounds grow with
-    the logarithm of a component's width. State is kept in the checkpoint folder between rounds.
-    """
-    spark = nodes.sparkSession
-    checkpointed(spark)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).distinct()
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        stepped = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        jump = stepped.select(F.col("id").alias("j"), F.col("next").alias("further"))
-        now = stepped.join(jump, F.col("next") == F.col("j"), "left").select("id", F.least("next", "further").alias("component"), "was").checkpoint()
-        if now.filter("component <> was").isEmpty():
-            return now.select("id", "component")
-        labels = now.select("id", "component")
-
-
 def checkpointed(spark) -> None:
-    """Make sure there is a checkpoint folder: that of spark.checkpoint.dir, or in local mode a temporary one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if spark.sparkContext.master.split("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spindrift-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Make sure there is a folder for what is kept between steps."""
+    shared_folder(spark)
 
 
-def _union(up: dict, a, b) -> tuple:
-    def find(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def _root(up: dict, x):
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
 
-    return find(a), find(b)
 
-
-def guarded_components(clusters: DataFrame, edges: DataFrame, prior: DataFrame) -> DataFrame:
+def guarded_components(clusters: DataFrame, edges: DataFrame, prior: DataFrame, walk: int = WALK) -> DataFrame:
     """(cluster_id, component): strong edges join anything; then weak ones, best first, unless they would
-    join two different delivered stories (prior: cluster_id, story_id, delivered).
+    join two different delivered stories (prior: cluster_id, story_id, delivered). Edges go by score, then by
+    their ends.
 
-    The pass is in order, so it runs within a group; groups are the plain components, which the guarded
-    ones never cross, and only those that hold two delivered stories or more have to be walked.
+    Strong edges don't depend on their order, so their components come first and are what weak edges tie. The
+    order only matters within the plain components that hold two delivered stories or more: those of at most
+    `walk` edges are walked, each by a task, and larger ones are merged in rounds.
     """
     ship(clusters.sparkSession)
+    kind = clusters.schema["cluster_id"].dataType.simpleString()
     plain = min_label_components(clusters.select(F.col("cluster_id").alias("id")), edges)
     told = prior.filter("delivered").select(F.col("cluster_id").alias("id"), F.col("story_id").alias("delivered_story"))
-    nodes = plain.join(told, "id", "left")
-    walked = nodes.groupBy("component").agg(F.count_distinct("delivered_story").alias("n")).filter("n > 1").select("component")
-    simple = nodes.join(walked, "component", "left_anti").select(F.col("id").alias("cluster_id"), "component")
-    held = nodes.join(walked, "component", "left_semi")
-    inside = edges.join(held.select(F.col("id").alias("a"), F.col("component").alias("part")), "a").select("part", "a", "b", "strong", "score")
-
-    def walk(key: tuple, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    nodes = kept(plain.join(told, "id", "left"))
+    several = nodes.groupBy("component").agg(F.count_distinct("delivered_story").alias("n")).filter("n > 1").select("component")
+    ends = edges.join(nodes.select(F.col("id").alias("a"), F.col("component").alias("part")).distinct(), "a")
+    sizes = ends.groupBy("part").agg(F.count(F.lit(1)).alias("size")).join(several.withColumnRenamed("component", "part"), "part")
+    held = kept(sizes)
+    simple = nodes.join(held, F.col("component") == F.col("part"), "left_anti").select(F.col("id").alias("cluster_id"), "component").distinct()
+
+    def walked(key: tuple, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         up = {x: x for x in members["id"]}
-        stories = {i: ({s} if isinstance(s, str) else set()) for i, s in zip(members["id"], members["delivered_story"], strict=True)}
+        stories: dict = {x: set() for x in up}
+        for i, s in zip(members["id"], members["delivered_story"], strict=True):
+            stories[i] |= {s} if isinstance(s, str) else set()
         links = links.sort_values(["strong", "score", "a", "b"], ascending=[False, False, True, True])
         for a, b, strong in zip(links["a"], links["b"], links["strong"], strict=True):
-            ra, rb = _union(up, a, b)
+            ra, rb = _root(up, a), _root(up, b)
             if ra == rb or (not strong and stories[ra] and stories[rb] and not stories[ra] & stories[rb]):
                 continue
             low, high = min(ra, rb), max(ra, rb)
             up[high] = low
             stories[low] |= stories[high]
-        return pd.DataFrame({"cluster_id": list(up), "component": [_union(up, x, x)[0] for x in up]})
+        return pd.DataFrame({"cluster_id": list(up), "component": [_root(up, x) for x in up]})
+
+    some = held.filter(F.col("size") <= walk).select("part")
+    members = nodes.withColumnRenamed("component", "part").join(some, "part")
+    inside = ends.join(some, "part").select("part", "a", "b", "strong", "score")
+    small = members.groupBy("part").cogroup(inside.groupBy("part")).applyInPandas(walked, f"cluster_id {kind}, component {kind}")
+    many = held.filter(F.col("size") > walk).select("part")
+    if many.isEmpty():
+        return simple.unionByName(small)
+    large = _merged(nodes.withColumnRenamed("component", "part").join(many, "part"), ends.join(many, "part"))
+    return simple.unionByName(small).unionByName(large)
+
 
-    guarded = held.groupBy("component").cogroup(inside.groupBy("part")).applyInPandas(walk, "cluster_id string, component string")
-    return simple.unionByName(guarded)
+def _merged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """guarded_components of nodes (id, delivered_story) by edges, in rounds.
+
+    An edge that comes first among those left of both groups that it ties can be decided at once: no edge
+    that goes before it can change either group. All such edges of a round are decided together, as no group
+    has two. The first edge of all left is always one, so each round ends some.
+    """
+    strong = min_label_components(nodes.select("id"), edges.filter("strong"))
+    label = kept(strong.withColumnRenamed("component", "g"))
+    stories = kept(nodes.filter("delivered_story is not null").select("id", F.col("delivered_story").alias("s")).distinct())
+    left = kept(edges.filter("not strong").select("a", "b", "score"))
+    order = F.struct((-F.col("score")).alias("s"), "a", "b")
+    while True:
+        of = lambda side: label.select(F.col("id").alias(side), F.col("g").alias(f"g{side}"))
+        tied = left.join(of("a"), "a").join(of("b"), "b").filter("ga <> gb").withColumn("o", order)
+        # of the edges between the same two groups only the first can be next
+        tied = kept(tied.groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).agg(F.min("o").alias("o")))
+        if tied.isEmpty():
+            return label.select(F.col("id").alias("cluster_id"), F.col("g").alias("component"))
+        either = tied.select(F.col("x").alias("g"), "o").unionByName(tied.select(F.col("y").alias("g"), "o"))
+        first = either.groupBy("g").agg(F.min("o").alias("first"))
+        side = lambda c: first.select(F.col("g").alias(c), F.col("first").alias(f"f{c}"))
+        due = kept(tied.join(side("x"), "x").join(side("y"), "y").filter("o = fx and o = fy").select("x", "y", "o"))
+        held = stories.join(label, "id").select("g", "s").distinct()
+        sets = held.groupBy("g").agg(F.collect_set("s").alias("set"))
+        both = due.join(sets.withColumnsRenamed({"g": "x", "set": "sx"}), "x", "left").join(sets.withColumnsRenamed({"g": "y", "set": "sy"}), "y", "left")
+        fine = F.col("sx").isNull() | F.col("sy").isNull() | F.arrays_overlap("sx", "sy")
+        judged = kept(both.select("x", "y", "o", F.coalesce(fine, F.lit(True)).alias("fine")))
+        joined = judged.filter("fine").select(F.col("y").alias("g"), F.col("x").alias("into"))
+        label = kept(label.join(joined, "g", "left").select("id", F.coalesce("into", "g").alias("g")))
+        refused = judged.filter("not fine").select("o.a", "o.b")
+        left = kept(left.join(refused, ["a", "b"], "left_anti"))
 
 
 def member_reasons(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -174,32 +194,41 @@ def forward_ids(components: DataFrame, prior: DataFrame, subscriber: str = "") -
     minted_at if prior has it, then the smallest) that no earlier component (by smallest cluster) has taken;
     else it gets an id made of its smallest cluster.
 
-    Claims only meet where components share a prior id, so they are settled within groups of components
-    that do; a group is walked in order by one task.
+    Claims only compete where components share a prior id. Only those are settled within groups of components
+    that do, each walked in order by one task; the others keep the first of their ids.
     """
     ship(components.sparkSession)
+    kind = components.schema["component"].dataType.simpleString()
     firsts = components.groupBy("component").agg(F.min("cluster_id").alias("first"))
     age = F.col("minted_at") if "minted_at" in prior.columns else F.lit(None).cast("timestamp_ntz")
     known = prior.select("cluster_id", "story_id", age.cast("timestamp_ntz").alias("minted_at"))
-    has = components.join(known, "cluster_id").groupBy("component", "story_id").agg(F.unix_micros(F.min("minted_at").cast("timestamp")).alias("age"))
-    tied = min_label_components(has.select(F.col("component").alias("id")).distinct(), _ties(has))
-    claims = has.join(firsts, "component").join(tied.select(F.col("id").alias("component"), F.col("component").alias("tie")), "component")
+    has = kept(components.join(known, "cluster_id").groupBy("component", "story_id").agg(F.unix_micros(F.min("minted_at").cast("timestamp")).alias("age")))
+    ties = kept(_ties(has))
+    rivals = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct()
+    alone = has.join(rivals, F.col("component") == F.col("id"), "left_anti")
+    best = alone.groupBy("component").agg(F.min(F.struct("age", "story_id"))["story_id"].alias("kept"))
+    settled = best.select("component", "kept", F.lit(None).cast("string").alias("loser"))
+    settled = settled.unionByName(alone.join(best, "component").filter("story_id <> kept").select("component", "kept", F.col("story_id").alias("loser")))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        own: dict = {}
+        rows = rows.sort_values(["first", "component", "age", "story_id"], na_position="first")
+        for comp, story in zip(rows["component"], rows["story_id"], strict=True):
+            own.setdefault(comp, []).append(story)
         taken: set[str] = set()
-        out, carried = [], []
-        for (_, comp), group in rows.groupby(["first", "component"], sort=True):
-            ids = group.sort_values(["age", "story_id"], na_position="first")["story_id"].tolist()
-            kept = next((i for i in ids if i not in taken), None)
-            if kept is not None:
-                taken.add(kept)
-            carried.append((comp, kept, ids))
-        for comp, kept, ids in carried:
-            out.append((comp, kept, None))
-            out += [(comp, kept, i) for i in ids if i != kept and i not in taken]
+        got = {}
+        for comp, ids in own.items():
+            got[comp] = next((i for i in ids if i not in taken), None)
+            taken.add(got[comp])
+        out = [(comp, first, None) for comp, first in got.items()]
+        out += [(comp, got[comp], i) for comp, ids in own.items() for i in ids if i != got[comp] and i not in taken]
         return pd.DataFrame(out, columns=["component", "kept", "loser"])
 
-    settled = claims.groupBy("tie").applyInPandas(settle, "component string, kept string, loser string")
+    if not ties.isEmpty():
+        tied = min_label_components(rivals, ties)
+        claims = has.join(firsts, "component").join(tied.select(F.col("id").alias("component"), F.col("component").alias("tie")), "component")
+        settled = settled.unionByName(claims.groupBy("tie").applyInPandas(settle, f"component {kind}, kept string, loser string"))
+    settled = kept(settled)
     minted = F.concat(F.lit("story-"), F.sha2(F.concat(F.lit(subscriber), F.lit("|"), F.col("first")), 256).substr(1, 32))
     ids = firsts.join(settled.filter("loser is null").select("component", "kept"), "component", "left").select("component", F.coalesce("kept", minted).alias("story_id"))
     merges = settled.filter("loser is not null").join(ids, "component").select("loser", F.col("story_id").alias("survivor"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import feedback_delta
-from ..operators import link, threads
+from ..operators import threads
+from ..storage import kept
 from .mutations import upsert
 
 
@@ -41,27 +42,26 @@ def maintain(sources: DataFrame, prior: DataFrame, care: DataFrame, since: Colum
     absorbed are left out and pass their care on. A thread is measured on the sources that share an entity
     with it.
     """
-    link.checkpointed(sources.sparkSession)
     by = ("subscriber",)
     spined = prior.withColumn("entities", threads.spine(F.col("entities")))
     nodes = sources.select(F.explode("entities").alias("id")).distinct()
     named = threads.lexical_edges(nodes, vetoes).select("a", "b", "confidence")
     known = named if edges is None else named.unionByName(edges.select("a", "b", "confidence"))
-    reps = threads.resolve(nodes, known, vetoes).select("id", "representative", "band").checkpoint()
+    reps = kept(threads.resolve(nodes, known, vetoes).select("id", "representative", "band"))
     resolved = sources.select("subscriber", "story_id", "last_event_time", F.explode("entities").alias("id")).join(reps, "id")
     items = resolved.groupBy("subscriber", "story_id", "last_event_time").agg(F.collect_set("representative").alias("entities"))
     graph = threads.co_occurrence(items.withColumnRenamed("last_event_time", "at"), now, by=by)
     keyed = graph.select(_key("a").alias("a"), _key("b").alias("b"), "weight")
-    found = threads.communities(threads.label_propagation(keyed)).checkpoint()
+    found = kept(threads.communities(threads.label_propagation(keyed)))
     old = spined.select(_key("thread_id").alias("thread_id"), F.transform("entities", lambda e: F.concat(F.col("subscriber").cast("string"), F.lit("\x1f"), e)).alias("entities"), "pinned")
-    matched = threads.match_threads(found, old).checkpoint()
+    matched = kept(threads.match_threads(found, old))
     bare = lambda c: F.substring_index(c, "\x1f", -1)
     who = F.substring_index("label", "\x1f", 1).cast("long")
     minted = F.concat(F.lit("thread-"), F.sha2("label", 256).substr(1, 24))
-    kept = matched.select(who.alias("subscriber"), F.coalesce(bare(F.col("thread_id")), minted).alias("thread_id"), F.transform("entities", bare).alias("entities"), F.transform(F.coalesce("merged", F.array().cast("array<string>")), bare).alias("absorbed"))
-    claimed = kept.select("subscriber", "thread_id").unionByName(kept.select("subscriber", F.explode("absorbed").alias("thread_id")))
+    found_in = matched.select(who.alias("subscriber"), F.coalesce(bare(F.col("thread_id")), minted).alias("thread_id"), F.transform("entities", bare).alias("entities"), F.transform(F.coalesce("merged", F.array().cast("array<string>")), bare).alias("absorbed"))
+    claimed = found_in.select("subscriber", "thread_id").unionByName(found_in.select("subscriber", F.explode("absorbed").alias("thread_id")))
     carried = spined.join(claimed, ["subscriber", "thread_id"], "left_anti").select("subscriber", "thread_id", "entities", F.array().cast("array<string>").alias("absorbed"))
-    every = kept.unionByName(carried).join(prior.select("subscriber", "thread_id", "affinity", "pinned", "first_seen", "last_story_time"), ["subscriber", "thread_id"], "left")
+    every = found_in.unionByName(carried).join(prior.select("subscriber", "thread_id", "affinity", "pinned", "first_seen", "last_story_time"), ["subscriber", "thread_id"], "left")
     every = every.withColumns({"affinity": F.coalesce("affinity", F.lit(0.0)), "pinned": F.coalesce("pinned", F.lit(False))})
     passed = every.select("subscriber", F.explode(F.concat(F.array("thread_id"), F.col("absorbed"))).alias("from"), "thread_id").join(care.select("subscriber", F.col("thread_id").alias("from"), "care"), ["subscriber", "from"])
     total = passed.groupBy("subscriber", "thread_id").agg(F.sum("care").alias("care"))

@@ -11,7 +11,7 @@ from ..functions.scoring import decay_affinity, seconds_between, thread_state
 from ..functions.text import auto_label, lexical_similarity, split_namespace
 from ..schema import AFFINITY_HALF_LIFE_DAYS, AFFINITY_MAX, ARCHIVE_DAYS, CONFIRMED, DORMANT_DAYS, LEXICAL_MOST, LEXICAL_THRESHOLD, MATCH_THRESHOLD, PROBABLE, THETA
 from ..session import ship
-from .link import min_label_components
+from .graph import min_label_components
 
 
 def spine(entities: Column) -> Column:

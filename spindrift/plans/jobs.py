@@ -11,7 +11,8 @@ from ..operators import digest, evaluate, generate, link, maintain, mutations, r
 from ..schema import Scoring
 from ..scope import finalize_scope
 from ..sources import feeds, github, guard
-from .adapters import NOW, SUBSCRIPTION_SQL, event_log, now, subscriptions, table
+from ..storage import kept
+from .adapters import EVENT_LOG_SQL, NOW, SUBSCRIPTION_SQL, event_log, now, subscriptions, table
 from .queries import AGE, CLUSTERS, _clusters, _ts, _us, query
 
 #: A configuration whose every cap and floor binds in the test tables.
@@ -87,20 +88,21 @@ ALL_SCORED = f"""{ALL_STORIES}, repos AS (SELECT e, CAST(regexp_extract(e, '[0-9
 def _made(spark, sf_dir, **options) -> generate.Generated:
     shown = spark.createDataFrame([], "subscriber long, story_id string, shown_time timestamp_ntz, shown_format string, window_end timestamp_ntz")
     prior = spark.createDataFrame([], generate.NO_PRIOR)
-    link.checkpointed(spark)
-    return generate.link_and_select(_clusters(spark, sf_dir).checkpoint(), subscriptions(spark, sf_dir), _users(spark, sf_dir), prior, shown, _threads(spark, sf_dir), now(), STRICT, **options)
+    return generate.link_and_select(kept(_clusters(spark, sf_dir)), subscriptions(spark, sf_dir), _users(spark, sf_dir), prior, shown, _threads(spark, sf_dir), now(), STRICT, **options)
 
 
 @query(f"WITH {ALL_CANDIDATES} SELECT subscriber, cluster_id FROM cand")
 def candidates_for_all(spark, sf_dir):
     """Every subscriber's candidate clusters in one job."""
-    return generate.candidates_for_all(_clusters(spark, sf_dir), subscriptions(spark, sf_dir), _users(spark, sf_dir), now()).select("subscriber", "cluster_id")
+    return generate.candidates_for_all(_clusters(spark, sf_dir), subscriptions(spark, sf_dir), _users(spark, sf_dir), now())
 
 
 @query(f"WITH {ALL_STORIES} SELECT * FROM members")
 def link_all(spark, sf_dir):
     """Every subscriber's stories, as members."""
-    return _made(spark, sf_dir).members.select("subscriber", "cluster_id", "story_id")
+    clusters = kept(_clusters(spark, sf_dir))
+    heard = kept(generate.candidates_for_all(clusters, subscriptions(spark, sf_dir), _users(spark, sf_dir), now()))
+    return generate.link_all(clusters, heard, spark.createDataFrame([], generate.NO_PRIOR))[1].select("subscriber", "cluster_id", "story_id")
 
 
 @query(f"WITH {ALL_SCORED} SELECT subscriber, story_id, verdict, CAST(position AS BIGINT) AS position, drop_cause, format, richness, thread_id, round(priority, 6) AS priority FROM verdicts")
@@ -119,23 +121,83 @@ def explain_counts(spark, sf_dir):
 EARLY = "2024-01-24 00:00:00"
 
 
-def second_window(spark, sf_dir):
-    """Not registered, as it takes too long for the small tables already. Digests of a window that sees the stories and digests of the one before: those of the 24th are built,
-    stored and delivered, then those of the 31st. Rows are the second window's verdicts, and whether a story
-    was there before."""
-    users, subs, th, cfg = _users(spark, sf_dir), subscriptions(spark, sf_dir), _threads(spark, sf_dir), Scoring(story_cap=4, note_cap=6, max_items=10)
+def _replaced(sql: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+#: Two windows: the first is ALL_SCORED over the log of then; in the second, weak edges are taken in order and
+#: may not join different delivered stories, components claim earlier ids in order, and what was shown is damped.
+WIDE_CAPS = (("WHEN base + term < 1.2::DOUBLE THEN 'below_floor' ", ""), ("f.position < 8", "f.position < 10"))
+FIRST_WINDOW = _replaced(ALL_SCORED, (f"log AS ({EVENT_LOG_SQL})", f"log AS (SELECT * FROM ({EVENT_LOG_SQL}) WHERE ingest_time <= TIMESTAMP '{EARLY}')"), (NOW, EARLY), *WIDE_CAPS)
+SECOND_MEMBERS = """ids_of AS MATERIALIZED (SELECT subscriber, cluster_id, row_number() OVER (PARTITION BY subscriber ORDER BY cluster_id) AS k FROM cand),
+  e2 AS MATERIALIZED (SELECT x.subscriber, ka.k AS ka, kb.k AS kb, strong, row_number() OVER (PARTITION BY x.subscriber ORDER BY strong DESC, round(score, 12) DESC, a, b) AS r
+    FROM (SELECT subscriber, a, b, strong, CASE WHEN strong THEN 1.0::DOUBLE ELSE score END AS score FROM sc WHERE strong OR (score >= 0.35 AND wj >= 0.2 AND NOT (wj >= 0.999 AND shared < 1.2) AND weak)) x
+    JOIN ids_of ka ON ka.subscriber = x.subscriber AND ka.cluster_id = a JOIN ids_of kb ON kb.subscriber = x.subscriber AND kb.cluster_id = b),
+  told AS MATERIALIZED (SELECT i.subscriber, list(CASE WHEN f.delivered THEN f.story_id END ORDER BY k) AS dlv FROM ids_of i LEFT JOIN first_window f USING (subscriber, cluster_id) GROUP BY 1),
+  guard(subscriber, r, lab, dlv) AS (
+    SELECT subscriber, 0::BIGINT, range(1, len(dlv) + 1), dlv FROM told
+    UNION ALL SELECT subscriber, r, CASE WHEN la <> lb AND (strong OR len(sa) = 0 OR len(sb) = 0 OR list_has_any(sa, sb)) THEN [CASE WHEN x = greatest(la, lb) THEN least(la, lb) ELSE x END for x in lab] ELSE lab END, dlv
+    FROM (SELECT *, [z[2] for z in list_zip(lab, dlv) if z[1] = la AND z[2] IS NOT NULL] AS sa, [z[2] for z in list_zip(lab, dlv) if z[1] = lb AND z[2] IS NOT NULL] AS sb
+      FROM (SELECT g.subscriber, e.r, g.lab, g.dlv, e.strong, g.lab[e.ka] AS la, g.lab[e.kb] AS lb FROM guard g JOIN e2 e ON e.subscriber = g.subscriber AND e.r = g.r + 1))),
+  last_lab AS MATERIALIZED (SELECT subscriber, max_by(lab, r) AS lab FROM guard GROUP BY 1),
+  comp AS (SELECT i.subscriber, i.cluster_id, c.cluster_id AS component FROM ids_of i JOIN last_lab USING (subscriber) JOIN ids_of c ON c.subscriber = i.subscriber AND c.k = lab[i.k]),
+  claims AS MATERIALIZED (SELECT subscriber, component, list_sort(list(DISTINCT story_id)) AS ids, row_number() OVER (PARTITION BY subscriber ORDER BY component) AS c FROM comp JOIN first_window USING (subscriber, cluster_id) GROUP BY 1, 2),
+  claimed(subscriber, c, component, kept, taken) AS (
+    SELECT subscriber, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[] FROM told
+    UNION ALL SELECT subscriber, c, component, free[1], CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END
+    FROM (SELECT n.*, g.taken, [i for i in n.ids if NOT list_contains(g.taken, i)] AS free FROM claimed g JOIN claims n ON n.subscriber = g.subscriber AND n.c = g.c + 1)),
+  members AS (SELECT m.subscriber, m.cluster_id, coalesce(kept, 'story-' || left(sha256('|' || m.subscriber || chr(31) || m.component), 32)) AS story_id
+    FROM comp m LEFT JOIN claimed q ON q.subscriber = m.subscriber AND q.component = m.component)"""
+_MEMBERS = ALL_STORIES[ALL_STORIES.index("nb AS (") : ALL_STORIES.index(",\n  stories AS")]
+SHOWN_BEFORE = "format_before IS NOT NULL AND drop_cause IS NULL AND last_event_time <= shown_time AND NOT (format_before = 'note' AND nat_format = 'story')"
+SECOND_WINDOW = _replaced(
+    ALL_SCORED, (_MEMBERS, SECOND_MEMBERS), *WIDE_CAPS,
+    (f"TIMESTAMP '{NOW}' - CASE WHEN subscriber % 3 = 0 THEN INTERVAL 192 HOURS ELSE INTERVAL 36 HOURS END", f"least(TIMESTAMP '{EARLY}', TIMESTAMP '{NOW}' - CASE WHEN subscriber % 3 = 0 THEN INTERVAL 192 HOURS ELSE INTERVAL 36 HOURS END)"),
+    ("scored AS (SELECT *, CASE WHEN richness", "natural_scored AS (SELECT *, CASE WHEN richness"),
+    ("END AS format,\n      CASE WHEN last_event_time <", "END AS nat_format,\n      CASE WHEN last_event_time <"),
+    (",\n  ranked AS (", f""",
+  shown AS (SELECT DISTINCT subscriber, story_id, format AS format_before, last_event_time AS shown_time FROM first_window WHERE delivered),
+  scored AS (SELECT * REPLACE (CASE WHEN again THEN priority * 0.25::DOUBLE ELSE priority END AS priority, CASE WHEN again THEN 'still developing' ELSE richness END AS richness), CASE WHEN again THEN 'note' ELSE nat_format END AS format
+    FROM (SELECT *, coalesce({SHOWN_BEFORE}, false) AS again FROM natural_scored LEFT JOIN shown USING (subscriber, story_id))),
+  ranked AS ("""),
+    ("fold(subscriber, rank, stories, notes, position, threads, ok) AS (", "fold(subscriber, rank, stories, notes, agains, position, threads, ok) AS ("),
+    ("-1::BIGINT, 0, 0, 0, []", "-1::BIGINT, 0, 0, 0, 0, []"),
+    ("notes + CAST(ok AND format = 'note' AS INTEGER), position", "notes + CAST(ok AND format = 'note' AS INTEGER), agains + CAST(ok AND again AS INTEGER), position"),
+    ("f.notes, f.position, f.threads, r.format, r.thread_id,", "f.notes, f.agains, f.position, f.threads, r.format, r.again, r.thread_id,"),
+    ("AND f.position < 10 AND", "AND (NOT r.again OR f.agains < 5) AND f.position < 10 AND"),
+    ("s.format, s.richness, s.thread_id,", "s.format, s.richness, s.again, s.thread_id,"),
+    # last, so that nothing above is replaced in the first window
+    ("RECURSIVE log AS", f"RECURSIVE first_window AS MATERIALIZED (WITH {FIRST_WINDOW} SELECT m.subscriber, m.cluster_id, m.story_id, v.verdict = 'selected' AS delivered, v.format, s.last_event_time FROM members m JOIN verdicts v USING (subscriber, story_id) JOIN stories s USING (subscriber, story_id)), log AS"),
+)
+
+
+def two_windows(spark, sf_dir) -> tuple[DataFrame, generate.Generated]:
+    """Stories as they stand after the digests of the 24th were built, stored and delivered; and the digests of
+    the 31st, which see them."""
+    users, subs, th, cfg = _users(spark, sf_dir), subscriptions(spark, sf_dir), kept(_threads(spark, sf_dir)), Scoring(story_cap=4, note_cap=6, max_items=10)
     log = event_log(spark, sf_dir)
     none = spark.createDataFrame([], "digest_id long, subscriber long, window_end timestamp_ntz, delivered_at timestamp_ntz")
     no_items = spark.createDataFrame([], "digest_id long, story_id string, position int, thread_id string, story_last_event_time timestamp_ntz, format string")
     early, late = _ts(EARLY), now()
-    made, digests, items = generate.generate(rollup.rollup(log.filter(F.col("ingest_time") <= early)), subs, users, spark.createDataFrame([], generate.NO_PRIOR), th, none.drop("delivered_at"), no_items, early, cfg)
-    stories = generate.persist(made, None, early)
-    stories, digests, users = generate.deliver(stories, digests.withColumn("delivered_at", F.lit(None).cast("timestamp_ntz")), items, users, early, late)
-    stories = stories.checkpoint()
-    again, _, _ = generate.generate(rollup.rollup(log), subs, users, generate.prior_members(stories), th, digests.drop("delivered_at"), items, late, cfg)
-    known = stories.select("story_id", F.lit(True).alias("before"))
-    d = again.decisions.join(known, "story_id", "left")
-    return d.select("subscriber", "story_id", "verdict", "position", "format", "richness", "resurfaced", F.coalesce("before", F.lit(False)).alias("before"))
+    then = kept(rollup.rollup(log.filter(F.col("ingest_time") <= early)))
+    made, digests, items = generate.generate(then, subs, users, spark.createDataFrame([], generate.NO_PRIOR), th, none.drop("delivered_at"), no_items, early, cfg)
+    digests, items = kept(digests.withColumn("delivered_at", F.lit(None).cast("timestamp_ntz"))), kept(items)
+    stories, digests, users = generate.deliver(generate.persist(made, None, early), digests, items, users, early, late)
+    stories, digests, users = kept(stories), kept(digests), kept(users)
+    again, _, _ = generate.generate(kept(rollup.rollup(log)), subs, users, generate.prior_members(stories), th, digests.drop("delivered_at"), items, late, cfg)
+    return stories, again
+
+
+@query(f"WITH {SECOND_WINDOW} SELECT subscriber, story_id, verdict, CAST(position AS BIGINT) AS position, format, richness, again AS resurfaced, story_id IN (SELECT story_id FROM first_window) AS before FROM verdicts")
+def second_window(spark, sf_dir):
+    """Digests of a window that sees the stories and digests of the one before. Rows are the second window's
+    verdicts, and whether a story was there before."""
+    stories, again = two_windows(spark, sf_dir)
+    d = again.decisions.join(stories.select("story_id", F.lit(True).alias("before")), "story_id", "left")
+    return d.select("subscriber", "story_id", "verdict", F.col("position").cast("long").alias("position"), "format", "richness", "resurfaced", F.coalesce("before", F.lit(False)).alias("before"))
 
 
 # --- sources -----------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import candidates, digest, evaluate, link, mutations, rollup, select, status, threads
 from ..schema import ARCHIVE_DAYS, DORMANT_DAYS, HORIZON_DAYS, MAX_LOOKBACK_DAYS, POLL_BACKOFF_MOST_SECS, POLL_FAILURES_MOST, Scoring
+from ..storage import kept
 from ..scope import Context, scoped, visible_to
 from .adapters import EVENT_LOG_SQL, SUBSCRIBER, SUBSCRIPTION_SQL, event_log, now, subscriptions, table
 
@@ -45,9 +46,8 @@ def _clusters(spark, sf_dir):
 
 
 def _mine(spark, sf_dir):
-    link.checkpointed(spark)
     # the cluster table is read by several branches, so the log is rolled up once
-    return candidates.candidate_clusters(_clusters(spark, sf_dir).checkpoint(), subscriptions(spark, sf_dir), SUBSCRIBER, _floor())
+    return candidates.candidate_clusters(kept(_clusters(spark, sf_dir)), subscriptions(spark, sf_dir), SUBSCRIBER, _floor())
 
 
 LOG = f"log AS ({EVENT_LOG_SQL})"
@@ -186,7 +186,7 @@ def link_df_weights(spark, sf_dir):
 
 @query(f"WITH {EDGES} SELECT a, b, strong, round(score, 6) AS score, reason FROM edges")
 def link_edges(spark, sf_dir):
-    return link.score_edges(_mine(spark, sf_dir).checkpoint()).select("a", "b", "strong", F.round("score", 6).alias("score"), "reason")
+    return link.score_edges(kept(_mine(spark, sf_dir))).select("a", "b", "strong", F.round("score", 6).alias("score"), "reason")
 
 
 def _no_prior(spark):
@@ -195,9 +195,8 @@ def _no_prior(spark):
 
 def _stories(spark, sf_dir):
     """The subscriber's clusters, edges and components, kept as they are used more than once."""
-    link.checkpointed(spark)
-    mine = _mine(spark, sf_dir).checkpoint()
-    edges = link.score_edges(mine).checkpoint()
+    mine = kept(_mine(spark, sf_dir))
+    edges = kept(link.score_edges(mine))
     return mine, edges, link.guarded_components(mine, edges, _no_prior(spark))
 
 
@@ -463,18 +462,16 @@ def lexical_links(spark, sf_dir):
   SELECT x AS id, min(y) AS representative, CASE WHEN count(*) = 1 THEN 'confirmed' ELSE 'uncertain' END AS band FROM reach GROUP BY x""")
 def identity_links(spark, sf_dir):
     """Names resolved by links of half their words: no class of several holds together by better ones."""
-    link.checkpointed(spark)
     nodes = _keyed_names(spark, sf_dir)
-    return threads.resolve(nodes, threads.lexical_edges(nodes, threshold=0.5).checkpoint(), theta=0.5)
+    return threads.resolve(nodes, kept(threads.lexical_edges(nodes, threshold=0.5)), theta=0.5)
 
 
 @query(f"""WITH RECURSIVE {NAMES}, nb AS (SELECT a AS x, b AS y FROM ps WHERE c >= 0.6 UNION SELECT b, a FROM ps WHERE c >= 0.6),
   reach(x, y) AS (SELECT id, id FROM n UNION SELECT reach.x, nb.y FROM reach JOIN nb ON reach.y = nb.x)
   SELECT x AS id, min(y) AS representative, CASE WHEN count(*) = 1 THEN 'confirmed' ELSE 'uncertain' END AS band FROM reach GROUP BY x""")
 def identity_components(spark, sf_dir):
-    link.checkpointed(spark)
     nodes = _names(spark, sf_dir)
-    return threads.resolve(nodes, threads.lexical_edges(nodes, threshold=0.6).checkpoint(), theta=0.6)
+    return threads.resolve(nodes, kept(threads.lexical_edges(nodes, threshold=0.6)), theta=0.6)
 
 
 @query(f"""WITH {COMPONENTS} SELECT component AS story_id, event_id FROM comp JOIN cand c USING (cluster_id)
