@@ -111,8 +111,10 @@ def guarded_components(clusters: DataFrame, edges: DataFrame, prior: DataFrame,
     kind = clusters.schema["cluster_id"].dataType.simpleString()
     plain = min_label_components(clusters.select(F.col("cluster_id").alias("id")), edges)
     told = prior.filter("delivered").select(F.col("cluster_id").alias("id"), F.col("story_id").alias("delivered_story"))
+    several = kept(plain.join(told, "id").groupBy("component").agg(F.count_distinct("delivered_story").alias("n")).filter("n > 1").select("component"))
+    if several.isEmpty():
+        return plain.select(F.col("id").alias("cluster_id"), "component")
     nodes = kept(plain.join(told, "id", "left"))
-    several = nodes.groupBy("component").agg(F.count_distinct("delivered_story").alias("n")).filter("n > 1").select("component")
     ends = edges.join(nodes.select(F.col("id").alias("a"), F.col("component").alias("part")).distinct(), "a")
     sizes = ends.groupBy("part").agg(F.count(F.lit(1)).alias("size")).join(several.withColumnRenamed("component", "part"), "part")
     held = kept(sizes)
@@ -203,6 +205,9 @@ def forward_ids(components: DataFrame, prior: DataFrame, subscriber: str = "") -
     age = F.col("minted_at") if "minted_at" in prior.columns else F.lit(None).cast("timestamp_ntz")
     known = prior.select("cluster_id", "story_id", age.cast("timestamp_ntz").alias("minted_at"))
     has = kept(components.join(known, "cluster_id").groupBy("component", "story_id").agg(F.unix_micros(F.min("minted_at").cast("timestamp")).alias("age")))
+    minted = F.concat(F.lit("story-"), F.sha2(F.concat(F.lit(subscriber), F.lit("|"), F.col("first")), 256).substr(1, 32))
+    if has.isEmpty():
+        return firsts.select("component", minted.alias("story_id")), has.select(F.col("story_id").alias("loser"), F.col("story_id").alias("survivor"))
     ties = kept(_ties(has))
     rivals = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).distinct()
     alone = has.join(rivals, F.col("component") == F.col("id"), "left_anti")
@@ -229,7 +234,6 @@ def forward_ids(components: DataFrame, prior: DataFrame, subscriber: str = "") -
         claims = has.join(firsts, "component").join(tied.select(F.col("id").alias("component"), F.col("component").alias("tie")), "component")
         settled = settled.unionByName(claims.groupBy("tie").applyInPandas(settle, f"component {kind}, kept string, loser string"))
     settled = kept(settled)
-    minted = F.concat(F.lit("story-"), F.sha2(F.concat(F.lit(subscriber), F.lit("|"), F.col("first")), 256).substr(1, 32))
     ids = firsts.join(settled.filter("loser is null").select("component", "kept"), "component", "left").select("component", F.coalesce("kept", minted).alias("story_id"))
     merges = settled.filter("loser is not null").join(ids, "component").select("loser", F.col("story_id").alias("survivor"))
     return ids, merges

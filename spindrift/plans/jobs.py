@@ -118,7 +118,7 @@ def explain_counts(spark, sf_dir):
     return generate.explain(_made(spark, sf_dir)).groupBy("subscriber", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-EARLY = "2024-01-24 00:00:00"
+EARLY = "2024-01-30 00:00:00"
 
 
 def _replaced(sql: str, *pairs: tuple[str, str]) -> str:
@@ -175,7 +175,7 @@ SECOND_WINDOW = _replaced(
 
 
 def two_windows(spark, sf_dir) -> tuple[DataFrame, generate.Generated]:
-    """Stories as they stand after the digests of the 24th were built, stored and delivered; and the digests of
+    """Stories as they stand after the digests of the 30th were built, stored and delivered; and the digests of
     the 31st, which see them."""
     users, subs, th, cfg = _users(spark, sf_dir), subscriptions(spark, sf_dir), kept(_threads(spark, sf_dir)), Scoring(story_cap=4, note_cap=6, max_items=10)
     log = event_log(spark, sf_dir)
