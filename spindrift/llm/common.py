@@ -76,9 +76,17 @@ def slices(spark: SparkSession, least: int = 1) -> int:
 
 
 def thin(df: DataFrame) -> DataFrame:
-    """df in an eighth of a shuffle's partitions: for rows of a few numbers, so that a table of them isn't
-    written as many files of next to nothing."""
-    return df.coalesce(max(1, slices(df.sparkSession) // 8))
+    """df dealt to an eighth of a shuffle's partitions: for rows of a few numbers, so that a table of them isn't
+    written as many files of next to nothing. What makes the rows keeps its width."""
+    return df.hint("rebalance", max(4, slices(df.sparkSession) // 8))
+
+
+def free(name: str, taken) -> str:
+    """A column name that isn't taken, in whatever case."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_fold(doc_id) -> F.Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, free
 
 #: A digest's rows are first combined in so many groups.
 SALTS = 16
@@ -71,21 +71,23 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Combined in the same three stages, the rest of the row beside its text: no join, so the texts are
     shuffled no more often than for the groups. A null text equals an empty one, and stays null if its
-    row is the one that stays. Of rows that share id and text one stays.
+    row is the one that stays. Of rows that share id and text that with the
+    largest hash of its other columns stays.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__null_text"))
+    no_text = free("no_text", docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias(no_text))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         text.alias("text"),
         F.sha2(text, 256).alias("sha"),
         F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt"),
-        F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id")).alias("rank"),
+        F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("tie")).alias("rank"),
         whole.alias("row"),
     )
     salted = base.groupBy("sha", "salt", "text").agg(F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank"))
     kept = salted.groupBy("sha", "text").agg(F.max_by("row", "rank").alias("row"))
     back = [
-        F.when(F.col("row.__null_text"), F.lit(None).cast("string")).otherwise(F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
+        F.when(F.col(f"row.`{no_text}`"), F.lit(None).cast("string")).otherwise(F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ]
     return kept.select(*back)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, free
 
 #: Weights of the sources in their order, repeating; what they share, in words, as a part of all words;
 #: the most copies of a document.
@@ -195,9 +195,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def take(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it: not at all, once or more, all columns kept.
 
-    Options are those of mix(). A document of size 0 holds no words and isn't taken.
+    Options are those of mix(). A document of size 0 holds no words and isn't taken. Rows that share an id
+    are taken as often as the one of them that is taken most.
     """
     key = _key(*(options.get(k, k.replace("id_col", "doc_id").replace("_col", "")) for k in ("id_col", "text_col", "source_col")))
-    plan = _mix(docs, **options).filter("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.withColumn("__key", key).join(plan.dropDuplicates(["__id"]), F.col("__key") == F.col("__id"))
-    return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    own, other, copies, turn = (free(x, docs.columns) for x in ("key", "id", "copies", "turn"))
+    plan = _mix(docs, **options).filter("copies > 0").groupBy("id").agg(F.max("copies").alias(copies)).withColumnRenamed("id", other)
+    joined = docs.withColumn(own, key).join(plan, F.col(own) == F.col(other))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, batches, byte_runs, durable, mixed, number_batches, slices, small_batches, stored, thin, word_hashes
+from .common import STEP, batches, byte_runs, durable, free, mixed, number_batches, slices, small_batches, stored, thin, word_hashes
 from .graph import components
 
 #: How many common n-grams the order knows of (a bound of what is broadcast; it changes the work, not the
@@ -364,5 +364,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     """docs without those that another document of their class stands for: of each class the row with the
     smallest id stays, and rows without an id."""
     found = ngram_join(docs, id_col=id_col, **options)
-    lost = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    gone = free("lost", docs.columns)
+    lost = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(lost, F.col(f"`{id_col}`") == F.col(gone), "left_anti")

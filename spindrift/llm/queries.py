@@ -98,7 +98,7 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality_mil.Mil:
     """A model of labels.quality, from the documents whose fold isn't held out."""
     marks = labels.filter((crc_fold("doc_id") != 0) & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("quality").alias("label"))
-    return quality_mil.fit_on(docs.join(marks, F.col("doc_id") == F.col("_d")))
+    return quality_mil.fit_on(docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_d")))
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

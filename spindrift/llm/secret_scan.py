@@ -24,11 +24,12 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the models judge: runs of these, no shorter than the strings of the labelled sample.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What the models judge: runs of these of LEAST characters or more; a dot counts if more follows.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.+[A-Za-z0-9+/_=-]+)*")
+LEAST = 16
 #: The ratio per character, in nats, above which a token counts as random.
 THRESHOLD = 0.5
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 INDEX = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0: the start, and any other character
 #: How much the documents' pairs of characters weigh beside those of the sample of identifiers.
 DOCUMENTS_WEIGH = 4.0
@@ -59,8 +60,10 @@ class Model:
     ratio: np.ndarray
 
     def per_char(self, token: str) -> float:
+        """The ratio per character. What repeats itself tells nothing new, so a pair of characters counts once."""
         at = [INDEX.get(c, 0) for c in token]
-        return float(self.ratio[[0, *at[:-1]], at].mean()) if at else 0.0
+        pairs = set(zip([0, *at[:-1]], at, strict=True))
+        return float(sum(self.ratio[a, b] for a, b in pairs)) / len(at) if at else 0.0
 
 
 def fit(random: list[str], ordinary: list[str], *, smooth: float = 0.5, documents: np.ndarray | None = None) -> Model:
@@ -108,15 +111,18 @@ def document_pairs(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
 
 
 def default_samples(n: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
-    """Labelled samples made by rule: keys over the usual alphabets, and identifiers, paths and numbered
-    names made of words."""
+    """Labelled samples made by rule: keys over the usual alphabets, some in dotted parts; and identifiers,
+    paths, host names and numbered names made of words, separators and other repeated characters, alphabets,
+    dates and numbers."""
     rng = np.random.default_rng(seed)
     alphabets = [ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef"]
-    random = ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(20, 48))) for i in range(n)]
+    key = lambda i, least: "".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(least, 48)))
+    random = [".".join(key(1, LEAST) for _ in range(3)) if i % 16 == 15 else key(i, LEAST) for i in range(n)]
+    runs = ALPHABET[:62] + "0123456789" * 2
     ordinary = []
     for i in range(n):
         parts = list(rng.choice(WORDS, rng.integers(2, 6)))
-        style = i % 6
+        style = i % 12
         if style == 0:
             name = "_".join(parts)
         elif style == 1:
@@ -127,8 +133,21 @@ def default_samples(n: int = 4000, seed: int = 11) -> tuple[list[str], list[str]
             name = "/".join(parts)
         elif style == 4:
             name = "_".join(parts).upper()
-        else:
+        elif style == 5:
             name = "".join(parts) + str(rng.integers(1, 10_000))
+        elif style == 6:
+            name = ".".join(parts)
+        elif style == 7:  # rules and fillers
+            name = "".join(rng.choice(list(ALPHABET[62:] * 4 + "-_=xX0"), rng.integers(1, 3))) * int(rng.integers(LEAST, 60))
+        elif style == 8:  # patterns that repeat
+            name = "".join(rng.choice(list(ALPHABET), rng.integers(1, 5))) * 20
+        elif style == 9:  # alphabets and keyboards' order
+            at = int(rng.integers(len(runs)))
+            name = (runs[at:] + runs)[: int(rng.integers(LEAST, 60))]
+        elif style == 10:  # dates, times and versions
+            name = "-".join(f"{x:02}" for x in rng.integers(0, 60, 6)) + "T" + ".".join(map(str, rng.integers(0, 40, 4)))
+        else:
+            name = "".join(map(str, rng.integers(0, 10, rng.integers(LEAST, 30))))
         ordinary.append(name)
     return random, ordinary
 
@@ -149,7 +168,7 @@ def more_spans(text: str, base: list[tuple[int, int, int]], model: Model, thresh
         while i < len(base) and base[i][0] < m.end():
             reach = max(reach, base[i][2])
             i += 1
-        if reach > m.start():
+        if reach > m.start() or m.end() - m.start() < LEAST:
             continue
         if model.per_char(m[0]) > threshold:
             out.append((m.start(), 3, m.end()))

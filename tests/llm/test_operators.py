@@ -240,6 +240,19 @@ def test_secret_model_tells_held_out_samples_apart():
     assert hit > 0.8 and false < 0.05
 
 
+def test_secret_model_takes_fillers_for_ordinary():
+    """Rules, patterns and alphabets aren't secrets; planted keys are, dotted ones whole."""
+    model = secret_scan.fit(*secret_scan.default_samples())
+    plain = ["_" * 32, "-" * 40, "-=" * 12, "=" * 16, "x" * 30, "0" * 24, ".-" * 20, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "1234567890" * 2, "2024-01-31T12.30.00.000", "www.example.com/index.html"]
+    keys = ["kJ8sP2vQz7LmX4nB", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", "Zx81kQpW0vR5tYb3NcGh7uLs"]
+    found = lambda text: [text[s:e] for s, _, e in secret_scan.more_spans(text, [], model, secret_scan.THRESHOLD)]
+    assert [t for t in plain if found(t)] == []
+    assert [found(f"so {k}. End") for k in keys] == [[k] for k in keys]
+    random, ordinary = secret_scan.default_samples(3000, seed=77)
+    rate = lambda sample: np.mean([model.per_char(t) > secret_scan.THRESHOLD for t in sample])
+    assert rate(random) > 0.99 and rate(ordinary) < 0.002
+
+
 def fold(i):
     return zlib.crc32(str(i).encode()) % 5
 

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spindrift.llm import license_scan, queries
@@ -53,6 +54,27 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(5), sf_dir).count() == 5
 
 
+def test_pipeline_stages_take_columns_of_any_name(spark, sf_dir):
+    """Names that stages use themselves do no harm, and such columns come through."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = [c for x in ("score", "label", "key", "id", "copies", "turn", "no_text", "lost", "row", "sha", "rank", "mark") for c in (x, f"{x}_", f"__{x}")] + ["_d", "Size", "component"]
+    docs = docs.withColumns({c: F.lit(f"of {c}") for c in odd})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns, name
+        assert kept.filter(" or ".join(f"`{c}` <> 'of {c}'" for c in odd)).count() == 0 and not kept.isEmpty(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(5), sf_dir).count() == 5
+
+
+def test_pipeline_run_is_its_stages(spark, sf_dir):
+    """What run() returns is what the stages give one after the other, and the same again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(corpus_pipeline.run(spark, sf_dir)) == rows(docs)
+
+
 def whole_texts(spark, sf_dir):
     return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
 
