@@ -3,6 +3,13 @@
 Low-quality documents go, then exact copies, then all but one of each group of near copies; sources are
 mixed to their weights, and the mix is encoded. The only table read beside the documents is that of the
 labels which the quality classifier learns from.
+
+A null or empty text is scored as a text without characters, equals an empty text, is near no other, and holds
+no words, so no mix takes it. Very long texts are read whole in every stage. Of equal texts the largest id stays,
+of near copies the smallest; of rows that repeat an id and a text, one. Rows without an id are kept as rows of
+their own until they are mixed by source and text. Columns beside those of documents go through all stages but
+the last, whatever their names are. Empty tables give no rows. Without labels, or with labels of one kind, every
+document is accepted or none is, as the one label says (all without labels).
 """
 
 from __future__ import annotations
@@ -11,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, exact_dedup, mixing, ngram_join, quality_mil
-from spindrift.llm.common import stored, table
+from spindrift.llm.common import free, stored, table
 from spindrift.llm.queries import quality_model, tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    scored = quality_mil.with_score(docs, model, score_col="__score")
-    return scored.filter(F.col("__score") >= quality_mil.ACCEPT).drop("__score")
+    score = free("score", docs.columns)
+    return quality_mil.with_score(docs, model, score_col=score).filter(F.col(score) >= quality_mil.ACCEPT).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
