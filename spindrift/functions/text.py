@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,14 +144,14 @@ ENTITY = {"quot": '"', "#39": "'", "lt": "<", "gt": ">", "nbsp": " ", "amp": "&"
 
 
 def html_text(html: Column) -> Column:
-    """The text of markup: scripts, styles and comments dropped, tags taken as spaces, white space joined,
-    and words made of '#' alone dropped. Null if nothing is left."""
+    """The text of markup: scripts, styles and comments dropped, tags taken as spaces, white space and square
+    brackets joined, and words made of '#' alone dropped. Null if nothing is left."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
     for name, char in ENTITY.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    words = F.filter(F.split(text, r"[ \t\n\x0b\x0c\r]+"), lambda w: (w != "") & ~w.rlike("^#+$"))
+    words = F.filter(F.split(text, r"[ \t\n\x0b\x0c\r\[\]]+"), lambda w: (w != "") & ~w.rlike("^#+$"))
     out = F.array_join(words, " ")
     return F.when(out != "", out)
 
@@ -160,6 +162,53 @@ def article_html(html: Column) -> Column:
     return F.when(found != "", found).otherwise(html)
 
 
+def _body(node) -> str | None:
+    """The first articleBody in a JSON value that isn't blank: an object's own, else that of the first of its
+    values, in order of their keys, or of a list's items, that has one."""
+    if isinstance(node, dict):
+        own = node.get("articleBody")
+        if isinstance(own, str) and own.strip():
+            return own.strip()
+        node = [node[k] for k in sorted(node)]
+    return next((b for b in map(_body, node) if b), None) if isinstance(node, list) else None
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
+def first_body(texts) -> str | None:
+    """The article body of the first JSON text that has one; what isn't JSON, or is nested without end, has
+    none."""
+    for raw in () if texts is None else texts:
+        try:
+            found = _body(json.loads(raw, parse_constant=_no_number))
+            if found and found.encode():
+                return found
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def linked_article(html: Column) -> Column:
+    """The article body of a page's linked data (JSON in scripts of that kind). JSON of any depth is searched
+    in Arrow batches, as SQL has no recursion within a value; pages without such scripts send nulls."""
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    search = F.pandas_udf(lambda found: found.map(first_body, na_action="ignore").astype(object), "string")
+    return search(F.when(F.size(scripts) > 0, scripts))
+
+
+def article_text(html: Column, most_markup: int | None = None, most: int | None = None) -> Column:
+    """A page's article as text: the body that its linked data has, else its first article element, else the
+    whole page; the first of these that leaves any text, of at most so many characters."""
+
+    def text(markup: Column) -> Column:
+        found = html_text(markup if most_markup is None else F.substring(markup, 1, most_markup))
+        return found if most is None else truncate_words(found, most)
+
+    return F.coalesce(text(linked_article(html)), text(article_html(html)), text(html))
+
+
 def split_namespace(token: Column) -> tuple[Column, Column]:
     """Kind and value of a token; null without a colon."""
     has = F.contains(token, F.lit(":"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import prose, scoring
+from ..functions import prose, scoring, text
 from ..operators import digest, evaluate, generate, link, maintain, mutations, records, rollup, status, summaries, threads
 from ..schema import Scoring
 from ..scope import finalize_scope
 from ..sources import feeds, github, guard
 from ..storage import kept
 from .adapters import EVENT_LOG_SQL, NOW, SUBSCRIPTION_SQL, event_log, now, subscriptions, table
-from .queries import AGE, CLUSTERS, _clusters, _ts, _us, query
+from .queries import AGE, CLUSTERS, ORACLE, _clusters, _ts, _us, query
 
 #: A configuration whose every cap and floor binds in the test tables.
 STRICT = Scoring(relevance_floor=1.2, story_cap=4, note_cap=6, thread_cap=2, max_items=8)
@@ -118,6 +118,30 @@ def explain_counts(spark, sf_dir):
     return generate.explain(_made(spark, sf_dir)).groupBy("subscriber", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {CLUSTERS}, subs AS ({SUBSCRIPTION_SQL}), users AS (SELECT DISTINCT user_id AS subscriber FROM events), g AS (SELECT *, event_count % 4 < 2 AS fine FROM clusters),
+  recent AS (SELECT * FROM g WHERE updated_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAYS),
+  skeys AS (SELECT scope_kind, owner, cluster_id, fine, e FROM (SELECT *, unnest(entities) AS e FROM g) WHERE e LIKE 'cve:%' OR e LIKE 'url:%')
+  SELECT subscriber, cluster_id FROM recent JOIN subs USING (connection_id) WHERE scope_kind = 'public' AND fine
+  UNION SELECT subscriber, cluster_id FROM recent, users WHERE scope_kind = 'public' AND connection_id IS NULL AND fine
+  UNION SELECT owner, cluster_id FROM recent WHERE scope_kind = 'private' AND fine
+  UNION SELECT o.owner, p.cluster_id FROM skeys p JOIN skeys o ON p.e = o.e AND p.scope_kind = 'public' AND p.fine AND o.scope_kind = 'private' JOIN recent r ON r.cluster_id = o.cluster_id""")
+def candidates_gated(spark, sf_dir):
+    """Every subscriber's candidates where half of the clusters have no summary that may be shown."""
+    k = F.col("event_count") % 4
+    banded = _clusters(spark, sf_dir).withColumn("band", F.when(k == 0, "confirmed").when(k == 1, "probable").when(k == 2, "uncertain"))
+    return generate.candidates_for_all(banded, subscriptions(spark, sf_dir), _users(spark, sf_dir), now(), require_summary=True)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN 'Body of ' || replace(replace(url, '[', ' '), ']', ' ') ELSE (SELECT body FROM plain p WHERE p.page_id = pages.page_id) END AS body FROM pages""".replace("plain p", f"({ORACLE['html_article_text']}) p"))
+def article_texts(spark, sf_dir):
+    """Articles of pages, some of which have linked data: within a graph, in a list after an empty one, broken."""
+    k = F.col("page_id") % 4
+    node = F.struct(F.concat(F.lit("Body of <b>"), "url", F.lit("</b> ")).alias("articleBody"))
+    data = F.when(k == 1, F.to_json(F.struct(F.array(F.struct(F.struct(node.alias("part")).alias("page"))).alias("@graph")))).when(k == 2, F.concat(F.lit('[{"articleBody":" "},'), F.to_json(node), F.lit("]")))
+    script = F.concat(F.lit('<script type="application/ld+json">'), F.coalesce(data, F.when(k == 3, F.lit('{"articleBody": "broken')), F.lit("{}")), F.lit("</script>"))
+    return table(spark, sf_dir, "pages").select("page_id", text.article_text(F.concat(script, "html")).alias("body"))
+
+
 EARLY = "2024-01-30 00:00:00"
 
 
@@ -209,11 +233,11 @@ def feed_items(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     k = F.col("page_id")
     link = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
-    text = lambda tag, value: F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag.split()[0]}>"))
+    tagged = lambda tag, value: F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag.split()[0]}>"))
     body = F.when(k % 5 > 0, F.concat(F.lit("&lt;p&gt;see  &lt;b&gt;page&lt;/b&gt; "), k.cast("string"), F.lit("&lt;/p&gt;"))).otherwise("")
     id_, title = F.concat(F.lit("id-"), k.cast("string")), F.concat(F.lit("Page "), k.cast("string"))
-    rss = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>c</title><item>'), F.when(k % 3 != 0, text('guid isPermaLink="false"', id_)).otherwise(""), F.when(k % 6 != 4, text("title", title)).otherwise(""), text("link", link), text("content:encoded", body), text("pubDate", F.lit("Tue, 02 Jan 2024 03:04:05 +0000")), F.lit("</item></channel></rss>"))
-    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry>'), text("id", id_), text('title type="text"', title), F.lit('<link rel="alternate" href="'), link, F.lit('"/>'), text("summary", body), text("updated", F.lit("2024-01-02T03:04:05Z")), F.lit("</entry></feed>"))
+    rss = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>c</title><item>'), F.when(k % 3 != 0, tagged('guid isPermaLink="false"', id_)).otherwise(""), F.when(k % 6 != 4, tagged("title", title)).otherwise(""), tagged("link", link), tagged("content:encoded", body), tagged("pubDate", F.lit("Tue, 02 Jan 2024 03:04:05 +0000")), F.lit("</item></channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry>'), tagged("id", id_), tagged('title type="text"', title), F.lit('<link rel="alternate" href="'), link, F.lit('"/>'), tagged("summary", body), tagged("updated", F.lit("2024-01-02T03:04:05Z")), F.lit("</entry></feed>"))
     items = feeds.parse_feed(p.select("page_id", (k % 2 == 0).alias("rss"), F.when(k % 2 == 0, rss).otherwise(atom).alias("xml")))
     kind = F.when(F.col("body").isNotNull(), "longform").otherwise("announcement")
     return items.select("page_id", "rss", "id", "title", "link", "body", _us("published").alias("published_us"), kind.alias("content_kind"))

@@ -629,7 +629,7 @@ for _name, _char in text.ENTITY.items():
 ARTICLE = "CASE WHEN regexp_extract(html, '(?is)<article.*?</article>') <> '' THEN regexp_extract(html, '(?is)<article.*?</article>') ELSE html END"
 
 
-@query(f"SELECT page_id, nullif(array_to_string(list_filter(string_split_regex({STRIP.format(h=ARTICLE)}, '[ \\t\\n\\x0b\\x0c\\r]+'), lambda w: w <> '' AND NOT regexp_matches(w, '^#+$')), ' '), '') AS body FROM pages")
+@query(f"SELECT page_id, nullif(array_to_string(list_filter(string_split_regex({STRIP.format(h=ARTICLE)}, '[ \\t\\n\\x0b\\x0c\\r\\[\\]]+'), lambda w: w <> '' AND NOT regexp_matches(w, '^#+$')), ' '), '') AS body FROM pages")
 def html_article_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(text.article_html(F.col("html"))).alias("body"))
 

@@ -30,7 +30,23 @@ def allowed_url(url: Column) -> Column:
     return (authority != "") & ~F.contains(authority, F.lit("@")) & ~host.rlike(LOCAL) & port.isin("", "80", "443")
 
 
+#: What can go wrong with a fetch, and whether a later try can't mend it. Fixed values.
+FAILURES = {
+    "bad_scheme": True, "dns_failure": False, "blocked_address": True, "too_many_redirects": True, "bad_status": False, "disallowed_content_type": True, "too_large": True,
+    "empty": True, "transport": False,
+}
+#: Statuses of a request that is at fault but may be sent again. Fixed values.
+RETRIED = (408, 429)
+
+
+def fetch_failure(status: Column, error: Column) -> Column:
+    """The name of what went wrong: an error by its own name, a status that is none of success as bad_status;
+    null if nothing did. A name that isn't known counts as transport's."""
+    known = F.when(error.isin(*FAILURES), error).otherwise("transport")
+    return F.when(error.isNotNull(), known).when(~status.between(200, 299), "bad_status")
+
+
 def permanent_failure(status: Column, error: Column) -> Column:
     """Failures that a later try won't mend; null counts as none."""
-    lasting = error.isin("blocked_address", "not_html", "too_large", "empty", "too_many_redirects", "bad_url")
-    return F.coalesce(lasting, F.lit(False)) | F.coalesce(status.between(400, 499) & ~status.isin(408, 429), F.lit(False))
+    lasting = error.isin(*[name for name, lasts in FAILURES.items() if lasts])
+    return F.coalesce(lasting, F.lit(False)) | F.coalesce(status.between(400, 499) & ~status.isin(*RETRIED), F.lit(False))

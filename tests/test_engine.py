@@ -218,12 +218,41 @@ def test_defang_and_markup(spark):
     assert one(spark, text.defang(lit("see  acme.com,\nnow"))) == "see  acme[.]com,\nnow"
     html = "<html><nav>x</nav><article><p>Hello &amp;  <b>world</b></p><script>no</script> # </article></html>"
     assert one(spark, text.html_text(text.article_html(lit(html)))) == "Hello & world"
+    assert one(spark, text.html_text(lit("coast.<a>[tagesschau.de]</a>The [[x] ## ] #1"))) == "coast. tagesschau.de The x #1"
     assert one(spark, text.truncate_words(lit("alpha beta gamma"), 12)) == "alpha beta"
     assert one(spark, text.escape(text.clean(lit("a\x07<b> & 'c'")))) == "a&lt;b&gt; &amp; &#39;c&#39;"
     assert [one(spark, text.safe_href(lit(u))) for u in ("HTTPS://e.org", "javascript:x")] == ["HTTPS://e.org", None]
     assert one(spark, text.strip_reasoning(lit("<think>so</think> yes"))) == "yes"
 
 
+def test_linked_data_comes_before_the_article(spark):
+    """Wherever it stands in the JSON; a page whose linked data says nothing falls back to its article, then to itself."""
+    bodies = {
+        '{"articleBody": " own "}': "own", '{"@graph": [{"x": 1}, {"articleBody": "deep"}]}': "deep", '[{"a": 2}, {"articleBody": "listed"}]': "listed",
+        '{"articleBody": " ", "z": {"articleBody": "z"}, "b": [[{"articleBody": "b"}]]}': "b", '{"articleBody": 5, "k": {"articleBody": "k"}}': "k", '{"o": "\\"articleBody\\":\\"no\\""}': None,
+        "{broken": None, "7": None, '{"a": NaN, "articleBody": "x"}': None, '{"articleBody": "\\ud800"}': None, "[" * 5000 + "]" * 5000: None,
+    }
+    assert {j: text.first_body([j]) for j in bodies} == bodies
+    assert text.first_body(["{broken", '{"articleBody": "second"}']) == "second" and text.first_body(None) is None and text.first_body([]) is None
+    script = lambda j, kind="application/ld+json": f'<html><SCRIPT id="a" TYPE="{kind}">{j}</script><article> <p>the article</p></article>'
+    pages = {
+        script('{"@graph": [{"articleBody": "A &amp; B [x] ## c"}]}'): "A & B x c", script("{}"): "the article", script('{"articleBody": "no"}', "text/javascript"): "the article",
+        '<script type="application/ld+json">{}</script><article> </article><p>the page': "the page", "<script>x</script>": None, script('{"articleBody": "<br>"}'): "the article",
+    }
+    df = spark.createDataFrame(list(enumerate([*pages, None])), "i int, html string")
+    assert [r[0] for r in df.orderBy("i").select(text.article_text(F.col("html"))).collect()] == [*pages.values(), None]
+    assert one(spark, text.article_text(F.lit(script('{"articleBody": "alpha beta gamma"}')), 1000, 12)) == "alpha beta"
+
+
+def test_failures_of_fetches(spark):
+    lit = F.lit
+    lasting = lambda status, error: one(spark, guard.permanent_failure(lit(status).cast("int"), lit(error).cast("string")))
+    named = lambda status, error: one(spark, guard.fetch_failure(lit(status).cast("int"), lit(error).cast("string")))
+    assert [e for e in guard.FAILURES if lasting(None, e)] == ["bad_scheme", "blocked_address", "too_many_redirects", "disallowed_content_type", "too_large", "empty"]
+    assert [s for s in (200, 400, 404, 408, 410, 429, 499, 500, 503) if lasting(s, None)] == [400, 404, 410, 499]
+    assert [named(*x) for x in ((200, None), (404, None), (None, "empty"), (None, "reset"), (None, None))] == [None, "bad_status", "empty", "transport", None]
+
+
 def test_summaries_are_gated(spark):
     lit = F.lit
     gate = lambda h, t, refs=(): one(spark, text.faithful(lit(h), lit(t), F.array(*map(lit, refs)).cast("array<string>"), F.array(lit("repo:a")), lit("12% of 40")))
@@ -242,8 +271,8 @@ def test_banned_words_come_in_order(spark):
 
 def test_prose(spark):
     lit, arr = F.lit, lambda *x: F.array(*map(F.lit, x))
-    assert [one(spark, prose.time_of_day(lit(h))) for h in (4, 5, 8, 13, 17, 21, 22)] == ["Burning the midnight oil", "Bright and early", "Good morning", "Good midday", "Good afternoon", "Good evening", "Burning the midnight oil"]
-    assert one(spark, prose.greeting(lit(9), lit("weekly"), lit(22), lit(" Ann "))) == "Good morning, Ann, your weekly digest is ready."
+    assert [one(spark, prose.time_of_day(lit(h))) for h in (4, 5, 8, 13, 17, 21, 22)] == ["A late hello", "An early hello", "Morning", "Noon greetings", "Afternoon", "Evening", "A late hello"]
+    assert one(spark, prose.greeting(lit(9), lit("weekly"), lit(7), lit(" Ann "))) == "Morning, Ann: one weekly round-up, freshly sorted."
     assert one(spark, prose.compose_lead(arr("...", " Auth is back! ", "x"))) == "Leading this digest: Auth is back, with 2 more updates below."
     assert one(spark, prose.compose_lead(arr("Auth is back!"))) == "Leading this digest: Auth is back!"
     assert one(spark, prose.compose_lead(arr("a", "b"))) == "Leading this digest: a, with 1 more update below."
