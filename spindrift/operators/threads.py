@@ -11,6 +11,7 @@ from ..functions.scoring import decay_affinity, seconds_between, thread_state
 from ..functions.text import auto_label, lexical_similarity, split_namespace
 from ..schema import AFFINITY_HALF_LIFE_DAYS, AFFINITY_MAX, ARCHIVE_DAYS, CONFIRMED, DORMANT_DAYS, LEXICAL_MOST, LEXICAL_THRESHOLD, MATCH_THRESHOLD, PROBABLE, THETA
 from ..session import ship
+from ..storage import kept
 from .graph import min_label_components
 
 
@@ -29,26 +30,40 @@ def co_occurrence(items: DataFrame, now: Column, half_life_days: float = AFFINIT
     return pairs.groupBy(*by, "a", "b").agg(F.sum("w").alias("weight"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 30) -> DataFrame:
+#: Weights of label propagation are whole multiples of this, so that sums don't depend on their order.
+GRAIN = 1e-9
+#: What a node's own label weighs, in grains.
+OWN = 1_000_000
+#: Edges of a component that one task walks in order; larger components are gone through in rounds.
+WALK = 1 << 17
+
+
+def label_propagation(edges: DataFrame, rounds: int = 30, walk: int = WALK) -> DataFrame:
     """(node, label): communities by label propagation in ascending order of nodes, in place; of equal
-    weights the smallest label. Order matters within a component and not across, so components are
-    walked apart."""
+    weights the smallest label. Weights count to nine decimals.
+
+    Order matters within a component and not across. Components of at most `walk` edges are walked, each by a
+    task. In larger ones a node's turn comes when all smaller neighbours have had theirs, so nodes are dealt
+    to steps, and those of a step have their turns at once.
+    """
     ship(edges.sparkSession)
+    edges = kept(edges.select("a", "b", F.round(F.col("weight") / GRAIN).cast("long").alias("weight")))
     nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    parts = min_label_components(nodes, edges).withColumnRenamed("id", "a")
+    parted = kept(edges.join(min_label_components(nodes, edges).withColumnRenamed("id", "a"), "a"))
+    sizes = kept(parted.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[tuple[str, float]]] = {}
-        for a, b, w in zip(g["a"], g["b"], g["weight"], strict=True):
+    def walked(g: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[tuple[str, int]]] = {}
+        for a, b, w in zip(g["a"], g["b"], g["weight"].tolist(), strict=True):
             near.setdefault(a, []).append((b, w))
             near.setdefault(b, []).append((a, w))
         label = {n: n for n in near}
         for _ in range(rounds):
             changed = False
             for n in sorted(near):
-                pull = {label[n]: 1e-3}
+                pull = {label[n]: OWN}
                 for other, w in near[n]:
-                    pull[label[other]] = pull.get(label[other], 0.0) + w
+                    pull[label[other]] = pull.get(label[other], 0) + w
                 best = min(pull, key=lambda x: (-pull[x], x))
                 changed |= best != label[n]
                 label[n] = best
@@ -56,7 +71,38 @@ def label_propagation(edges: DataFrame, rounds: int = 30) -> DataFrame:
                 break
         return pd.DataFrame({"node": list(label), "label": list(label.values())})
 
-    return edges.join(parts, "a").groupBy("component").applyInPandas(walk, "node string, label string")
+    small = parted.join(sizes.filter(F.col("size") <= walk).select("component"), "component").groupBy("component").applyInPandas(walked, "node string, label string")
+    many = sizes.filter(F.col("size") > walk).select("component")
+    if many.isEmpty():
+        return small
+    return small.unionByName(_stepwise(parted.join(many, "component").select("a", "b", "weight"), rounds))
+
+
+def _stepwise(edges: DataFrame, rounds: int) -> DataFrame:
+    """label_propagation() of whole components, by steps: a node's step is one after the last of its smaller
+    neighbours'."""
+    arcs = edges.select(F.col("a").alias("n"), F.col("b").alias("m"), "weight").unionByName(edges.select(F.col("b").alias("n"), F.col("a").alias("m"), "weight"))
+    step = kept(arcs.select("n").distinct().withColumn("step", F.lit(0)))
+    while True:
+        before = arcs.filter("m < n").join(step.select(F.col("n").alias("m"), "step"), "m").groupBy("n").agg((F.max("step") + 1).alias("later"))
+        moved = kept(step.join(before, "n", "left").select("n", F.coalesce("later", F.lit(0)).alias("step"), F.col("step").alias("was")))
+        step = moved.select("n", "step")
+        if moved.filter("step <> was").isEmpty():
+            break
+    arcs = kept(arcs.join(step, "n"))
+    last = arcs.agg(F.max("step")).first()[0]
+    labels = kept(step.select("n", F.col("n").alias("label")))
+    for _ in range(rounds):
+        start = labels
+        for k in range(last + 1):
+            pulls = arcs.filter(F.col("step") == k).join(labels.select(F.col("n").alias("m"), "label"), "m").select("n", "label", "weight")
+            own = labels.join(step.filter(F.col("step") == k).select("n"), "n").select("n", "label", F.lit(OWN).cast("long").alias("weight"))
+            each = pulls.unionByName(own).groupBy("n", "label").agg(F.sum("weight").alias("pull"))
+            best = each.groupBy("n").agg(F.min(F.struct((-F.col("pull")).alias("p"), "label"))["label"].alias("best"))
+            labels = kept(labels.join(best, "n", "left").select("n", F.coalesce("best", "label").alias("label")))
+        if labels.join(start.withColumnRenamed("label", "was"), "n").filter("label <> was").isEmpty():
+            break
+    return labels.select(F.col("n").alias("node"), "label")
 
 
 def communities(labels: DataFrame, least: int = 2) -> DataFrame:
@@ -69,31 +115,26 @@ def match_threads(candidates: DataFrame, existing: DataFrame, threshold: float =
     (thread_id, entities, pinned) match by Jaccard similarity and are claimed once, in order of label; the
     smallest id wins; a pinned thread is never absorbed.
 
-    Similarities come from an equi-join on entities; only the matches of one component of communities and
-    threads are walked together."""
-    ship(candidates.sparkSession)
+    Similarities come from an equi-join on entities. A community's turn comes when it is the first of all that
+    still match any of its threads; those whose turn it is choose together, as they share none.
+    """
     c = candidates.select("label", F.size("entities").alias("nc"), F.explode("entities").alias("e"))
     t = existing.select("thread_id", "pinned", F.size("entities").alias("nt"), F.explode("entities").alias("e"))
     shared = c.join(t, "e").groupBy("label", "thread_id", "pinned", "nc", "nt").agg(F.count(F.lit(1)).alias("o"))
-    hits = shared.filter(F.col("o") / (F.col("nc") + F.col("nt") - F.col("o")) >= threshold).select("label", "thread_id", "pinned")
-    graph = hits.select(F.concat(F.lit("c"), "label").alias("a"), F.concat(F.lit("t"), "thread_id").alias("b"))
-    ids = graph.select(F.col("a").alias("id")).unionByName(graph.select(F.col("b").alias("id"))).distinct()
-    tied = hits.join(min_label_components(ids, graph).select(F.col("id").alias("i"), "component"), F.concat(F.lit("c"), "label") == F.col("i"))
-
-    def settle(g: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        for label, m in g.groupby("label", sort=True):
-            m = m[~m["thread_id"].isin(taken)].sort_values("thread_id")
-            if m.empty:
-                continue
-            ids = m["thread_id"].tolist()
-            merged = [i for i, pinned in zip(ids[1:], m["pinned"].tolist()[1:], strict=True) if not pinned]
-            taken |= {ids[0], *merged}
-            out.append((label, "keep" if len(ids) == 1 else "merge", ids[0], merged))
-        return pd.DataFrame(out, columns=["label", "action", "thread_id", "merged"])
-
-    found = tied.groupBy("component").applyInPandas(settle, "label string, action string, thread_id string, merged array<string>")
+    left = kept(shared.filter(F.col("o") / (F.col("nc") + F.col("nt") - F.col("o")) >= threshold).select("label", "thread_id", "pinned"))
+    found = None
+    while not left.isEmpty():
+        first = left.groupBy("thread_id").agg(F.min("label").alias("first"))
+        due = left.join(first, "thread_id").groupBy("label").agg(
+            F.bool_and(F.col("first") == F.col("label")).alias("due"), F.array_sort(F.collect_list(F.struct("thread_id", "pinned"))).alias("ids")
+        )
+        others = F.filter(F.slice("ids", 2, F.size("ids")), lambda x: ~x["pinned"])
+        made = kept(due.filter("due").select("label", F.when(F.size("ids") == 1, "keep").otherwise("merge").alias("action"), F.col("ids")[0]["thread_id"].alias("thread_id"), F.transform(others, lambda x: x["thread_id"]).alias("merged")))
+        found = made if found is None else found.unionByName(made)
+        taken = made.select("thread_id").unionByName(made.select(F.explode("merged").alias("thread_id")))
+        left = kept(left.join(made.select("label"), "label", "left_anti").join(taken, "thread_id", "left_anti"))
+    if found is None:
+        return candidates.select("*", F.lit("new").alias("action"), F.lit(None).cast("string").alias("thread_id"), F.array().cast("array<string>").alias("merged"))
     return candidates.join(found, "label", "left").withColumn("action", F.coalesce("action", F.lit("new")))
 
 

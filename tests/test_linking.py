@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import generate, graph, incidence, link
+from spindrift.operators import generate, graph, incidence, link, threads
 from spindrift.plans import jobs  # noqa: F401
 from spindrift.plans.queries import QUERIES
 
@@ -130,3 +130,55 @@ def test_second_window_sees_the_first(spark, sf_dir):
             per.setdefault(r["subscriber"], []).append(r)
     assert all(len(x) <= 10 and sum(r["format"] == "story" for r in x) <= 4 for x in per.values())
     assert all(sorted(r["position"] for r in x) == list(range(len(x))) for x in per.values())
+
+
+def propagated(edges, rounds=30):
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    label = {n: n for n in near}
+    for _ in range(rounds):
+        before = dict(label)
+        for n in sorted(near):
+            pull = {label[n]: 1e-3}
+            for m, w in near[n]:
+                pull[label[m]] = pull.get(label[m], 0) + w
+            label[n] = min(pull, key=lambda x: (-round(pull[x], 9), x))
+        if label == before:
+            break
+    return label
+
+
+@pytest.mark.parametrize("seed,walk", [(1, 0), (2, 8), (3, 1 << 17)])
+def test_label_propagation_by_steps_equals_the_ordered_walk(spark, seed, walk):
+    rng = random.Random(seed)
+    nodes = [f"n{k:02}" for k in range(26)]
+    tied = {tuple(sorted(rng.sample(nodes[:16] if rng.random() < 0.7 else nodes[16:], 2))) for _ in range(34)}
+    edges = [(a, b, rng.choice([0.1, 0.2, 0.3, 1.0, 0.7])) for a, b in tied]
+    found = threads.label_propagation(spark.createDataFrame(edges, "a string, b string, weight double"), walk=walk)
+    assert {r["node"]: r["label"] for r in found.collect()} == propagated(edges)
+
+
+def matched(communities, existing, threshold):
+    taken, out = set(), {}
+    for label, entities in sorted(communities):
+        e = set(entities)
+        ids = sorted((t, pinned) for t, own, pinned in existing if t not in taken and e & set(own) and len(e & set(own)) / len(e | set(own)) >= threshold)
+        if not ids:
+            out[label] = ("new", None, [])
+            continue
+        merged = [t for t, pinned in ids[1:] if not pinned]
+        taken |= {ids[0][0], *merged}
+        out[label] = ("keep" if len(ids) == 1 else "merge", ids[0][0], merged)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_matching_in_turns_equals_the_ordered_walk(spark, seed):
+    rng = random.Random(seed)
+    some = lambda n: sorted(rng.sample([f"e{k}" for k in range(14)], rng.randint(2, n)))
+    communities = [(f"l{k:02}", some(5)) for k in range(16)]
+    existing = [(f"t{k:02}", some(4), rng.random() < 0.3) for k in range(14)]
+    found = threads.match_threads(spark.createDataFrame(communities, "label string, entities array<string>"), spark.createDataFrame(existing, "thread_id string, entities array<string>, pinned boolean"), 0.25)
+    assert {r["label"]: (r["action"], r["thread_id"], r["merged"] or []) for r in found.collect()} == matched(communities, existing, 0.25)
