@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import best_text, sorted_set
+from ..functions.text import best_text, grounded_token, normalize_text, sorted_set
 from .rollup import KEY
 
 
@@ -112,9 +112,11 @@ def apply_enrichment(events: DataFrame, found: DataFrame) -> DataFrame:
     return j.withColumns({"entities": entities, "severity": severity}).drop("tokens", "salience")
 
 
-def synthesize_facts(members: DataFrame) -> DataFrame:
-    """Facts of a story from its clusters' (story_id, position, entities, numbers, tentative, cause)."""
-    return members.groupBy("story_id").agg(
-        sorted_set(F.flatten(F.collect_set("entities"))).alias("entities"), sorted_set(F.flatten(F.collect_set("numbers"))).alias("numbers"),
-        F.bool_or("tentative").alias("tentative"), F.min_by("cause", F.when(F.col("cause").isNotNull(), F.col("position"))).alias("cause"),
-    )
+def enriched(events: DataFrame, texts: DataFrame, found: DataFrame, at: Column) -> DataFrame:
+    """events after found names (event_id, names: kind, name; salience) of their texts (event_id, text): names
+    that stand in the text become tokens, and enriched_at is set on all that were found out about."""
+    told = found.join(texts, "event_id").withColumn("_source", normalize_text(F.col("text")))
+    tokens = F.filter(F.transform(F.coalesce("names", F.array()), lambda x: grounded_token(x["kind"], x["name"], F.col("_source"))), lambda t: t.isNotNull())
+    out = apply_enrichment(events, told.select("event_id", tokens.alias("tokens"), "salience"))
+    seen = told.select("event_id", F.lit(True).alias("_seen"))
+    return out.join(seen, "event_id", "left").withColumn("enriched_at", F.when(F.col("_seen"), at).otherwise(F.col("enriched_at"))).drop("_seen").select(*events.columns)

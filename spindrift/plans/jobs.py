@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import prose, scoring, text
-from ..operators import digest, evaluate, generate, link, maintain, mutations, records, rollup, status, summaries, threads
+from ..operators import digest, evaluate, generate, link, maintain, mutations, records, rollup, status, summaries, sweep, threads
 from ..schema import Scoring
 from ..scope import finalize_scope
 from ..sources import feeds, github, guard
@@ -387,6 +387,86 @@ def join_facts(spark, sf_dir):
     return summaries.join_facts(m).select(F.col("story_id").alias("conv_id"), "tentative", "event_type", F.array_join("entities", ",").alias("entities"))
 
 
+def stub_model(batch):
+    """A model that makes a headline of the first line, and goes wrong by what it is asked: every seventh size
+    ends in an error, every third is told as a number."""
+    import pandas as pd
+
+    lines = batch["ground"].str.split("\n")
+    n = lines.str.len()
+    return pd.DataFrame({
+        "cluster_id": batch["cluster_id"], "headline": lines.str[0], "refs": [list(e[:1]) for e in batch["entities"]],
+        "tldr": [f"{k} events." if k % 3 == 0 else "Several events." for k in n], "error": ["timeout" if k % 7 == 0 else None for k in n],
+    })
+
+
+SWEPT = f"""{CLUSTERS}, c AS (SELECT *, CAST(event_count AS INTEGER) AS n, CASE WHEN event_count % 5 <> 0 THEN event_count % 4 ELSE 0 END AS a0, regexp_extract(group_key, '[0-9]+') AS u FROM clusters),
+  o AS (SELECT *, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 5 = 1 THEN 'unchanged' WHEN n % 7 = 0 OR (n % 3 = 0 AND CAST(n AS VARCHAR) <> u) THEN 'failed' ELSE 'stored' END AS outcome,
+    CASE WHEN n % 7 = 0 THEN 'model:timeout' ELSE 'ungrounded_number:' || n END AS why FROM c)"""
+
+
+def _to_sweep(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Clusters with their events: of five, one was summarized since it changed, one was before, but of the same
+    content, and three never were and have failed up to three times."""
+    clusters = kept(_clusters(spark, sf_dir))
+    key = F.concat_ws("|", "scope_kind", F.coalesce(F.col("owner").cast("string"), F.lit("")), "source", "group_key")
+    events = kept(event_log(spark, sf_dir).withColumn("cluster_id", key))
+    hashes = digest.summary_hash(events, ["cluster_id"], ["event_time", "event_id"])
+    k, day = F.col("event_count") % 5, F.expr("interval 1 day")
+    c = clusters.join(hashes.withColumnRenamed("summary_hash", "_h"), "cluster_id")
+    none = F.lit(None)
+    rows = c.select(
+        "cluster_id", "scope_kind", "updated_at", "last_event_time", F.when(k == 0, F.col("updated_at") + day).when(k == 1, F.col("updated_at") - day).alias("summarized_at"),
+        F.when(k < 2, "told").alias("summary"), F.when(k < 2, F.col("_h")).alias("summary_hash"), F.when(k < 2, "stub").alias("summary_model"),
+        F.when(k != 0, F.col("event_count") % 4).otherwise(0).cast("int").alias("attempts"), none.cast("string").alias("last_error"), none.cast("timestamp_ntz").alias("quarantined_at"),
+    )
+    return kept(rows), events
+
+
+@query(f"""WITH {SWEPT} SELECT cluster_id, CAST(CASE WHEN outcome IS NULL THEN a0 WHEN outcome = 'failed' THEN a0 + 1 ELSE 0 END AS INTEGER) AS attempts, CASE WHEN outcome = 'failed' THEN why END AS last_error,
+  outcome = 'failed' AND a0 = 3 AS aside, CASE WHEN outcome = 'stored' THEN 'stub' WHEN n % 5 < 2 THEN 'stub' END AS summary_model FROM o""".replace("outcome = 'failed' AND a0 = 3 AS aside", "coalesce(outcome = 'failed' AND a0 = 3, false) AS aside"))
+def sweep_clusters(spark, sf_dir):
+    """All clusters after a sweep of a stub for a model, some of whose answers fail or aren't grounded."""
+    rows, events = _to_sweep(spark, sf_dir)
+    after = sweep.sweep_clusters(rows, events, stub_model, "stub", now()).rows
+    return after.select("cluster_id", "attempts", "last_error", F.col("quarantined_at").isNotNull().alias("aside"), "summary_model")
+
+
+@query(f"WITH {SWEPT}, t AS (SELECT CASE WHEN outcome = 'failed' AND a0 = 3 THEN 'quarantined' ELSE outcome END AS outcome FROM o WHERE outcome IS NOT NULL) SELECT outcome, count(*) AS n FROM t GROUP BY 1")
+def sweep_counts(spark, sf_dir):
+    """How many clusters the sweep stored, left unchanged, failed or set aside."""
+    rows, events = _to_sweep(spark, sf_dir)
+    return sweep.sweep_clusters(rows, events, stub_model, "stub", now()).counts
+
+
+@query(f"""WITH {SWEPT}, v AS (SELECT n % 7 = 0 AS gone, n % 3 = 0 AND CAST(n AS VARCHAR) <> u AS loose FROM (SELECT * FROM o WHERE scope_kind = 'public' ORDER BY last_event_time DESC, cluster_id LIMIT 200))
+  SELECT count(*) FILTER (WHERE NOT gone AND NOT loose) AS passed, count(*) FILTER (WHERE NOT gone AND loose) AS rejected, count(*) FILTER (WHERE gone) AS unavailable, round(count(*) FILTER (WHERE NOT gone AND NOT loose) / count(*) FILTER (WHERE NOT gone)::DOUBLE, 6) AS rate FROM v""")
+def faithfulness_eval(spark, sf_dir):
+    """How faithful the stub is on the two hundred newest public clusters."""
+    rows, events = _to_sweep(spark, sf_dir)
+    return sweep.evaluate_model(rows, events, stub_model, 200).withColumn("rate", F.round("rate", 6))
+
+
+def stub_names(batch):
+    """A model that names the user of an event and somebody who isn't in it."""
+    import pandas as pd
+
+    names = [[{"kind": "person", "name": t.split(" by ")[-1].title()}, {"kind": "place", "name": "Nowhere"}] for t in batch["text"]]
+    k = batch["event_id"]
+    return pd.DataFrame({"event_id": k, "names": names, "salience": (k % 3).astype("int32"), "error": ["timeout" if x % 10 == 0 else None for x in k]})
+
+
+@query(f"""WITH log AS ({EVENT_LOG_SQL}), due AS (SELECT event_id FROM log WHERE scope_kind = 'public' AND source IN ('click', 'view') AND ingest_time > TIMESTAMP '2024-01-20 00:00:00' ORDER BY ingest_time, event_id LIMIT 2000)
+  SELECT event_id, due.event_id IS NOT NULL AND event_id % 10 <> 0 AS enriched, CASE WHEN due.event_id IS NOT NULL AND event_id % 10 <> 0 THEN 'person:user-' || user_id END AS named,
+    CASE WHEN due.event_id IS NOT NULL AND event_id % 10 <> 0 AND event_id % 3 > 0 THEN greatest(severity, event_id % 3) ELSE severity END AS severity FROM log LEFT JOIN due USING (event_id)""")
+def sweep_enrichment(spark, sf_dir):
+    """The log after the oldest unbuilt clicks and views were enriched; names that no text has are left out."""
+    log = event_log(spark, sf_dir).withColumn("enriched_at", F.lit(None).cast("timestamp_ntz"))
+    out = sweep.sweep_enrichment(log, stub_names, _ts("2024-01-20 00:00:00"), ["click", "view"], now(), 2000)
+    one = F.get(F.filter("entities", lambda e: e.rlike("^(person|place):")), F.lit(0))
+    return out.select("event_id", F.col("enriched_at").isNotNull().alias("enriched"), one.alias("named"), F.col("severity").cast("long").alias("severity"))
+
+
 SUMMARIZED = """SELECT *, o_orderkey % 4 AS k, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM orders"""
 
 
