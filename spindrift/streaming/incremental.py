@@ -7,11 +7,13 @@ dealt into buckets, by what they are looked up by, and only the buckets that a b
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rollup import KEY, append_new, in_groups, rollup
+from ..operators.rollup import KEY, advance, append_new, dirty_groups, in_groups, rollup
+from ..storage import kept
 
 DEDUP = ["source", "stable_id", "scope_kind", "owner"]
 #: Buckets of a table; so many partitions at most does a batch write.
@@ -66,7 +68,11 @@ def events(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 def clusters(spark: SparkSession, root: str) -> DataFrame:
     """The clusters so far: of each, what the last batch that touched it made of it."""
-    found = spark.read.option("basePath", f"{root}/cluster").parquet(f"{root}/cluster/batch=*")
+    return _latest(spark, root, "cluster")
+
+
+def _latest(spark: SparkSession, root: str, table: str) -> DataFrame:
+    found = spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}/batch=*")
     columns = [c for c in found.columns if c not in ("batch", "bucket")]
     last = found.groupBy("cluster_id").agg(F.max_by(F.struct(*columns), "batch").alias("x"))
     return last.select("x.*")
@@ -89,3 +95,41 @@ def bounds(through: Column, now: Column, grace_secs: int = 90) -> tuple[Column,
     """(lo, hi] of the next build on ingest time: from the watermark to now less a grace."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return F.coalesce(through, epoch), now - F.expr(f"interval {grace_secs} seconds")
+
+
+def build_tick(spark: SparkSession, root: str, schema: str, now: Column, grace_secs: int = 90) -> bool:
+    """One build up to now less a grace, from the watermark on; whether there was anything to build.
+
+    Groups that got events in between are folded anew from all events up to there, and the watermark moves. The
+    clusters are written before the watermark, so a tick that is lost in between is done again over the same
+    bounds, in the same place. What comes in within the grace waits for the next tick, so an event that is
+    stamped before now but lands a little later isn't passed over.
+    """
+    ticks = _watermark(spark, root)
+    number, through = ticks if ticks is not None else (0, None)
+    lo, hi = spark.range(1).select(*bounds(F.lit(through).cast("timestamp_ntz"), now, grace_secs)).first()
+    if hi <= lo:
+        return False
+    mark = lambda t: F.lit(t).cast("timestamp_ntz")
+    known = events(spark, root, schema).filter(F.col("ingest_time") <= mark(hi))
+    dirty = kept(dirty_groups(known, mark(lo), mark(hi)))
+    waiting = not dirty.isEmpty()
+    if waiting:
+        _write(rollup(in_groups(known, dirty)), root, "built", number + 1, ["cluster_id"])
+    spark.range(1).select(advance(mark(through), mark(hi)).alias("through")).write.mode("overwrite").parquet(f"{root}/watermark/tick={number + 1}")
+    return waiting
+
+
+def _watermark(spark: SparkSession, root: str) -> tuple | None:
+    """The last tick's number and how far it came."""
+    try:
+        found = spark.read.schema("through timestamp_ntz, tick long").option("basePath", f"{root}/watermark").parquet(f"{root}/watermark/tick=*")
+    except AnalysisException:  # no tick was yet
+        return None
+    last = found.agg(F.max(F.struct("tick", "through")).alias("x")).first()["x"]
+    return None if last is None else tuple(last)
+
+
+def built(spark: SparkSession, root: str) -> DataFrame:
+    """Clusters as the last build that touched them left them."""
+    return _latest(spark, root, "built")
