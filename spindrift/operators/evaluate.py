@@ -61,6 +61,16 @@ def replay(candidates: DataFrame, cfg: Scoring, now, by: tuple[str, ...] = ("dig
     return select_full(score(candidates, cfg, now, F.lit("1970-01-01").cast("timestamp_ntz")), cfg, by)
 
 
+def sweep(candidates: DataFrame, configs: dict[str, Scoring], grades: DataFrame, now, by: tuple[str, ...] = ("digest_id",)) -> DataFrame:
+    """evaluate() of what each configuration would have made of the same frozen candidates: a row for each, with
+    its name as config, all in one job."""
+    rows = [evaluate(replay(candidates, cfg, now, by).withColumn("cause", F.col("drop_cause")), grades).withColumn("config", F.lit(name)) for name, cfg in configs.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def faithfulness(verdicts: DataFrame) -> DataFrame:
     """Counts of summaries by verdict (passed, or why not; null: not made), and the share of those made that
     passed."""

@@ -530,6 +530,27 @@ def replay_ab(spark, sf_dir):
     return a.join(b, "story_id")
 
 
+#: Configurations to compare: the default one, one of few stories, one of notes alone.
+GRID = {"default": CFG, "narrow": Scoring(story_cap=2, note_cap=5), "notes": Scoring(story_cap=0, note_cap=9)}
+
+
+def _graded_sql(name: str, cfg: Scoring) -> str:
+    return f"""(WITH {_full_sql(cfg.story_cap, cfg.note_cap, EPOCH, True)}, s AS (SELECT d.*, CASE r.event_count % 3 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM decided d JOIN rolled r USING (story_id)),
+  o AS (SELECT *, row_number() OVER (ORDER BY gain DESC, position) - 1 AS j FROM s WHERE verdict = 'selected')
+  SELECT '{name}' AS config, (SELECT count(*) FROM s) AS candidates, count(*) AS selected, (SELECT count(*) FROM s WHERE verdict = 'over_cap') AS over_cap, count(*) FILTER (WHERE format = 'story') AS selected_stories,
+    count(*) FILTER (WHERE gain = 2) AS care_more, count(*) FILTER (WHERE gain = 0) AS care_less, round(sum(gain / log2(position + 2.0::DOUBLE)) / sum(gain / log2(j + 2.0::DOUBLE)), 6) AS ndcg FROM o)"""
+
+
+@query(" UNION ALL ".join(_graded_sql(name, cfg) for name, cfg in GRID.items()))
+def eval_sweep(spark, sf_dir):
+    """What three configurations would have made of the same stories, judged by the same grades."""
+    c = kept(_linked(spark, sf_dir).withColumn("digest_id", F.col("subscriber")))
+    k = F.col("event_count") % 3
+    grades = c.select("story_id", F.when(k == 0, "up").when(k == 1, "down").alias("grade")).filter("grade is not null")
+    m = evaluate.sweep(c, GRID, grades, now())
+    return m.select("config", "candidates", "selected", "over_cap", "selected_stories", "care_more", "care_less", F.round("ndcg", 6).alias("ndcg"))
+
+
 @query(f"WITH {LOG} SELECT count(*) AS events, count(*) FILTER (WHERE scope_kind = 'public') AS public_events, count(*) FILTER (WHERE scope_kind = 'private') AS private_events, count(*) FILTER (WHERE ingest_time >= TIMESTAMP '2024-01-30 00:00:00') AS events_24h, count(*) FILTER (WHERE len(entities) > 0) AS with_entities, count(severity) AS with_severity FROM log")
 def status_report(spark, sf_dir):
     return status.event_stats(event_log(spark, sf_dir), now())
