@@ -240,6 +240,19 @@ def test_secret_model_tells_held_out_samples_apart():
     assert hit > 0.8 and false < 0.05
 
 
+def test_embedding_audit_looks_for_links():
+    """Where links are rare the audit takes more queries, until it has some to tell a recall by."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (2000, 32)).astype(np.float32)
+    x[1000:1200] = x[:200] + 0.1 * rng.normal(0, 1, (200, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sample, truth = embed_dedup._audit(x, x, 0.9, 8)
+    told = np.count_nonzero((truth >= 0.9) & (truth < 1 - 1e-6))
+    assert told >= embed_dedup.LINKS_TOLD and 8 < len(sample) < 2000
+    none, _ = embed_dedup._audit(x[:1000], x[:1000], 0.9, 8)
+    assert len(none) == 1000  # no link at all: every query is audited, as they are few
+
+
 def test_secret_model_takes_fillers_for_ordinary():
     """Rules, patterns and alphabets aren't secrets; planted keys are, dotted ones whole."""
     model = secret_scan.fit(*secret_scan.default_samples())
