@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import prose, scoring, text
 from ..operators import digest, evaluate, generate, link, maintain, mutations, records, rollup, status, summaries, sweep, threads
 from ..schema import Scoring
-from ..scope import finalize_scope
+from ..scope import Context, finalize_scope, scoped_items
 from ..sources import feeds, github, guard
 from ..storage import kept
 from .adapters import EVENT_LOG_SQL, NOW, SUBSCRIPTION_SQL, event_log, now, subscriptions, table
@@ -706,3 +706,67 @@ def touched_clusters(spark, sf_dir):
     c = _clusters(spark, sf_dir)
     t = c.filter("event_count % 3 < 2").select("cluster_id", (F.col("event_count") % 3 == 0).alias("raise_depth"))
     return rollup.touch(c, t, now()).select("cluster_id", "depth_rank", _us("updated_at").alias("updated_us"))
+
+
+# --- operators that jobs use, on their own -------------------------------------------------------------------
+
+ADHOC = _replaced(ALL_SCORED, (f"TIMESTAMP '{NOW}' - CASE WHEN subscriber % 3 = 0 THEN INTERVAL 192 HOURS ELSE INTERVAL 36 HOURS END", f"TIMESTAMP '{NOW}' - INTERVAL 30 DAYS"))
+
+
+@query(f"WITH {ADHOC} SELECT subscriber, story_id, CAST(position AS BIGINT) AS position, format FROM verdicts WHERE verdict = 'selected'")
+def digest_now(spark, sf_dir):
+    """Every subscriber's ad-hoc digest: over the full lookback, whatever the cadence."""
+    shown = spark.createDataFrame([], "subscriber long, story_id string, shown_time timestamp_ntz, shown_format string, window_end timestamp_ntz")
+    d = generate.dispatch_now(kept(_clusters(spark, sf_dir)), subscriptions(spark, sf_dir), _users(spark, sf_dir), spark.createDataFrame([], generate.NO_PRIOR), shown, _threads(spark, sf_dir), now(), STRICT)
+    return d.select("subscriber", "story_id", F.col("position").cast("long").alias("position"), "format")
+
+
+@query("""WITH d AS (SELECT l_orderkey AS digest_id, CASE l_returnflag WHEN 'A' THEN 'selected' WHEN 'N' THEN 'over_cap' ELSE 'dropped' END AS verdict, CASE l_returnflag WHEN 'R' THEN CASE WHEN l_quantity < 25 THEN 'below_floor' ELSE 'stale_for_cadence' END END AS cause FROM lineitem),
+  n AS (SELECT digest_id, verdict, cause, count(*) AS n FROM d GROUP BY 1, 2, 3)
+  SELECT o_orderkey AS digest_id, coalesce(string_agg(verdict || ':' || coalesce(cause, '') || ':' || n, ',' ORDER BY verdict, cause), '') AS decided FROM orders LEFT JOIN n ON o_orderkey = digest_id GROUP BY 1""")
+def decisions_recorded(spark, sf_dir):
+    """Orders as digests with what decided them: their lines' flags as verdicts, small returned ones as irrelevant."""
+    flag = F.col("l_returnflag")
+    cause = F.when(flag == "R", F.when(F.col("l_quantity") < 25, "below_floor").otherwise("stale_for_cadence"))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("digest_id"), F.when(flag == "A", "selected").when(flag == "N", "over_cap").otherwise("dropped").alias("verdict"), cause.alias("drop_cause"))
+    out = records.record_decisions(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("digest_id")), d)
+    said = F.array_join(F.transform("decided", lambda x: F.concat_ws(":", x["verdict"], F.coalesce(x["drop_cause"], F.lit("")), x["n"].cast("string"))), ",")
+    return out.select("digest_id", F.coalesce(said, F.lit("")).alias("decided"))
+
+
+@query(f"""WITH log AS ({EVENT_LOG_SQL}) SELECT scope_kind, owner, log.source, group_key, bool_or(length(text) >= {records.LONGFORM_CHARS}) AS raise_depth FROM log JOIN documents ON event_id = doc_id WHERE text IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def fetched_groups(spark, sf_dir):
+    """Groups whose events got a document's text as the article behind them."""
+    return records.touched_by_fetch(event_log(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), "text"))
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def recent_log(spark, sf_dir):
+    """The hundred newest events."""
+    return records.recent_events(event_log(spark, sf_dir), 100).select("event_id")
+
+
+@query("SELECT c_custkey AS subscriber FROM customer LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS TIMESTAMP)) AS ran FROM orders GROUP BY 1) ON c_custkey = o_custkey WHERE ran IS NULL OR ran <= TIMESTAMP '1998-01-01' - INTERVAL 1 DAY")
+def maintenance_due(spark, sf_dir):
+    """Customers whose last order, taken for the last maintenance, is a day or longer ago, or who have none."""
+    ran = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subscriber")).agg(F.max(F.col("o_orderdate").cast("timestamp_ntz")).alias("ran_at"))
+    return status.due_maintenance(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subscriber")), ran, _ts("1998-01-01"), "1 day")
+
+
+@query("SELECT l_orderkey AS digest_id, l_linenumber AS position FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 8")
+def own_items(spark, sf_dir):
+    """The digest items that a subscriber may read."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("digest_id"), F.col("l_linenumber").alias("position"))
+    digests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("digest_id"), F.col("o_custkey").alias("subscriber"))
+    return scoped_items(items, digests, Context(8))
+
+
+@query("""SELECT s_suppkey AS connection_id, CASE WHEN s_suppkey % 2 = 0 THEN 'github' ELSE 'rss' END AS source, CASE WHEN s_acctbal > 0 THEN CAST(floor(s_acctbal) AS INTEGER) ELSE 900 END AS poll_interval_secs, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 7 AS VARCHAR) END AS provider_account_id
+  FROM supplier WHERE s_suppkey % 2 = 1 OR s_nationkey > 4""")
+def connections_made(spark, sf_dir):
+    """Suppliers as connections that were asked for: those of code forges need an owner, which the first nations lack."""
+    k = F.col("s_suppkey")
+    forge = k % 2 == 0
+    config = F.when(forge, F.to_json(F.struct((k * 7).alias("installation_id")))).otherwise('{"url": "http://e.org"}')
+    asked = table(spark, sf_dir, "supplier").select(k.alias("connection_id"), F.when(forge, "github").otherwise("rss").alias("source"), config.alias("config"), F.floor("s_acctbal").cast("int").alias("poll_interval_secs"), F.when(F.col("s_nationkey") > 4, k).alias("owner"))
+    return records.prepare_connections(asked).select("connection_id", "source", F.col("poll_interval_secs").cast("int").alias("poll_interval_secs"), "provider_account_id")
