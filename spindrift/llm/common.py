@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -117,6 +118,42 @@ def byte_runs(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
+#: Bytes of texts whose features are worked out at once.
+AT_ONCE = 1 << 20
+
+
+def pieces(starts: np.ndarray, unit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts that stand end to end, in pieces of AT_ONCE bytes at most: (first byte, end, where each part of a
+    text begins and the last ends, counted from the first byte, the text of each part). A text that is longer is
+    parted at multiples of `unit` bytes; a piece has one part of a text at most."""
+    most = max(AT_ONCE // unit, 1) * unit
+    begin, of, size = [], [], 0
+    for text, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        while True:
+            part = min(b - a, most)
+            if of and (size + part > most or of[-1] == text):
+                yield begin[0], begin[0] + size, np.array([*begin, begin[0] + size]) - begin[0], np.array(of)
+                begin, of, size = [], [], 0
+            begin.append(a)
+            of.append(text)
+            size, a = size + part, a + part
+            if a >= b:
+                break
+    if of:
+        yield begin[0], begin[0] + size, np.array([*begin, begin[0] + size]) - begin[0], np.array(of)
+
+
+def has_letter(raw: np.ndarray) -> bool:
+    """Whether a text has a letter of any script; it is read in parts, and only until one is found."""
+    decoder = codecs.getincrementaldecoder("utf-8")("ignore")
+    for at in range(0, len(raw), AT_ONCE):
+        part = raw[at : at + AT_ONCE]
+        low = part | 32
+        if ((low >= 97) & (low <= 122)).any() or any(map(str.isalpha, decoder.decode(part.tobytes()))):
+            return True
+    return False
+
+
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, byte_runs, small_batches, texts_of
+from .common import batches, byte_runs, has_letter, pieces, small_batches
 
 #: Length of a window in bytes, dimensions of a byte's embedding, filter widths and filters of each.
 WINDOW, DIMS, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 #: The network is fitted on at most so many texts of a language, those with the smallest hash of their
 #: id, and on no further one once they have the language's part of so many windows. A text that is taken
-#: is taken whole. These bounds are for training alone.
-FIT_TEXTS, FIT_WINDOWS = 400, 40_000
+#: is taken whole, and of more than so many bytes none is, as what is trained on comes to the driver. These
+#: bounds are for training alone.
+FIT_TEXTS, FIT_WINDOWS, FIT_BYTES = 400, 40_000, 1 << 20
 #: Windows that are evaluated together.
 TOGETHER = 256
 UNKNOWN = "und"
@@ -158,7 +159,7 @@ def fit_on(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     their id, and none after those that have the language's part of `most_windows`. All windows of a
     chosen row count; they are cut in tasks and come here as they are trained on."""
     small_batches(labelled.sparkSession)
-    rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, FIT_BYTES)).select(
         F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit("fit")).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")
     )
     lists = _smallest(rows, most)
@@ -226,14 +227,15 @@ def identify(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([UNKNOWN] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], names=[id_col, "lang_pred", "score"])
                 continue
             raw, starts = byte_runs(batch)
-            x, owner, used = windows(raw, starts)
             sums = np.zeros((batch.num_rows, len(net.langs)))
-            for i in range(0, len(x), TOGETHER):
-                p = net.chances(x[i : i + TOGETHER]) * used[i : i + TOGETHER, None]
-                np.add.at(sums, owner[i : i + TOGETHER], p)
+            for lo, hi, begin, of in pieces(starts, WINDOW):
+                x, owner, used = windows(raw[lo:hi], begin)
+                for i in range(0, len(x), TOGETHER):
+                    p = net.chances(x[i : i + TOGETHER]) * used[i : i + TOGETHER, None]
+                    np.add.at(sums, of[owner[i : i + TOGETHER]], p)
             sums /= np.maximum(np.diff(starts), 1)[:, None]
             best = sums.argmax(1)
-            lettered = [any(map(str.isalpha, t)) for t in texts_of(batch)]
+            lettered = [has_letter(raw[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             lang = [net.langs[k] if ok else UNKNOWN for k, ok in zip(best, lettered, strict=True)]
             score = [float(min(1.0, s)) if ok else 0.0 for s, ok in zip(sums[np.arange(len(best)), best], lettered, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])

@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, byte_runs, small_batches
+from .common import batches, byte_runs, pieces, small_batches
 
 #: Bytes of a passage; dimensions of its code and of the attention.
 PASSAGE, CODE, ATTENTION = 512, 16, 8
 #: The model is fitted on at most so many documents of each label, those with the smallest hash of their
-#: id, and on no further one once they have so many passages. A document that is taken is taken whole.
-#: These bounds are for training alone.
-FIT_DOCS, FIT_PASSAGES = 600, 20_000
+#: id, and on no further one once they have so many passages. A document that is taken is taken whole, and
+#: of more than so many bytes none is, as its features come to the driver. These bounds are for training
+#: alone.
+FIT_DOCS, FIT_PASSAGES, FIT_BYTES = 600, 20_000, 1 << 20
 #: A document is kept from this score on.
 ACCEPT = 0.3
 
@@ -92,6 +93,24 @@ class Mil:
         return {"x": x, "h": h, "t": t, "s": s, "w": w, "z": z, "owner": owner, "p": 1 / (1 + np.exp(-(z @ self.out + self.bias[0])))}
 
 
+    def chances(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """forward()'s p for texts that stand end to end, worked out piece by piece: of a text's passages so far
+        the largest attention, the sum of their weights and that of their weighted codes are carried on."""
+        n = len(starts) - 1
+        top, total, code = np.full(n, -np.inf), np.zeros(n), np.zeros((n, CODE))
+        for lo, hi, parts, of in pieces(starts, PASSAGE):
+            x, begin = passages(raw[lo:hi], parts)
+            h = np.tanh((x - self.mean) * self.scale @ self.encode + self.encode_bias)
+            a = (np.tanh(h @ self.gate_v) / (1 + np.exp(-(h @ self.gate_u)))) @ self.gate_w
+            now = np.maximum(top[of], np.maximum.reduceat(a, begin[:-1]))
+            w = np.exp(a - np.repeat(now, np.diff(begin)))
+            before = np.exp(top[of] - now)
+            total[of] = total[of] * before + np.add.reduceat(w, begin[:-1])
+            code[of] = code[of] * before[:, None] + np.add.reduceat(h * w[:, None], begin[:-1])
+            top[of] = now
+        return 1 / (1 + np.exp(-(code / total[:, None] @ self.out + self.bias[0])))
+
+
 def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, *, seed: int = 5, epochs: int = 30, rate: float = 0.01, batch: int = 64, decay: float = 1e-3) -> Mil:
     """A model of bags (passages of document i: x[begin[i]:begin[i + 1]]) with labels y, by Adam on the
     log-loss. Each label has half of the weight, shifted so that a score is a chance at the labels' own
@@ -144,9 +163,11 @@ def fit_on(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """fit() on rows with a label of 0 or 1: at most `most` of each, those with the smallest hash of their
     id, and none after those that have `most_passages` together. All passages of a chosen row count; they
     are encoded in tasks, and only their features come here. The offset is moved by the labels' true
-    frequency."""
+    frequency. Without labels every text gets the same score, above ACCEPT; with one label alone, that
+    label's side of it."""
     small_batches(labelled.sparkSession)
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
+    short = F.coalesce(F.octet_length(text_col), F.lit(0)) <= FIT_BYTES
+    rows = labelled.filter(F.col(label_col).isin(0, 1) & short).select(
         F.col(label_col).cast("int").alias("label"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit("fit")).alias("h"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
@@ -210,8 +231,7 @@ def _scored(docs: DataFrame, model: Mil, keep: list[str], text_col: str = "text"
         for batch in it:
             if not batch.num_rows:
                 continue
-            x, begin = passages(*byte_runs(batch, text_col))
-            p = model.forward(x, begin)["p"]
+            p = model.chances(*byte_runs(batch, text_col))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.clip(p, 0, 1), pa.float64())], names=[*keep, score_col]
             )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, small_batches, texts_of
+from .common import AT_ONCE, byte_runs, small_batches, texts_of
 
 #: Kinds in the order in which those that start together are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -97,10 +97,12 @@ def document_pairs(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
         total = np.zeros(size * size, np.int64)
         for batch in it:
             raw, starts = byte_runs(batch)
-            here = codes[raw]
-            before = np.concatenate([[0], here[:-1]])[: len(here)]
-            before[starts[:-1][starts[:-1] < len(here)]] = 0
-            total += np.bincount((before * size + here)[here > 0], minlength=size * size)
+            for at in range(0, len(raw), AT_ONCE):
+                end = min(at + AT_ONCE, len(raw))
+                here = codes[raw[at:end]]
+                before = np.concatenate([codes[raw[at - 1 : at]] if at else [0], here[:-1]])
+                before[starts[(starts >= at) & (starts < end)] - at] = 0
+                total += np.bincount((before * size + here)[here > 0], minlength=size * size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 

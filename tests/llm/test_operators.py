@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, embed_dedup, exact_dedup, graph, hnsw, langid, license_scan, line_dedup, mixing, ngram_join, quality_mil, secret_scan
+from spindrift.llm import bpe, common, embed_dedup, exact_dedup, graph, hnsw, langid, license_scan, line_dedup, mixing, ngram_join, quality_mil, secret_scan
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -240,6 +240,41 @@ def test_secret_model_tells_held_out_samples_apart():
     assert hit > 0.8 and false < 0.05
 
 
+def test_classifiers_read_long_texts_in_pieces(spark, monkeypatch):
+    """A text's score doesn't depend on where it is parted; nor is a text's part taken for a text."""
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "é" * 700, *(" ".join(rng.choice(["The", "quick", "brown", "fuchs", "||", "$$$", "漢字"], int(n))) for n in (3, 90, 500, 1500)), "12 34 " * 600]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    x, begin = quality_mil.passages(raw, starts)
+    model = quality_mil.fit(x, begin, np.arange(len(texts)) % 2, epochs=4)
+    whole = model.forward(x, begin)["p"]
+    net = langid.fit(texts[3:7], ["a", "b", "a", "b"], steps=20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    said = by_id(langid.identify(df, net), "lang_pred", "score")
+    for most in (512, 1024, 3000, 1 << 20):
+        monkeypatch.setattr(common, "AT_ONCE", most)
+        parts = [(of.tolist(), hi - lo) for lo, hi, _, of in common.pieces(starts, 512)]
+        assert all(n <= max(most, 512) for _, n in parts) and sum(n for _, n in parts) == len(raw)
+        assert np.abs(model.chances(raw, starts) - whole).max() < 1e-5
+        sums = np.zeros((len(texts), 2))
+        for lo, hi, at, of in common.pieces(starts, langid.WINDOW):
+            w, owner, used = langid.windows(raw[lo:hi], at)
+            np.add.at(sums, of[owner], net.chances(w) * used[:, None])
+        sums /= np.maximum(np.diff(starts), 1)[:, None]
+        assert all(abs(sums[i].max() - score) < 1e-5 for i, (lang, score) in said.items() if lang != "und")
+    assert [common.has_letter(np.frombuffer(t.encode(), np.uint8)) for t in ("", "1 2", "漢" * 3, "--é", "9" * 5000 + "z")] == [False, False, True, True, True]
+    pairs = secret_scan.document_pairs(df)
+    monkeypatch.setattr(secret_scan, "AT_ONCE", 64)
+    assert pairs.sum() == secret_scan.document_pairs(df).sum()
+
+
+def test_classifiers_without_labels(spark):
+    none, one = quality_mil.fit(np.zeros((0, quality_mil.FEATURES), np.float32), np.zeros(1, np.int64), np.zeros(0, int)), quality_mil.fit(*quality_mil.passages(np.frombuffer(b"ab", np.uint8), np.array([0, 1, 2])), np.zeros(2, int))
+    raw, starts = np.frombuffer(b"some text", np.uint8), np.array([0, 4, 4, 9])
+    assert len(set(none.chances(raw, starts))) == 1 and none.chances(raw, starts)[0] > quality_mil.ACCEPT > one.chances(raw, starts)[0]
+
+
 def test_embedding_audit_looks_for_links():
     """Where links are rare the audit takes more queries, until it has some to tell a recall by."""
     rng = np.random.default_rng(9)
