@@ -18,6 +18,61 @@ def by_source(events: DataFrame) -> DataFrame:
     return events.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _measures(block: str, df: DataFrame) -> DataFrame:
+    """One row of measures as rows (block, measure, value); times are seconds since the epoch."""
+    number = lambda f: F.unix_seconds(F.col(f.name).cast("timestamp")) if f.dataType.typeName().startswith("timestamp") else F.col(f.name).cast("long")
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("measure"), number(f).alias("value")) for f in df.schema.fields])
+    return df.select(F.lit(block).alias("block"), F.explode(pairs).alias("x")).select("block", "x.measure", "x.value")
+
+
+def connection_stats(connections: DataFrame, now: Column) -> DataFrame:
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    due = (F.col("status") == "active") & (F.col("next_poll_at") <= now)
+    return connections.agg(F.count(F.lit(1)).alias("total"), of("active"), of("paused"), of("errored"), F.count_if(due).alias("due_now"))
+
+
+def event_backlog(events: DataFrame, through: Column, fetchable: list[str], attempts: int) -> DataFrame:
+    """How many events there are, public ones that aren't built yet, and ones whose article is still to be
+    fetched; and when the last came in."""
+    public = F.col("scope_kind") == "public"
+    fetch = public & F.col("full_text").isNull() & (F.col("full_text_attempts") < attempts) & F.col("source").isin(*fetchable) & (F.size("links") > 0)
+    return events.agg(F.count(F.lit(1)).alias("total"), F.count_if(public & (F.col("ingest_time") > through)).alias("unbuilt"), F.count_if(fetch).alias("fetch_pending"), F.max("ingest_time").alias("latest_ingest"))
+
+
+def build_status(watermark: DataFrame, now: Column) -> DataFrame:
+    """How far builds have come, and how far that is behind."""
+    at = F.max("through")
+    return watermark.agg(at.alias("built_through"), (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(at.cast("timestamp"))).alias("lag_secs"))
+
+
+def cluster_stats(clusters: DataFrame) -> DataFrame:
+    return clusters.agg(F.count(F.lit(1)).alias("total"), F.max("updated_at").alias("latest_updated"))
+
+
+def subscriber_stats(subscribers: DataFrame, subscriptions: DataFrame, now: Column) -> DataFrame:
+    of = lambda f: F.count_if(F.col("freq") == f).alias(f)
+    mine = subscribers.agg(F.count(F.lit(1)).alias("total"), of("daily"), of("weekly"), F.count_if(F.col("next_run_at") <= now).alias("due_now"), F.min("next_run_at").alias("next_run"))
+    return mine.withColumn("subscriptions", subscriptions.agg(F.count(F.lit(1))).scalar())
+
+
+def digest_stats(digests: DataFrame) -> DataFrame:
+    sent = F.col("delivered_at").isNotNull()
+    return digests.agg(F.count(F.lit(1)).alias("total"), F.count_if(~sent).alias("pending"), F.count_if(sent).alias("delivered"), F.max("delivered_at").alias("last_delivered"))
+
+
+def report(connections: DataFrame, events: DataFrame, watermark: DataFrame, clusters: DataFrame, subscribers: DataFrame, subscriptions: DataFrame, digests: DataFrame, now: Column, through: Column, fetchable: list[str], attempts: int) -> DataFrame:
+    """The whole status as rows (block, measure, value), one scan of each table."""
+    blocks = {
+        "connections": connection_stats(connections, now), "events": event_backlog(events, through, fetchable, attempts), "build": build_status(watermark, now),
+        "clusters": cluster_stats(clusters), "subscribers": subscriber_stats(subscribers, subscriptions, now), "digests": digest_stats(digests),
+    }
+    rows = [_measures(name, df) for name, df in blocks.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def due_connections(connections: DataFrame, now: Column) -> DataFrame:
     return connections.filter((F.col("status") == "active") & (F.col("next_poll_at") <= now))
 

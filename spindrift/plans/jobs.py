@@ -770,3 +770,62 @@ def connections_made(spark, sf_dir):
     config = F.when(forge, F.to_json(F.struct((k * 7).alias("installation_id")))).otherwise('{"url": "http://e.org"}')
     asked = table(spark, sf_dir, "supplier").select(k.alias("connection_id"), F.when(forge, "github").otherwise("rss").alias("source"), config.alias("config"), F.floor("s_acctbal").cast("int").alias("poll_interval_secs"), F.when(F.col("s_nationkey") > 4, k).alias("owner"))
     return records.prepare_connections(asked).select("connection_id", "source", F.col("poll_interval_secs").cast("int").alias("poll_interval_secs"), "provider_account_id")
+
+
+THROUGH = "2024-01-29 12:00:00"
+
+
+@query(f"""WITH {CLUSTERS}, ev AS (SELECT count(*) AS total, count(*) FILTER (WHERE scope_kind = 'public' AND ingest_time > TIMESTAMP '{THROUGH}') AS unbuilt,
+    count(*) FILTER (WHERE scope_kind = 'public' AND event_id % 3 <> 0 AND event_id % 5 < 3 AND source IN ('click', 'view') AND event_id % 2 = 0) AS fetch_pending, epoch(max(ingest_time))::BIGINT AS latest_ingest FROM log),
+  cn AS (SELECT count(*) AS total, count(*) FILTER (WHERE s_nationkey % 3 = 0) AS active, count(*) FILTER (WHERE s_nationkey % 3 = 1) AS paused, count(*) FILTER (WHERE s_nationkey % 3 = 2) AS errored, count(*) FILTER (WHERE s_nationkey % 3 = 0 AND s_acctbal <= 0) AS due_now FROM supplier),
+  cl AS (SELECT count(*) AS total, epoch(max(updated_at))::BIGINT AS latest_updated FROM clusters),
+  o AS (SELECT o_custkey, max(CAST(o_orderdate AS TIMESTAMP)) AS next_at FROM orders GROUP BY 1),
+  su AS (SELECT count(*) AS total, count(*) FILTER (WHERE c_custkey % 3 <> 0) AS daily, count(*) FILTER (WHERE c_custkey % 3 = 0) AS weekly, count(*) FILTER (WHERE next_at <= TIMESTAMP '1998-01-01') AS due_now, epoch(min(next_at))::BIGINT AS next_run, (SELECT count(*) FROM ({SUBSCRIPTION_SQL})) AS subscriptions FROM customer LEFT JOIN o ON c_custkey = o_custkey),
+  di AS (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus <> 'F') AS pending, count(*) FILTER (WHERE o_orderstatus = 'F') AS delivered, epoch(max(CAST(o_orderdate AS TIMESTAMP)) FILTER (WHERE o_orderstatus = 'F'))::BIGINT AS last_delivered FROM orders)
+  SELECT 'connections' AS block, measure, value FROM (UNPIVOT cn ON COLUMNS(*) INTO NAME measure VALUE value) UNION ALL SELECT 'events', measure, value FROM (UNPIVOT ev ON COLUMNS(*) INTO NAME measure VALUE value)
+  UNION ALL SELECT 'clusters', measure, value FROM (UNPIVOT cl ON COLUMNS(*) INTO NAME measure VALUE value) UNION ALL SELECT 'subscribers', measure, value FROM (UNPIVOT su ON COLUMNS(*) INTO NAME measure VALUE value)
+  UNION ALL SELECT 'digests', measure, value FROM (UNPIVOT di ON COLUMNS(*) INTO NAME measure VALUE value)
+  UNION ALL SELECT 'build', 'built_through', epoch(TIMESTAMP '{THROUGH}')::BIGINT UNION ALL SELECT 'build', 'lag_secs', (epoch(TIMESTAMP '{NOW}') - epoch(TIMESTAMP '{THROUGH}'))::BIGINT""")
+def status_blocks(spark, sf_dir):
+    """Every block of the status, over suppliers as connections, customers as subscribers, orders as digests."""
+    n, e = F.col("s_nationkey") % 3, F.col("event_id")
+    connections = table(spark, sf_dir, "supplier").select(F.when(n == 0, "active").when(n == 1, "paused").otherwise("errored").alias("status"), (_ts("1998-01-01") + F.make_dt_interval(secs=F.col("s_acctbal"))).alias("next_poll_at"))
+    log = event_log(spark, sf_dir).withColumns({"full_text": F.when(e % 3 == 0, "text"), "full_text_attempts": (e % 5).cast("int"), "links": F.when(e % 2 == 0, F.array(F.lit("http://e.org"))).otherwise(F.array().cast("array<string>"))})
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.col("o_orderdate").cast("timestamp_ntz")).alias("next_run_at"))
+    users = table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.when(F.col("c_custkey") % 3 == 0, "weekly").otherwise("daily").alias("freq"), "next_run_at")
+    digests = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp_ntz")).alias("delivered_at"))
+    mark = spark.range(1).select(_ts(THROUGH).alias("through"))
+    early = _ts("1998-01-01")
+    parts = status.report(connections, log, mark, _clusters(spark, sf_dir), users, subscriptions(spark, sf_dir), digests, early, _ts(THROUGH), ["click", "view"], 3)
+    return parts.filter("block <> 'build'").unionByName(status._measures("build", status.build_status(mark, now())))
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, max(p_name) AS name, max(l_returnflag) AS mode, max(l_shipdate) AS shipped, max(p_partkey) AS part FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+  t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r, name || ' <' || l_linenumber || '>' AS title FROM i),
+  p AS (SELECT l_orderkey, string_agg(r || '. [NOTE] ' || title || chr(10) || '   http://e.org/?a=1&p=' || part || chr(10) || '   ' || mode || ' · ' || CAST(shipped AS DATE) || chr(10) || '   why: Note · message · relevance 1.00' || chr(10)
+      || CASE WHEN r = 1 THEN '   ↳ also [rss] — shared user:x' || chr(10) ELSE '' END || chr(10), '' ORDER BY r) AS plain,
+    string_agg('<section class="note">' || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '<p class="thread">T &amp; co · 2 updates</p>' ELSE '<p class="thread">possibly T &amp; co · 2 updates</p>' END || '<h2 class="headline"><a href="http://e.org/?a=1&amp;p=' || part || '">'
+      || replace(replace(title, '<', '&lt;'), '>', '&gt;') || '</a></h2><p class="source">' || mode || ' · ' || CAST(shipped AS DATE) || '</p><p class="why">Note · message · relevance 1.00</p>' || CASE WHEN r = 1 THEN '<ul><li>also [rss] — shared user:x</li></ul>' ELSE '' END || '</section>', '' ORDER BY r) AS html,
+    'Leading this digest: ' || max(title) FILTER (WHERE r = 1) || CASE WHEN count(*) = 1 THEN '.' WHEN count(*) = 2 THEN ', with 1 more update below.' ELSE ', with ' || (count(*) - 1) || ' more updates below.' END AS lead FROM t GROUP BY 1)
+  SELECT o_orderkey AS digest_id, 'Evening, A&B. This is it. ' || lead || chr(10) || chr(10) || 'Your digest for the window ending ' || CAST(o_orderdate AS DATE) || chr(10) || chr(10) || plain AS plain,
+    '<!doctype html><html><head><meta charset="utf-8"></head><body><p class="brand">Digest</p><h1 class="title">What happened</h1><p class="opening">Evening, A&amp;B. This is it.</p><p class="lead">' || replace(replace(lead, '<', '&lt;'), '>', '&gt;') || '</p><p class="window">' || CAST(o_orderdate AS DATE)
+    || '</p>' || html || '<p class="footer">Sent to you as a subscriber.</p></body></html>' AS html FROM orders JOIN p ON o_orderkey = l_orderkey""")
+def digest_bodies(spark, sf_dir):
+    """Orders as digests of their lines, as plain text and as HTML; threads are sure, likely or not to be told, and
+    the first item has another cluster."""
+    key = ["l_orderkey", "l_linenumber"]
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    li = li.groupBy(*key).agg(F.max("p_name").alias("name"), F.max("l_returnflag").alias("mode"), F.max("l_shipdate").alias("at"), F.max("l_partkey").alias("part"))
+    li = li.withColumn("r", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))).withColumn("title", F.concat("name", F.lit(" <"), F.col("l_linenumber").cast("string"), F.lit(">")))
+    link, at = F.concat(F.lit("http://e.org/?a=1&p="), F.col("part").cast("string")), F.col("at").cast("date").cast("string")
+    k, none = F.col("l_linenumber") % 3, F.lit(None).cast("string")
+    why = prose.reason_line(F.lit("note"), F.lit("message"), F.lit(1.0))
+    also = F.when(F.col("r") == 1, F.array(F.struct(F.lit("also").alias("title"), F.lit("rss").alias("source"), F.lit("shared user:x").alias("link_reason"), F.lit("javascript:x").alias("link"))))
+    band = F.when(k == 0, "uncertain").when(k == 1, "confirmed").otherwise("probable")
+    plain = prose.plain_item(F.col("r"), F.lit("note"), F.col("title"), none, link, F.col("mode"), at, why, none, none, also)
+    html = prose.html_item(F.lit("note"), F.col("title"), none, link, F.col("mode"), at, why, F.lit("T & co"), band, text.auto_delta(F.lit(2)), also)
+    lists = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("r", "title", plain.alias("plain"), html.alias("html")))).alias("x"))
+    of = lambda c: F.transform("x", lambda i: i[c])
+    d = table(spark, sf_dir, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"))
+    opening, lead, end = F.lit("Evening, A&B. This is it."), prose.compose_lead(of("title")), F.col("o_orderdate").cast("date").cast("string")
+    return d.select(F.col("o_orderkey").alias("digest_id"), prose.plain_body(opening, lead, end, of("plain")).alias("plain"), prose.html_body(opening, lead, end, of("html")).alias("html"))
