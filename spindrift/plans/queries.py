@@ -538,7 +538,8 @@ def _graded_sql(name: str, cfg: Scoring) -> str:
     return f"""(WITH {_full_sql(cfg.story_cap, cfg.note_cap, EPOCH, True)}, s AS (SELECT d.*, CASE r.event_count % 3 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM decided d JOIN rolled r USING (story_id)),
   o AS (SELECT *, row_number() OVER (ORDER BY gain DESC, position) - 1 AS j FROM s WHERE verdict = 'selected')
   SELECT '{name}' AS config, (SELECT count(*) FROM s) AS candidates, count(*) AS selected, (SELECT count(*) FROM s WHERE verdict = 'over_cap') AS over_cap, count(*) FILTER (WHERE format = 'story') AS selected_stories,
-    count(*) FILTER (WHERE gain = 2) AS care_more, count(*) FILTER (WHERE gain = 0) AS care_less, round(sum(gain / log2(position + 2.0::DOUBLE)) / sum(gain / log2(j + 2.0::DOUBLE)), 6) AS ndcg FROM o)"""
+    count(*) FILTER (WHERE gain = 2) AS care_more, count(*) FILTER (WHERE gain = 0) AS care_less,
+    CASE WHEN count(*) >= 2 AND count(*) FILTER (WHERE gain <> 1) >= 1 THEN round(sum(gain / log2(position + 2.0::DOUBLE)) / sum(gain / log2(j + 2.0::DOUBLE)), 6) END AS ndcg FROM o)"""
 
 
 @query(" UNION ALL ".join(_graded_sql(name, cfg) for name, cfg in GRID.items()))
