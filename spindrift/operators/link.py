@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import idf, link_strength, namespace_prior, temporal_closeness
@@ -180,6 +181,13 @@ def _merged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         left = kept(left.join(refused, ["a", "b"], "left_anti"))
 
 
+def in_order(stories: DataFrame, merges: DataFrame, by: tuple[str, ...] = ("subscriber",)) -> tuple[DataFrame, DataFrame]:
+    """stories with their place (from 0) in a subscriber's list, newest first and then by id, and merges once each
+    in order. Places are given within a subscriber; nothing is sorted as a whole."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("last_event_time"), "story_id")) - 1
+    return stories.withColumn("place", place), merges.select("loser", "survivor").distinct().sortWithinPartitions("loser", "survivor")
+
+
 def member_reasons(components: DataFrame, edges: DataFrame) -> DataFrame:
     """(cluster_id, link_reason): the best edge to another member of its story, strong ones first."""
     c = components

@@ -829,3 +829,43 @@ def digest_bodies(spark, sf_dir):
     d = table(spark, sf_dir, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"))
     opening, lead, end = F.lit("Evening, A&B. This is it."), prose.compose_lead(of("title")), F.col("o_orderdate").cast("date").cast("string")
     return d.select(F.col("o_orderkey").alias("digest_id"), prose.plain_body(opening, lead, end, of("plain")).alias("plain"), prose.html_body(opening, lead, end, of("html")).alias("html"))
+
+
+@query(f"WITH {ALL_STORIES} SELECT subscriber, story_id, row_number() OVER (PARTITION BY subscriber ORDER BY last_event_time DESC, story_id) - 1 AS place FROM stories")
+def story_order(spark, sf_dir):
+    """Every subscriber's stories in the order in which they are listed."""
+    clusters = kept(_clusters(spark, sf_dir))
+    heard = kept(generate.candidates_for_all(clusters, subscriptions(spark, sf_dir), _users(spark, sf_dir), now()))
+    _, members, merges = generate.link_all(clusters, heard, spark.createDataFrame([], generate.NO_PRIOR))
+    return link.in_order(generate.stories_of(clusters, members), merges)[0].select("subscriber", "story_id", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber AS id, max(l_partkey) AS part, max(l_returnflag) AS source, max(l_shipdate) AS at_ FROM lineitem GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY at_ DESC, id DESC) AS rn, 'item ' || part AS title FROM c),
+  g AS (SELECT l_orderkey, max(title) FILTER (WHERE rn = 1) AS headline, max('http://e.org/' || part) FILTER (WHERE rn = 1) AS link, max(source) FILTER (WHERE rn = 1) AS source,
+    coalesce(string_agg(title || ' [' || source || '] shared user:' || l_linenumber, '; ' ORDER BY rn) FILTER (WHERE rn BETWEEN 2 AND 7), '') AS others, coalesce(string_agg(title || '.', ' ' ORDER BY rn) FILTER (WHERE rn BETWEEN 2 AND 5), '') AS tldr FROM r GROUP BY 1)
+  SELECT o_orderkey AS digest_id, headline, tldr, link, source, others, CASE o_orderstatus WHEN 'F' THEN 'Story' ELSE 'Note' END || ' · ' || CASE WHEN o_orderkey % 5 = 0 THEN '—' ELSE 'multi-event' END || ' · relevance ' || printf('%.2f', (o_orderkey % 8) / 4.0::DOUBLE) AS reason,
+    CASE WHEN o_orderkey % 4 = 3 OR o_custkey % 3 = 2 THEN '' ELSE CASE o_custkey % 3 WHEN 1 THEN 'possibly ' ELSE '' END || 'T' || (o_orderkey % 4) || CASE WHEN o_custkey % 2 = 0 THEN ' · news' ELSE '' END END AS thread
+  FROM orders JOIN g ON o_orderkey = l_orderkey""")
+def digest_parts(spark, sf_dir):
+    """Orders as digests of one story, with its thread, why it is shown, and its other clusters with why they belong."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_returnflag").alias("source"), F.max("l_shipdate").alias("at"))
+    number = F.col("l_linenumber").cast("string")
+    li = li.withColumn("cluster_id", F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), number))
+    part = F.col("part").cast("string")
+    c = li.select("cluster_id", F.concat(F.lit("item "), part).alias("title"), F.lit(" ").alias("headline"), F.concat(F.lit("http://e.org/"), part).alias("link"), "source", F.col("at").cast("timestamp_ntz").alias("last_event_time"))
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    digests = o.select(k.alias("digest_id"), F.col("o_custkey").alias("subscriber"))
+    m = li.join(digests, F.col("l_orderkey") == F.col("digest_id")).select("subscriber", F.col("l_orderkey").alias("story_id"), "cluster_id", F.concat(F.lit("shared user:"), number).alias("link_reason"))
+    items = o.select(
+        k.alias("digest_id"), k.alias("story_id"), F.lit(0).alias("position"), F.when(F.col("o_orderstatus") == "F", "story").otherwise("note").alias("format"),
+        F.when(k % 5 != 0, "multi-event").alias("richness"), ((k % 8) / 4.0).alias("relevance"), F.concat(F.lit("t"), (k % 4).cast("string")).alias("thread_id"),
+    )
+    u = F.col("subscriber")
+    t = digests.select("subscriber").distinct().select("subscriber", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")).select(
+        "subscriber", F.concat(F.lit("t"), F.col("n").cast("string")).alias("thread_id"), F.concat(F.lit("T"), F.col("n").cast("string")).alias("label"),
+        F.when(u % 3 == 0, "confirmed").when(u % 3 == 1, "probable").otherwise("uncertain").alias("band"), F.when(u % 2 == 0, "news").alias("delta"),
+    )
+    parts = summaries.render_parts(items, digests, m, c, t)
+    others = F.array_join(F.transform("connections", lambda x: F.concat(x["title"], F.lit(" ["), x["source"], F.lit("] "), x["link_reason"])), "; ")
+    return parts.select("digest_id", "headline", "tldr", "link", "source", others.alias("others"), "reason", "thread")
