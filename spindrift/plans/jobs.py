@@ -869,3 +869,18 @@ def digest_parts(spark, sf_dir):
     parts = summaries.render_parts(items, digests, m, c, t)
     others = F.array_join(F.transform("connections", lambda x: F.concat(x["title"], F.lit(" ["), x["source"], F.lit("] "), x["link_reason"])), "; ")
     return parts.select("digest_id", "headline", "tldr", "link", "source", others.alias("others"), "reason", "thread")
+
+
+@query("SELECT p_partkey AS cluster_id, p_name AS title FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R')")
+def cluster_cards(spark, sf_dir):
+    """The parts that the first lines of returned orders name."""
+    ids = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'R'").select(F.col("l_partkey").alias("cluster_id"))
+    return summaries.cards(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster_id"), F.col("p_name").alias("title")), ids)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'revoked' WHEN 1 THEN 'suspended' WHEN 2 THEN 'active' END AS status FROM events""")
+def installation_status(spark, sf_dir):
+    """What a change of an installation, one for each event, makes of its connection."""
+    k = F.col("event_id") % 4
+    action = F.when(k == 0, "deleted").when(k == 1, "suspend").when(k == 2, "unsuspend").otherwise("new_permissions_accepted")
+    return table(spark, sf_dir, "events").select("event_id", github.lifecycle_status(action).alias("status"))

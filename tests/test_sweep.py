@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
-from spindrift.operators import digest, sweep
+from spindrift.functions import prose
+from spindrift.operators import digest, records, sweep
 
 T0 = datetime(2024, 1, 1)
 ROWS = "cluster_id string, scope_kind string, updated_at timestamp_ntz, last_event_time timestamp_ntz, summarized_at timestamp_ntz, summary string, summary_hash string, summary_model string, attempts int, last_error string, quarantined_at timestamp_ntz"
@@ -61,3 +62,25 @@ def test_enrichment_keeps_what_the_text_has(spark):
 
     out = {r["event_id"]: (r["entities"], r["severity"], r["enriched_at"] is not None) for r in sweep.sweep_enrichment(log, names, at(0), ["feed"], at(9), 10).collect()}
     assert out == {1: (["a:b", "person:ann-lee"], 2, True), 2: (["person:ann-lee"], 2, True), 3: ([], None, False), 4: ([], None, False), 5: ([], 3, False)}
+
+
+def test_configuration_is_one_row(spark):
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    assert [r["v"] for r in records.put_config(rows(1), rows(2)).collect()] == [2]
+    assert [r["v"] for r in records.put_config(rows(1), rows()).collect()] == [1]
+    assert records.put_config(rows(), rows()).count() == 0
+
+
+def test_bodies_without_items_and_with_hostile_text(spark):
+    lit, none = F.lit, F.lit(None).cast("string")
+    one = lambda c: spark.range(1).select(c).first()[0]
+    empty = one(prose.html_body(lit("Hi <b>"), lit(" "), lit("today"), F.array().cast("array<string>"), footer="a & b"))
+    assert "Hi &lt;b&gt;" in empty and "Nothing new this time." in empty and 'class="lead"' not in empty and "a &amp; b" in empty
+    item = one(prose.html_item(lit("story"), lit("<script>x</script>"), lit("1 < 2"), lit("javascript:alert(1)"), lit("rss"), lit("now"), lit("why"), lit("T"), lit("uncertain"), lit("new"), F.array(F.struct(lit("\u202ea").alias("title"), lit("rss").alias("source"), none.alias("link_reason"), lit('http://e.org/"x').alias("link")))))
+    assert "<script" not in item and "javascript" not in item and 'class="thread"' not in item and "1 &lt; 2" in item
+    assert '<li><a href="http://e.org/&quot;x">a</a> [rss]</li>' in item
+    said = [one(prose.eyebrow(lit(label).cast("string"), lit(band), lit(delta).cast("string"))) for label, band, delta in ((" T ", "confirmed", None), ("T", "probable", " 2 updates"), ("T", "uncertain", "x"), (None, "confirmed", "x"))]
+    assert said == ["T", "possibly T · 2 updates", "", ""]
+    plain = one(prose.plain_item(lit(1), lit("note"), lit("h"), none, none, lit("rss"), lit("now"), lit("why"), none, none, F.array(F.struct(lit("also").alias("title"), lit("forge").alias("source"), lit("shared cve:X").alias("link_reason"), lit("https://e.org").alias("link")))))
+    assert plain == "1. [NOTE] h\n   rss · now\n   why: why\n   ↳ also [forge] — shared cve:X\n     https://e.org\n\n"
+    assert one(prose.empty_subject(lit("Morning"))) == "Morning. You're all caught up"
