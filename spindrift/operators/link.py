@@ -188,13 +188,14 @@ def in_order(stories: DataFrame, merges: DataFrame, by: tuple[str, ...] = ("subs
     return stories.withColumn("place", place), merges.select("loser", "survivor").distinct().sortWithinPartitions("loser", "survivor")
 
 
-def member_reasons(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cluster_id, link_reason): the best edge to another member of its story, strong ones first."""
+def member_reasons(components: DataFrame, edges: DataFrame, whole: bool = False) -> DataFrame:
+    """(cluster_id, link_reason): the best edge to another member of its story, strong ones first. whole: no edge
+    was refused, so every edge is within a story."""
     c = components
     ends = edges.select(F.col("a").alias("cluster_id"), F.col("b").alias("other"), "a", "b", "strong", "score", "reason").unionByName(
         edges.select(F.col("b").alias("cluster_id"), F.col("a").alias("other"), "a", "b", "strong", "score", "reason")
     )
-    inside = ends.join(c, "cluster_id").join(c.select(F.col("cluster_id").alias("other"), F.col("component").alias("theirs")), "other").filter("component = theirs")
+    inside = ends if whole else ends.join(c, "cluster_id").join(c.select(F.col("cluster_id").alias("other"), F.col("component").alias("theirs")), "other").filter("component = theirs")
     best = inside.groupBy("cluster_id").agg(F.min(F.struct((~F.col("strong")).alias("weak"), (-F.col("score")).alias("s"), "a", "b", "reason")).alias("x"))
     return c.join(best, "cluster_id", "left").select("cluster_id", "component", F.col("x.reason").alias("link_reason"))
 
