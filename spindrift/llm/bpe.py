@@ -31,6 +31,8 @@ from .common import small_batches, texts_of
 REMEMBER_BYTES, REMEMBER = 48, 500_000
 #: Bytes of pre-tokens that are merged together (a longer one is merged alone).
 MERGE_AT_ONCE = 1 << 13
+#: Characters of the texts that are split together (a longer one is split alone).
+SPLIT_AT_ONCE = 1 << 20
 BIT = [1 << k for k in range(64)]
 #: Stands for the rank of two parts that aren't a token.
 NONE = 1 << 40
@@ -177,7 +179,19 @@ class Codec:
             decoded[piece] = self.decode(ids)
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[str, bytes, list[str]]]:
-        """For each text its ids joined by a space, the bytes that they decode to, and its pre-tokens."""
+        """For each text its ids joined by a space, the bytes that they decode to, and its pre-tokens. Pre-tokens
+        take several times the room of their text, so only so many texts are split at once."""
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > SPLIT_AT_ONCE:
+                yield from self._encode(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        if group:
+            yield from self._encode(group)
+
+    def _encode(self, texts: list[str]) -> Iterator[tuple[str, bytes, list[str]]]:
         parts = [self.split(t) for t in texts]
         if len(self.known[0]) > REMEMBER:
             self.known, self.older = ({}, {}, {}), self.known
