@@ -41,7 +41,8 @@ NONE = 1 << 40
 class Codec:
     """Encodes pre-tokens by a table of ranks, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER):
+        self.remember = remember
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.low = [0] * ((max(ranks.values()) >> 6) + 1)  # a bit for each rank
@@ -193,7 +194,7 @@ class Codec:
 
     def _encode(self, texts: list[str]) -> Iterator[tuple[str, bytes, list[str]]]:
         parts = [self.split(t) for t in texts]
-        if len(self.known[0]) > REMEMBER:
+        if len(self.known[0]) > self.remember:
             self.known, self.older = ({}, {}, {}), self.known
         new = set().union(*parts).difference(self.known[0])
         for piece in new.intersection(self.older[0]):
@@ -218,10 +219,10 @@ class Codec:
 
 
 @lru_cache(2)
-def _codec(ranks: bytes, pattern: str) -> Codec:
+def _codec(ranks: bytes, pattern: str, remember: int = REMEMBER) -> Codec:
     """The ranks file's codec, made once in each worker."""
     table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
-    return Codec(table, pattern)
+    return Codec(table, pattern, remember)
 
 
 def read_ranks(path: str) -> bytes:
@@ -230,13 +231,14 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """docs' ids: the columns to keep, ids (array of int), n_tokens, ids_sha256 (of the decimal ids joined
     by a space), decoded_sha256 (of the bytes that the ids decode to).
 
     Each match of `pattern` is encoded by itself; there are no special tokens. A null or empty text has
     no ids. Rows are independent, so ties and repeated rows need no rule; other columns are ignored.
-    The ranks go to the executors once, as a broadcast of the file's fixed size.
+    The ranks go to the executors once, as a broadcast of the file's fixed size. A worker remembers twice
+    `remember` pre-tokens at most: fewer take less memory and more time.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -246,7 +248,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, keep: tuple[str, ...]
     schema = T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in made)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped.value, pattern)
+        codec = _codec(shipped.value, pattern, remember)
         for batch in it:
             lists, counts, sums, decoded = [], [], [], []
             gc.disable()  # what is kept holds no cycles, and looking for some takes a fifth of the time
