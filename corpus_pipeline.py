@@ -22,6 +22,11 @@ from spindrift.llm.common import free, stored, table
 from spindrift.llm.queries import quality_model, tokenizer
 
 
+#: Pre-tokens that a worker of the last stage remembers: fewer than usual, as the earlier stages' memory is
+#: still with the executors.
+REMEMBER = 100_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids."""
-    return bpe.encode(docs, *tokenizer(), keep=("doc_id", "lang", "source"))
+    return bpe.encode(docs, *tokenizer(), keep=("doc_id", "lang", "source"), remember=REMEMBER)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixture", mixture), ("encoded", encoded)]
