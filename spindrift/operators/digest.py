@@ -71,10 +71,11 @@ def lead_tiers(selected: DataFrame, by: tuple[str, ...] = ("subscriber",)) -> Da
 
 def source_corpus(events: DataFrame, most: int, by: list[str], order: list[str], text: str) -> DataFrame:
     """(by, corpus): texts newest first, joined by newlines, as many characters as fit the budget. Texts
-    that begin beyond the budget are cut off before they are gathered."""
+    that begin beyond the budget are cut off before they are gathered; one that begins just there stays, as the
+    newline before it fits."""
     newest = W.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
     before = F.coalesce(F.sum(F.length(text) + 1).over(newest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    near = events.withColumn("_before", before).withColumn("_rn", F.row_number().over(newest)).filter(F.col("_before") < most)
+    near = events.withColumn("_before", before).withColumn("_rn", F.row_number().over(newest)).filter(F.col("_before") <= most)
     lists = near.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(text).alias("t")))).alias("x"))
     return lists.select(*by, F.substring(F.array_join(F.transform("x", lambda s: s["t"]), "\n"), 1, most).alias("corpus"))
 

@@ -1,10 +1,9 @@
 """What differed from SQL, or grew faster than its input, on larger tables."""
 
-import duckdb
 from pyspark.sql import functions as F
 
 from spindrift.functions.scoring import micros
-from spindrift.operators import rollup
+from spindrift.operators import digest, rollup
 
 
 def _at(s: str):
@@ -18,3 +17,9 @@ def test_a_touched_cluster_is_marked_even_if_an_event_came_in_later(spark):
     found = {r[0]: (r[1], r[2]) for r in rollup.touch(clusters, touched, _at("2024-01-31 00:00:00")).select("cluster_id", "depth_rank", micros(F.col("updated_at"))).collect()}
     now = 1706659200000000
     assert found == {"a": (2, now), "b": (1, now), "c": (0, now + 5_000_000)}
+
+
+def test_a_corpus_ends_with_the_newline_that_fits_its_budget(spark):
+    rows = [(c, turn, text) for c, texts in enumerate((["old", "12345", "1234"], ["old", "12345", "123"], ["1234567890"])) for turn, text in enumerate(texts)]
+    found = digest.source_corpus(spark.createDataFrame(rows, "c int, turn int, text string"), 11, ["c"], ["turn"], "text").collect()
+    assert {r[0]: r[1] for r in found} == {0: "1234\n12345\n", 1: "123\n12345\no", 2: "1234567890"}
