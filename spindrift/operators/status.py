@@ -19,8 +19,8 @@ def by_source(events: DataFrame) -> DataFrame:
 
 
 def _measures(block: str, df: DataFrame) -> DataFrame:
-    """One row of measures as rows (block, measure, value); times are seconds since the epoch."""
-    number = lambda f: F.unix_seconds(F.col(f.name).cast("timestamp")) if f.dataType.typeName().startswith("timestamp") else F.col(f.name).cast("long")
+    """One row of measures as rows (block, measure, value); times are seconds since the epoch, to the nearest."""
+    number = lambda f: F.rint(F.unix_micros(F.col(f.name).cast("timestamp")) / F.lit(1e6)).cast("long") if f.dataType.typeName().startswith("timestamp") else F.col(f.name).cast("long")
     pairs = F.array(*[F.struct(F.lit(f.name).alias("measure"), number(f).alias("value")) for f in df.schema.fields])
     return df.select(F.lit(block).alias("block"), F.explode(pairs).alias("x")).select("block", "x.measure", "x.value")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spindrift.functions.scoring import micros
-from spindrift.operators import digest, rollup
+from spindrift.operators import digest, rollup, status
 
 
 def _at(s: str):
@@ -23,3 +23,8 @@ def test_a_corpus_ends_with_the_newline_that_fits_its_budget(spark):
     rows = [(c, turn, text) for c, texts in enumerate((["old", "12345", "1234"], ["old", "12345", "123"], ["1234567890"])) for turn, text in enumerate(texts)]
     found = digest.source_corpus(spark.createDataFrame(rows, "c int, turn int, text string"), 11, ["c"], ["turn"], "text").collect()
     assert {r[0]: r[1] for r in found} == {0: "1234\n12345\n", 1: "123\n12345\no", 2: "1234567890"}
+
+
+def test_times_of_the_status_are_told_to_the_nearest_second(spark):
+    c = spark.createDataFrame([(0.25,), (1.75,)], "s double").select((_at("2024-01-31 00:00:00") + F.make_dt_interval(secs=F.col("s"))).alias("updated_at"))
+    assert {r[1]: r[2] for r in status._measures("clusters", status.cluster_stats(c)).collect()} == {"total": 2, "latest_updated": 1706659202}
