@@ -11,6 +11,7 @@ from ..functions.scoring import idf, link_strength, namespace_prior, temporal_cl
 from ..schema import SATURATED, SATURATED_MIN_WEIGHT, W_JACCARD, W_TEMPORAL, WEAK_MIN_JACCARD, WEAK_THRESHOLD
 from ..session import ship
 from ..storage import kept, shared_folder
+from . import blocks
 from .graph import min_label_components
 from .rollup import distinct_tokens
 
@@ -34,40 +35,78 @@ def entity_weights(clusters: DataFrame, overrides: DataFrame | None = None, by:
     return tokens.join(df.select(*by, "entity", "df", "weight"), [*by, "entity"]).select(*by, "cluster_id", "entity", (F.col("strength") == "strong").alias("strong"), "df", "weight")
 
 
-def score_edges(clusters: DataFrame, overrides: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Edges (a, b, strong, score, reason), a < b: clusters that share a strong key, or enough of their
-    distinctive entities at about the same time.
-
-    Candidates come from an inverted index: an equi-join on the entity. A token of n clusters makes
-    n(n-1)/2 pairs, as sums over shared tokens need them all; AQE splits a frequent one's join. Clusters are
-    numbered meanwhile, so that pairs are of numbers; the numbered table and its tokens are kept, as they are
-    read several times.
-    """
-    w = entity_weights(clusters, overrides, by)
-    total = w.groupBy(*by, "cluster_id").agg(F.sum("weight").alias("total"))
-    nodes = kept(clusters.select(*by, "cluster_id", "last_event_time").join(total, [*by, "cluster_id"]).withColumn("n", F.monotonically_increasing_id()))
-    posts = kept(w.join(nodes.select(*by, "cluster_id", "n"), [*by, "cluster_id"]).select(*by, "n", "entity", "strong", "weight"))
-    left = posts.select(*by, F.col("n").alias("i"), "entity", "strong", "weight")
-    right = posts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias("j"), F.col("entity").alias("_entity"))
-    same = [F.col(c) == F.col(f"_{c}") for c in (*by, "entity")]
-    pairs = left.join(right, [*same, F.col("i") < F.col("j")])
-    acc = pairs.groupBy("i", "j").agg(
+def _numbered(clusters: DataFrame, overrides: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Clusters that have linkable tokens, numbered in the order of their ids (n, cluster_id, last_event_time,
+    total), and their tokens (n, entity, strong, weight); both kept, as they are read several times."""
+    w = entity_weights(clusters, overrides)
+    total = w.groupBy("cluster_id").agg(F.sum("weight").alias("total"))
+    placed = clusters.select("cluster_id", "last_event_time").join(total, "cluster_id").orderBy("cluster_id")
+    nodes = kept(placed.withColumn("n", F.monotonically_increasing_id()))
+    return nodes, kept(w.join(nodes.select("cluster_id", "n"), "cluster_id").select("n", "entity", "strong", "weight"))
+
+
+def _rare_edges(nodes: DataFrame, posts: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (i, j) of nodes that share an entity which isn't among the words, and the edges (i, j, strong, score,
+    reason) among them."""
+    rare = posts.join(F.broadcast(words.select("entity")), "entity", "left_anti").select("n", "entity")
+    of = lambda c: rare.select(F.col("n").alias(c), "entity")
+    pairs = kept(of("i").join(of("j"), "entity").filter("i < j").select("i", "j").distinct())
+    left = posts.select(F.col("n").alias("i"), "entity", "strong", "weight")
+    acc = pairs.join(left, "i").join(posts.select(F.col("n").alias("j"), "entity"), ["j", "entity"]).groupBy("i", "j").agg(
         F.sum("weight").alias("shared"),
         F.min(F.when(F.col("strong"), F.col("entity"))).alias("strong_key"),
         F.min(F.when(~F.col("strong"), F.struct((-F.col("weight")).alias("w"), F.col("entity").alias("e")))).alias("weak"),
     )
-    side = lambda n, c, own: nodes.select(F.col("n").alias(n), *own, F.col("cluster_id").alias(f"c_{c}"), F.col("last_event_time").alias(f"t_{c}"), F.col("total").alias(f"w_{c}"))
-    both = acc.join(side("i", "a", by), "i").join(side("j", "b", ()), "j")
-    union = F.col("w_a") + F.col("w_b") - F.col("shared")
+    side = lambda n: nodes.select(F.col("n").alias(n), F.col("last_event_time").alias(f"t_{n}"), F.col("total").alias(f"w_{n}"))
+    both = acc.join(side("i"), "i").join(side("j"), "j")
+    union = F.col("w_i") + F.col("w_j") - F.col("shared")
     wj = F.when(union > 0, F.col("shared") / union).otherwise(0.0)
     both = both.withColumn("wj", wj).filter(F.col("strong_key").isNotNull() | (F.col("wj") >= WEAK_MIN_JACCARD))
-    both = both.withColumn("weak_score", W_JACCARD * F.col("wj") + W_TEMPORAL * temporal_closeness(F.col("t_a"), F.col("t_b")))
+    both = both.withColumn("weak_score", W_JACCARD * F.col("wj") + W_TEMPORAL * temporal_closeness(F.col("t_i"), F.col("t_j")))
     strong = F.col("strong_key").isNotNull()
     holds = (F.col("weak_score") >= WEAK_THRESHOLD) & (F.col("wj") >= WEAK_MIN_JACCARD) & ~((F.col("wj") >= SATURATED) & (F.col("shared") < SATURATED_MIN_WEIGHT)) & F.col("weak").isNotNull()
-    return both.filter(strong | holds).select(
-        *by, F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"), strong.alias("strong"), F.when(strong, 1.0).otherwise(F.col("weak_score")).alias("score"),
-        F.concat(F.lit("shared "), F.when(strong, F.col("strong_key")).otherwise(F.col("weak.e"))).alias("reason"),
-    )
+    reason = F.concat(F.lit("shared "), F.when(strong, F.col("strong_key")).otherwise(F.col("weak.e")))
+    return pairs, both.filter(strong | holds).select("i", "j", strong.alias("strong"), F.when(strong, 1.0).otherwise(F.col("weak_score")).alias("score"), reason.alias("reason"))
+
+
+def _reasons(edges: DataFrame, words: list) -> DataFrame:
+    """edges whose reason is the number of a word, with the reason itself."""
+    named = edges.sparkSession.createDataFrame([(k, f"shared {w['entity']}") for k, w in enumerate(words)], "word int, reason string")
+    return edges.join(F.broadcast(named), "word").drop("word")
+
+
+def score_edges(clusters: DataFrame, overrides: DataFrame | None = None, rare: int = blocks.RARE) -> DataFrame:
+    """Edges (a, b, strong, score, reason), a < b: clusters that share a strong key, or enough of their
+    distinctive entities at about the same time.
+
+    Pairs that share a rare entity come from an inverted index, an equi-join on it; all others from blocks of
+    clusters, each multiplied by each. An entity of fewer than `rare` clusters is always rare.
+    """
+    nodes, posts = _numbered(clusters, overrides)
+    words = kept(blocks.frequent(posts, rare))
+    pairs, edges = _rare_edges(nodes, posts, words)
+    order = blocks.words_in_order(words)
+    if order:
+        found = blocks.judged(nodes, posts, order).join(pairs, ["i", "j"], "left_anti")
+        edges = edges.unionByName(_reasons(found, order))
+    side = lambda n, c: nodes.select(F.col("n").alias(n), F.col("cluster_id").alias(c))
+    return edges.join(side("i", "a"), "i").join(side("j", "b"), "j").select("a", "b", "strong", "score", "reason")
+
+
+def linked_components(clusters: DataFrame, overrides: DataFrame | None = None, rare: int = blocks.RARE) -> DataFrame:
+    """(cluster_id, component): the components of score_edges(), which are never made one by one: of each two
+    blocks only spanning forests are told."""
+    nodes, posts = _numbered(clusters, overrides)
+    words = kept(blocks.frequent(posts, rare))
+    pairs, edges = _rare_edges(nodes, posts, words)
+    ties = edges.select("i", "j")
+    order = blocks.words_in_order(words)
+    if order:
+        found = kept(blocks.judged(nodes, posts, order, trees=True))
+        ties = ties.unionByName(found.filter("sure").select("i", "j")).unionByName(found.filter("not sure").select("i", "j").join(pairs, ["i", "j"], "left_anti"))
+    comp = min_label_components(nodes.select(F.col("n").alias("id")), kept(ties.select(F.col("i").alias("a"), F.col("j").alias("b"))))
+    named = comp.join(nodes.select(F.col("n").alias("id"), "cluster_id"), "id").join(nodes.select(F.col("n").alias("component"), F.col("cluster_id").alias("_component")), "component")
+    return clusters.select("cluster_id").join(named.select("cluster_id", "_component"), "cluster_id", "left").select("cluster_id", F.coalesce("_component", "cluster_id").alias("component"))
 
 
 def apply_constraints(edges: DataFrame, must: DataFrame | None = None, cannot: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:

@@ -1,10 +1,14 @@
 """What differed from SQL, or grew faster than its input, on larger tables."""
 
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions.scoring import micros
-from spindrift.operators import digest, rollup, status
+from spindrift.operators import blocks, digest, link, rollup, status
+from spindrift.operators.graph import min_label_components
 from spindrift.plans import jobs
 from spindrift.plans.queries import ORACLE
 
@@ -40,3 +44,35 @@ def test_an_interval_of_less_than_a_second_was_asked_for(spark, tmp_path):
     con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
     found = [tuple(r) for r in jobs.connections_made(spark, str(tmp_path)).orderBy("connection_id").collect()]
     assert found == sorted(con.execute(ORACLE["connections_made"]).fetchall())
+
+
+def _clusters(spark, seed: int, n: int = 60):
+    rng = random.Random(seed)
+    few = [f"repo:k{i}" for i in range(9)] + ["cve:CVE-2024-1000", "url:http://e.org", "person:p", "user:x"]
+    rows = [(f"c{i}", rng.sample(few, rng.randint(0, 4)) + ([f"user:u{i // 3}"] if rng.random() < 0.7 else []), rng.randint(0, 20 * 86_400)) for i in range(n)]
+    c = spark.createDataFrame(rows, "cluster_id string, entities array<string>, s int")
+    return c.select("cluster_id", "entities", (_at("2024-01-01 00:00:00") + F.make_dt_interval(secs=F.col("s"))).alias("last_event_time"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_give_the_edges_and_components_that_the_join_gives(spark, monkeypatch, seed):
+    c = _clusters(spark, seed)
+    light = spark.createDataFrame([("repo:k1", 0.05), ("repo:k2", 0.1), ("user:u1", 0.0)], "entity string, factor double") if seed == 2 else None
+    edges = link.score_edges(c, light, rare=1 << 30)
+    want = sorted((r.a, r.b, r.strong, round(r.score, 9), r.reason) for r in edges.collect())
+    classes = {tuple(r) for r in min_label_components(c.select(F.col("cluster_id").alias("id")), edges).collect()}
+    monkeypatch.setattr(blocks, "BLOCK", 23)
+    monkeypatch.setattr(blocks, "TILE", 5)
+    got = link.score_edges(c, light, rare=2)
+    assert sorted((r.a, r.b, r.strong, round(r.score, 9), r.reason) for r in got.collect()) == want and len(want) > 50
+    assert {tuple(r) for r in link.linked_components(c, light, rare=2).collect()} == classes
+
+
+def test_of_clusters_that_all_link_no_pair_leaves_its_task(spark, monkeypatch):
+    rows = [(f"c{i:04}", ["repo:a", "repo:b"]) for i in range(400)]
+    c = spark.createDataFrame(rows, "cluster_id string, entities array<string>").withColumn("last_event_time", _at("2024-01-01 00:00:00"))
+    told = []
+    judged = blocks.judged
+    monkeypatch.setattr(blocks, "judged", lambda *a, **k: told.append(judged(*a, **k).cache()) or told[-1])
+    assert {r.component for r in link.linked_components(c).collect()} == {"c0000"}
+    assert 399 <= told[0].count() < 800
