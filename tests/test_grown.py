@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions.scoring import micros
-from spindrift.operators import blocks, digest, link, rollup, status
+from spindrift.operators import blocks, classes, digest, generate, link, rollup, status
 from spindrift.operators.graph import min_label_components
 from spindrift.plans import jobs
 from spindrift.plans.queries import ORACLE
@@ -76,3 +76,19 @@ def test_of_clusters_that_all_link_no_pair_leaves_its_task(spark, monkeypatch):
     monkeypatch.setattr(blocks, "judged", lambda *a, **k: told.append(judged(*a, **k).cache()) or told[-1])
     assert {r.component for r in link.linked_components(c).collect()} == {"c0000"}
     assert 399 <= told[0].count() < 800
+
+
+@pytest.mark.parametrize(("block", "rare"), [(1 << 14, 2), (17, 2)])
+def test_who_hears_the_same_is_linked_once_and_as_the_edges_say(spark, monkeypatch, block, rare):
+    monkeypatch.setattr(classes, "BLOCK", block)
+    c = _clusters(spark, 5).withColumns({"scope_kind": F.lit("public"), "owner": F.lit(None).cast("long"), "connection_id": F.substring("cluster_id", 2, 2).cast("long") % 3, "updated_at": F.col("last_event_time")})
+    c = c.unionByName(c.filter("cluster_id like 'c1%'").select(*[F.concat(F.lit("p"), "cluster_id").alias(n) if n == "cluster_id" else F.lit("private").alias(n) if n == "scope_kind" else F.lit(3).cast("long").alias(n) if n == "owner" else n for n in c.columns]))
+    subs = spark.createDataFrame([(s, k) for s in range(6) for k in range(3) if k != s % 2], "subscriber long, connection_id long")
+    users = spark.createDataFrame([(s,) for s in range(6)], "subscriber long").withColumn("last_run", F.lit(None).cast("timestamp_ntz"))
+    now = _at("2024-01-22 00:00:00")
+    heard, alike = generate.first_heard(c, subs, users, now)
+    assert {tuple(r) for r in alike.collect()} == {(0, 0), (2, 0), (4, 0), (1, 1), (5, 1), (3, 3)}
+    found = generate.first_members(classes.components(c, heard, rare=rare), alike)
+    _, members, _ = generate.link_all(c, generate.candidates_for_all(c, subs, users, now), spark.createDataFrame([], generate.NO_PRIOR))
+    want = {(r.subscriber, r.cluster_id, r.story_id) for r in members.collect()}
+    assert {(r.subscriber, r.cluster_id, r.story_id) for r in found.collect()} == want and len({w[2] for w in want}) > 6
