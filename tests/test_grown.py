@@ -92,3 +92,17 @@ def test_who_hears_the_same_is_linked_once_and_as_the_edges_say(spark, monkeypat
     _, members, _ = generate.link_all(c, generate.candidates_for_all(c, subs, users, now), spark.createDataFrame([], generate.NO_PRIOR))
     want = {(r.subscriber, r.cluster_id, r.story_id) for r in members.collect()}
     assert {(r.subscriber, r.cluster_id, r.story_id) for r in found.collect()} == want and len({w[2] for w in want}) > 6
+
+
+def test_candidates_are_made_once_and_not_shuffled_to_be_so(spark):
+    rows = [
+        ("mine", "private", 1, ["cve:A", "cve:B"], 20, None), ("old", "public", None, ["cve:A", "cve:B", "cve:B"], -20, 1), ("heard", "public", None, ["cve:A", "cve:B"], 20, 1),
+        ("unheard", "public", None, ["cve:B"], 20, 2), ("all", "public", None, ["cve:A"], 20, None), ("old-all", "public", None, ["cve:A"], -20, None), ("stale", "private", 2, ["cve:A"], -20, None),
+    ]
+    c = spark.createDataFrame(rows, "cluster_id string, scope_kind string, owner long, entities array<string>, d int, connection_id long").withColumn("updated_at", _at("2024-02-01 00:00:00") + F.make_dt_interval(days=F.col("d")))
+    subs = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (2, None)], "subscriber long, connection_id long")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "subscriber long").withColumn("last_run", _at("2024-02-10 00:00:00"))
+    found = generate.candidates_for_all(c, subs, users, _at("2024-02-22 00:00:00"))
+    want = [(1, x) for x in ("all", "heard", "mine", "old", "old-all", "unheard")] + [(2, "all"), (2, "unheard"), (3, "all")]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
