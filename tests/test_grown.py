@@ -1,16 +1,20 @@
 """What differed from SQL, or grew faster than its input, on larger tables."""
 
+import itertools
 import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions.scoring import micros
-from spindrift.operators import blocks, classes, digest, generate, link, rollup, status
+from spindrift.operators import blocks, classes, digest, generate, link, rollup, status, threads
 from spindrift.operators.graph import min_label_components
 from spindrift.plans import jobs
 from spindrift.plans.queries import ORACLE
+from spindrift.storage import kept
 
 
 def _at(s: str):
@@ -106,3 +110,47 @@ def test_candidates_are_made_once_and_not_shuffled_to_be_so(spark):
     want = [(1, x) for x in ("all", "heard", "mine", "old", "old-all", "unheard")] + [(2, "all"), (2, "unheard"), (3, "all")]
     assert sorted(tuple(r) for r in found.collect()) == want
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def _similar(a: str, b: str) -> float:
+    words = lambda v: {w for w in re.split("[ /_-]", v) if w}
+    letters = lambda v: Counter(v[i : i + 2] for i in range(len(v) - 1))
+    if len(words(a)) > 1 or len(words(b)) > 1:
+        return len(words(a) & words(b)) / len(words(a) | words(b))
+    n = letters(a).total() + letters(b).total()
+    return 2.0 * (letters(a) & letters(b)).total() / n if letters(a) and letters(b) else 0.0
+
+
+def _names(seed: int) -> list[str]:
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(7)] + ["x" * i for i in range(1, 22, 5)]
+    some = {" ".join(rng.sample(base, rng.randint(1, 5))) for _ in range(60)}
+    long = [[f"v{k}{i}" for i in range(rng.randint(6, 20))] for k in range(3)]
+    some |= {"/".join(rng.sample(v, len(v) - rng.randint(0, 2)) + ([f"z{rng.randint(0, 3)}"] if rng.random() < 0.5 else [])) for v in long for _ in range(12)}
+    some |= {"".join(rng.choice("ab1") for _ in range(rng.randint(0, 24))) for _ in range(70)} | {"-", "--", "ab-", "-ab", "w1-"}
+    return sorted({f"{k}:{v}" for v in some for k in rng.sample(["p", "q"], rng.randint(1, 2))})
+
+
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.5), (2, 0.8), (3, 0.65), (4, 0.3)])
+def test_names_that_are_similar_are_all_found_once_and_a_forest_connects_them_alike(spark, seed, threshold):
+    names = _names(seed)
+    nodes = spark.createDataFrame([(n,) for n in names + ["nokind"]], "id string")
+    split = [n.split(":", 1) for n in names]
+    scored = [(a, b, _similar(va, vb)) for (a, (ka, va)), (b, (kb, vb)) in itertools.combinations(zip(names, split), 2) if ka == kb]
+    want = sorted((a, b, min(c, 0.95)) for a, b, c in scored if c >= threshold)
+    edges = threads.lexical_edges(nodes, threshold=threshold)
+    assert sorted((r.a, r.b, r.confidence) for r in edges.collect()) == want and len(want) > 50
+    forest = kept(threads.lexical_forest(nodes, threshold))
+    assert {(r.a, r.b, r.confidence) for r in forest.collect()} <= set(want)
+    of = lambda e: sorted(tuple(r) for r in threads.resolve(nodes, e, theta=threshold).collect())
+    assert of(forest) == of(edges)
+
+
+def test_names_that_share_a_frequent_word_alone_are_not_compared(spark):
+    nodes = spark.createDataFrame([(f"p:hot a{i} b{i}",) for i in range(300)] + [(f"q:u{i}",) for i in range(1000, 1300)], "id string")
+    assert threads.compared(threads._tokens(nodes, 0.8)).count() < 3000
+
+
+def test_names_that_all_link_are_tied_by_a_forest(spark):
+    nodes = spark.createDataFrame([(f"p:hot bolt {i}",) for i in range(200)], "id string")
+    assert threads.lexical_forest(nodes, 0.5).count() < 4 * 200
