@@ -43,15 +43,19 @@ def maintain(sources: DataFrame, prior: DataFrame, care: DataFrame, since: Colum
     with it.
     """
     by = ("subscriber",)
+    # each step is read by several of those that follow, which would plan and run it again each time
+    sources, prior = kept(sources), kept(prior)
     spined = prior.withColumn("entities", threads.spine(F.col("entities")))
-    nodes = sources.select(F.explode("entities").alias("id")).distinct()
-    named = threads.lexical_edges(nodes, vetoes).select("a", "b", "confidence")
+    nodes = kept(sources.select(F.explode("entities").alias("id")).distinct())
+    # a forest holds together what all edges do, but not without those that are vetoed
+    named = (threads.lexical_forest(nodes) if vetoes is None else threads.lexical_edges(nodes, vetoes)).select("a", "b", "confidence")
     known = named if edges is None else named.unionByName(edges.select("a", "b", "confidence"))
     reps = kept(threads.resolve(nodes, known, vetoes).select("id", "representative", "band"))
     resolved = sources.select("subscriber", "story_id", "last_event_time", F.explode("entities").alias("id")).join(reps, "id")
     items = resolved.groupBy("subscriber", "story_id", "last_event_time").agg(F.collect_set("representative").alias("entities"))
     graph = threads.co_occurrence(items.withColumnRenamed("last_event_time", "at"), now, by=by)
-    keyed = graph.select(_key("a").alias("a"), _key("b").alias("b"), "weight")
+    # no component spans subscribers, so tasks that have theirs whole tell least of them on
+    keyed = graph.repartition("subscriber").select(_key("a").alias("a"), _key("b").alias("b"), "weight")
     found = kept(threads.communities(threads.label_propagation(keyed)))
     old = spined.select(_key("thread_id").alias("thread_id"), F.transform("entities", lambda e: F.concat(F.col("subscriber").cast("string"), F.lit("\x1f"), e)).alias("entities"), "pinned")
     matched = kept(threads.match_threads(found, old))
@@ -62,13 +66,14 @@ def maintain(sources: DataFrame, prior: DataFrame, care: DataFrame, since: Colum
     claimed = found_in.select("subscriber", "thread_id").unionByName(found_in.select("subscriber", F.explode("absorbed").alias("thread_id")))
     carried = spined.join(claimed, ["subscriber", "thread_id"], "left_anti").select("subscriber", "thread_id", "entities", F.array().cast("array<string>").alias("absorbed"))
     every = found_in.unionByName(carried).join(prior.select("subscriber", "thread_id", "affinity", "pinned", "first_seen", "last_story_time"), ["subscriber", "thread_id"], "left")
-    every = every.withColumns({"affinity": F.coalesce("affinity", F.lit(0.0)), "pinned": F.coalesce("pinned", F.lit(False))})
+    every = kept(every.withColumns({"affinity": F.coalesce("affinity", F.lit(0.0)), "pinned": F.coalesce("pinned", F.lit(False))}))
     passed = every.select("subscriber", F.explode(F.concat(F.array("thread_id"), F.col("absorbed"))).alias("from"), "thread_id").join(care.select("subscriber", F.col("thread_id").alias("from"), "care"), ["subscriber", "from"])
     total = passed.groupBy("subscriber", "thread_id").agg(F.sum("care").alias("care"))
     measured = threads.thread_metrics(every.drop("absorbed"), sources, since, now, total, by=by)
     bands = every.select("subscriber", "thread_id", F.explode("entities").alias("id")).join(reps.select("id", "band"), "id").groupBy("subscriber", "thread_id").agg(F.max(F.when(F.col("band") == "uncertain", 2).when(F.col("band") == "probable", 1).otherwise(0)).alias("_weak"))
     band = F.when(F.col("_weak") == 2, "uncertain").when(F.col("_weak") == 1, "probable").otherwise("confirmed")
     out = measured.join(bands, ["subscriber", "thread_id"], "left").withColumn("band", band).drop("_weak").join(every.select("subscriber", "thread_id", "entities", "pinned", "absorbed"), ["subscriber", "thread_id"])
+    out = kept(out)
     return out, threads.project_weights(out, by=by)
 
 

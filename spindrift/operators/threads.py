@@ -169,7 +169,7 @@ def thread_metrics(threads: DataFrame, stories: DataFrame, since: Column, now: C
     key = [*by, "thread_id"]
     t = threads.select(*key, F.explode("entities").alias("e"))
     s = stories.select(*by, "story_id", "last_event_time", F.explode("entities").alias("e"))
-    hit = t.join(s, [*by, "e"]).select(*key, "story_id", "last_event_time").distinct()
+    hit = kept(t.join(s, [*by, "e"]).select(*key, "story_id", "last_event_time").distinct())
     m = hit.groupBy(*key).agg(F.count(F.lit(1)).alias("story_count"), F.count_if(F.col("last_event_time") > since).alias("new_stories"), F.min("last_event_time").alias("lo"), F.max("last_event_time").alias("hi"))
     seen = hit.join(stories.select(*by, "story_id", F.explode("sources").alias("source")), [*by, "story_id"]).groupBy(*key).agg(F.count_distinct("source").alias("source_diversity"))
     out = threads.join(m, key, "left").join(seen, key, "left")
@@ -298,11 +298,13 @@ def resolve(nodes: DataFrame, edges: DataFrame, vetoes: DataFrame | None = None,
     e = edges.filter(F.col("confidence") >= theta).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence")
     if vetoes is not None:
         e = e.join(vetoes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    ids = nodes.select("id").unionByName(e.select(F.col("a").alias("id"))).unionByName(e.select(F.col("b").alias("id"))).distinct()
+    e = kept(e)
+    ids = kept(nodes.select("id").unionByName(e.select(F.col("a").alias("id"))).unionByName(e.select(F.col("b").alias("id"))).distinct())
     out = min_label_components(ids, e)
     for name, least in (("confirmed", CONFIRMED), ("probable", PROBABLE)):
         part = min_label_components(ids, e.filter(F.col("confidence") >= least)).select("id", F.col("component").alias(name))
         out = out.join(part, "id")
+    out = kept(out)
     held = out.groupBy("component").agg((F.count_distinct("confirmed") == 1).alias("c"), (F.count_distinct("probable") == 1).alias("p"))
     named = F.when(F.col("c"), "confirmed").when(F.col("p"), "probable").otherwise("uncertain")
     reps = out.select("id", "component")

@@ -465,6 +465,23 @@ def test_maintained_threads(spark):
     assert saved == {(1, "t1"): None, (1, "t2"): "t1", (1, "t3"): None, (2, "t1"): None}
 
 
+def test_maintenance_reads_its_sources_once(spark):
+    """What the pass reads isn't made again for each of its steps."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    made = F.udf(counted, "array<string>").asNondeterministic()
+    src = spark.createDataFrame([(1, f"s{i}", T0, ["repo:a", f"user:u{i}"], ["rss"]) for i in range(4)], "subscriber long, story_id string, last_event_time timestamp_ntz, entities array<string>, sources array<string>")
+    prior = spark.createDataFrame([(1, "t1", ["repo:a"], 1.0, False, None, None)], "subscriber long, thread_id string, entities array<string>, affinity double, pinned boolean, first_seen timestamp_ntz, last_story_time timestamp_ntz")
+    care = spark.createDataFrame([(1, "t1", 1.0)], "subscriber long, thread_id string, care double")
+    now = F.lit(T0).cast("timestamp_ntz")
+    written, weights = maintain.maintain(src.withColumn("entities", made("entities")), prior, care, now, now)
+    assert written.count() > 0 and weights.count() > 0 and read.value == 4
+
+
 def test_retries_and_relations(spark):
     lit = F.lit
     assert spark.range(1).select(*summaries.for_attempt(lit(5).cast("long"), lit(0.2), lit(2))).first()[:] == ((5 + 2 * 0x9E3779B9) % 2**32, 0.5)
