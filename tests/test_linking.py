@@ -132,6 +132,24 @@ def test_second_window_sees_the_first(spark, sf_dir):
     assert all(sorted(r["position"] for r in x) == list(range(len(x))) for x in per.values())
 
 
+def test_classes_link_again_as_each_subscriber_does(spark):
+    """Of one class, some have delivered stories that must stay apart, and some don't."""
+    rng = random.Random(5)
+    rows = [r for r in some_clusters(rng, 60) if r[1] == "public"]
+    clusters = spark.createDataFrame(rows, CLUSTERS)
+    alike = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "subscriber long, like long")
+    heard = spark.createDataFrame([(u, r[0]) for u in (1, 4) for r in rows if u == 1 or rng.random() < 0.8], "subscriber long, cluster_id string")
+    prior = [(u, x[0], f"s{u}-{k % (12 if u == 2 else 4)}", u != 1, T0 + timedelta(hours=k)) for u in (1, 2, 4) for k, x in enumerate(rows[:24])]
+    prior = spark.createDataFrame(prior, generate.NO_PRIOR)
+    every = heard.withColumnRenamed("subscriber", "like").join(alike, "like").select("subscriber", "cluster_id")
+    _, want, lost = generate.link_all(clusters, every, prior)
+    got, merges = generate.link_again(clusters, heard, alike, prior)
+    told = lambda d: sorted(d.select("subscriber", "cluster_id", "story_id").collect())
+    assert told(got) == told(want) and sorted(merges.select("loser", "survivor").collect()) == sorted(lost.select("loser", "survivor").collect())
+    stories = {u: {r["story_id"] for r in told(got) if r["subscriber"] == u} for u in (1, 2, 3)}
+    assert len(stories[2]) > len(stories[3])
+
+
 def propagated(edges, rounds=30):
     near = {}
     for a, b, w in edges:
