@@ -26,3 +26,14 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task gets of a table that is dealt by a key.
+DEALT = 200_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt by some of its columns to as many tasks as its number of rows, or of those it is joined with, asks for, so
+    that no task grows with the input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // DEALT)), *by)

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift import storage
 from spindrift.functions.scoring import micros
 from spindrift.operators import blocks, classes, digest, generate, link, rollup, status, threads
 from spindrift.operators.graph import min_label_components
@@ -154,3 +155,12 @@ def test_names_that_share_a_frequent_word_alone_are_not_compared(spark):
 def test_names_that_all_link_are_tied_by_a_forest(spark):
     nodes = spark.createDataFrame([(f"p:hot bolt {i}",) for i in range(200)], "id string")
     assert threads.lexical_forest(nodes, 0.5).count() < 4 * 200
+
+
+def test_digests_are_rendered_by_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    """More lines are more tasks, not larger ones."""
+    monkeypatch.setattr(storage, "DEALT", 100)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    found = jobs.digest_bodies(spark, sf_dir)
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= lines // 100 * 0.9 and max(sizes) <= 100
