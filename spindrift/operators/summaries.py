@@ -130,26 +130,26 @@ def render_items(items: DataFrame, digests: DataFrame, members: DataFrame, clust
     return lists.select("digest_id", "position", "story_id", first["cluster_id"].alias("cluster_id"), first["line"].alias("headline"), compose_tldr(F.transform(others, lambda s: s["line"])).alias("tldr"), F.transform(others, lambda s: s["cluster_id"]).alias("connections"))
 
 
-def render_parts(items: DataFrame, digests: DataFrame, members: DataFrame, clusters: DataFrame, threads: DataFrame, fan_in: int = 6) -> DataFrame:
+def render_parts(items: DataFrame, digests: DataFrame, members: DataFrame, clusters: DataFrame | None, threads: DataFrame, fan_in: int = 6) -> DataFrame:
     """All that an item is rendered from: digest_id, position, format, headline, tldr, link, source,
     last_event_time, reason, thread (as sure as its band is, with what is new), connections (title, source,
     link_reason, link).
 
     items: digest_id, story_id, position, format, richness, relevance, thread_id; members: subscriber, story_id,
-    cluster_id, link_reason; clusters: cluster_id, title, headline, link, source, last_event_time; threads:
-    subscriber, thread_id, label, band, delta, of which only the digest's subscriber's own are told.
+    cluster_id, link_reason; clusters: cluster_id, title, headline, link, source, last_event_time, or None if members
+    have these columns themselves; threads: subscriber, thread_id, label, band, delta, of which only the digest's
+    subscriber's own are told. A story's clusters are gathered once, where its members are, whatever shows it.
     """
-    own = items.join(digests.select("digest_id", "subscriber"), "digest_id")
-    told = own.select("digest_id", "position", "subscriber", "story_id").join(members.select("subscriber", "story_id", "cluster_id", "link_reason"), ["subscriber", "story_id"]).join(clusters, "cluster_id")
-    newest_first = W.partitionBy("digest_id", "position").orderBy(F.desc("last_event_time"), F.desc("cluster_id"))
+    told = members if clusters is None else members.select("subscriber", "story_id", "cluster_id", "link_reason").join(clusters, "cluster_id")
+    newest_first = W.partitionBy("story_id", "subscriber").orderBy(F.desc("last_event_time"), F.desc("cluster_id"))
     line = F.coalesce(F.when(F.trim("headline") != "", F.trim("headline")), F.trim("title"))
-    near = told.withColumn("_rn", F.row_number().over(newest_first)).filter(F.col("_rn") <= fan_in + 1)
-    one = F.struct("_rn", line.alias("title"), "source", "link_reason", "link", "last_event_time")
-    lists = near.groupBy("digest_id", "position").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    one = F.struct(line.alias("title"), "source", "link_reason", "link", "last_event_time")
+    near = F.collect_list("_one").over(newest_first.rowsBetween(W.currentRow, fan_in))
+    lists = told.select("subscriber", "story_id", "cluster_id", "last_event_time", one.alias("_one")).select("subscriber", "story_id", F.row_number().over(newest_first).alias("_rn"), near.alias("x")).filter("_rn = 1")
     first, others = F.get("x", F.lit(0)), F.slice("x", 2, fan_in)
-    known = threads.select("subscriber", "thread_id", "label", "band", "delta")
-    both = own.join(lists, ["digest_id", "position"]).join(known, ["subscriber", "thread_id"], "left")
-    return both.select(
+    # threads are told before the lists are, which are wider
+    own = items.join(digests.select("digest_id", "subscriber"), "digest_id").join(threads.select("subscriber", "thread_id", "label", "band", "delta"), ["subscriber", "thread_id"], "left")
+    return own.join(lists, ["story_id", "subscriber"]).select(
         "digest_id", "position", "format", first["title"].alias("headline"), compose_tldr(F.transform(others, lambda c: c["title"])).alias("tldr"), first["link"].alias("link"), first["source"].alias("source"),
         first["last_event_time"].alias("last_event_time"), reason_line(F.col("format"), F.col("richness"), F.col("relevance")).alias("reason"), eyebrow(F.col("label"), F.col("band"), F.col("delta")).alias("thread"),
         F.transform(others, lambda c: F.struct(c["title"].alias("title"), c["source"].alias("source"), c["link_reason"].alias("link_reason"), c["link"].alias("link"))).alias("connections"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift import storage
 from spindrift.functions.scoring import micros
-from spindrift.operators import blocks, classes, digest, generate, link, rollup, status, threads
+from spindrift.operators import blocks, classes, digest, generate, link, rollup, status, summaries, threads
 from spindrift.operators.graph import min_label_components
 from spindrift.plans import jobs
 from spindrift.plans.queries import ORACLE
@@ -164,3 +164,36 @@ def test_digests_are_rendered_by_tasks_of_bounded_rows(spark, sf_dir, monkeypatc
     found = jobs.digest_bodies(spark, sf_dir)
     sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) >= lines // 100 * 0.9 and max(sizes) <= 100
+
+
+def test_parts_are_told_by_tasks_of_bounded_rows_that_read_lines_once(spark, sf_dir, monkeypatch):
+    """Lines aren't joined with themselves, and where tables are too large to be broadcast, more of them are more tasks, not larger ones."""
+    monkeypatch.setattr(storage, "DEALT", 100)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = jobs.digest_parts(spark, sf_dir)
+        assert found._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") == 1
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert len(sizes) >= lines // 100 * 0.9 and max(sizes) <= 100
+
+
+def test_parts_are_told_alike_by_members_with_their_clusters_and_without(spark):
+    """Nine clusters of one story, shown in two digests, of which another subscriber has one of the same name."""
+    clusters = spark.createDataFrame([(f"c{i}", f" t{i} ", "h8" if i == 8 else " ", f"l{i}", "rss", i // 2) for i in range(10)], "cluster_id string, title string, headline string, link string, source string, s int")
+    clusters = clusters.select("cluster_id", "title", "headline", "link", "source", (_at("2024-01-31 00:00:00") + F.make_dt_interval(secs=F.col("s"))).alias("last_event_time"))
+    members = spark.createDataFrame([(1, "x", f"c{i}", f"r{i}") for i in range(9)] + [(2, "x", "c9", "r9"), (1, "unshown", "c0", "r0")], "subscriber int, story_id string, cluster_id string, link_reason string")
+    items = spark.createDataFrame([(d, "x", 0, "story", "longform", 1.0, "t") for d in (10, 11, 20)] + [(11, "memberless", 1, "story", "longform", 1.0, None)], "digest_id int, story_id string, position int, format string, richness string, relevance double, thread_id string")
+    digests = spark.createDataFrame([(10, 1), (11, 1), (20, 2)], "digest_id int, subscriber int")
+    known = spark.createDataFrame([(1, "t", "T", "confirmed", None)], "subscriber int, thread_id string, label string, band string, delta string")
+    for args in ((members, clusters), (members.join(clusters, "cluster_id"), None)):
+        found = {r.digest_id: r for r in summaries.render_parts(items, digests, *args, known).collect()}
+        assert sorted(found) == [10, 11, 20]
+        for d in (10, 11):
+            assert (found[d].headline, found[d].link, found[d].thread) == ("h8", "l8", "T")
+            assert [(c.title, c.link_reason) for c in found[d].connections] == [(f"t{i}", f"r{i}") for i in (7, 6, 5, 4, 3, 2)]
+            assert found[d].tldr == "t7. t6. t5. t4."
+        assert (found[20].headline, found[20].thread, found[20].connections) == ("t9", "", [])
