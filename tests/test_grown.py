@@ -197,3 +197,28 @@ def test_parts_are_told_alike_by_members_with_their_clusters_and_without(spark):
             assert [(c.title, c.link_reason) for c in found[d].connections] == [(f"t{i}", f"r{i}") for i in (7, 6, 5, 4, 3, 2)]
             assert found[d].tldr == "t7. t6. t5. t4."
         assert (found[20].headline, found[20].thread, found[20].connections) == ("t9", "", [])
+
+
+@pytest.mark.parametrize(("block", "grown"), [(1 << 16, 64), (17, 4)])
+def test_a_groups_clusters_are_judged_once_for_all_who_have_private_ones_besides(spark, monkeypatch, block, grown):
+    """Private clusters change what entities are worth to their owner, tie components and bring in old clusters."""
+    monkeypatch.setattr(classes, "BLOCK", block)
+    monkeypatch.setattr(classes, "GROWN", grown)
+    monkeypatch.setattr(classes, "MEMBERS", 2)
+    facts = {"owner": F.lit(None).cast("long"), "scope_kind": F.lit("public"), "source": F.concat(F.lit("s"), F.substring("cluster_id", 2, 1)), "title": F.concat(F.lit("t-"), "cluster_id"), "event_count": F.lit(2).cast("long"), "depth_rank": F.lit(1), "max_severity": F.lit(None).cast("int")}
+    c = _clusters(spark, 7, 90).withColumns({**facts, "connection_id": F.substring("cluster_id", 2, 2).cast("long") % 3, "updated_at": F.when(F.col("cluster_id").like("c2%"), _at("2023-01-01 00:00:00")).otherwise(_at("2024-01-21 00:00:00")), "first_event_time": F.col("last_event_time")})
+    mine = _clusters(spark, 8, 40).withColumn("entities", F.filter("entities", lambda e: ~e.like("url:%") & (~e.like("cve:%") | F.col("cluster_id").like("c2%")))).withColumns({**facts, "owner": F.substring("cluster_id", 2, 2).cast("long") % 8, "scope_kind": F.lit("private"), "connection_id": F.lit(None).cast("long"), "updated_at": _at("2024-01-21 00:00:00"), "first_event_time": F.col("last_event_time")})
+    c = kept(c.unionByName(mine.withColumn("cluster_id", F.concat(F.lit("p"), "cluster_id")).filter("owner < 6")))
+    subs = spark.createDataFrame([(s, k) for s in range(10) for k in range(3) if k != s % 2], "subscriber long, connection_id long")
+    users = spark.createDataFrame([(s,) for s in range(10)], "subscriber long").withColumn("last_run", F.lit(None).cast("timestamp_ntz"))
+    now = _at("2024-01-22 00:00:00")
+    found = generate.link_first(c, subs, users, now)
+    cands = kept(generate.candidates_for_all(c, subs, users, now))
+    _, members, _ = generate.link_all(c, cands, spark.createDataFrame([], generate.NO_PRIOR))
+    got = kept(generate.first_named(generate.linked_members(found)))
+    told = lambda d: sorted((r.subscriber, r.cluster_id, r.story_id) for r in d.select("subscriber", "cluster_id", "story_id").collect())
+    assert told(got) == told(members) and len({w[2] for w in told(got)}) > 20
+    assert found.base.select("grp").distinct().count() < 8 and 2 * found.base.count() < cands.count()
+    want = generate.stories_of(c, members)
+    rows = lambda d: sorted(map(str, d.select(*want.columns).collect()))
+    assert rows(generate.first_stories(c, found)) == rows(want)
