@@ -152,6 +152,13 @@ def test_names_that_share_a_frequent_word_alone_are_not_compared(spark):
     assert threads.compared(threads._tokens(nodes, 0.8)).count() < 3000
 
 
+def test_keys_of_names_are_not_gathered_on_the_driver(spark):
+    """A written table of names is small, but not the keys that are made of it."""
+    nodes = spark.createDataFrame([(f"p:hot bolt {i}",) for i in range(200)] + [(f"q:u{i}",) for i in range(200)], "id string")
+    for found in (threads.compared(kept(threads._tokens(nodes, 0.5))), threads.lexical_forest(nodes, 0.5)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_that_all_link_are_tied_by_a_forest(spark):
     nodes = spark.createDataFrame([(f"p:hot bolt {i}",) for i in range(200)], "id string")
     assert threads.lexical_forest(nodes, 0.5).count() < 4 * 200
