@@ -93,6 +93,21 @@ def score_edges(clusters: DataFrame, overrides: DataFrame | None = None, rare: i
     return edges.join(side("i", "a"), "i").join(side("j", "b"), "j").select("a", "b", "strong", "score", "reason")
 
 
+def best_edges(clusters: DataFrame, overrides: DataFrame | None = None, rare: int = blocks.RARE) -> DataFrame:
+    """Those of score_edges() among which each cluster has its best, strong ones first, then by score, a and b; of each
+    two blocks only some for each cluster are told, so that they don't grow with the pairs."""
+    nodes, posts = _numbered(clusters, overrides)
+    words = kept(blocks.frequent(posts, rare))
+    pairs, edges = _rare_edges(nodes, posts, words)
+    order = blocks.words_in_order(words)
+    if order:
+        # a pair that shares a rare entity too is better than it was judged, so what it went before is no better either
+        found = blocks.judged(nodes, posts, order, best=True).drop("sure").join(pairs, ["i", "j"], "left_anti").distinct()
+        edges = edges.unionByName(_reasons(found, order))
+    side = lambda n, c: nodes.select(F.col("n").alias(n), F.col("cluster_id").alias(c))
+    return edges.join(side("i", "a"), "i").join(side("j", "b"), "j").select("a", "b", "strong", "score", "reason")
+
+
 def linked_components(clusters: DataFrame, overrides: DataFrame | None = None, rare: int = blocks.RARE) -> DataFrame:
     """(cluster_id, component): the components of score_edges(), which are never made one by one: of each two
     blocks only spanning forests are told."""

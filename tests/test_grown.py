@@ -229,3 +229,18 @@ def test_a_groups_clusters_are_judged_once_for_all_who_have_private_ones_besides
     want = generate.stories_of(c, members)
     rows = lambda d: sorted(map(str, d.select(*want.columns).collect()))
     assert rows(generate.first_stories(c, found)) == rows(want)
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_of_each_two_blocks_a_clusters_best_edges_alone_are_told(spark, monkeypatch, seed):
+    monkeypatch.setattr(blocks, "BLOCK", 23)
+    monkeypatch.setattr(blocks, "WIDE", 40)
+    monkeypatch.setattr(blocks, "TILE", 5)
+    c = _clusters(spark, seed, 150)
+    light = spark.createDataFrame([("repo:k1", 0.05), ("repo:k2", 0.1), ("user:u1", 0.2)], "entity string, factor double")
+    edges, best = kept(link.score_edges(c, light, rare=2)), kept(link.best_edges(c, light, rare=2))
+    comp = kept(link.linked_components(c, light, rare=2))
+    of = lambda e: sorted((r.cluster_id, r.link_reason) for r in link.member_reasons(comp, e, whole=True).collect())
+    assert of(best) == of(edges) and any(r for _, r in of(best)) and best.count() < edges.count()
+    told = lambda e: {(r.a, r.b, r.strong, r.score, r.reason) for r in e.collect()}
+    assert told(best) <= told(edges)
